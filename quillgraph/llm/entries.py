@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, secrets
+from . import binslack, gif, pieces, rans, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rans_token_files": rans.op1_rans_token_files,
         "op2_gif_media": gif.op2_gif_media,
         "op4_secret_scans": secrets.op4_secret_scans,
+        "op5_sentencepiece_chunks": pieces.op5_sentencepiece_chunks,
+        "op6_bin_slack_packing": binslack.op6_bin_slack_packing,
     }
 
 
