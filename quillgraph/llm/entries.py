@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binslack, gif, pieces, rans, secrets
+from . import binslack, gif, langid, pieces, rans, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_sentencepiece_chunks": pieces.op5_sentencepiece_chunks,
         "op6_bin_slack_packing": binslack.op6_bin_slack_packing,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
