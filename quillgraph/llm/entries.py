@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binslack, gif, langid, pieces, rans, secrets
+from . import binslack, bktree, gif, langid, pieces, rans, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rans_token_files": rans.op1_rans_token_files,
         "op2_gif_media": gif.op2_gif_media,
+        "op3_simhash_bktree": bktree.op3_simhash_bktree,
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_sentencepiece_chunks": pieces.op5_sentencepiece_chunks,
         "op6_bin_slack_packing": binslack.op6_bin_slack_packing,
