@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bcr, binslack, bktree, gif, langid, pieces, rans, secrets
+from . import bcr, binslack, bktree, gif, langid, mcd, pieces, rans, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_sentencepiece_chunks": pieces.op5_sentencepiece_chunks,
         "op6_bin_slack_packing": binslack.op6_bin_slack_packing,
+        "op7_mcd_quality": mcd.op7_mcd_quality,
         "op9_bcr_substring_dedup": bcr.op9_bcr_substring_dedup,
         "op10_language_id": langid.op10_language_id,
     }
