@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bcr, binslack, bktree, gif, langid, mcd, pieces, rans, secrets
+from . import bcr, binslack, bktree, crf, gif, langid, mcd, pieces, rans, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sentencepiece_chunks": pieces.op5_sentencepiece_chunks,
         "op6_bin_slack_packing": binslack.op6_bin_slack_packing,
         "op7_mcd_quality": mcd.op7_mcd_quality,
+        "op8_crf_toxicity": crf.op8_crf_toxicity,
         "op9_bcr_substring_dedup": bcr.op9_bcr_substring_dedup,
         "op10_language_id": langid.op10_language_id,
     }
