@@ -414,6 +414,42 @@ def _with_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return named.join(by_doc, "doc_id", "left").select("doc_id", "text", "ranges").unionByName(common.texts(docs).filter("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<start:bigint,n:bigint>>")))
 
 
+def _left_of(raw: bytes, ranges: list[tuple[int, int]]) -> str:
+    """The text without the ranges, and without characters of which a byte is in one."""
+    at, out = 0, []
+    for a, b in sorted(ranges):
+        a, b = max(a, at), min(b, len(raw))
+        if b <= at:
+            continue
+        while at < a < len(raw) and raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b += 1
+        out.append(raw[at : max(a, at)])
+        at = b
+    out.append(raw[at:])
+    return b"".join(out).decode("utf-8")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The same columns, with repeats removed from text (whole characters) and n_chars, if there is one, counted anew. Documents of which only white space is left are gone."""
+    _, ranges = marked_ranges(docs, length, gram)
+    by_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_ranges")).withColumnRenamed("doc_id", "_doc_id")
+    joined = docs.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc_id"), "left").select(*(docs[c] for c in docs.columns), "_ranges")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = []
+            for text, found in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                new.append(_left_of(text.as_buffer().to_pybytes(), [(r["start"], r["start"] + r["n"]) for r in found]) if found and text.is_valid else text.as_py())
+            left = batch.select(list(range(batch.num_columns - 1))).set_column(at, batch.schema.field(at).name, pa.array(new, batch.schema.field(at).type))
+            yield left.filter(pa.array([t is not None and not t.isspace() and t != "" for t in new], pa.bool_()))
+
+    out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 

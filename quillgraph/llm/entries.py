@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bcr, binslack, bktree, crf, gif, langid, mcd, pieces, rans, secrets
@@ -21,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_crf_toxicity": crf.op8_crf_toxicity,
         "op9_bcr_substring_dedup": bcr.op9_bcr_substring_dedup,
         "op10_language_id": langid.op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

@@ -248,51 +248,74 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 _known: dict[str, tuple[dict[bytes, int], np.ndarray]] = {}
 
 
+class Judge:
+    """Scores texts with one model; a worker keeps the scores of words it has seen, up to KEEP."""
+
+    def __init__(self, model: Model, key: str):
+        self.model, k = model, len(model.languages)
+        if key not in _known:
+            _known.clear()
+            _known[key] = ({}, np.zeros((KEEP, k), np.float32))
+        self.places, self.table = _known[key]
+
+    def _words(self, words: list[bytes]) -> np.ndarray:
+        scores = np.zeros((len(words), len(self.model.languages)))
+        at = np.array([self.places.get(w, -1) for w in words], np.int64)
+        scores[at >= 0] = self.table[at[at >= 0]]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = self.model.word_scores([words[i] for i in new]).astype(np.float32)
+            scores[new] = fresh
+            n = len(self.places)
+            room = min(len(new), KEEP - n)
+            self.table[n : n + room] = fresh[:room]
+            self.places.update({words[i]: n + j for j, i in enumerate(new[:room].tolist())})
+        return scores
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        coded, first = words_of(texts)
+        has = np.diff(first) > 0
+        k = len(self.model.languages)
+        if not k or not has.any():
+            return ["und"] * len(texts), np.zeros(len(texts))
+        total = np.zeros((len(texts), k))
+        scores = self._words(coded.dictionary.to_pylist())
+        total[has] = np.add.reduceat(scores[coded.indices.to_numpy()], first[:-1][has], axis=0)
+        best = total.argmax(axis=1)
+        post = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.model.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, post, 0.0)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the posterior of lang_pred with equal priors)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # vocabulary x languages: its size doesn't depend on the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages: its size doesn't depend on the corpus
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        k = len(m.languages)
-        if key not in _known:  # words scored before by this worker, for this model
-            _known.clear()
-            _known[key] = ({}, np.zeros((KEEP, k), np.float32))
-        places, table = _known[key]
+        judge = Judge(sent.value, key)
         for whole in batches:
             for batch in common.small_batches(whole, "text"):
-                n = batch.num_rows
-                coded, first = words_of(batch.column("text").to_pylist())
-                words = coded.dictionary.to_pylist()
-                scores = np.zeros((len(words), k))
-                if k:
-                    at = np.array([places.get(w, -1) for w in words], np.int64) if words else np.zeros(0, np.int64)
-                    scores[at >= 0] = table[at[at >= 0]]
-                    new = np.flatnonzero(at < 0)
-                    if len(new):
-                        fresh = m.word_scores([words[i] for i in new]).astype(np.float32)
-                        scores[new] = fresh
-                        room = min(len(new), KEEP - len(places))
-                        table[len(places) : len(places) + room] = fresh[:room]
-                        places.update({words[i]: len(places) + j for j, i in enumerate(new[:room])})
-                total = np.zeros((n, k))
-                has = np.diff(first) > 0
-                if k and has.any():
-                    total[has] = np.add.reduceat(scores[coded.indices.to_numpy()], first[:-1][has], axis=0)
-                    best = total.argmax(axis=1)
-                    post = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                    lang = [m.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-                    score = np.where(has, post, 0.0)
-                else:
-                    lang, score = ["und"] * n, np.zeros(n)
+                lang, score = judge.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, PREDICTED)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The same rows and columns without those whose language is ``und`` or known with a score under ``least``."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(sent.value, key)
+        for batch in batches:
+            lang, score = judge.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     return predict(docs, learn(docs))
