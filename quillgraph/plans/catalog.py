@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import star_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return star_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return star_queries.oracle_sql()
