@@ -211,7 +211,7 @@ class Compiler:
     def scan(self, p: NodePattern, name: str, found: dict[str, Bound], later: list, wants: set[str], among: set[str] | None = None) -> DataFrame:
         kinds = self.graph.node_props(p.labels)
         props = {k: t for k, t in kinds.items() if "*" in wants or k in wants or k in p.props}
-        unknown = [k for k in p.props if k not in kinds]
+        unknown = [k for k in p.props if k not in kinds and k != "stub"]
         rows = self.graph.nodes(p.labels, props, among)
         prefix = self.new("n")
         cols = {c: f"{prefix}_{c}" for c in rows.columns}
@@ -257,11 +257,11 @@ class Compiler:
         self.rel_names = {**self.rel_names, id(rel): name}
         kinds = self.graph.edge_props(rel.types or None)
         wants = self.wants(rel.var)
-        props = {k: t for k, t in kinds.items() if "*" in wants or k in wants or k in rel.props}
+        props = {k: t for k, t in kinds.items() if k not in ("id", "sign") and ("*" in wants or k in wants or k in rel.props)}
         rows = self.edge_rows(rel, props, True)
         bound = Bound("rel", {c: c for c in rows.columns}, props)
         for k, e in rel.props.items():
-            if k not in kinds:
+            if k not in kinds and k not in ("id", "sign"):
                 rows = rows.filter(F.lit(False))
             elif rel.hops or not any(x.op == "var" for x in walk(e)):
                 rows = rows.filter(S.equal(self.property(bound, k), self.value(e, {})))
@@ -272,7 +272,7 @@ class Compiler:
         cols = {c: f"{prefix}_{c}" for c in rows.columns}
         rows = rows.toDF(*cols.values())
         found[name] = Bound("rel", cols, props)
-        later += [(found[name], e, k) for k, e in rel.props.items() if k in kinds and any(x.op == "var" for x in walk(e))]
+        later += [(found[name], e, k) for k, e in rel.props.items() if (k in kinds or k in ("id", "sign")) and any(x.op == "var" for x in walk(e))]
         rels.append((types, F.col(cols["id"]), False))
         return rows, cols["start"], cols["end"]
 
