@@ -141,6 +141,11 @@ def test_op9(spark, odd_docs, no_docs, sf):
     for docs in (spark.createDataFrame(hard, "doc_id long, text string").repartition(5), common.documents(spark, sf)):
         rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
         assert sorted(map(tuple, bcr.substring_dedup(docs).collect())) == plain_removal(rows)
+    _, ranges = bcr.marked_ranges(spark.createDataFrame(hard, "doc_id long, text string"), hot=3)  # shards dealt by windows
+    found: dict = {}
+    for r in ranges.collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["start"] + r["n"]))
+    assert [(d, bcr.kept(t.encode(), found.get(d, []))[1]) for d, t in hard] == [(w[0], w[2]) for w in plain_removal(hard)]
     got = {r["doc_id"]: r["n_removed"] for r in bcr.substring_dedup(odd_docs).collect()}
     assert got[3] == got[4] == got[None] == 0 and got[2] == len(next(r["text"] for r in odd_docs.collect() if r["doc_id"] == 2))
     left = bcr.remove_repeats(odd_docs)
