@@ -10,6 +10,8 @@ A byte is removed if a string of ``length`` bytes over it also starts earlier: i
 2. Collection BWT. A shard's segments are inserted column by column from their ends: in each round the next symbol of every segment
    goes to its place in the transform, and the common prefixes of it and of its neighbour are updated. Between rounds the transform,
    the common prefixes and the owners lie in sequential files that are read and written front to back.
+   A shard of more than ``HOT`` different segments (the edges of a passage that very many documents share) would be one task's: its windows
+   are dealt by a 128-bit hash of their bytes instead, and all but the first place of each hash, found by partial minima, are marked.
 3. Neighbours in the final order whose common prefix is ``length`` or more hold equal windows; all but the first by
    (doc_id, start) are marked, and the marked bytes of each document are removed.
 
@@ -35,6 +37,9 @@ LENGTH, GRAM = 100, 40
 #: Bytes of text hashed at once, of text whose segments are compared before the shuffle, and of segments in one collection.
 CHUNK, LOCAL, COLLECTION = 1 << 18, 24 << 20, 1 << 18
 
+#: A shard with more different segments is dealt by windows. Keys of at most FEW_SHARDS such shards are broadcast.
+HOT, FEW_SHARDS = 1024, 20_000
+
 _MIX, _BASE = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 _POS = np.uint64((1 << 20) - 1)
 _LUT = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64)
@@ -380,15 +385,50 @@ def _collection_batches(length: int):
     return run
 
 
-def marked_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+WINDOWS = "high long, low long, doc_id long, start long"
+
+
+def _window_batches(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The 128-bit hash of every window of the segments."""
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            hashes: list[bytes] = []
+            docs: list[int] = []
+            starts: list[int] = []
+            for doc, start, data in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                view, n = memoryview(data), len(data) - length + 1
+                hashes += [xxh3_128_digest(view[i : i + length]) for i in range(n)]
+                docs += [doc] * n
+                starts += range(start, start + n)
+            both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())], names=["high", "low", "doc_id", "start"])
+
+    return run
+
+
+def marked_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The documents with a doc_id, and (doc_id, start, n) of byte ranges to remove; ranges may overlap."""
     named = common.texts(docs).filter("doc_id is not null")
     probes = named.mapInArrow(_segment_batches(length, gram), PROBES)
     shards = common.stash(probes.repartition("key").sortWithinPartitions("key", "content", "doc_id", "start").mapInArrow(_shard_batches(length), PROBES), "segments")
     whole = shards.filter(F.col("kind") == MARK).select("doc_id", "start", "n")
-    wanted = shards.filter(F.col("kind") == PROBE).groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
-    fetched = named.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(_fetch_batches(length), BYTES)
-    found = fetched.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_collection_batches(length), "doc_id long, start long, n long")
+    mixed = shards.filter(F.col("kind") == PROBE).select("key", "doc_id", "start", "n")
+
+    def fetch(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
+        return named.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(_fetch_batches(length), BYTES)
+
+    large = common.stash(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("key"), "large")
+    n_large = large.count()
+    if n_large:
+        few = F.broadcast(large) if n_large <= FEW_SHARDS else large
+        windows = common.stash(fetch(mixed.join(few, "key", "left_semi")).mapInArrow(_window_batches(length), WINDOWS), "windows")
+        first = windows.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("m")).select("m.doc_id", "m.start")
+        whole = whole.unionByName(windows.select("doc_id", "start").join(first, ["doc_id", "start"], "left_anti").withColumn("n", F.lit(length).cast("long")))
+        mixed = mixed.join(few, "key", "left_anti")
+    found = fetch(mixed).repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_collection_batches(length), "doc_id long, start long, n long")
     return named, whole.unionByName(found)
 
 
