@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Columns of nodes and edges themselves; properties with these names are hidden by them.
+RESERVED = {"id", "labels", "stub", "type", "sign", "source", "target"}
+
+
 @dataclass
 class NodeTable:
     """Nodes of one label. ``id``: string expression over df; the other columns are properties. more_labels: further labels of all its nodes."""
@@ -50,7 +54,8 @@ class PropertyGraph:
         for label, t in self.node_tables.items():
             if not labels or label in labels or set(labels) & set(t.more_labels) or t.label_column:
                 for k, v in t.props.items():
-                    out.setdefault(k, v)
+                    if k not in RESERVED - {"type", "sign", "source", "target"}:
+                        out.setdefault(k, v)
         return out
 
     def edge_props(self, types: list[str] | None = None) -> dict[str, T.DataType]:
@@ -59,7 +64,8 @@ class PropertyGraph:
             if not types or name in types:
                 for t in tables:
                     for p in t.props:
-                        out.setdefault(p, t.df.schema[p].dataType)
+                        if p not in RESERVED:
+                            out.setdefault(p, t.df.schema[p].dataType)
         return out
 
     def nodes(self, labels: list[str] | None, props: dict[str, T.DataType], among: set[str] | None = None, stubs: bool = True) -> DataFrame:
