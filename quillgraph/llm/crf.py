@@ -128,16 +128,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def toxic_features(docs: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
     """Features whose rate in toxic documents is far over that in clean ones, and its logarithm."""
-    seen = (Counter(), Counter())
-    for words, y in zip(docs, toxic, strict=True):
-        seen[int(y)].update({f for w in set(words) for f in features(w)})
     n0, n1 = int((toxic == 0).sum()), int(toxic.sum())
-    out = {}
-    for f, k in seen[1].items():
-        ratio = np.log((k + 0.5) / (n1 + 1)) - np.log((seen[0][f] + 0.5) / (n0 + 1))
-        if k >= LEAST and ratio >= RATIO:
-            out[f] = float(ratio)
-    return out
+    seen: Counter = Counter()
+    for words, y in zip(docs, toxic, strict=True):
+        if y:
+            seen.update({f for w in set(words) for f in features(w)})
+    often = {f: k for f, k in seen.items() if k >= LEAST}  # only these are counted in the clean documents, which have far more others
+    del seen
+    clean: Counter = Counter()
+    for words, y in zip(docs, toxic, strict=True):
+        if not y:
+            clean.update({f for w in set(words) for f in features(w) if f in often})
+    ratios = {f: float(np.log((k + 0.5) / (n1 + 1)) - np.log((clean[f] + 0.5) / (n0 + 1))) for f, k in often.items()}
+    return {f: r for f, r in ratios.items() if r >= RATIO}
 
 
 def _windows(docs: list[list[str]], toxic: np.ndarray, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
