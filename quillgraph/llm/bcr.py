@@ -181,6 +181,8 @@ def _segment_batches(length: int, gram: int):
                     held, size = [], 0
         if held:
             yield from _settle(held, length)
+        held = []
+        common.give_back()
 
     return run
 
@@ -381,6 +383,7 @@ def _collection_batches(length: int):
                 size += len(row[3])
         if held:
             yield out(held)
+        common.give_back()
 
     return run
 

@@ -134,6 +134,9 @@ _tables: dict[tuple[str, str], ChunkTable] = {}
 
 def tokenizer_table(name: str, ordinary_specials: bool = True) -> ChunkTable:
     """Table of a tokenizers file by its name in public_tokenizers; with ordinary_specials the strings of special tokens are ordinary text."""
+    from .common import hold
+
+    hold(f"tokenizers {name}", _tables.clear)
     if ("tokenizers", name) not in _tables:
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -172,6 +175,9 @@ def pieces_stay_in_words(sp) -> bool:
 
 
 def piece_table(name: str) -> ChunkTable:
+    from .common import hold
+
+    hold(f"pieces {name}", _tables.clear)
     if ("pieces", name) not in _tables:
         sp = piece_processor(name)
         if not pieces_stay_in_words(sp):

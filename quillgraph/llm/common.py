@@ -10,6 +10,9 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -22,9 +25,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of documents that pass between the JVM and a Python worker at once: with whole texts, Spark's 10,000 are tens of MB on both sides.
+BATCH_ROWS = "1000"
+
+
+def small_arrow_batches(docs: DataFrame) -> DataFrame:
+    """docs; the session's Arrow batches are made smaller, unless its owner has set them."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, BATCH_ROWS)
+    return docs
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named further columns, nothing else."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    return small_arrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +70,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_holder: list = []
+
+
+def hold(name: str, clear) -> None:
+    """Says that a worker now keeps the cache ``name``; the cache of another operator that ran in this worker before is cleared."""
+    if _holder and _holder[0] != name:
+        _holder[1]()
+        give_back()
+    _holder[:] = [name, clear]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker is kept for later tasks of other operators, beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def flat_bytes(column: pa.Array) -> tuple[memoryview, list[int]]:
     """UTF-8 bytes of a string column without a copy, and each row's start in them (one more at the end). Nulls: empty."""
     big = column.cast(pa.large_string()).cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

@@ -31,7 +31,9 @@ SAMPLE, ROUNDS, SMOOTH, LONGEST, UNKNOWN = 500, 4, 0.05, 48, 1e-7
 #: Each letter's scale in the forward sums, so that they neither vanish nor overflow.
 SCALE = np.exp(2.3)
 MARK = ord("▁")
-KEEP = 500_000
+KEEP = 200_000
+#: Bytes of text judged at once.
+SLICE = 1 << 20
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -219,7 +221,7 @@ def held_out(doc_id=None):
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in common.small_batches(whole, "text"):
+        for batch in common.small_batches(whole, "text", SLICE):
             langs = np.array(batch.column("lang").to_pylist(), object)
             coded, first = words_of(batch.column("text").to_pylist())
             index, words = coded.indices.to_numpy(), [w.decode("utf-32-le", "surrogatepass") for w in coded.dictionary.to_pylist()]
@@ -228,6 +230,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 n = np.bincount(index[(langs == l)[per_word]], minlength=len(words))
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array([words[i] for i in at], pa.string()), pa.array(n[at])], names=["lang", "word", "n"])
+    common.give_back()
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -253,6 +256,7 @@ class Judge:
 
     def __init__(self, model: Model, key: str):
         self.model, k = model, len(model.languages)
+        common.hold("words", _known.clear)
         if key not in _known:
             _known.clear()
             _known[key] = ({}, np.zeros((KEEP, k), np.float32))
@@ -294,7 +298,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value, key)
         for whole in batches:
-            for batch in common.small_batches(whole, "text"):
+            for batch in common.small_batches(whole, "text", SLICE):
                 lang, score = judge.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -309,11 +313,12 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value, key)
-        for batch in batches:
-            lang, score = judge.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+        for whole in batches:
+            for batch in common.small_batches(whole, whole.schema.field(at).name, SLICE):
+                lang, score = judge.predict(batch.column(at).to_pylist())
+                yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_arrow_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                 new.append(masked(text, spans, mask) if text and (spans := scan(text)) else text)
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_arrow_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_secret_scans(spark, sf_dir: str) -> DataFrame:
