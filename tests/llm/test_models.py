@@ -38,6 +38,34 @@ def test_op7_rejects_outliers_of_a_source_and_keeps_the_rest(spark):
     assert sum(not rows[i]["kept"] for i in range(400)) == 0
 
 
+def test_op7_one_measure_alone_rejects(spark):
+    rng = np.random.default_rng(2)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnop"), k))
+    line = lambda n=10, k=6: " ".join(word(k) for _ in range(n))
+    docs = [(i, "\n".join(line() for _ in range(20))) for i in range(200)]
+    odd = {
+        "words": "\n".join(line() for _ in range(300)),
+        "word_length": "\n".join(line(10, 12) for _ in range(20)),
+        "symbols": "\n".join(line() + " # *" for _ in range(20)),
+        "dup_lines": "\n".join(["x y"] * 13 + [line(25) for _ in range(8)]),
+        "repeats": "\n".join([line() for _ in range(11)] + [again + " " + word(6) for again in [line(30)] for _ in range(3)]),
+    }
+    docs += [(1000 + i, x) for i, x in enumerate(odd.values())]
+    rows = {r["doc_id"]: r for r in mcd.judge(spark.createDataFrame([(*d, "en", "s") for d in docs], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(rows[1000 + i]["base_failed"] for i in range(len(odd)))
+    assert {m: rows[1000 + i]["kept"] for i, m in enumerate(odd)} == dict.fromkeys(odd, False)
+    assert all(rows[i]["kept"] for i in range(200))
+
+
+def test_op7_spread_is_a_floor_and_adds_nothing(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (500, 5)) * [2, 2, 2, 0, 2]
+    rows = [("en", "s", *map(float, r)) for r in x]
+    got = mcd._moments(spark.createDataFrame(rows, "lang string, pool string, " + ", ".join(f"{m} double" for m in mcd.MEASURES))).first()
+    assert got["l_words_words"] ** 2 == pytest.approx(x[:, 0].var() * mcd.CONSISTENCY)
+    assert got["l_dup_lines_dup_lines"] == pytest.approx(mcd.SPREAD["dup_lines"])
+
+
 def test_op7_plan_has_no_python(spark, sf):
     plan = mcd.judge(common.documents(spark, sf))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
