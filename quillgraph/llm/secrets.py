@@ -6,7 +6,7 @@ Kinds, in the order that breaks ties between spans with the same start:
 * github: ``gh[pousr]_`` and 36 base-62 characters, of which the last 6 are the CRC-32 of the 30 before them in base 62.
 * npm: ``npm_`` and 36 characters with the same checksum.
 * jwt: three base64url parts, of which the first decodes to a JSON object with an ``alg``.
-* pem: a private key block from its BEGIN line to its END line.
+* pem: a private key block from its BEGIN line to the next END line of the same label, without another BEGIN between them.
 
 Offsets are code points, the end is exclusive. Null and empty texts have no spans; a null doc_id is kept.
 The automaton finds ASCII keywords in a copy whose A-Z are lowered byte by byte, so offsets stay those of the text.
@@ -44,7 +44,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is found whole, so thi
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----[^-]*-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?:[^-]|-(?!----(?:BEGIN |END \1-----)))*+-----END \1-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long"

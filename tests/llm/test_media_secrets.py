@@ -107,6 +107,16 @@ def test_checksums():
     assert secrets.scan("-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END EC PRIVATE KEY-----") == []
 
 
+def test_private_keys_with_hyphens():
+    rsa = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\nAbC+/==\n-----END RSA PRIVATE KEY-----"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nComment: made-up\n\nlQOY\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----"
+    for key in (rsa, pgp):
+        assert secrets.scan(f"a {key} b") == [(2, 2 + len(key), "pem")]
+    cut = "-----BEGIN RSA PRIVATE KEY-----\nAbC-\n"
+    assert secrets.scan(cut * 3 + rsa) == [(3 * len(cut), 3 * len(cut) + len(rsa), "pem")]
+    assert secrets.scan(cut) == []
+
+
 def test_op4(spark, odd_docs, no_docs):
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(HARD, 100)), "doc_id long, text string"))
     for r in secrets.scan_secrets(docs).collect():
