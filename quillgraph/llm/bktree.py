@@ -55,7 +55,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         data, at = common.flat_bytes(batch.column("text"))
         at = at.tolist()
         f = np.array([fingerprint(bytes(data[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(f.view(np.int64))], names=["doc_id", "f"])
+        rest = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(f.view(np.int64))], names=[*rest, "f"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -196,13 +197,18 @@ def links(distinct: DataFrame, cap: int = CAP, levels: int = 3) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id of every row."""
-    prints = common.stash(fingerprints(docs), "prints")
+def _rooted(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each fingerprint with its least doc_id and the root of its class; the stars of the components."""
     nodes = prints.groupBy("f").agg(F.min("doc_id").alias("least"))
     stars = components(links(nodes.select("f")))
     rooted = nodes.join(stars.select(F.col("a").alias("f"), F.col("b").alias("root")), "f", "left").select("f", "least", F.coalesce("root", "f").alias("root"))
-    joined = common.stash(rooted, "rooted")
+    return common.stash(rooted, "rooted"), stars
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of every row."""
+    prints = common.stash(fingerprints(docs), "prints")
+    joined, stars = _rooted(prints)
     inside = joined.join(stars.select(F.col("b").alias("root")).distinct(), "root", "left_semi")
     classes = inside.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = joined.join(classes, "root", "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
@@ -210,9 +216,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their class; rows with a null doc_id stay."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class: that of the smallest doc_id, a null one being the last.
+
+    Rows are told apart by doc_id and 96 bits of hashes of the text, so a doc_id that several texts share stays where its text does. Of
+    rows that agree in both, one stays.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = [F.col("doc_id").cast("long").alias("k_id"), F.xxhash64(text).alias("k_long"), F.hash(text).alias("k_int")]
+    prints = common.texts(docs, *key[1:]).mapInArrow(_fingerprint_batches, "doc_id long, k_long long, k_int int, f long")
+    prints = common.stash(prints, "prints")
+    rooted, _ = _rooted(prints)
+    rows = prints.groupBy("doc_id", "k_long", "k_int", "f").agg(F.count(F.lit(1)).alias("n")).join(rooted.select("f", "root"), "f")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k_long", "k_int")
+    rows = rows.select("root", "n", place.alias("place"))
+    classes = rows.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("size")).filter("size > 1")
+    met = rows.join(classes, "root").filter("n > 1 or not place <=> first")
+    met = common.stash(met.select(F.col("place.doc_id").alias("m_id"), F.col("place.k_long").alias("m_long"), F.col("place.k_int").alias("m_int"), F.expr("place <=> first").alias("stays")), "met")
+    whole = docs.select(F.struct("*").alias("row"), *key)
+    same = F.col("k_id").eqNullSafe(F.col("m_id")) & (F.col("k_long") == F.col("m_long")) & (F.col("k_int") == F.col("m_int"))
+    alone = whole.join(met, same, "left_anti").select("row")
+    equal = whole.join(met.filter("stays"), same, "left_semi").groupBy("k_id", "k_long", "k_int").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return alone.unionByName(equal.select("row")).select("row.*")
 
 
 def op3_simhash_bktree(spark, sf_dir: str) -> DataFrame:

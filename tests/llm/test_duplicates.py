@@ -94,6 +94,14 @@ def test_op3(spark, odd_docs, no_docs, sf):
     assert 1 in ids and 2 not in ids and None in ids
 
 
+def test_keep_one_keeps_one_row_of_each_class(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, c), (None, a), (None, d), (None, d), (None, e), (4, e), (5, None), (6, "")]
+    for parts in (1, 3):
+        kept = bktree.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (2, b), (3, c), (None, d), (4, e), (5, None)], key=str)
+
+
 def test_bwt_and_common_prefixes():
     rng = random.Random(0)
     for alphabet in (b"a", b"ab", b"\0\xf4z"):
