@@ -2,21 +2,24 @@
 
 A byte is removed if a string of ``length`` bytes over it also starts earlier: in a smaller doc_id, or earlier in the same document.
 
-1. Segments. Each document is cut into runs of neighbouring windows (strings of ``length`` bytes) that share their minimizer, the
-   smallest hash among the ``GRAM``-byte strings of a window. Equal windows have equal minimizers, so they meet in one shard.
-   Segments that are equal as wholes enter the collection once, by their first place: the others are removed whole. That is decided
-   within each task before the shuffle, so a passage that a third of all documents share sends one row per task and segment.
-   Only shards with two or more different segments can hold more repeats; the bytes of their segments are fetched.
-2. Collection BWT. A shard's segments are inserted column by column from their ends: in each round the next symbol of every segment
-   goes to its place in the transform, and the common prefixes of it and of its neighbour are updated. Between rounds the transform,
-   the common prefixes and the owners lie in sequential files that are read and written front to back.
-   A shard of more than ``HOT`` different segments (the edges of a passage that very many documents share) would be one task's: its windows
-   are dealt by a 128-bit hash of their bytes instead, and all but the first place of each hash, found by partial minima, are marked.
-3. Neighbours in the final order whose common prefix is ``length`` or more hold equal windows; all but the first by
-   (doc_id, start) are marked, and the marked bytes of each document are removed.
-
-Rows: a null or empty text has nothing to remove. A row with a null doc_id takes no part and keeps its text. Rows that share a doc_id
-count as one document: what is marked in one is removed at the same place in all. An empty table gives no rows.
+1. Candidates. Each document is cut into segments, runs of neighbouring windows (strings of ``length`` bytes) that share their minimizer:
+   the ``GRAM``-byte string of least hash in a window, whose hash is the segment's key. Equal windows have equal keys. Segments whose key no
+   other segment has hold no repeat and are left out; of all others the bytes are fetched. Nothing is removed at this point.
+2. Collections. Segments with one key go into one collection, whole shards of keys together. Segments of equal bytes are a run: inserted once,
+   with each row of the transform standing for all of them. The strings are inserted column by column from their ends: in each round the
+   next symbol of every string goes to its place in the transform, and the common prefixes of it and of its neighbour are
+   updated; both lie in files that a round reads and writes front to back.
+3. Rows next to each other whose common prefix is ``length`` or more are equal windows; all but the first place by (doc_id, start) are
+   marked. Every removed byte is under such a mark.
+
+Runs are formed by comparing bytes, first within a task, so that a passage of very many documents is one row per task and segment before
+it is dealt by key: a later member of a run is a repeat whatever else its windows equal. A key of more than ``HOT`` different segments (the edges
+of a passage that a large share of all documents holds) isn't one task's: there each window is a string of its own, keyed by its hash, and goes
+through runs and collections like a segment.
+
+Rows: a null or empty text has nothing to remove. A row with a null doc_id takes no part and keeps its text. Different texts with one
+doc_id are one document's parts, in the order of 96 bits of hashes of them; rows that agree in both are one part and get the same result. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,20 +28,25 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH, GRAM = 100, 40
-#: Bytes of text hashed at once, of text whose segments are compared before the shuffle, and of segments in one collection.
-CHUNK, LOCAL, COLLECTION = 1 << 18, 24 << 20, 1 << 18
-
-#: A shard with more different segments is dealt by windows. Keys of at most FEW_SHARDS such shards are broadcast.
-HOT, FEW_SHARDS = 1024, 20_000
+#: Bytes of text hashed at once, of text whose segments are compared before they are dealt by key, and of strings in one collection.
+CHUNK, LOCAL, COLLECTION = 1 << 18, 24 << 20, 1 << 19
+#: Rows of a transform that are read or written at once, segments in memory at once, and for each task of the shards; tasks at most.
+BLOCK, GATHERED, EACH, MOST_TASKS = 1 << 18, 100_000, 50_000, 50_000
+#: The windows of a key with more different segments are dealt by themselves. At most FEW_KEYS such keys are broadcast.
+HOT, FEW_KEYS = 50_000, 20_000
+#: Bytes between the places of different texts of one doc_id: more than a text has.
+PART = 1 << 40
 
 _MIX, _BASE = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 _POS = np.uint64((1 << 20) - 1)
@@ -110,51 +118,256 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 
 
 def merged(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The union of ranges within each document."""
+    """The union of ranges within each text."""
     if not len(start):
         return start, end, doc
     order = np.lexsort((start, doc))
     start, end, doc = start[order], end[order], doc[order]
-    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
-    group = np.cumsum(fresh) - 1
-    wide = int(end.max()) + 1
-    reach = np.maximum.accumulate(end + group * wide) - group * wide  # within a document, since each is moved beyond the one before
+    part = start // PART
+    fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])))
+    low, high = start - part * PART, end - part * PART
+    moved = (np.cumsum(fresh) - 1) * (int(high.max()) + 1)  # each text's ranges beyond those of the one before
+    reach = np.maximum.accumulate(high + moved) - moved
     head = fresh.copy()
-    head[1:] |= start[1:] > reach[:-1]
+    head[1:] |= low[1:] > reach[:-1]
     at = np.flatnonzero(head)
     return start[at], np.maximum.reduceat(end, at), doc[at]
 
 
-PROBES = "kind byte, key long, content long, doc_id long, start long, n long"
-_NAMES = [c.split()[0] for c in PROBES.split(", ")]
-MARK, PROBE = 0, 1
-
+class Collection:
+    """BWT and common prefixes of the suffixes of many strings, built by inserting one symbol of each string a round.
 
-def _rows(kind: int, key: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (key, content, doc, start, n))], names=_NAMES)
+    Both lie in files. A round reads the last round's files front to back, ``block`` rows at a time, and writes new ones; in memory are a
+    block, and for each string the row of its longest suffix so far.
+    """
 
+    def __init__(self, strings: list[bytes], folder: str, block: int = BLOCK):
+        self.lengths = np.array([len(s) for s in strings], np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.data = np.frombuffer(b"".join([*strings, b"\0"]), np.uint8)  # never empty
+        self.folder, self.block = folder, block
+        self.kind = np.uint8 if self.lengths.max(initial=0) < 255 else np.int32  # of common prefixes
 
-def _marks(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    start, end, doc = merged(start, end, doc)
-    return _rows(MARK, doc * np.int64(0x5851F42D4C957F2D), np.zeros(len(doc), np.int64), doc, start, end - start)
+    def _symbol(self, who: np.ndarray, used: int) -> np.ndarray:
+        """The symbol before the last ``used`` of each string, moved up by one; 0 where the string has no more. UTF-8 has no byte 255."""
+        at = self.ends[who] - 1 - used
+        has = used < self.lengths[who]
+        return np.where(has, self.data[np.where(has, at, 0)] + np.uint8(1), 0).astype(np.uint8)
 
+    def _scan(self, files: tuple, size: int, place: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What comes of putting the symbols at these rows (in order) before their suffixes: the rows of the longer suffixes with the
+        string that each is of (as a place in ``place``) and its common prefix with the row before; and rows after them with theirs.
+        """
+        count = np.zeros(256, np.int64)  # of each symbol in the blocks so far
+        least = np.full(256, -1, np.int64)  # the least common prefix after its last row, -1: none so far
+        waits = np.zeros(256, bool)  # its last row gets a longer suffix, so the next one's common prefix changes
+        out: list[tuple[np.ndarray, ...]] = []
+        for s in range(0, size, self.block):
+            n = min(self.block, size - s)
+            bwt, lcp = files[0].read(s, n, np.uint8), files[1].read(s, n, self.kind)
+            a, b = np.searchsorted(place, [s, s + n])
+            order = pc.array_sort_indices(pa.array(bwt)).to_numpy().view(np.int64)  # stable
+            per_symbol = np.bincount(bwt, minlength=256)
+            head = np.cumsum(per_symbol) - per_symbol
+            live = np.zeros(n, bool)
+            live[place[a:b] - s] = True
+            ordered = live.take(order)
+            mine = np.flatnonzero(ordered)
+            at_mine = order.take(mine)
+            symbol = bwt.take(at_mine)
+            after = mine + 1
+            # The next row of the same symbol, if it is in this block and gets no longer suffix itself.
+            old = after < (head + per_symbol)[symbol]
+            old[old] = ~ordered.take(after[old])
+            after = after[old]
+            symbol_after = symbol[old]
+            met = np.flatnonzero(waits & (per_symbol > 0)) if s else []
+            if len(met) and len(met := met[~ordered[head[met]]]):
+                after, symbol_after = np.append(after, head[met]), np.append(symbol_after, bwt[order[head[met]]])
+            low = [self._least(lcp, order, at, chosen, head[sy], least, sy) for at, chosen, sy in ((at_mine, mine, symbol), (order.take(after), after, symbol_after))]
+            base = before + count - head
+            out.append((base[symbol] + mine, np.searchsorted(place, at_mine + s), low[0], base[symbol_after] + after, low[1]))
+            if s + n < size:
+                there = np.flatnonzero(per_symbol)
+                last = order[head[there] + per_symbol[there] - 1]
+                by_place = np.argsort(last)
+                tail = np.minimum.reduceat(np.append(lcp, self.kind(np.iinfo(self.kind).max)), last[by_place] + 1)
+                least = np.minimum(least, int(lcp.min()))
+                least[there[by_place]] = np.minimum.accumulate(tail[::-1])[::-1]
+                waits[there] = live[last]
+                count += per_symbol
+        row, who, low, after, low_after = (np.concatenate(c) for c in zip(*out, strict=True)) if len(out) > 1 else out[0]
+        if len(out) > 1:
+            o, o2 = np.argsort(row), np.argsort(after)
+            row, who, low, after, low_after = row[o], who[o], low[o], after[o2], low_after[o2]
+        return row, who, low, after, low_after
+
+    def _least(self, lcp: np.ndarray, order: np.ndarray, at: np.ndarray, chosen: np.ndarray, head: np.ndarray, least: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The common prefix of each row with the one before it, once their symbols are put before them: one more than the least
+        between them and the last row of that symbol; 0 if there is none."""
+        out = np.empty(len(at), np.int64)
+        inside = chosen > head
+        if len(at) and inside.any():
+            ranges = np.empty((int(inside.sum()), 2), np.int64)
+            ranges[:, 0], ranges[:, 1] = order.take(chosen[inside] - 1) + 1, at[inside] + 1
+            out[inside] = np.minimum.reduceat(np.append(lcp, self.kind(0)), ranges.ravel())[::2]
+        firsts = np.flatnonzero(~inside)  # at most one of each symbol
+        out[firsts] = -1
+        for i in firsts[least[symbol[firsts]] >= 0].tolist():
+            out[i] = min(least[symbol[i]], int(lcp[: at[i] + 1].min()))
+        return out + 1
+
+    def _insert(self, old: tuple, new: tuple, size: int, row: np.ndarray, symbols: np.ndarray, low: np.ndarray, after: np.ndarray, low_after: np.ndarray) -> None:
+        """Writes the old files with the new rows among them."""
+        gap = row - np.arange(len(row))  # old rows before each new one
+        done = 0
+        for s in range(0, size, self.block):
+            n = min(self.block, size - s)
+            end = int(np.searchsorted(gap, s + n)) if s + n < size else len(row)
+            begin = s + done
+            here = row[done:end] - begin
+            stay = np.ones(n + end - done, bool)
+            stay[here] = False
+            a, b = np.searchsorted(after, [begin, begin + len(stay)])
+            for i, (kind, values) in enumerate(((np.uint8, symbols), (self.kind, low))):
+                c = np.empty(len(stay), kind)
+                c[stay] = old[i].read(s, n, kind)
+                c[here] = values[done:end]
+                if i:
+                    c[after[a:b] - begin] = low_after[a:b]
+                new[i].write(begin, c)
+            done = end
 
-def _settle(held: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pa.RecordBatch]:
-    """Of equal segments the first by (doc_id, start) goes on; the others are marked."""
-    doc, start, n, key, content = (np.concatenate(c) for c in zip(*held, strict=True))
-    order = np.lexsort((start, doc, content, key))
-    doc, start, n, key, content = (c[order] for c in (doc, start, n, key, content))
-    again = np.zeros(len(key), bool)
-    again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
-    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
-    same_place = again & (doc == doc[head]) & (start == start[head])
-    gone = again & ~same_place
-    if gone.any():
-        yield _marks(start[gone], start[gone] + n[gone] + length - 1, doc[gone])
-    keep = ~again
-    for i in range(0, int(keep.sum()), 200_000):
-        at = np.flatnonzero(keep)[i : i + 200_000]
-        yield _rows(PROBE, key[at], content[at], doc[at], start[at], n[at])
+    def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In the order of all suffixes, first the empty ones by string: the common prefix with the one before, the string that it
+        is of, and its length."""
+        m = len(self.lengths)
+        who = np.flatnonzero(self.lengths > 0)
+        place, size = who, m
+        with ExitStack() as stack:
+            old, new = (tuple(stack.enter_context(Stream(os.path.join(self.folder, f"{name}{i}"))) for name in ("bwt", "lcp")) for i in range(2))
+            symbols = self._symbol(np.arange(m), 0)
+            old[0].write(0, symbols)
+            old[1].write(0, np.zeros(m, self.kind))
+            counts = np.bincount(symbols, minlength=256)
+            used = 0
+            while len(who):
+                used += 1
+                # A suffix that starts with c comes after the m empty ones, and after all that start with less.
+                before = m + np.cumsum(counts) - counts - counts[0]
+                row, string, low, after, low_after = self._scan(old, size, place, before)
+                who = who[string]
+                symbols = self._symbol(who, used)
+                self._insert(old, new, size, row, symbols, low, after, low_after)
+                counts = counts + np.bincount(symbols, minlength=256)
+                size += len(row)
+                old, new = new, old
+                goes_on = self.lengths[who] > used
+                who, place = who[goes_on], row[goes_on]
+            bwt, lcp = old[0].read(0, size, np.uint8), old[1].read(0, size, self.kind)
+        # Each string's suffixes, from the empty one on: the row of the next longer one is told by the symbol before.
+        longer = np.empty(size, np.int32)
+        longer[pc.array_sort_indices(pa.array(bwt)).to_numpy().view(np.int64)] = np.arange(m - counts[0], m - counts[0] + size, dtype=np.int32)
+        owner, length = np.empty(size, np.int32), np.zeros(size, np.int32)
+        owner[:m] = np.arange(m)
+        who = np.argsort(-self.lengths, kind="stable")
+        place = who
+        for k in range(1, used + 1):
+            n = int(np.searchsorted(-self.lengths[who], -k, side="right"))
+            who, place = who[:n], longer[place[:n]]
+            owner[place], length[place] = who, k
+        return lcp, owner, length
+
+
+class Stream:
+    """A file of numbers that is read and written front to back."""
+
+    def __init__(self, path: str):
+        self.file = os.open(path, os.O_RDWR | os.O_CREAT)
+
+    def __enter__(self) -> Stream:
+        return self
+
+    def __exit__(self, *_) -> None:
+        os.close(self.file)
+
+    def read(self, at: int, n: int, kind: type) -> np.ndarray:
+        out = np.empty(n, kind)
+        view, done, base = memoryview(out).cast("B"), 0, at * out.itemsize
+        while done < len(view):
+            got = os.preadv(self.file, [view[done:]], base + done)
+            if not got:
+                raise EOFError
+            done += got
+        return out
+
+    def write(self, at: int, values: np.ndarray) -> None:
+        view, done, base = memoryview(values).cast("B"), 0, at * values.itemsize
+        while done < len(view):
+            done += os.pwrite(self.file, view[done:], base + done)
+
+
+def repeats(strings: list[bytes], string: np.ndarray, doc: np.ndarray, start: np.ndarray, folder: str, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, doc) of the repeats among segments.
+
+    Segment i has the bytes ``strings[string[i]]``. Equal segments are one run: they are inserted once, and a row of the transform stands
+    for all of them.
+    """
+    order = np.lexsort((start, doc, string))
+    string, doc, start = string[order], doc[order], start[order]
+    heads = np.concatenate(([True], string[1:] != string[:-1]))
+    first_doc, first_start = doc[heads], start[heads]  # by string
+    c = Collection(strings, folder, block)
+    lcp, owner, size = c.build()
+    at = np.flatnonzero(size >= length)
+    owner, offset = owner[at], c.lengths[owner[at]] - size[at]
+    cuts = np.flatnonzero(lcp[at] < length)  # rows of windows that are equal to the one before share length bytes with it
+    # Places are compared by their segment and the offset in it: windows of different segments of a document don't interleave.
+    rank = np.empty(len(strings), np.int64)
+    rank[np.lexsort((first_start, first_doc))] = np.arange(len(strings))
+    place = rank[owner] * (int(c.lengths.max(initial=0)) + 1) + offset
+    later = place != np.repeat(np.minimum.reduceat(place, cuts), np.diff(np.append(cuts, len(at)))) if len(at) else np.zeros(0, bool)
+    who = owner[later]
+    s = first_start[who] + offset[later]
+    # The rows of a run: each window of its later segments comes in its first one too.
+    again = (doc != first_doc[string]) | (start != first_start[string])
+    ends = start + c.lengths[string]
+    return merged(np.concatenate((s, start[again])), np.concatenate((s + length, ends[again])), np.concatenate((first_doc[who], doc[again])))
+
+
+#: What a task says about segments. WANTED: one with its place, whose key has company. PROBE: that a key occurs, with how many different
+#: segments, and its place if it is the task's only one. HOT_KEY: a key of very many different segments.
+FOUND = "kind byte, key long, doc_id long, start long, n int, different int"
+WANTED, PROBE, HOT_KEY = 0, 1, 2
+
+
+def _rows(kind: int, key: np.ndarray, doc=None, start=None, n=None, different=None) -> pa.RecordBatch:
+    k = len(key)
+    longs = (np.zeros(k, np.int64) if c is None else np.ascontiguousarray(c).view(np.int64) for c in (key, doc, start))
+    ints = (np.zeros(k, np.int32) if c is None else np.asarray(c, np.int32) for c in (n, different))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), *map(pa.array, longs), *map(pa.array, ints)], names=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def _met(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """What a task says about its segments, given by key, doc_id, start, windows and a hash by which different ones are counted."""
+    key, doc, start, n, content = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    single = np.zeros(len(k), bool)
+    single[order[cuts[np.diff(np.append(cuts, len(k))) == 1]]] = True
+    company = np.flatnonzero(~single)
+    if len(company):
+        both = np.lexsort((content[company], key[company]))
+        a, b = key[company][both], content[company][both]
+        new_key = np.concatenate(([True], a[1:] != a[:-1]))
+        fresh = new_key | np.concatenate(([True], b[1:] != b[:-1]))
+        heads = np.flatnonzero(new_key)
+        yield _rows(PROBE, a[heads], different=np.add.reduceat(fresh.astype(np.int32), heads))
+    for kind, at in ((WANTED, company), (PROBE, np.flatnonzero(single))):
+        for i in range(0, len(at), 200_000):
+            j = at[i : i + 200_000]
+            yield _rows(kind, key[j], doc[j], start[j], n[j], np.ones(len(j)))
 
 
 def _segment_batches(length: int, gram: int):
@@ -166,273 +379,289 @@ def _segment_batches(length: int, gram: int):
         for whole in batches:
             for batch in common.small_batches(whole, "text"):
                 raw, offsets = common.flat_bytes(batch.column("text"))
-                base = int(offsets[0])
-                raw = raw[base : int(offsets[-1])]
-                offsets = offsets - base
+                begin = int(offsets[0])
+                raw = raw[begin : int(offsets[-1])]
+                offsets = offsets - begin
                 rows, start, n, key = segments(np.frombuffer(raw, np.uint8), offsets, length, gram)
                 if len(rows):
                     at = start + offsets[rows]
                     content = np.array([xxh3_64_intdigest(raw[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)], np.uint64)
-                    held.append((batch.column("doc_id").to_numpy()[rows], start, n, key, content))
+                    held.append((key, batch.column("doc_id").to_numpy()[rows], start + batch.column("base").to_numpy()[rows], n.astype(np.int32), content))
                 size += len(raw)
                 if size >= LOCAL:
                     if held:
-                        yield from _settle(held, length)
+                        yield from _met(held)
                     held, size = [], 0
         if held:
-            yield from _settle(held, length)
+            yield from _met(held)
         held = []
         common.give_back()
 
     return run
 
 
-def _shard_batches(length: int):
+def _candidate_batches(hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key, content, doc_id, start. Marks equal segments but the first; passes on segments of shards that hold different ones."""
-        pending: tuple[np.ndarray, ...] | None = None  # the last first-of-its-content, not yet known to have company
-        pending_goes = False
+        """Rows sorted by key. Probes with a place whose key has company become wanted, and keys of more than ``hot`` different segments are named.
+
+        Of a key that runs over several batches only a count, a sum and the first probe are kept.
+        """
+        latest, probes, different, first = None, 0, 0, None
+
+        def wanted(key, doc, start, n) -> pa.RecordBatch:
+            return _rows(WANTED, key, doc, start, n)
+
         for batch in batches:
-            kind = batch.column(0).to_numpy()
-            marks = batch.filter(pa.array(kind == MARK))
-            if marks.num_rows:
-                yield marks
-            probes = batch.filter(pa.array(kind == PROBE))
-            if not probes.num_rows:
+            kind = batch.column("kind").to_numpy()
+            if (kind == WANTED).any():
+                yield batch.filter(pa.array(kind == WANTED))
+            rows = batch.filter(pa.array(kind == PROBE))
+            if not rows.num_rows:
                 continue
-            key, content, doc, start, n = (probes.column(i).to_numpy() for i in range(1, 6))
-            if pending is not None:
-                key, content, doc, start, n = (np.concatenate((a, b)) for a, b in zip(pending, (key, content, doc, start, n), strict=True))
-            again = np.zeros(len(key), bool)
-            again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
-            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
-            gone = again & ~((doc == doc[head]) & (start == start[head]))
-            if gone.any():
-                yield _marks(start[gone], start[gone] + n[gone] + length - 1, doc[gone])
-            heads = np.flatnonzero(~again)
-            k = key[heads]
-            meets = np.zeros(len(heads), bool)
-            meets[1:] = k[1:] == k[:-1]
-            meets[:-1] |= k[1:] == k[:-1]
-            if pending is not None:
-                meets[0] |= pending_goes
-            last = heads[-1]
-            pending, pending_goes = tuple(c[last : last + 1] for c in (key, content, doc, start, n)), bool(meets[-1])
-            go = heads[:-1][meets[:-1]]
-            if len(go):
-                yield _rows(PROBE, *(c[go] for c in (key, content, doc, start, n)))
-        if pending is not None and pending_goes:
-            yield _rows(PROBE, *pending)
+            key, doc, start, n, d = (rows.column(i).to_numpy() for i in range(1, 6))
+            cuts = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+            count, total = np.diff(cuts), np.add.reduceat(d.astype(np.int64), cuts[:-1])
+            if key[0] == latest:
+                if first is not None:  # it has company now
+                    yield wanted(*first)
+                    first = None
+                count[0] += probes
+                total[0] += different
+            elif latest is not None and different > hot:
+                yield _rows(HOT_KEY, np.array([latest]))
+            go = np.repeat(count > 1, np.diff(cuts)) & (n > 0)
+            if go.any():
+                yield wanted(key[go], doc[go], start[go], n[go])
+            over = total[:-1] > hot
+            if over.any():
+                yield _rows(HOT_KEY, key[cuts[:-2][over]])
+            if key[-1] != latest or len(count) > 1:
+                alone = count[-1] == 1 and n[-1] > 0
+                first = tuple(c[-1:] for c in (key, doc, start, n)) if alone else None
+            latest, probes, different = key[-1], int(count[-1]), int(total[-1])
+        if latest is not None and different > hot:
+            yield _rows(HOT_KEY, np.array([latest]))
 
     return run
 
 
-class Collection:
-    """BWT, common prefixes and owners of the suffixes of many strings, built by inserting one symbol of each string a round."""
-
-    def __init__(self, strings: list[bytes], folder: str):
-        self.files = {name: os.open(os.path.join(folder, name), os.O_RDWR | os.O_CREAT) for name in ("bwt", "lcp", "at")}
-        self.sizes = dict.fromkeys(self.files, 0)
-        self.lengths = np.array([len(s) for s in strings], np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.data = np.frombuffer(b"".join(strings), np.uint8)
-
-    def _symbol(self, who: np.ndarray, used: int) -> np.ndarray:
-        """The symbol before the last ``used`` of each string, moved up by one; 0 where the string has no more."""
-        at = self.ends[who] - 1 - used
-        has = used < self.lengths[who]
-        return np.where(has, self.data[np.where(has, at, 0)] + np.uint8(1), 0).astype(np.uint8)
+#: A MARK is a range to remove, a STRING is a segment with its bytes.
+STRINGS = "kind byte, key long, doc_id long, start long, n int, data binary"
+MARK, STRING = 0, 1
+#: Deals marks over the tasks that strings are dealt to.
+_SPREAD = np.int64(0x5851F42D4C957F2D)
+
+
+def _strings(kind: int, key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, data: list[bytes] | None = None) -> pa.RecordBatch:
+    k = len(key)
+    columns = [pa.array(np.full(k, kind, np.int8)), *(pa.array(np.asarray(c, np.int64)) for c in (key, doc, start)), pa.array(np.asarray(n, np.int32)), pa.nulls(k, pa.binary()) if data is None else pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in STRINGS.split(", ")])
+
+
+def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of key, and where each key begins among them, one more at the end."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    return order, np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))), len(k))
+
+
+def runs(key: np.ndarray, doc: np.ndarray, start: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Segments of equal bytes are put together: the first by (doc_id, start) goes on for the run, and the others, being later, are marked."""
+    order, cuts = _by_key(key)
+    string = np.arange(len(key))
+    several = np.diff(cuts) > 1
+    for a, b in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist(), strict=True):
+        known: dict[bytes, int] = {}
+        for i in order[a:b].tolist():
+            string[i] = known.setdefault(data[i], i)
+    by_place = np.lexsort((start, doc, string))
+    sorted_ = string[by_place]
+    heads = by_place[np.concatenate(([True], sorted_[1:] != sorted_[:-1]))]
+    head = np.empty(len(key), np.int64)
+    head[string[heads]] = heads
+    head = head[string]
+    later = (doc != doc[head]) | (start != start[head])
+    if later.any():
+        ends = start[later] + np.fromiter((len(data[i]) for i in np.flatnonzero(later).tolist()), np.int64)
+        s, e, d = merged(start[later], ends, doc[later])
+        for i in range(0, len(s), 100_000):
+            j = slice(i, i + 100_000)
+            yield _strings(MARK, d[j] * _SPREAD, d[j], s[j], e[j] - s[j])
+    for i in range(0, len(heads), 20_000):
+        at = heads[i : i + 20_000]
+        some = [data[j] for j in at.tolist()]
+        yield _strings(STRING, key[at], doc[at], start[at], np.fromiter(map(len, some), np.int32, len(some)), some)
+
+
+def settle(key: np.ndarray, doc: np.ndarray, start: np.ndarray, data: list[bytes], folder: str, length: int) -> Iterator[pa.RecordBatch]:
+    """Puts shards of segments that share their key through collections; marks come out."""
+    order, cuts = _by_key(key)
+    at: list[int] = []
+    string: list[int] = []
+    known: dict[bytes, int] = {}  # equal bytes are one string of the collection
+    size = 0
+
+    def collection() -> Iterator[pa.RecordBatch]:
+        i = np.array(at)
+        s, e, d = repeats(list(known), np.array(string), doc[i], start[i], folder, length)
+        if len(s):
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array((e - s).astype(np.int32))], names=["doc_id", "start", "n"])
+
+    several = np.diff(cuts) > 1
+    for a, b in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist(), strict=True):
+        for i in order[a:b].tolist():
+            d = data[i]
+            number = known.get(d)
+            if number is None:
+                number = known[d] = len(known)
+                size += len(d)
+            at.append(i)
+            string.append(number)
+        if size >= COLLECTION:
+            yield from collection()
+            at, string, known, size = [], [], {}, 0
+    if at:
+        yield from collection()
+
+
+def _fetch_batches(length: int, windows: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The wanted segments of a task's documents, equal ones put together; or each of their windows as a string of its own, keyed by its hash."""
+        from xxhash import xxh3_64_intdigest
 
-    def _write(self, **columns: np.ndarray) -> None:
-        for name, c in columns.items():
-            raw = memoryview(c).cast("B")
-            done = 0
-            while done < len(raw):
-                done += os.pwrite(self.files[name], raw[done:], done)
-            self.sizes[name] = len(raw)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        data: list[bytes] = []
+        for whole in batches:
+            for batch in common.small_batches(whole, "text"):
+                raw, offsets = common.flat_bytes(batch.column("text"))
+                found = batch.column("found")
+                key, start, n = (found.flatten().field(c).to_numpy() for c in range(3))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
+                base = batch.column("base").to_numpy()[row]
+                own = (start >= base) & (start < base + PART)  # else it is of another text with this doc_id
+                key, start, n, row, base = key[own], start[own], n[own].astype(np.int64), row[own], base[own]
+                doc, at = batch.column("doc_id").to_numpy()[row], offsets[row] + start - base
+                if windows:
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    doc, start, at, n = np.repeat(doc, n), np.repeat(start, n) + step, np.repeat(at, n) + step, np.ones(len(step), np.int64)
+                pieces = [bytes(raw[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
+                if windows:
+                    key = np.array([xxh3_64_intdigest(p) for p in pieces], np.uint64).view(np.int64)
+                held.append((key, doc, start))
+                data += pieces
+                if len(data) >= GATHERED:
+                    yield from runs(*(np.concatenate(c) for c in zip(*held, strict=True)), data)
+                    held, data = [], []
+        if data:
+            yield from runs(*(np.concatenate(c) for c in zip(*held, strict=True)), data)
+        held, data = [], []
+        common.give_back()
 
-    def _read(self, name: str, kind: type) -> np.ndarray:
-        out = bytearray(self.sizes[name])
-        done = 0
-        while done < len(out):
-            done += os.preadv(self.files[name], [memoryview(out)[done:]], done)
-        return np.frombuffer(out, kind)
+    return run
 
-    def close(self) -> None:
-        for f in self.files.values():
-            os.close(f)
 
-    def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """In the order of all suffixes, first the empty ones by string: the symbol before each (0: none), the common prefix with
-        the one before, and where it starts in the strings laid end to end."""
-        m = len(self.lengths)
-        who = np.arange(m)
-        place = np.arange(m)  # of each string's longest suffix so far
-        live = who[self.lengths > 0]
-        kinds = {"bwt": np.uint8, "lcp": np.int32, "at": np.int32}
-        self._write(bwt=self._symbol(who, 0), lcp=np.zeros(m, np.int32), at=self.ends.astype(np.int32))
-        for used in range(1, int(self.lengths.max(initial=0)) + 1):
-            old = {name: self._read(name, kind) for name, kind in kinds.items()}
-            bwt, lcp = old["bwt"], old["lcp"]
-            order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(bwt), np.int32)
-            rank[order] = np.arange(len(bwt), dtype=np.int32)
-            per_symbol = np.cumsum(np.bincount(bwt, minlength=256))
-            ended = int(per_symbol[0])
-            # A suffix that starts with c comes after the m empty ones, all that start with less, and those with c whose rest is less.
-            r = rank[place[live]].astype(np.int64)
-            r.sort()
-            size = m + len(bwt) - ended
-            target = r + (m - ended)
-            rest = order[r]  # the suffixes that were put longer, in their new order
-            # Common prefixes of the new suffixes and of those right after them: one more than the least between their rests.
-            check = np.concatenate((r, r[:-1][r[1:] > r[:-1] + 1] + 1, r[-1:] + 1 if r[-1] + 1 < len(bwt) else r[:0]))
-            mine, before = order[check], order[check - 1]
-            same = (bwt[mine] == bwt[before]) & (check > ended)
-            value = np.zeros(len(check), np.int32)
-            if same.any():
-                padded = np.append(lcp, np.int32(0))  # so that an end may be the last place
-                value[same] = 1 + np.minimum.reduceat(padded, np.column_stack((before[same] + 1, mine[same] + 1)).ravel())[::2]
-            live = np.searchsorted(self.ends, old["at"][rest] - 1, side="right") if used > 1 else rest
-            stay = np.ones(size, bool)
-            stay[target] = False
-            new = {}
-            for name, kind in kinds.items():
-                c = np.empty(size, kind)
-                c[stay] = old[name]
-                new[name] = c
-            new["bwt"][target] = self._symbol(live, used)
-            new["at"][target] = self.ends[live] - used
-            new["lcp"][check + (m - ended)] = value
-            self._write(**new)
-            # Where the strings' longest suffixes are now; only those that go on are asked for again.
-            place[live] = target
-            live = live[self.lengths[live] > used]
-            if not len(live):
-                break
-        return tuple(self._read(name, kind) for name, kind in kinds.items())
-
-
-def repeats(strings: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, doc) of bytes in these segments under a window of which an equal one comes earlier in them."""
-    with tempfile.TemporaryDirectory() as folder:
-        c = Collection(strings, folder)
-        _, lcp, place = c.build()
-        c.close()
-    linked = lcp >= length
-    if not linked.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = np.cumsum(~linked) - 1
-    inside = linked.copy()
-    inside[:-1] |= linked[1:]
-    at = np.flatnonzero(inside)
-    owner = np.searchsorted(c.ends, place[at], side="right")
-    offset = place[at] - c.ends[owner] + c.lengths[owner]
-    group = group[at]
-    first = np.empty(len(doc), np.int64)  # segments by (doc_id, start); windows of different segments of a document don't interleave
-    first[np.lexsort((start, doc))] = np.arange(len(doc))
-    rank = first[owner] * (int(c.lengths.max()) + 1) + offset
-    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.minimum.reduceat(rank, heads)
-    gone = rank != least[np.cumsum(np.concatenate(([True], group[1:] != group[:-1]))) - 1]
-    s = start[owner[gone]] + offset[gone]
-    return merged(s, s + length, doc[owner[gone]])
-
-
-BYTES = "key long, doc_id long, start long, data binary"
-
-
-def _fetch_batches(length: int):
+def _shard_batches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys: list[int] = []
-            docs: list[int] = []
-            starts: list[int] = []
-            data: list[bytes] = []
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                for f in found:
-                    piece = raw[f["start"] : f["start"] + f["n"] + length - 1]
-                    if len(piece) == f["n"] + length - 1:  # else it is of another row with this doc_id
-                        keys.append(f["key"])
-                        docs.append(doc)
-                        starts.append(f["start"])
-                        data.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], names=["key", "doc_id", "start", "data"])
+        """Rows sorted by key: marks go through, the strings of whole shards are settled."""
+        held: list[tuple] = []
+        size = 0
+        with tempfile.TemporaryDirectory() as folder:  # the files of one collection at a time, gone with the task
+
+            def out() -> Iterator[pa.RecordBatch]:
+                key, doc, start = (np.concatenate([h[i] for h in held]) for i in range(3))
+                return settle(key, doc, start, [d for h in held for d in h[3]], folder, length)
+
+            for batch in batches:
+                kind = batch.column("kind").to_numpy()
+                if (kind == MARK).any():
+                    yield batch.filter(pa.array(kind == MARK)).select(["doc_id", "start", "n"])
+                rows = batch.filter(pa.array(kind == STRING))
+                if not rows.num_rows:
+                    continue
+                key, doc, start = (rows.column(c).to_numpy() for c in ("key", "doc_id", "start"))
+                data = rows.column("data").to_pylist()
+                if size >= GATHERED:
+                    cut = int(np.searchsorted(key, held[-1][0][-1], side="right"))  # where the shard ends that the last batch broke off
+                    held.append((key[:cut], doc[:cut], start[:cut], data[:cut]))
+                    size += cut
+                    if cut == len(key):
+                        continue
+                    yield from out()
+                    key, doc, start, data, held, size = key[cut:], doc[cut:], start[cut:], data[cut:], [], 0
+                held.append((key, doc, start, data))
+                size += len(key)
+            if held:
+                yield from out()
+            held = []
+        common.give_back()
 
     return run
 
 
-def _collection_batches(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key: whole shards are gathered into collections of about COLLECTION bytes."""
-        held: list[tuple[int, int, int, bytes]] = []
-        size, cut = 0, 0  # cut: where the last shard begins
+RANGES = "doc_id long, start long, n int"
 
-        def out(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            s, e, d = repeats([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e - s)], names=["doc_id", "start", "n"])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[-1][0]:
-                    if size >= COLLECTION:
-                        yield out(held)
-                        held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield out(held)
-        common.give_back()
-
-    return run
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and base of the rows with a doc_id, dealt by it. Texts that share a doc_id are laid PART bytes apart, in the order of hashes of them."""
+    rows = common.texts(docs).filter("doc_id is not null")
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("h2"))
+    # Partial counts and extremes: a doc_id of any number of rows is one row per task.
+    shared = hashed.groupBy("doc_id").agg(F.min(F.struct("h", "h2")).alias("a"), F.max(F.struct("h", "h2")).alias("b")).filter("a <> b").select("doc_id")
+    shared = common.stash(shared, "shared_ids")
+    parts = _partitions(docs.sparkSession, docs.rdd.getNumPartitions(), 1)
+    if not shared.head(1):
+        return rows.select("doc_id", "text", F.lit(0).cast("long").alias("base")).repartition(parts, "doc_id")
+    from pyspark.sql import Window
 
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "h2")) - 1
+    based = hashed.join(shared, "doc_id", "left_semi").distinct().select("doc_id", "h", "h2", (order.cast("long") * PART).alias("base"))
+    based = common.stash(based, "bases")
+    whole = rows.select("*", F.xxhash64("text").alias("h"), F.hash("text").alias("h2")).join(based, ["doc_id", "h", "h2"], "left")
+    return whole.select("doc_id", "text", F.coalesce("base", F.lit(0).cast("long")).alias("base")).repartition(parts, "doc_id")
 
-WINDOWS = "high long, low long, doc_id long, start long"
 
+def _partitions(spark, rows: int, each: int) -> int:
+    """Tasks for so many rows, Spark's setting at least: for work that is much greater than its bytes."""
+    return min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)))
 
-def _window_batches(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The 128-bit hash of every window of the segments."""
-        from xxhash import xxh3_128_digest
 
-        for batch in batches:
-            hashes: list[bytes] = []
-            docs: list[int] = []
-            starts: list[int] = []
-            for doc, start, data in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                view, n = memoryview(data), len(data) - length + 1
-                hashes += [xxh3_128_digest(view[i : i + length]) for i in range(n)]
-                docs += [doc] * n
-                starts += range(start, start + n)
-            both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())], names=["high", "low", "doc_id", "start"])
+def marked_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(doc_id, start, n) of byte ranges to remove from ``named`` documents; start counts from the doc_id's first base, and ranges may overlap."""
+    spark = texts.sparkSession
+    probes = texts.mapInArrow(_segment_batches(length, gram), FOUND)
+    met = common.stash(probes.repartition("key").sortWithinPartitions("key").mapInArrow(_candidate_batches(hot), FOUND), "segments")
+    kinds = {r["kind"]: r["n"] for r in met.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = met.filter(F.col("kind") == WANTED).select("key", "doc_id", "start", "n")
 
-    return run
+    def settled(some: DataFrame, windows: bool) -> DataFrame:
+        by_doc = some.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
+        strings = texts.join(by_doc, "doc_id").mapInArrow(_fetch_batches(length, windows), STRINGS)
+        dealt = strings.repartition(_partitions(spark, kinds.get(WANTED, 0), EACH), "key")
+        return dealt.sortWithinPartitions("key").mapInArrow(_shard_batches(length), RANGES)
 
+    n_hot = kinds.get(HOT_KEY, 0)
+    if not n_hot:
+        return settled(wanted, False)
+    keys = met.filter(F.col("kind") == HOT_KEY).select("key")
+    few = F.broadcast(keys) if n_hot <= FEW_KEYS else keys
+    return settled(wanted.join(few, "key", "left_anti"), False).unionByName(settled(wanted.join(few, "key", "left_semi"), True))
 
-def marked_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The documents with a doc_id, and (doc_id, start, n) of byte ranges to remove; ranges may overlap."""
-    named = common.texts(docs).filter("doc_id is not null")
-    probes = named.mapInArrow(_segment_batches(length, gram), PROBES)
-    shards = common.stash(probes.repartition("key").sortWithinPartitions("key", "content", "doc_id", "start").mapInArrow(_shard_batches(length), PROBES), "segments")
-    whole = shards.filter(F.col("kind") == MARK).select("doc_id", "start", "n")
-    mixed = shards.filter(F.col("kind") == PROBE).select("key", "doc_id", "start", "n")
 
-    def fetch(some: DataFrame) -> DataFrame:
-        wanted = some.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
-        return named.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(_fetch_batches(length), BYTES)
-
-    large = common.stash(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("key"), "large")
-    n_large = large.count()
-    if n_large:
-        few = F.broadcast(large) if n_large <= FEW_SHARDS else large
-        windows = common.stash(fetch(mixed.join(few, "key", "left_semi")).mapInArrow(_window_batches(length), WINDOWS), "windows")
-        first = windows.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("m")).select("m.doc_id", "m.start")
-        whole = whole.unionByName(windows.select("doc_id", "start").join(first, ["doc_id", "start"], "left_anti").withColumn("n", F.lit(length).cast("long")))
-        mixed = mixed.join(few, "key", "left_anti")
-    found = fetch(mixed).repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_collection_batches(length), "doc_id long, start long, n long")
-    return named, whole.unionByName(found)
+def _left_of(raw: bytes, ranges: list[tuple[int, int]]) -> str:
+    """The text without the ranges, and without characters of which a byte is in one."""
+    at, out = 0, []
+    for a, b in sorted(ranges):
+        a, b = max(a, at), min(b, len(raw))
+        if b <= at:
+            continue
+        while at < a < len(raw) and raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b += 1
+        out.append(raw[at : max(a, at)])
+        at = b
+    out.append(raw[at:])
+    return b"".join(out).decode("utf-8")
 
 
 def kept(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -451,42 +680,33 @@ def kept(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(out), removed, spans
 
 
-def _with_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    named, ranges = marked_ranges(docs, length, gram)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    return named.join(by_doc, "doc_id", "left").select("doc_id", "text", "ranges").unionByName(common.texts(docs).filter("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<start:bigint,n:bigint>>")))
+def _own(ranges: list[dict] | None, base: int) -> list[tuple[int, int]]:
+    return [(s - base, s - base + r["n"]) for r in ranges or () if base <= (s := r["start"]) < base + PART]
 
 
-def _left_of(raw: bytes, ranges: list[tuple[int, int]]) -> str:
-    """The text without the ranges, and without characters of which a byte is in one."""
-    at, out = 0, []
-    for a, b in sorted(ranges):
-        a, b = max(a, at), min(b, len(raw))
-        if b <= at:
-            continue
-        while at < a < len(raw) and raw[a] & 0xC0 == 0x80:
-            a -= 1
-        while b < len(raw) and raw[b] & 0xC0 == 0x80:
-            b += 1
-        out.append(raw[at : max(a, at)])
-        at = b
-    out.append(raw[at:])
-    return b"".join(out).decode("utf-8")
+def _with_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """doc_id, text, base and ranges of every row."""
+    texts = named(docs)
+    by_doc = marked_ranges(texts, length, gram, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    unnamed = common.texts(docs).filter("doc_id is null").select("doc_id", "text", F.lit(0).cast("long").alias("base"), F.lit(None).cast("array<struct<start:bigint,n:int>>").alias("ranges"))
+    return texts.join(by_doc, "doc_id", "left").unionByName(unnamed)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """The same columns, with repeats removed from text (whole characters) and n_chars, if there is one, counted anew. Documents of which only white space is left are gone."""
-    _, ranges = marked_ranges(docs, length, gram)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_ranges")).withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc_id"), "left").select(*(docs[c] for c in docs.columns), "_ranges")
+    h, h2 = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    texts = named(docs)
+    by_doc = marked_ranges(texts, length, gram, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    marked = texts.join(by_doc, "doc_id").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), F.hash("text").alias("_h2"), F.col("base").alias("_base"), F.col("ranges").alias("_ranges")).dropDuplicates(["_id", "_h", "_h2"])
+    joined = docs.join(marked, (F.col("doc_id").cast("long") == F.col("_id")) & (h == F.col("_h")) & (h2 == F.col("_h2")), "left").select(*(docs[c] for c in docs.columns), "_base", "_ranges")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = []
-            for text, found in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                new.append(_left_of(text.as_buffer().to_pybytes(), [(r["start"], r["start"] + r["n"]) for r in found]) if found and text.is_valid else text.as_py())
-            left = batch.select(list(range(batch.num_columns - 1))).set_column(at, batch.schema.field(at).name, pa.array(new, batch.schema.field(at).type))
+            for text, base, found in zip(batch.column(at), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                new.append(_left_of(text.as_buffer().to_pybytes(), _own(found, base)) if found and text.is_valid else text.as_py())
+            left = batch.select(list(range(batch.num_columns - 2))).set_column(at, batch.schema.field(at).name, pa.array(new, batch.schema.field(at).type))
             yield left.filter(pa.array([t is not None and not t.isspace() and t != "" for t in new], pa.bool_()))
 
     out = joined.mapInArrow(run, docs.schema)
@@ -499,16 +719,16 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text, ranges in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
+        for doc, text, base, ranges in zip(*(batch.column(c).to_pylist() if c != "text" else batch.column(c) for c in ("doc_id", "text", "base", "ranges")), strict=True):
             raw = text.as_buffer().to_pybytes()
-            left, removed, spans = kept(raw, [(r["start"], r["start"] + r["n"]) for r in ranges or ()])
+            left, removed, spans = kept(raw, _own(ranges, base))
             rows.append((doc, len(raw), removed, spans, hashlib.sha256(left).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.int64()] * 4 + [pa.string()], strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs and the SHA-256 of what is left."""
-    return _with_ranges(docs, length, gram).mapInArrow(_digest_batches, RESULT)
+    return _with_ranges(docs, length, gram, hot).mapInArrow(_digest_batches, RESULT)
 
 
 def op9_bcr_substring_dedup(spark, sf_dir: str) -> DataFrame:
