@@ -2,20 +2,20 @@
 
 A byte is removed if a string of ``length`` bytes over it also starts earlier: in a smaller doc_id, or earlier in the same document.
 
-1. Candidates. Each document is cut into segments, runs of neighbouring windows (strings of ``length`` bytes) that share their minimizer:
-   the ``GRAM``-byte string of least hash in a window, whose hash is the segment's key. Equal windows have equal keys. Segments whose key no
-   other segment has hold no repeat and are left out; of all others the bytes are fetched. Nothing is removed at this point.
-2. Collections. Segments with one key go into one collection, whole shards of keys together. Segments of equal bytes are a run: inserted once,
-   with each row of the transform standing for all of them. The strings are inserted column by column from their ends: in each round the
-   next symbol of every string goes to its place in the transform, and the common prefixes of it and of its neighbour are
-   updated; both lie in files that a round reads and writes front to back.
-3. Rows next to each other whose common prefix is ``length`` or more are equal windows; all but the first place by (doc_id, start) are
-   marked. Every removed byte is under such a mark.
-
-Runs are formed by comparing bytes, first within a task, so that a passage of very many documents is one row per task and segment before
-it is dealt by key: a later member of a run is a repeat whatever else its windows equal. A key of more than ``HOT`` different segments (the edges
-of a passage that a large share of all documents holds) isn't one task's: there each window is a string of its own, keyed by its hash, and goes
-through runs and collections like a segment.
+1. Candidates. Each document is cut into segments, runs of neighbouring windows (strings of ``length`` bytes) that share their minimizer, the
+   ``GRAM``-byte string of least hash in a window: the segment's anchor. Equal windows have equal anchors in equal places. Segments whose
+   anchor no other segment has hold no repeat and are left out; of all others the bytes are fetched. Nothing is removed at this point.
+2. Collections. What stands right of a segment's anchor and what stands left of it, read backwards, are two strings of a collection; whole
+   shards of segments that share their anchor go into one collection together. Its transform is built column by column: in each round the next
+   symbol of every string goes to its place, and the common prefixes of it and of its neighbour are updated. Both lie in files that a
+   round reads and writes front to back.
+3. Two windows of a shard with ``a`` bytes left of the anchor are equal if the transform's common prefixes say that their left strings share ``a``
+   bytes and their right strings the others. All but the first place by (doc_id, start) are marked. Every removed byte is under a mark.
+
+Segments of equal bytes are a run: one member of the collection stands for all, and the later ones are marked. Runs are formed by
+comparing bytes, first within a task, so that a passage of very many documents is one row per task and segment before it is dealt by key.
+A key of more than ``HOT`` different segments (the edges of a passage that a large share of all documents holds) isn't one task's: there each
+window is a segment of its own, keyed by its hash, and goes through runs and collections like any other.
 
 Rows: a null or empty text has nothing to remove. A row with a null doc_id takes no part and keeps its text. Different texts with one
 doc_id are one document's parts, in the order of 96 bits of hashes of them; rows that agree in both are one part and get the same result. An
@@ -29,6 +29,7 @@ import os
 import tempfile
 from collections.abc import Iterator
 from contextlib import ExitStack
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,15 @@ from . import common
 
 LENGTH, GRAM = 100, 40
 #: Bytes of text hashed at once, of text whose segments are compared before they are dealt by key, and of strings in one collection.
-CHUNK, LOCAL, COLLECTION = 1 << 18, 24 << 20, 1 << 19
-#: Rows of a transform that are read or written at once, segments in memory at once, and for each task of the shards; tasks at most.
-BLOCK, GATHERED, EACH, MOST_TASKS = 1 << 18, 100_000, 50_000, 50_000
+CHUNK, LOCAL, COLLECTION = 1 << 18, 24 << 20, 1 << 18
+#: Rows of a transform that are read or written at once, different segments of a collection (beyond, no further shard is added), segments in memory at once, and for each task of the shards; tasks at most.
+BLOCK, MEMBERS, GATHERED, EACH, MOST_TASKS = 1 << 18, 20_000, 100_000, 50_000, 50_000
 #: The windows of a key with more different segments are dealt by themselves. At most FEW_KEYS such keys are broadcast.
 HOT, FEW_KEYS = 50_000, 20_000
 #: Bytes between the places of different texts of one doc_id: more than a text has.
 PART = 1 << 40
+#: A segment's windows and the place of its anchor are one number, anchor * WIDE + windows.
+WIDE = 1 << 12
 
 _MIX, _BASE = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 _POS = np.uint64((1 << 20) - 1)
@@ -85,7 +88,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, start in row, windows, key) of the segments of texts laid end to end. A segment spans windows + length - 1 bytes."""
+    """(row, start in row, windows, key, place of the anchor) of the segments of texts laid end to end. A segment spans windows + length - 1 bytes."""
     out: list[tuple[np.ndarray, ...]] = []
     at, total = 0, len(data)
     step = CHUNK - length
@@ -110,10 +113,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
             last[:-1] = (low[1:] != low[:-1]) | ~valid[1:]
             stops = np.flatnonzero(last & valid)
             rows = np.searchsorted(offsets, starts + at, side="right") - 1
-            out.append((rows, starts + at - offsets[rows], stops - starts + 1, h[low[starts].astype(np.int64)]))
+            anchors = low[starts].astype(np.int64)
+            out.append((rows, starts + at - offsets[rows], stops - starts + 1, h[anchors], anchors - starts))
         at += step
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64), none
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -307,31 +312,57 @@ class Stream:
             done += os.pwrite(self.file, view[done:], base + done)
 
 
-def repeats(strings: list[bytes], string: np.ndarray, doc: np.ndarray, start: np.ndarray, folder: str, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, doc) of the repeats among segments.
-
-    Segment i has the bytes ``strings[string[i]]``. Equal segments are one run: they are inserted once, and a row of the transform stands
-    for all of them.
-    """
-    order = np.lexsort((start, doc, string))
-    string, doc, start = string[order], doc[order], start[order]
-    heads = np.concatenate(([True], string[1:] != string[:-1]))
-    first_doc, first_start = doc[heads], start[heads]  # by string
+def full_order(strings: list[bytes], folder: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole strings in the order of the transform: each one's place, and the common prefix of each place with the one before."""
     c = Collection(strings, folder, block)
     lcp, owner, size = c.build()
-    at = np.flatnonzero(size >= length)
-    owner, offset = owner[at], c.lengths[owner[at]] - size[at]
-    cuts = np.flatnonzero(lcp[at] < length)  # rows of windows that are equal to the one before share length bytes with it
-    # Places are compared by their segment and the offset in it: windows of different segments of a document don't interleave.
-    rank = np.empty(len(strings), np.int64)
-    rank[np.lexsort((first_start, first_doc))] = np.arange(len(strings))
-    place = rank[owner] * (int(c.lengths.max(initial=0)) + 1) + offset
-    later = place != np.repeat(np.minimum.reduceat(place, cuts), np.diff(np.append(cuts, len(at)))) if len(at) else np.zeros(0, bool)
-    who = owner[later]
-    s = first_start[who] + offset[later]
-    # The rows of a run: each window of its later segments comes in its first one too.
-    again = (doc != first_doc[string]) | (start != first_start[string])
-    ends = start + c.lengths[string]
+    at = np.flatnonzero(size == c.lengths[owner])
+    place = np.empty(len(strings), np.int64)
+    place[owner[at]] = np.arange(len(at))
+    shared = np.zeros(len(at), np.int64)
+    if len(at) > 1:
+        shared[1:] = np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1)
+    return place, shared
+
+
+@dataclass
+class Member:
+    """A different segment of a collection: the shard that it is of, its contexts' numbers, and how long they are."""
+
+    shard: int
+    left: int
+    right: int
+    n_left: int
+    n_right: int
+
+
+def repeats(contexts: list[bytes], members: list[Member], member: np.ndarray, doc: np.ndarray, start: np.ndarray, folder: str, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, doc) of the repeats among segments. Segment i is ``members[member[i]]``; equal segments are one member."""
+    order = np.lexsort((start, doc, member))
+    member, doc, start = member[order], doc[order], start[order]
+    heads = np.concatenate(([True], member[1:] != member[:-1]))
+    first_doc, first_start = doc[heads], start[heads]  # by member
+    shard, left, right, n_left, n_right = (np.array(c, np.int64) for c in zip(*((m.shard, m.left, m.right, m.n_left, m.n_right) for m in members), strict=True))
+    place, shared = full_order(contexts, folder)
+    left, right = place[left], place[right]
+    rank = np.empty(len(members), np.int64)
+    rank[np.lexsort((first_start, first_doc))] = np.arange(len(members))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    around = length - gram
+    for a in range(around + 1):  # windows with a bytes left of the anchor
+        at = np.flatnonzero((n_left >= a) & (n_right >= around - a))
+        if len(at) < 2:
+            continue
+        key = (shard[at] * len(contexts) + np.cumsum(shared < a)[left[at]]) * len(contexts) + np.cumsum(shared < around - a)[right[at]]
+        by_key = np.lexsort((rank[at], key))
+        later = by_key[1:][key[by_key[1:]] == key[by_key[:-1]]]
+        if len(later):
+            who = at[later]
+            found.append((who, first_start[who] + n_left[who] - a))
+    # A run's later segments: each of their windows comes in its first one too.
+    again = (doc != first_doc[member]) | (start != first_start[member])
+    ends = start + (n_left + n_right)[member] + gram
+    who, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return merged(np.concatenate((s, start[again])), np.concatenate((s + length, ends[again])), np.concatenate((first_doc[who], doc[again])))
 
 
@@ -382,11 +413,11 @@ def _segment_batches(length: int, gram: int):
                 begin = int(offsets[0])
                 raw = raw[begin : int(offsets[-1])]
                 offsets = offsets - begin
-                rows, start, n, key = segments(np.frombuffer(raw, np.uint8), offsets, length, gram)
+                rows, start, n, key, anchor = segments(np.frombuffer(raw, np.uint8), offsets, length, gram)
                 if len(rows):
                     at = start + offsets[rows]
                     content = np.array([xxh3_64_intdigest(raw[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)], np.uint64)
-                    held.append((key, batch.column("doc_id").to_numpy()[rows], start + batch.column("base").to_numpy()[rows], n.astype(np.int32), content))
+                    held.append((key, batch.column("doc_id").to_numpy()[rows], start + batch.column("base").to_numpy()[rows], (anchor * WIDE + n).astype(np.int32), content))
                 size += len(raw)
                 if size >= LOCAL:
                     if held:
@@ -445,7 +476,7 @@ def _candidate_batches(hot: int):
     return run
 
 
-#: A MARK is a range to remove, a STRING is a segment with its bytes.
+#: A MARK is a range of n bytes to remove, a STRING is a segment with its bytes and n, the place of its anchor.
 STRINGS = "kind byte, key long, doc_id long, start long, n int, data binary"
 MARK, STRING = 0, 1
 #: Deals marks over the tasks that strings are dealt to.
@@ -465,7 +496,7 @@ def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))), len(k))
 
 
-def runs(key: np.ndarray, doc: np.ndarray, start: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+def runs(key: np.ndarray, doc: np.ndarray, start: np.ndarray, anchor: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Segments of equal bytes are put together: the first by (doc_id, start) goes on for the run, and the others, being later, are marked."""
     order, cuts = _by_key(key)
     string = np.arange(len(key))
@@ -490,36 +521,50 @@ def runs(key: np.ndarray, doc: np.ndarray, start: np.ndarray, data: list[bytes])
     for i in range(0, len(heads), 20_000):
         at = heads[i : i + 20_000]
         some = [data[j] for j in at.tolist()]
-        yield _strings(STRING, key[at], doc[at], start[at], np.fromiter(map(len, some), np.int32, len(some)), some)
+        yield _strings(STRING, key[at], doc[at], start[at], anchor[at], some)
 
 
-def settle(key: np.ndarray, doc: np.ndarray, start: np.ndarray, data: list[bytes], folder: str, length: int) -> Iterator[pa.RecordBatch]:
-    """Puts shards of segments that share their key through collections; marks come out."""
+def settle(key: np.ndarray, doc: np.ndarray, start: np.ndarray, anchor: np.ndarray, data: list[bytes], folder: str, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Puts shards of segments that share their anchor through collections; marks come out."""
     order, cuts = _by_key(key)
     at: list[int] = []
-    string: list[int] = []
-    known: dict[bytes, int] = {}  # equal bytes are one string of the collection
-    size = 0
+    member: list[int] = []
+    members: list[Member] = []
+    contexts: dict[bytes, int] = {}
+    size, shards = 0, 0
 
     def collection() -> Iterator[pa.RecordBatch]:
         i = np.array(at)
-        s, e, d = repeats(list(known), np.array(string), doc[i], start[i], folder, length)
+        s, e, d = repeats(list(contexts), members, np.array(member), doc[i], start[i], folder, length, gram)
         if len(s):
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array((e - s).astype(np.int32))], names=["doc_id", "start", "n"])
 
+    anchors = anchor.tolist()
     several = np.diff(cuts) > 1
     for a, b in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist(), strict=True):
+        known: dict[bytes, int] = {}  # members by their bytes
+        found: dict[bytes, int] = {}  # shards by the bytes of their anchor, should two anchors have one hash
         for i in order[a:b].tolist():
             d = data[i]
             number = known.get(d)
             if number is None:
-                number = known[d] = len(known)
-                size += len(d)
+                number = known[d] = len(members)
+                left, right = d[: anchors[i]][::-1], d[anchors[i] + gram :]
+                numbers = []
+                for c in (left, right):
+                    k = contexts.get(c)
+                    if k is None:
+                        k = contexts[c] = len(contexts)
+                        size += len(c)
+                    numbers.append(k)
+                shard = found.setdefault(d[anchors[i] : anchors[i] + gram], shards + len(found))
+                members.append(Member(shard, *numbers, len(left), len(right)))
             at.append(i)
-            string.append(number)
-        if size >= COLLECTION:
+            member.append(number)
+        shards += len(found)
+        if size >= COLLECTION or len(members) > MEMBERS:
             yield from collection()
-            at, string, known, size = [], [], {}, 0
+            at, member, members, contexts, size, shards = [], [], [], {}, 0, 0
     if at:
         yield from collection()
 
@@ -529,7 +574,7 @@ def _fetch_batches(length: int, windows: bool):
         """The wanted segments of a task's documents, equal ones put together; or each of their windows as a string of its own, keyed by its hash."""
         from xxhash import xxh3_64_intdigest
 
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         data: list[bytes] = []
         for whole in batches:
             for batch in common.small_batches(whole, "text"):
@@ -540,14 +585,15 @@ def _fetch_batches(length: int, windows: bool):
                 base = batch.column("base").to_numpy()[row]
                 own = (start >= base) & (start < base + PART)  # else it is of another text with this doc_id
                 key, start, n, row, base = key[own], start[own], n[own].astype(np.int64), row[own], base[own]
+                anchor, n = n // WIDE, n % WIDE
                 doc, at = batch.column("doc_id").to_numpy()[row], offsets[row] + start - base
                 if windows:
                     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    doc, start, at, n = np.repeat(doc, n), np.repeat(start, n) + step, np.repeat(at, n) + step, np.ones(len(step), np.int64)
+                    doc, start, at, anchor, n = np.repeat(doc, n), np.repeat(start, n) + step, np.repeat(at, n) + step, np.repeat(anchor, n) - step, np.ones(len(step), np.int64)
                 pieces = [bytes(raw[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
                 if windows:
                     key = np.array([xxh3_64_intdigest(p) for p in pieces], np.uint64).view(np.int64)
-                held.append((key, doc, start))
+                held.append((key, doc, start, anchor))
                 data += pieces
                 if len(data) >= GATHERED:
                     yield from runs(*(np.concatenate(c) for c in zip(*held, strict=True)), data)
@@ -560,7 +606,7 @@ def _fetch_batches(length: int, windows: bool):
     return run
 
 
-def _shard_batches(length: int):
+def _shard_batches(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key: marks go through, the strings of whole shards are settled."""
         held: list[tuple] = []
@@ -568,8 +614,8 @@ def _shard_batches(length: int):
         with tempfile.TemporaryDirectory() as folder:  # the files of one collection at a time, gone with the task
 
             def out() -> Iterator[pa.RecordBatch]:
-                key, doc, start = (np.concatenate([h[i] for h in held]) for i in range(3))
-                return settle(key, doc, start, [d for h in held for d in h[3]], folder, length)
+                key, doc, start, anchor = (np.concatenate([h[i] for h in held]) for i in range(4))
+                return settle(key, doc, start, anchor, [d for h in held for d in h[4]], folder, length, gram)
 
             for batch in batches:
                 kind = batch.column("kind").to_numpy()
@@ -578,18 +624,18 @@ def _shard_batches(length: int):
                 rows = batch.filter(pa.array(kind == STRING))
                 if not rows.num_rows:
                     continue
-                key, doc, start = (rows.column(c).to_numpy() for c in ("key", "doc_id", "start"))
-                data = rows.column("data").to_pylist()
+                columns = [rows.column(c).to_numpy() for c in ("key", "doc_id", "start", "n")]
+                key, data = columns[0], rows.column("data").to_pylist()
                 if size >= GATHERED:
                     cut = int(np.searchsorted(key, held[-1][0][-1], side="right"))  # where the shard ends that the last batch broke off
-                    held.append((key[:cut], doc[:cut], start[:cut], data[:cut]))
+                    held.append((*(c[:cut] for c in columns), data[:cut]))
                     size += cut
                     if cut == len(key):
                         continue
                     yield from out()
-                    key, doc, start, data, held, size = key[cut:], doc[cut:], start[cut:], data[cut:], [], 0
-                held.append((key, doc, start, data))
-                size += len(key)
+                    columns, data, held, size = [c[cut:] for c in columns], data[cut:], [], 0
+                held.append((*columns, data))
+                size += len(data)
             if held:
                 yield from out()
             held = []
@@ -602,22 +648,26 @@ RANGES = "doc_id long, start long, n int"
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and base of the rows with a doc_id, dealt by it. Texts that share a doc_id are laid PART bytes apart, in the order of hashes of them."""
+    """doc_id, text (null: empty) and base of the rows with a doc_id. Texts that share a doc_id are laid PART bytes apart, in the order of hashes of them."""
     rows = common.texts(docs).filter("doc_id is not null")
     hashed = rows.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("h2"))
     # Partial counts and extremes: a doc_id of any number of rows is one row per task.
     shared = hashed.groupBy("doc_id").agg(F.min(F.struct("h", "h2")).alias("a"), F.max(F.struct("h", "h2")).alias("b")).filter("a <> b").select("doc_id")
     shared = common.stash(shared, "shared_ids")
-    parts = _partitions(docs.sparkSession, docs.rdd.getNumPartitions(), 1)
     if not shared.head(1):
-        return rows.select("doc_id", "text", F.lit(0).cast("long").alias("base")).repartition(parts, "doc_id")
+        return rows.select("doc_id", "text", F.lit(0).cast("long").alias("base"))
     from pyspark.sql import Window
 
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "h2")) - 1
     based = hashed.join(shared, "doc_id", "left_semi").distinct().select("doc_id", "h", "h2", (order.cast("long") * PART).alias("base"))
     based = common.stash(based, "bases")
     whole = rows.select("*", F.xxhash64("text").alias("h"), F.hash("text").alias("h2")).join(based, ["doc_id", "h", "h2"], "left")
-    return whole.select("doc_id", "text", F.coalesce("base", F.lit(0).cast("long")).alias("base")).repartition(parts, "doc_id")
+    return whole.select("doc_id", "text", F.coalesce("base", F.lit(0).cast("long")).alias("base"))
+
+
+def _dealt(texts: DataFrame) -> DataFrame:
+    """By doc_id, for both joins of ranges to texts: one shuffle serves both."""
+    return texts.repartition(_partitions(texts.sparkSession, texts.rdd.getNumPartitions(), 1), "doc_id")
 
 
 def _partitions(spark, rows: int, each: int) -> int:
@@ -635,9 +685,9 @@ def marked_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     def settled(some: DataFrame, windows: bool) -> DataFrame:
         by_doc = some.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
-        strings = texts.join(by_doc, "doc_id").mapInArrow(_fetch_batches(length, windows), STRINGS)
+        strings = _dealt(texts).join(by_doc, "doc_id").mapInArrow(_fetch_batches(length, windows), STRINGS)
         dealt = strings.repartition(_partitions(spark, kinds.get(WANTED, 0), EACH), "key")
-        return dealt.sortWithinPartitions("key").mapInArrow(_shard_batches(length), RANGES)
+        return dealt.sortWithinPartitions("key").mapInArrow(_shard_batches(length, gram), RANGES)
 
     n_hot = kinds.get(HOT_KEY, 0)
     if not n_hot:
@@ -689,7 +739,7 @@ def _with_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame
     texts = named(docs)
     by_doc = marked_ranges(texts, length, gram, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     unnamed = common.texts(docs).filter("doc_id is null").select("doc_id", "text", F.lit(0).cast("long").alias("base"), F.lit(None).cast("array<struct<start:bigint,n:int>>").alias("ranges"))
-    return texts.join(by_doc, "doc_id", "left").unionByName(unnamed)
+    return _dealt(texts).join(by_doc, "doc_id", "left").unionByName(unnamed)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -697,7 +747,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     h, h2 = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
     texts = named(docs)
     by_doc = marked_ranges(texts, length, gram, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    marked = texts.join(by_doc, "doc_id").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), F.hash("text").alias("_h2"), F.col("base").alias("_base"), F.col("ranges").alias("_ranges")).dropDuplicates(["_id", "_h", "_h2"])
+    marked = _dealt(texts).join(by_doc, "doc_id").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), F.hash("text").alias("_h2"), F.col("base").alias("_base"), F.col("ranges").alias("_ranges")).dropDuplicates(["_id", "_h", "_h2"])
     joined = docs.join(marked, (F.col("doc_id").cast("long") == F.col("_id")) & (h == F.col("_h")) & (h2 == F.col("_h2")), "left").select(*(docs[c] for c in docs.columns), "_base", "_ranges")
     at = docs.columns.index("text")
 

@@ -15,6 +15,8 @@ import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +45,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset and everything runs in one process (tests) a local one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -58,16 +62,48 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends here, and a lost executor loses nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables of which everything that was made of them has been stashed itself."""
+    for t in tables:
+        if path := getattr(t, "_stashed_at", None):
+            drop_path(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stashed inside are deleted at the end. A result made of them has to be written before; ``keep`` excepts it."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            drop_path(spark, path)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """The same table, which is its owner's from now on."""
+    _written.remove(table._stashed_at)
+    return table
 
 
 _holder: list = []

@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.stash(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = common.stash(_small(_large(now)), "edges")
+        last, now = now, common.stash(_small(_large(now)), "edges")
+        common.discard(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -289,17 +289,10 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
     """Code-point offsets of the words that words_of finds; those of the lower-cased text where lower-casing changes its length."""
-    from .langid import LONGEST
-
-    low = text.lower()
     out, start = [], None
-    for i, c in enumerate(low + " "):
+    for i, c in enumerate(text.lower() + " "):
         if c.isalpha():
-            if start is None:
-                start = i
-            elif i - start == LONGEST:
-                out.append((start, i))
-                start = i
+            start = i if start is None else start
         elif start is not None:
             out.append((start, i))
             start = None

@@ -4,11 +4,12 @@ The vocabulary is fixed: the lower-cased pieces of a public tokenizer that hold
 each language, piece probabilities are learned by expectation-maximisation over all segmentations of sampled words. A word's
 probability is the forward sum over all its segmentations; a text's is the product over its words, since no piece crosses words.
 
-Text is lower-cased; words are maximal runs of letters; a word over ``LONGEST`` letters counts as several, cut every LONGEST letters.
-A letter that no piece covers costs ``UNKNOWN`` in every language.
+Text is lower-cased; words are maximal runs of letters, of any length: text without spaces is one word, summed over all its
+segmentations in memory that doesn't grow with it. A letter that no piece covers costs ``UNKNOWN`` in every language.
 
-The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled documents of a language, picked by a hash of doc_id, so the
-model's size doesn't grow with the table. Every document is scored on its whole text. Null text, or text without a letter: ``und``
+The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled documents of a language, picked by a hash of doc_id, and of
+their words of at most ``LONGEST`` letters the ``WORDS`` most frequent, so neither the driver's part nor the model's size grows with the
+table or its texts. Every document is scored on its whole text. Null text, or text without a letter: ``und``
 with score 0. Without any labelled document all are ``und``. A null doc_id is scored like any other and never learned from. Ties go to the
 language that sorts first. Repeated rows give repeated results.
 """
@@ -21,13 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 MODEL = "piece_bpe_32k.model"
-SAMPLE, ROUNDS, SMOOTH, LONGEST, UNKNOWN = 500, 4, 0.05, 48, 1e-7
+SAMPLE, WORDS, ROUNDS, SMOOTH, LONGEST, UNKNOWN = 500, 50_000, 4, 0.05, 48, 1e-7
 #: Each letter's scale in the forward sums, so that they neither vanish nor overflow.
 SCALE = np.exp(2.3)
 MARK = ord("▁")
@@ -109,10 +110,6 @@ def words_of(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
     first[inside] = is_letter[inside]
     letters = points[is_letter]
     at = np.flatnonzero(first[is_letter])
-    lengths = np.diff(np.append(at, len(letters)))
-    if len(lengths) and lengths.max() > LONGEST:
-        more = [at] + [(a + np.arange(LONGEST, n, LONGEST)) for a, n in zip(at[lengths > LONGEST].tolist(), lengths[lengths > LONGEST].tolist(), strict=True)]
-        at = np.sort(np.concatenate(more))
     bounds = np.append(at, len(letters)) if len(at) else np.zeros(1, np.int64)
     arr = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(letters))])
     before = np.concatenate(([0], np.cumsum(is_letter)))  # letters before each place
@@ -161,13 +158,53 @@ def _forward(pieces: Pieces, chars: np.ndarray, p: np.ndarray, counts: np.ndarra
     return np.log(alpha[n]) - n * np.log(SCALE)
 
 
+#: Letters of a long word that are matched at once.
+STRETCH = 1 << 16
+
+
+def _forward_long(pieces: Pieces, chars: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log-probability in each language of one word of any length: the sums that end at the last few letters are kept, and scaled as they shrink."""
+    k, most = p.shape[1], pieces.longest
+    alpha = np.zeros((most + 1, k))  # alpha[-1]: of all letters so far
+    alpha[-1] = 1.0
+    log = np.zeros(k)
+    for begin in range(0, len(chars), STRETCH):
+        low = max(0, begin - most + 1)
+        part = chars[low : begin + STRETCH]
+        h = np.zeros(len(part), np.uint64)
+        ends: list[np.ndarray] = []  # by size - 1: the piece that ends at each letter
+        for size in range(1, min(most, len(part)) + 1):
+            h = (h[: len(part) - size + 1] + part[size - 1 :] + np.uint64(1)) * _B
+            h ^= h >> np.uint64(29)
+            found = np.full(len(part), -1, np.int32)
+            found[size - 1 :] = pieces.find(h)
+            ends.append(found)
+        place = np.array(ends)[:, begin - low :]
+        some = np.argwhere(place.T >= 0)  # by letter, then size
+        cuts = np.searchsorted(some[:, 0], np.arange(place.shape[1] + 1)).tolist()
+        sizes, probability = some[:, 1], p[place[some[:, 1], some[:, 0]]]
+        for i in range(place.shape[1]):
+            a, b = cuts[i], cuts[i + 1]
+            now = alpha[-1] * UNKNOWN
+            if b > a:
+                now = now + (alpha[-1 - sizes[a:b]] * probability[a:b]).sum(axis=0)
+            alpha[:-1] = alpha[1:]
+            alpha[-1] = now
+            if i % 8 == 7:
+                most_now = alpha.max(axis=0)
+                alpha /= most_now
+                log += np.log(most_now)
+    return log + np.log(alpha[-1])
+
+
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Groups of words of one length: their places, and their letters with the marker in front."""
     lengths = np.array([len(w) >> 2 for w in words])
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for i in range(0, len(at), 20_000):
-            some = at[i : i + 20_000]
+        each = max(1, min(20_000, 1_000_000 // n))
+        for i in range(0, len(at), each):
+            some = at[i : i + each]
             letters = np.frombuffer(b"".join(words[j] for j in some), np.uint32).reshape(len(some), n)
             yield some, np.hstack([np.full((len(some), 1), MARK, np.uint64), letters.astype(np.uint64)])
 
@@ -180,7 +217,10 @@ class Model:
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
         for at, chars in by_length(words):
-            out[at] = _forward(pieces(), chars, self.p)
+            if chars.shape[1] <= LONGEST + 1:
+                out[at] = _forward(pieces(), chars, self.p)
+            else:
+                out[at] = [_forward_long(pieces(), c, self.p) for c in chars]
         return out
 
 
@@ -226,9 +266,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             coded, first = words_of(batch.column("text").to_pylist())
             index, words = coded.indices.to_numpy(), [w.decode("utf-32-le", "surrogatepass") for w in coded.dictionary.to_pylist()]
             per_word = np.repeat(np.arange(len(langs)), np.diff(first))
+            short = np.fromiter((len(w) <= LONGEST for w in words), bool, len(words))
             for l in sorted(set(langs)):
                 n = np.bincount(index[(langs == l)[per_word]], minlength=len(words))
-                at = np.flatnonzero(n)
+                at = np.flatnonzero((n > 0) & short)
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array([words[i] for i in at], pa.string()), pa.array(n[at])], names=["lang", "word", "n"])
     common.give_back()
 
@@ -240,12 +281,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if not counts:
         return Model([], np.zeros((0, 0)))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    wanted = F.lit(0.0)
-    for l, n in counts.items():
-        wanted = F.when(F.col("lang") == l, F.lit(min(1.0, sample / n))).otherwise(wanted)
-    some = labelled.filter(F.col("text").isNotNull() & (share < wanted))
-    words = some.mapInArrow(_count_batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return fit([(r["lang"], r["word"], r["n"]) for r in words.toLocalIterator()] or [])
+    wanted = docs.sparkSession.createDataFrame([(l, min(1.0, sample / n)) for l, n in counts.items()], "lang string, wanted double")  # a row for each language
+    some = labelled.filter(F.col("text").isNotNull()).join(F.broadcast(wanted), "lang").filter(share < F.col("wanted"))
+    words = some.select("doc_id", "lang", "text").mapInArrow(_count_batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    often = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))).filter(F.col("rank") <= WORDS)
+    return fit([(r["lang"], r["word"], r["n"]) for r in often.toLocalIterator()] or [])
 
 
 _known: dict[str, tuple[dict[bytes, int], np.ndarray]] = {}
@@ -271,9 +311,9 @@ class Judge:
             fresh = self.model.word_scores([words[i] for i in new]).astype(np.float32)
             scores[new] = fresh
             n = len(self.places)
-            room = min(len(new), KEEP - n)
-            self.table[n : n + room] = fresh[:room]
-            self.places.update({words[i]: n + j for j, i in enumerate(new[:room].tolist())})
+            short = [j for j, i in enumerate(new.tolist()) if len(words[i]) <= 4 * LONGEST][: KEEP - n]
+            self.table[n : n + len(short)] = fresh[short]
+            self.places.update({words[new[j]]: n + m for m, j in enumerate(short)})
         return scores
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -302,7 +342,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score = judge.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = common.small_arrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, PREDICTED)
 
 

@@ -1,22 +1,30 @@
 """Quality rules by robust multivariate outliers, with DataFrame functions only.
 
-Base statistics of a text are turned into five logarithmic measures. Each (language, source) gets a minimum-covariance-determinant
-estimate: starting from all its rows, concentration steps keep the ``SHARE`` of rows nearest by Mahalanobis distance and estimate
-again. A document is rejected if its squared distance is over ``CUT``.
+Base statistics of a text are turned into five logarithmic measures. Each (language, source) gets its minimum-covariance-determinant (MCD)
+estimate: the mean and covariance of those ``SHARE`` of its rows whose covariance has the least determinant. A document is rejected if its
+squared distance from its group's estimate is over ``CUT``.
 
-Memory and skew: a group is never gathered. Moments are partial sums; the distance that bounds the nearest share comes from counts
-of distances in fine logarithmic bins (``BINS`` to a factor of e), so a group of any size is a bounded number of rows. The
-estimates are joined by broadcast only if there are at most ``FEW_GROUPS``.
+Estimates. Concentration steps start from four estimates of a group: medians with median absolute deviations, spatial signs, hyperbolic
+tangents of standardised measures (all three robust), and the mean and covariance of all rows. A step keeps the nearest ``SHARE`` of
+the rows by Mahalanobis distance and estimates again, as long as the determinant falls; of the four ends that of the least determinant
+is the group's. The same is done for each language and for all rows. A group's estimate is then averaged with its language's (which is averaged with
+that of all rows), which counts as ``PRIOR`` rows more: so one rule holds for groups of every size, and a tiny one is judged by its language.
+
+Memory and skew: a group is never gathered. Moments are partial sums; medians and the distance that bounds the nearest share come from counts
+in bins, so a group of any size is a bounded number of rows. Of the bin in which the share is reached every row counts by the part that is
+needed, so ties are treated alike. Estimates are joined by broadcast only if there are at most ``FEW_GROUPS``.
 
 Rows: a null text has no words; null languages and sources are groups of their own. Documents that fail the base rules take no part in
-estimates. Groups under ``LEAST`` rows are pooled by language, and what is still smaller is kept. The variance of a measure, given the
-measures before it, is at least the square of a fixed spread, so rows that are all alike reject nothing for a small difference; a greater
-variance is taken as it is. Repeated rows count each. Equal three-word windows are found by a 64-bit hash of them within one text.
+estimates. The variance of a measure, given the measures before it, is at least the square of a fixed spread, so rows that are all alike
+reject nothing for a small difference; a greater variance is taken as it is. Repeated rows count each. Equal three-word windows are found by a
+64-bit hash of them within one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,7 +34,11 @@ SPACE = " \t\n\x0b\f\r"
 SPACE_PATTERN = r"[ \t\n\x0B\f\r]+"
 SYMBOL_PATTERN = r"[#*$%&|<>]"
 
-SHARE, STEPS, LEAST, BINS, FEW_GROUPS = 0.75, 4, 40, 32, 20_000
+SHARE, PRIOR, FEW_GROUPS = 0.75, 40, 20_000
+#: Bins of squared distances to a factor of e, and of a measure to a unit.
+BINS, VALUE_BINS = 32, 32
+#: A step that lowers the logarithm of the determinant by less is the last; steps at most (each lowers it, so they end anyway).
+LEAST_GAIN, MOST_STEPS = 1e-3, 50
 #: Squared distance beyond which a document is rejected: the 0.999 quantile of chi-squared(5).
 CUT = 20.515
 #: Makes the covariance of the nearest 75 % of five normal measures that of all: 0.75 / P(chi2(7) <= quantile of chi2(5) at 0.75).
@@ -69,70 +81,162 @@ def measures(stats: DataFrame) -> DataFrame:
     })
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """By group: rows, means and the lower triangle of the Cholesky factor of the covariance."""
-    d = MEASURES
-    sums = [F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"m_{a}") for a in d), *(F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(d) for b in d[: i + 1])]
-    out = rows.groupBy("lang", "pool").agg(*sums)
-    for i, a in enumerate(d):
-        for j, b in enumerate(d[: i + 1]):
-            value = F.col(f"c_{a}_{b}") * CONSISTENCY
-            for k in d[:j]:
-                value = value - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
-            out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(value, F.lit(SPREAD[a] ** 2))) if i == j else value / F.col(f"l_{b}_{b}"))
-    return out.select("lang", "pool", "n", *(f"m_{a}" for a in d), *(f"l_{a}_{b}" for i, a in enumerate(d) for b in d[: i + 1]))
-
-
-def _with_distance(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
-    e = estimates.withColumnsRenamed({"lang": "e_lang", "pool": "e_pool", "n": "e_n"})
-    joined = rows.join(F.broadcast(e) if few else e, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("pool").eqNullSafe(F.col("e_pool")), "left")
-    solved: dict[str, Column] = {}
+PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[: i + 1]]
+MEANS, COVARIANCES = [f"m_{a}" for a in MEASURES], [f"c_{a}_{b}" for a, b in PAIRS]
+#: Starts, robust ones first: of equal determinants the first is taken.
+STARTS = ("medians", "signs", "tangents", "all")
+
+
+def _cov(a: str, b: str) -> Column:
+    return F.col(f"c_{a}_{b}")
+
+
+def _factored(estimates: DataFrame) -> DataFrame:
+    """With l_a_b, the Cholesky factor of the covariance with floors, and half the logarithm of its determinant."""
+    out = estimates
+    for a, b in PAIRS:
+        value = _cov(a, b)
+        for k in MEASURES[: MEASURES.index(b)]:
+            value = value - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
+        out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(value, F.lit(SPREAD[a] ** 2))) if a == b else value / F.col(f"l_{b}_{b}"))
+    return out.withColumn("half_log_det", reduce(lambda x, y: x + y, (F.log(f"l_{a}_{a}") for a in MEASURES)))
+
+
+def _few(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _middle(binned: DataFrame, keys: list[str], share: Column, name: str) -> DataFrame:
+    """By keys: the bin in which the count of rows reaches a share of theirs, rounded up, and what part of that bin it takes."""
+    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(*keys)
+    reached = counts.select(*keys, "bin", "k", F.sum("k").over(w.orderBy("bin")).alias("upto"), F.ceil(F.sum("k").over(w) * share).alias("wanted"))
+    first = reached.filter("upto >= wanted").groupBy(*keys).agg(F.min(F.struct("bin", "k", "upto", "wanted")).alias("x"))
+    return first.select(*keys, F.col("x.bin").alias(name), ((F.col("x.wanted") - F.col("x.upto") + F.col("x.k")) / F.col("x.k")).alias("part"))
+
+
+def _medians(values: DataFrame, few: bool) -> DataFrame:
+    """By g: the median of each measure (of its bin) as med_a."""
+    long = values.select("g", F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.floor(F.col(a) * VALUE_BINS).cast("int").alias("bin")) for a in MEASURES])).alias("x")).select("g", "x.name", "x.bin")
+    middle = _middle(long, ["g", "name"], F.lit(0.5), "at")
+    of = [F.max(F.when(F.col("name") == a, (F.col("at") + 0.5) / VALUE_BINS)).alias(f"med_{a}") for a in MEASURES]
+    return common.stash(middle.groupBy("g").agg(*of), "medians")
+
+
+def starts(rows: DataFrame, few: bool) -> DataFrame:
+    """g, start, n, means and covariances of the four first estimates. Only their shapes matter, since rows are ranked by distance."""
+    med = _medians(rows, few)
+    apart = rows.join(_few(med, few), "g").select("g", *((F.col(a) - F.col(f"med_{a}")).alias(a) for a in MEASURES))
+    mad = _medians(apart.select("g", *(F.abs(a).alias(a) for a in MEASURES)), few)
+    scales = mad.select("g", *(F.greatest(1.4826 * F.col(f"med_{a}"), F.lit(SPREAD[a])).alias(f"s_{a}") for a in MEASURES))
+    z = apart.join(_few(scales, few), "g").select("g", *MEASURES, *((F.col(a) / F.col(f"s_{a}")).alias(f"z_{a}") for a in MEASURES))
+    norm = F.sqrt(reduce(lambda x, y: x + y, (F.col(f"z_{a}") ** 2 for a in MEASURES)))
+    z = z.withColumn("norm", F.when(norm > 0, norm).otherwise(F.lit(1.0)))
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), *(F.avg(a).alias(f"d_{a}") for a in MEASURES)]
+    for a, b in PAIRS:
+        sums += [F.avg(F.col(a) * F.col(b)).alias(f"all_{a}_{b}"), F.avg(F.col(f"z_{a}") * F.col(f"z_{b}") / F.col("norm") ** 2).alias(f"signs_{a}_{b}"), F.avg(F.tanh(f"z_{a}") * F.tanh(f"z_{b}")).alias(f"tangents_{a}_{b}")]
+    known = z.groupBy("g").agg(*sums).join(med, "g").join(scales, "g")
+    of = []
+    for start in STARTS:
+        mean = [F.col(f"med_{a}") + (F.col(f"d_{a}") if start == "all" else 0.0) for a in MEASURES]
+        cov = []
+        for a, b in PAIRS:
+            if start == "medians":
+                c = F.col(f"s_{a}") ** 2 if a == b else F.lit(0.0)
+            elif start == "all":
+                c = F.col(f"all_{a}_{b}") - F.col(f"d_{a}") * F.col(f"d_{b}")
+            else:
+                c = F.col(f"{start}_{a}_{b}") * F.col(f"s_{a}") * F.col(f"s_{b}") * (len(MEASURES) if start == "signs" else 2.5)
+            cov.append(c.alias(f"c_{a}_{b}"))
+        of.append(known.select("g", F.lit(STARTS.index(start)).alias("start"), "n", *(m.alias(x) for m, x in zip(mean, MEANS, strict=True)), *cov))
+    out = common.stash(reduce(DataFrame.unionByName, of), "starts")
+    common.discard(med, mad)
+    return out
+
+
+def _with_distance(rows: DataFrame, factored: DataFrame, few: bool, on: str = "g", how: str = "inner") -> DataFrame:
+    """The rows once for each estimate of their group, with d_a, the difference from its mean, and d2, the squared distance."""
+    joined = rows.join(_few(factored, few), on, how)
+    joined = joined.withColumns({f"d_{a}": F.col(a) - F.col(f"m_{a}") for a in MEASURES})
     total = F.lit(0.0)
-    for a in MEASURES:
-        value = F.col(a) - F.col(f"m_{a}")
-        for b in solved:
+    for i, a in enumerate(MEASURES):
+        value = F.col(f"d_{a}")
+        for b in MEASURES[:i]:
             value = value - F.col(f"l_{a}_{b}") * F.col(f"y_{b}")
-        solved[a] = value / F.col(f"l_{a}_{a}")
-        joined = joined.withColumn(f"y_{a}", solved[a])
-        total = total + F.col(f"y_{a}") * F.col(f"y_{a}")
-    return joined.select(*rows.columns, F.col("e_n"), total.alias("d2"))
-
-
-def _bin(d2: Column) -> Column:
-    return F.floor(F.log(d2 + 1e-6) * BINS).cast("int")
-
-
-def _nearest(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
-    """The rows of each group up to the bin in which the nearest SHARE of them is reached."""
-    far = _with_distance(rows, estimates, few).withColumn("bin", _bin(F.col("d2")))
-    from pyspark.sql import Window
-
-    counts = far.groupBy("lang", "pool", "bin").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("lang", "pool")
-    limits = counts.select("lang", "pool", "bin", F.sum("k").over(w.orderBy("bin")).alias("upto"), F.sum("k").over(w).alias("all")).filter(F.col("upto") >= F.col("all") * SHARE).groupBy("lang", "pool").agg(F.min("bin").alias("limit"))
-    limits = common.stash(limits.withColumnsRenamed({"lang": "l_lang", "pool": "l_pool"}), "limits")
-    joined = far.join(F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("pool").eqNullSafe(F.col("l_pool")))
-    return joined.filter(F.col("bin") <= F.col("limit")).select(*rows.columns)
+        joined = joined.withColumn(f"y_{a}", value / F.col(f"l_{a}_{a}"))
+        total = total + F.col(f"y_{a}") ** 2
+    return joined.withColumn("d2", total)
+
+
+def step(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """The estimates of the nearest SHARE of each group's rows, by g and start, as a stashed table."""
+    far = _with_distance(rows, _factored(estimates), few).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS).cast("int"))
+    limits = common.stash(_middle(far, ["g", "start"], F.lit(SHARE), "limit"), "limits")
+    near = far.join(_few(limits, few), ["g", "start"]).filter("bin <= limit")
+    weight = F.when(F.col("bin") < F.col("limit"), 1.0).otherwise(F.col("part"))
+    sums = [F.max("n").alias("n"), F.sum(weight).alias("w")]
+    for a in MEASURES:  # n and the means are the same in all rows of a group
+        sums += [F.max(f"m_{a}").alias(f"m_{a}"), F.sum(weight * F.col(f"d_{a}")).alias(f"s_{a}")]
+    sums += [F.sum(weight * F.col(f"d_{a}") * F.col(f"d_{b}")).alias(f"c_{a}_{b}") for a, b in PAIRS]
+    of = near.groupBy("g", "start").agg(*sums)
+    shift = {a: F.col(f"s_{a}") / F.col("w") for a in MEASURES}
+    new = of.select("g", "start", "n", *((F.col(f"m_{a}") + shift[a]).alias(f"m_{a}") for a in MEASURES), *((CONSISTENCY * (_cov(a, b) / F.col("w") - shift[a] * shift[b])).alias(f"c_{a}_{b}") for a, b in PAIRS))
+    out = common.stash(_factored(new).select("g", "start", "n", *MEANS, *COVARIANCES, "half_log_det"), "estimates")
+    common.discard(limits)
+    return out
+
+
+def mcd(rows: DataFrame, few: bool) -> DataFrame:
+    """g, start, n, means, covariances and half_log_det: the estimate of least determinant of each g of rows (g and the measures)."""
+    columns = ["g", "start", "n", *MEANS, *COVARIANCES, "half_log_det"]
+    first = starts(rows, few)
+    now = step(rows, first, few)
+    made, done = [first, now], []
+    for _ in range(MOST_STEPS):
+        new = step(rows, now.drop("half_log_det"), few)
+        both = now.alias("a").join(_few(new.alias("b"), few), ["g", "start"])
+        falls = F.col("b.half_log_det") < F.col("a.half_log_det") - LEAST_GAIN / 2
+        chosen = [F.when(falls, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in columns[2:]]
+        both = common.stash(both.select("g", "start", *chosen, falls.alias("falls")), "estimates")
+        made += [new, both]
+        done.append(both.filter("not falls").select(*columns))
+        now = both.filter("falls").select(*columns)
+        if not now.head(1):
+            break
+    else:
+        done.append(now)
+    best = F.min_by(F.struct(*columns[1:]), F.struct("half_log_det", "start")).alias("x")
+    out = common.stash(reduce(DataFrame.unionByName, done).groupBy("g").agg(best).select("g", "x.*"), "estimates")
+    common.discard(*made)
+    return out
+
+
+def _shrunk(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """own (with ``up``, the g of the wider group) averaged with the wider group's estimate, which counts as PRIOR rows."""
+    w = wider.select(F.col("g").alias("up"), *(F.col(c).alias(f"w_{c}") for c in MEANS + COVARIANCES))
+    return own.join(w, "up").select("g", "n", *(((F.col(c) * F.col("n") + F.col(f"w_{c}") * PRIOR) / (F.col("n") + PRIOR)).alias(c) for c in MEANS + COVARIANCES))
+
+
+def _name(c: str) -> Column:
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
 
 
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """One row per document: base statistics, base_failed, kept and the squared robust distance (null where there is no estimate)."""
-    stats = common.stash(measures(statistics(docs)), "stats")
-    sizes = stats.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"))
-    sizes = common.stash(sizes.withColumnsRenamed({"lang": "s_lang", "source": "s_source"}), "sizes")
-    few = sizes.count() <= FEW_GROUPS
-    known = stats.join(F.broadcast(sizes) if few else sizes, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
-    # A large group's pool is its source (marked, so that no name of a source is the common pool's), a small one's that of its language.
-    pool = F.when(F.col("size") >= LEAST, F.concat(F.lit("="), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")))).otherwise(F.lit("*"))
-    rows = known.select(*stats.columns, pool.alias("pool"))
-    used = rows.filter(~F.col("base_failed"))
-    estimates = common.stash(_moments(used), "estimates")
-    for _ in range(STEPS):
-        estimates = common.stash(_moments(_nearest(used, estimates, few)), "estimates")
-    far = _with_distance(rows, estimates, few)
-    enough = F.coalesce(F.col("e_n") >= int(LEAST * SHARE), F.lit(False))
-    distance = F.when(enough, F.col("d2"))
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(distance <= cut, F.lit(True))).alias("kept"), distance.alias("distance2"))
+    """One row per document: base statistics, base_failed, kept and the squared robust distance (null where its group has no estimate)."""
+    keys = {"of_lang": F.concat(F.lit("lang "), _name("lang")), "of_source": F.concat(F.lit("source "), _name("lang"), F.lit(" "), _name("source"))}
+    stats = common.stash(measures(statistics(docs)).withColumns(keys), "stats")
+    used = stats.filter(~F.col("base_failed"))
+    groups = common.stash(used.select("of_lang", "of_source").distinct(), "groups")
+    few = groups.count() <= FEW_GROUPS
+    rows = used.select(F.explode(F.array(F.lit("all"), "of_lang", "of_source")).alias("g"), *MEASURES)
+    found = mcd(rows, few)
+    everything = found.filter("g = 'all'")
+    languages = _shrunk(found.join(groups.select(F.col("of_lang").alias("g")).distinct(), "g").withColumn("up", F.lit("all")), everything)
+    sources = _shrunk(found.join(groups.select(F.col("of_source").alias("g"), F.col("of_lang").alias("up")), "g"), languages)
+    final = common.stash(_factored(sources.select(F.col("g").alias("of_source"), *MEANS, *COVARIANCES)), "estimates")
+    far = _with_distance(stats, final, few, "of_source", "left")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True))
+    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
 
 
 def op7_mcd_quality(spark, sf_dir: str) -> DataFrame:

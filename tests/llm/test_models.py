@@ -57,12 +57,70 @@ def test_op7_one_measure_alone_rejects(spark):
     assert all(rows[i]["kept"] for i in range(200))
 
 
+def measure_rows(spark, groups):
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    return spark.createDataFrame(rows, "g string, " + ", ".join(f"{m} double" for m in mcd.MEASURES))
+
+
+def plain_half_log_det(x):
+    c = np.cov(x.T, bias=True) * mcd.CONSISTENCY
+    l = np.zeros((5, 5))
+    for i, a in enumerate(mcd.MEASURES):
+        for j in range(i + 1):
+            v = c[i, j] - l[i, :j] @ l[j, :j]
+            l[i, j] = np.sqrt(max(v, mcd.SPREAD[a] ** 2)) if i == j else v / l[j, j]
+    return float(np.log(np.diag(l)).sum())
+
+
+def test_op7_finds_the_least_determinant_of_small_groups(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    groups = {}
+    for k in range(4):
+        x = rng.normal(0, 1, (13, 5)) * [2, 1, 2, 3, 3]
+        x[:3] += rng.normal(0, 1, 5) * 3 + 25 * (k % 2 * 2 - 1)
+        groups[f"g{k}"] = x
+    found = {r["g"]: r for r in mcd.mcd(measure_rows(spark, groups), True).collect()}
+    for g, x in groups.items():
+        best = min(combinations(range(13), 10), key=lambda s: plain_half_log_det(x[list(s)]))
+        assert found[g]["half_log_det"] == pytest.approx(plain_half_log_det(x[list(best)]), abs=0.02)
+        assert [found[g][f"m_{m}"] for m in mcd.MEASURES] == pytest.approx(x[list(best)].mean(axis=0), abs=0.05)
+
+
+def test_op7_a_quarter_of_alike_outliers(spark):
+    rng = np.random.default_rng(6)
+    clean = rng.normal(0, 1, (400, 5)) * [0.5, 0.2, 1, 1, 1] + [5.5, 1.7, 0.5, 0.5, 1]
+    for share in (20, 70, 133):
+        alike = rng.normal(0, 0.01, (share, 5)) + [8.0, 2.4, 4.0, 3.5, 4.0]
+        row = mcd.mcd(measure_rows(spark, {"g": np.vstack((alike, clean))}), True).first()
+        c = np.zeros((5, 5))
+        for i, a in enumerate(mcd.MEASURES):
+            for j, b in enumerate(mcd.MEASURES[: i + 1]):
+                c[i, j] = c[j, i] = row[f"c_{a}_{b}"]
+        c += np.diag([1e-9] * 5)
+        d = np.linalg.solve(c, ([8.0, 2.4, 4.0, 3.5, 4.0] - np.array([row[f"m_{m}"] for m in mcd.MEASURES]))) @ ([8.0, 2.4, 4.0, 3.5, 4.0] - np.array([row[f"m_{m}"] for m in mcd.MEASURES]))
+        assert d > mcd.CUT
+
+
+def test_op7_tiny_groups_and_null_groups(spark):
+    rng = np.random.default_rng(8)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnop"), k))
+    plain = lambda: "\n".join(" ".join(word(6) for _ in range(10)) for _ in range(20))
+    wild = lambda: "\n".join(["## ** $$ x"] * 60 + [plain()])
+    docs = [(i, plain(), "en", f"s{i % 3}") for i in range(120)]
+    docs += [(500, wild(), "en", "rare"), (501, plain(), "en", "rare2"), (502, wild(), None, None), (503, plain(), None, None), (504, plain(), None, "s1"), (505, None, None, None)]
+    rows = {r["doc_id"]: r for r in mcd.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert {d: rows[d]["kept"] for d in range(500, 506)} == {500: False, 501: True, 502: False, 503: True, 504: True, 505: False}
+    assert rows[500]["base_failed"] == rows[502]["base_failed"]
+
+
 def test_op7_spread_is_a_floor_and_adds_nothing(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (500, 5)) * [2, 2, 2, 0, 2]
-    rows = [("en", "s", *map(float, r)) for r in x]
-    got = mcd._moments(spark.createDataFrame(rows, "lang string, pool string, " + ", ".join(f"{m} double" for m in mcd.MEASURES))).first()
-    assert got["l_words_words"] ** 2 == pytest.approx(x[:, 0].var() * mcd.CONSISTENCY)
+    all_rows = mcd.starts(measure_rows(spark, {"g": x}), True).filter(f"start = {mcd.STARTS.index('all')}")
+    got = mcd._factored(all_rows).first()
+    assert got["l_words_words"] ** 2 == pytest.approx(x[:, 0].var())
     assert got["l_dup_lines_dup_lines"] == pytest.approx(mcd.SPREAD["dup_lines"])
 
 
@@ -97,6 +155,24 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, want)
 
 
+def test_forward_sums_of_words_of_any_length():
+    rng = np.random.default_rng(1)
+    n = len(langid.pieces().hashes)
+    model = langid.Model(["a", "b", "c"], rng.dirichlet(np.ones(n), 3).T)
+    for size in (1, 5, 40, 70):  # both ways of summing agree, and where a stretch ends makes no difference
+        word = "".join(rng.choice(list("abcdeéstrü漢"), size))
+        chars = np.array([ord("▁"), *map(ord, word)], np.uint64)
+        short = langid._forward(langid.pieces(), chars[None], model.p)[0]
+        for stretch in (1, 7, langid.STRETCH):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(langid, "STRETCH", stretch)
+                assert np.allclose(langid._forward_long(langid.pieces(), chars, model.p), short)
+    text = "".join(rng.choice(list("aeiourstnl"), 10_000))
+    assert np.isfinite(model.word_scores([text.encode("utf-32-le")])).all()
+    coded, first = langid.words_of([text, "two words"])
+    assert first.tolist() == [0, 1, 3] and len(coded.dictionary[0].as_py()) == 40_000
+
+
 def test_op10(spark, odd_docs, no_docs, sf):
     docs = common.documents(spark, sf)
     model = langid.learn(docs)
