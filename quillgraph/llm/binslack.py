@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import chunks, common
 
 CAPACITY, END_ID, SALTS = 1024, 0, 1024
+#: Pieces that a salt may have of all lengths together.
+PER_SALT = 1_000_000
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -128,10 +130,12 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
     """Adds sequence_id and offset to pieces (a stable table with ``length`` from 1 to capacity and doc_id, start, ids_crc32 to rank by)."""
+    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    p = plan(totals, capacity)
+    salts = max(1, salts, -(-sum(totals.values()) // PER_SALT))  # so that no length's share of a salt grows with the input
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     bases = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("base", F.lit(0)).alias("base"))
-    p = plan({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, capacity)  # at most capacity rows
     ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))).join(bases, ["length", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,8 @@ def small_arrow_batches(docs: DataFrame) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named further columns, nothing else."""
-    return small_arrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType.typeName() == "long" else F.col("doc_id").cast("long").alias("doc_id")
+    return small_arrow_batches(docs).select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def shared_dir(spark: SparkSession) -> str:

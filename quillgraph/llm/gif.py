@@ -342,15 +342,21 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         cols: list[list] = [[] for _ in names]
         for doc_id, n, media in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
             media = media.as_py()
-            parts, histogram, ms, last = [], np.zeros(BINS + 1, np.int64), 0, None
-            for f in decode(media):
-                parts.append(samples_of(iter([f])))
-                histogram += f.histogram
-                ms += f.delay_ms
-                last = f
-            payload = b"".join(parts)
-            feature = f"frames={len(parts)};ms={ms};canvas={last.canvas.shape[1]}x{last.canvas.shape[0]};hist=" + ",".join(f"{i}:{histogram[i]}" for i in np.flatnonzero(histogram))
-            for c, v in zip(cols, (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
+            parts, histogram, ms, last, payload = [], np.zeros(BINS + 1, np.int64), 0, None, None
+            try:
+                for f in decode(media):
+                    parts.append(samples_of(iter([f])))
+                    histogram += f.histogram
+                    ms += f.delay_ms
+                    last = f
+                if last is None:
+                    raise BadGif("no frame")
+                payload = b"".join(parts)
+                feature = f"frames={len(parts)};ms={ms};canvas={last.canvas.shape[1]}x{last.canvas.shape[0]};hist=" + ",".join(f"{i}:{histogram[i]}" for i in np.flatnonzero(histogram))
+            except BadGif as e:  # a damaged file has no payload, and says why
+                feature = f"error={e}"
+            read = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            for c, v in zip(cols, (doc_id, n, *read, len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 

@@ -38,7 +38,7 @@ SHARE, PRIOR, FEW_GROUPS = 0.75, 40, 20_000
 #: Bins of squared distances to a factor of e, and of a measure to a unit.
 BINS, VALUE_BINS = 32, 32
 #: A step that lowers the logarithm of the determinant by less is the last; steps at most (each lowers it, so they end anyway).
-LEAST_GAIN, MOST_STEPS = 1e-3, 50
+LEAST_GAIN, MOST_STEPS = 0.02, 50
 #: Squared distance beyond which a document is rejected: the 0.999 quantile of chi-squared(5).
 CUT = 20.515
 #: Makes the covariance of the nearest 75 % of five normal measures that of all: 0.75 / P(chi2(7) <= quantile of chi2(5) at 0.75).
@@ -91,15 +91,19 @@ def _cov(a: str, b: str) -> Column:
     return F.col(f"c_{a}_{b}")
 
 
-def _factored(estimates: DataFrame) -> DataFrame:
-    """With l_a_b, the Cholesky factor of the covariance with floors, and half the logarithm of its determinant."""
-    out = estimates
+FACTORS = [f"l_{a}_{b}" for a, b in PAIRS]
+
+
+def _factored(estimates: DataFrame, *names: str) -> DataFrame:
+    """The named columns, l_a_b (the Cholesky factor of the covariance with floors) and half the logarithm of its determinant."""
+    l: dict[tuple[str, str], Column] = {}
     for a, b in PAIRS:
         value = _cov(a, b)
         for k in MEASURES[: MEASURES.index(b)]:
-            value = value - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
-        out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(value, F.lit(SPREAD[a] ** 2))) if a == b else value / F.col(f"l_{b}_{b}"))
-    return out.withColumn("half_log_det", reduce(lambda x, y: x + y, (F.log(f"l_{a}_{a}") for a in MEASURES)))
+            value = value - l[a, k] * l[b, k]
+        l[a, b] = F.sqrt(F.greatest(value, F.lit(SPREAD[a] ** 2))) if a == b else value / l[b, b]
+    half = reduce(lambda x, y: x + y, (F.log(l[a, a]) for a in MEASURES))
+    return estimates.select(*names, *(l[p].alias(n) for p, n in zip(PAIRS, FACTORS, strict=True)), half.alias("half_log_det"))
 
 
 def _few(df: DataFrame, few: bool) -> DataFrame:
@@ -115,27 +119,27 @@ def _middle(binned: DataFrame, keys: list[str], share: Column, name: str) -> Dat
     return first.select(*keys, F.col("x.bin").alias(name), ((F.col("x.wanted") - F.col("x.upto") + F.col("x.k")) / F.col("x.k")).alias("part"))
 
 
-def _medians(values: DataFrame, few: bool) -> DataFrame:
+def _medians(values: DataFrame) -> DataFrame:
     """By g: the median of each measure (of its bin) as med_a."""
     long = values.select("g", F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.floor(F.col(a) * VALUE_BINS).cast("int").alias("bin")) for a in MEASURES])).alias("x")).select("g", "x.name", "x.bin")
     middle = _middle(long, ["g", "name"], F.lit(0.5), "at")
     of = [F.max(F.when(F.col("name") == a, (F.col("at") + 0.5) / VALUE_BINS)).alias(f"med_{a}") for a in MEASURES]
-    return common.stash(middle.groupBy("g").agg(*of), "medians")
+    return middle.groupBy("g").agg(*of)
 
 
 def starts(rows: DataFrame, few: bool) -> DataFrame:
     """g, start, n, means and covariances of the four first estimates. Only their shapes matter, since rows are ranked by distance."""
-    med = _medians(rows, few)
+    med = common.stash(_medians(rows), "medians")
     apart = rows.join(_few(med, few), "g").select("g", *((F.col(a) - F.col(f"med_{a}")).alias(a) for a in MEASURES))
-    mad = _medians(apart.select("g", *(F.abs(a).alias(a) for a in MEASURES)), few)
-    scales = mad.select("g", *(F.greatest(1.4826 * F.col(f"med_{a}"), F.lit(SPREAD[a])).alias(f"s_{a}") for a in MEASURES))
+    mad = _medians(apart.select("g", *(F.abs(a).alias(a) for a in MEASURES)))
+    scales = common.stash(mad.select("g", *(F.greatest(1.4826 * F.col(f"med_{a}"), F.lit(SPREAD[a])).alias(f"s_{a}") for a in MEASURES)), "scales")
     z = apart.join(_few(scales, few), "g").select("g", *MEASURES, *((F.col(a) / F.col(f"s_{a}")).alias(f"z_{a}") for a in MEASURES))
     norm = F.sqrt(reduce(lambda x, y: x + y, (F.col(f"z_{a}") ** 2 for a in MEASURES)))
-    z = z.withColumn("norm", F.when(norm > 0, norm).otherwise(F.lit(1.0)))
+    z = z.select("*", F.when(norm > 0, norm).otherwise(F.lit(1.0)).alias("norm"))
     sums = [F.count(F.lit(1)).cast("double").alias("n"), *(F.avg(a).alias(f"d_{a}") for a in MEASURES)]
     for a, b in PAIRS:
         sums += [F.avg(F.col(a) * F.col(b)).alias(f"all_{a}_{b}"), F.avg(F.col(f"z_{a}") * F.col(f"z_{b}") / F.col("norm") ** 2).alias(f"signs_{a}_{b}"), F.avg(F.tanh(f"z_{a}") * F.tanh(f"z_{b}")).alias(f"tangents_{a}_{b}")]
-    known = z.groupBy("g").agg(*sums).join(med, "g").join(scales, "g")
+    known = common.stash(z.groupBy("g").agg(*sums).join(_few(med, few), "g").join(_few(scales, few), "g"), "known")
     of = []
     for start in STARTS:
         mean = [F.col(f"med_{a}") + (F.col(f"d_{a}") if start == "all" else 0.0) for a in MEASURES]
@@ -149,30 +153,26 @@ def starts(rows: DataFrame, few: bool) -> DataFrame:
                 c = F.col(f"{start}_{a}_{b}") * F.col(f"s_{a}") * F.col(f"s_{b}") * (len(MEASURES) if start == "signs" else 2.5)
             cov.append(c.alias(f"c_{a}_{b}"))
         of.append(known.select("g", F.lit(STARTS.index(start)).alias("start"), "n", *(m.alias(x) for m, x in zip(mean, MEANS, strict=True)), *cov))
-    out = common.stash(reduce(DataFrame.unionByName, of), "starts")
-    common.discard(med, mad)
-    return out
+    return _factored(reduce(DataFrame.unionByName, of), "g", "start", "n", *MEANS, *COVARIANCES)
 
 
-def _with_distance(rows: DataFrame, factored: DataFrame, few: bool, on: str = "g", how: str = "inner") -> DataFrame:
-    """The rows once for each estimate of their group, with d_a, the difference from its mean, and d2, the squared distance."""
-    joined = rows.join(_few(factored, few), on, how)
-    joined = joined.withColumns({f"d_{a}": F.col(a) - F.col(f"m_{a}") for a in MEASURES})
-    total = F.lit(0.0)
-    for i, a in enumerate(MEASURES):
-        value = F.col(f"d_{a}")
-        for b in MEASURES[:i]:
-            value = value - F.col(f"l_{a}_{b}") * F.col(f"y_{b}")
-        joined = joined.withColumn(f"y_{a}", value / F.col(f"l_{a}_{a}"))
-        total = total + F.col(f"y_{a}") ** 2
-    return joined.withColumn("d2", total)
+def _distance2() -> Column:
+    """The squared distance of a row from the estimate that it is joined to."""
+    y: list[Column] = []
+    for a in MEASURES:
+        value = F.col(a) - F.col(f"m_{a}")
+        for b, solved in zip(MEASURES, y, strict=False):
+            value = value - F.col(f"l_{a}_{b}") * solved
+        y.append(value / F.col(f"l_{a}_{a}"))
+    return reduce(lambda s, x: s + x, (x * x for x in y))
 
 
 def step(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
-    """The estimates of the nearest SHARE of each group's rows, by g and start, as a stashed table."""
-    far = _with_distance(rows, _factored(estimates), few).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS).cast("int"))
-    limits = common.stash(_middle(far, ["g", "start"], F.lit(SHARE), "limit"), "limits")
-    near = far.join(_few(limits, few), ["g", "start"]).filter("bin <= limit")
+    """The estimates of the nearest SHARE of each group's rows, by g and start."""
+    bin_ = F.floor(F.log(_distance2() + 1e-6) * BINS).cast("int").alias("bin")
+    apart = [(F.col(a) - F.col(f"m_{a}")).alias(f"d_{a}") for a in MEASURES]
+    far = rows.join(_few(estimates, few), "g").select("g", "start", "n", *MEANS, *apart, bin_)
+    near = far.join(_few(_middle(far, ["g", "start"], F.lit(SHARE), "limit"), few), ["g", "start"]).filter("bin <= limit")
     weight = F.when(F.col("bin") < F.col("limit"), 1.0).otherwise(F.col("part"))
     sums = [F.max("n").alias("n"), F.sum(weight).alias("w")]
     for a in MEASURES:  # n and the means are the same in all rows of a group
@@ -180,25 +180,23 @@ def step(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     sums += [F.sum(weight * F.col(f"d_{a}") * F.col(f"d_{b}")).alias(f"c_{a}_{b}") for a, b in PAIRS]
     of = near.groupBy("g", "start").agg(*sums)
     shift = {a: F.col(f"s_{a}") / F.col("w") for a in MEASURES}
-    new = of.select("g", "start", "n", *((F.col(f"m_{a}") + shift[a]).alias(f"m_{a}") for a in MEASURES), *((CONSISTENCY * (_cov(a, b) / F.col("w") - shift[a] * shift[b])).alias(f"c_{a}_{b}") for a, b in PAIRS))
-    out = common.stash(_factored(new).select("g", "start", "n", *MEANS, *COVARIANCES, "half_log_det"), "estimates")
-    common.discard(limits)
-    return out
+    means = [(F.col(f"m_{a}") + shift[a]).alias(f"m_{a}") for a in MEASURES]
+    new = of.select("g", "start", "n", *means, *((CONSISTENCY * (_cov(a, b) / F.col("w") - shift[a] * shift[b])).alias(f"c_{a}_{b}") for a, b in PAIRS))
+    return _factored(new, "g", "start", "n", *MEANS, *COVARIANCES)
 
 
 def mcd(rows: DataFrame, few: bool) -> DataFrame:
-    """g, start, n, means, covariances and half_log_det: the estimate of least determinant of each g of rows (g and the measures)."""
-    columns = ["g", "start", "n", *MEANS, *COVARIANCES, "half_log_det"]
-    first = starts(rows, few)
-    now = step(rows, first, few)
+    """g, start, n, means, covariances, their factors and half_log_det: the estimate of least determinant of each g of rows (g and the measures)."""
+    columns = ["g", "start", "n", *MEANS, *COVARIANCES, *FACTORS, "half_log_det"]
+    first = common.stash(starts(rows, few), "starts")
+    now = common.stash(step(rows, first, few), "estimates")
     made, done = [first, now], []
     for _ in range(MOST_STEPS):
-        new = step(rows, now.drop("half_log_det"), few)
-        both = now.alias("a").join(_few(new.alias("b"), few), ["g", "start"])
+        both = now.alias("a").join(_few(step(rows, now, few).alias("b"), few), ["g", "start"])
         falls = F.col("b.half_log_det") < F.col("a.half_log_det") - LEAST_GAIN / 2
         chosen = [F.when(falls, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in columns[2:]]
         both = common.stash(both.select("g", "start", *chosen, falls.alias("falls")), "estimates")
-        made += [new, both]
+        made.append(both)
         done.append(both.filter("not falls").select(*columns))
         now = both.filter("falls").select(*columns)
         if not now.head(1):
@@ -233,8 +231,8 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     everything = found.filter("g = 'all'")
     languages = _shrunk(found.join(groups.select(F.col("of_lang").alias("g")).distinct(), "g").withColumn("up", F.lit("all")), everything)
     sources = _shrunk(found.join(groups.select(F.col("of_source").alias("g"), F.col("of_lang").alias("up")), "g"), languages)
-    final = common.stash(_factored(sources.select(F.col("g").alias("of_source"), *MEANS, *COVARIANCES)), "estimates")
-    far = _with_distance(stats, final, few, "of_source", "left")
+    final = common.stash(_factored(sources.withColumnRenamed("g", "of_source"), "of_source", *MEANS), "estimates")
+    far = stats.join(_few(final, few), "of_source", "left").withColumn("d2", _distance2())
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
 

@@ -67,6 +67,16 @@ def test_op2(spark, odd_docs, no_docs):
         p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         want[r["doc_id"], len(raw), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert got == want
+    rows = gif.store_texts(odd_docs).collect()
+    digests = {r["doc_id"]: r for r in stored.mapInArrow(gif._digest_batches, gif.DIGEST).collect()}
+    for r in rows:
+        d = digests[r["doc_id"]]
+        assert (d["media_bytes"], d["media_sha256"]) == (len(r["media"]), hashlib.sha256(bytes(r["media"])).hexdigest())
+        shown = list(gif.decode(bytes(r["media"])))
+        total = sum(f.histogram for f in shown)
+        assert d["feature"].startswith(f"frames={len(shown)};ms={sum(f.delay_ms for f in shown)};") and d["feature"].endswith(",".join(f"{i}:{n}" for i, n in enumerate(total.tolist()) if n))
+    damaged = spark.createDataFrame([(1, 5, b"GIF89a"), (2, 5, b"")], "doc_id long, n_bytes long, media binary").mapInArrow(gif._digest_batches, gif.DIGEST).collect()
+    assert all(d["payload_sha256"] is None and d["feature"].startswith("error=") for d in damaged)
     assert gif.frames(stored).filter("error is null and frame = 0").count() == odd_docs.count()
 
 
