@@ -2,49 +2,69 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import marks
 from ..sources.notes import resolve_links
 from ..sources.sections import by_text
 
-# Fixed values of the format.
-_EMBED = re.compile(r"\{\{\s*edge:\s*([^{}]*?)\s*\}\}")
-_SUFFIX = re.compile(r"(.*?)\s+\.\s*([^\W\d][\w-]*)")
-_ENDS = re.compile(r"(.+?)\s+-([+-]?)([^\W\d][\w-]*)->\s+(.+)")
-_FENCE = re.compile(r"\s*(```|~~~)")
 SCHEMA = "path string, line int, id string, source string, type string, sign int, target string, prop string, error string"
 
 
+def _property(body: str) -> tuple[str, str | None]:
+    """Splits `` . name`` off the end."""
+    head, dot, tail = body.rpartition(".")
+    name = tail.strip()
+    if dot and head[-1:].isspace() and name and marks.name_end(name, 0) == len(name):
+        return head.strip(), name
+    return body, None
+
+
+def _arrow(body: str) -> tuple[str, int | None, str, str] | None:
+    """(source, sign, type, target) of ``source -type-> target``; the type may have a sign before it."""
+    at = body.find("->")
+    while at >= 0:
+        space = max(body.rfind(" ", 0, at), body.rfind("\t", 0, at))
+        arrow = body[space + 1 : at]  # - and the type
+        sign = arrow[1:2] if arrow[1:2] in ("+", "-") else ""
+        kind = arrow[1 + len(sign) :]
+        if space > 0 and arrow.startswith("-") and kind and marks.name_end(kind, 0) == len(kind) and body[at + 2 : at + 3].isspace():
+            return body[:space].strip(), {"-": -1, "+": 1}.get(sign), kind, body[at + 2 :].strip()
+        at = body.find("->", at + 1)
+    return None
+
+
+def _unlinked(name: str) -> str:
+    return name[2:-2].strip() if name.startswith("[[") and name.endswith("]]") else name
+
+
 def parse_embed(inner: str) -> tuple:
     """(id, source, type, sign, target, prop, error)"""
-    body, prop = inner.strip(), None
-    if m := _SUFFIX.fullmatch(body):
-        body, prop = m[1].strip(), m[2]
+    body, prop = _property(inner.strip())
+
+    def bad(why: str) -> tuple:
+        return (None, None, None, None, None, prop, why)
+
     if not body:
-        return (None,) * 5 + (prop, "empty edge embed")
-    if "->" in body:
-        m = _ENDS.fullmatch(body)
-        if not m:
-            return (None,) * 5 + (prop, "expected 'Source -type-> Target'")
-        a, b = (re.sub(r"^\[\[(.*)\]\]$", r"\1", x.strip()).strip() for x in (m[1], m[4]))
-        if not a or not b:
-            return (None,) * 5 + (prop, "an edge embed needs both ends")
-        return None, a, m[3], {"-": -1, "+": 1}.get(m[2]), b, prop, None
-    if re.search(r"\s", body):
-        return (None,) * 5 + (prop, "an edge id has no spaces")
-    return body, None, None, None, None, prop, None
+        return bad("the embed names no edge")
+    if "->" not in body:
+        return bad("white space in an edge id") if len(body.split()) > 1 else (body, None, None, None, None, prop, None)
+    found = _arrow(body)
+    if not found:
+        return bad("not of the form: source -type-> target")
+    source, sign, kind, target = _unlinked(found[0]), found[1], found[2], _unlinked(found[3])
+    return (None, source, kind, sign, target, prop, None) if source and target else bad("an end of the edge is empty")
 
 
 def find_embeds(path: str, text: str) -> list[tuple]:
-    out, fence = [], None
-    for n, line in enumerate(re.split(r"\r?\n", text)):
-        if f := _FENCE.match(line):
-            fence = f[1] if fence is None else None if fence == f[1] else fence
-        elif fence is None:
-            out += [(path, n, *parse_embed(m[1])) for m in _EMBED.finditer(re.sub(r"`[^`]*`", lambda c: " " * len(c[0]), line))]
+    out = []
+    for n, line in marks.outside_fences(x.removesuffix("\r") for x in text.split("\n")):
+        for part in marks.blank_code(line).split("{{")[1:]:
+            inner, closed, _ = part.partition("}}")
+            word, colon, rest = inner.partition(":")
+            if closed and colon and word.strip() == "edge" and not {"{", "}"} & set(inner):
+                out.append((path, n, *parse_embed(rest)))
     return out
 
 

@@ -16,18 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import marks
 from .graph import PropertyGraph
 
 # Fixed values of the note format.
 SKIPPED_KEYS = {"tags", "aliases", "cssclasses", "type", "types"}
 LINK_TYPE = "links_to"
-_EDGE = re.compile(r"\s*(?:(?:[-*+]|\d+[.)])\s+|>\s*)*([+-]?)([^\W\d][\w-]*)::\s*(.*)", re.S)
-_WIKI = re.compile(r"\[\[([^\]|#]*)(?:#([^\]|]*))?(?:\|([^\]]*))?\]\]")
-_MARKDOWN = re.compile(r"""\[((?:[^\[\]]|\[[^\]]*\])*)\]\(\s*(<[^>\n]*>|[^)\s]*)(?:\s+(?:"[^"]*"|'[^']*'))?\s*\)""")
-_CODE = re.compile(r"(`+)(?!`)(.*?[^`])\1(?!`)", re.S)
-_FENCE = re.compile(r"\s*(```|~~~)")
-_HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
-_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 
 
 class BadProps(ValueError):
@@ -38,67 +32,90 @@ class BadProps(ValueError):
 
 def scalar(raw: str):
     """A bare word: number, boolean, null or text."""
-    if _NUMBER.fullmatch(raw):
-        return float(raw)
+    if raw[:1] in "+-.0123456789" and raw[-1:] in ".0123456789" and not raw.lower().lstrip("+-").startswith(("inf", "nan", "_")) and "_" not in raw:
+        try:
+            return float(raw)
+        except ValueError:
+            return raw
     return {"true": True, "false": False, "null": None}.get(raw, raw)
 
 
-def parse_props(text: str) -> dict:
-    """A tolerant property block such as ``{since: 2020, tags: [a, 'b'],}``."""
-    token = re.compile(r"""\s*(?:("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|([{}\[\],:])|([^\s,:{}\[\]"'][^,:}\]]*))""")
-    at = 0
+class Props:
+    """Reads a tolerant property block such as ``{since: 2020, tags: [a, 'b'],}``: names and values may be bare or quoted, lists don't nest."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def next(self) -> str:
+        self.at = marks.skip_blank(self.text, self.at)
+        return self.text[self.at : self.at + 1]
+
+    def takes(self, mark: str) -> bool:
+        here = self.next() == mark
+        self.at += here
+        return here
+
+    def wants(self, mark: str, what: str) -> None:
+        if not self.takes(mark):
+            raise BadProps(f"{what} lacks {mark!r}", self.at)
+
+    def quoted(self) -> str:
+        quote, out = self.text[self.at], []
+        at = self.at + 1
+        while at < len(self.text) and self.text[at] != quote:
+            c = self.text[at]
+            if c == "\\" and at + 1 < len(self.text):
+                at += 1
+                c = {"n": "\n", "t": "\t"}.get(self.text[at], self.text[at])
+            out.append(c)
+            at += 1
+        if at == len(self.text):
+            raise BadProps("a quoted text isn't closed", self.at)
+        self.at = at + 1
+        return "".join(out)
+
+    def bare(self, ends: str) -> str:
+        start = self.at
+        while self.at < len(self.text) and self.text[self.at] not in ends:
+            self.at += 1
+        word = self.text[start : self.at].rstrip()
+        if not word:
+            raise BadProps("a name or value is missing", self.at)
+        return word
+
+    def name(self) -> str:
+        return self.quoted() if self.next() in ("'", '"') else self.bare(",:{}[]")
+
+    def value(self):
+        c = self.next()
+        if c in ("'", '"'):
+            return self.quoted()
+        if c in ("{", ":"):
+            raise BadProps("a value is missing", self.at)
+        return scalar(self.bare(",}]"))  # a value may hold colons
+
+    def values(self) -> list:
+        out = []
+        while not self.takes("]"):
+            out.append(self.value())
+            if self.next() != "]":
+                self.wants(",", "a list")
+        return out
+
+    def block(self) -> dict:
+        self.wants("{", "a property block")
+        out: dict = {}
+        while not self.takes("}"):
+            name = self.name()
+            self.wants(":", "a property")
+            out[name] = self.values() if self.takes("[") else self.value()
+            if self.next() != "}":
+                self.wants(",", "a property block")
+        return out
 
-    def take(values: bool = False) -> tuple[str, object]:
-        nonlocal at
-        m = token.match(text, at)
-        if values and m and m[3] is not None:  # a value may hold colons
-            m2 = re.compile(r"\s*([^,}\]\s][^,}\]]*)").match(text, at)
-            at = m2.end()
-            return "word", scalar(m2[1].rstrip())
-        if not m:
-            raise BadProps("unexpected end of property block" if not text[at:].strip() else "unexpected text", at)
-        at = m.end()
-        if m[1] is not None:
-            return "string", re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t"}.get(x[1], x[1]), m[1][1:-1])
-        return ("op", m[2]) if m[2] is not None else ("word", m[3].rstrip())
-
-    def value():
-        nonlocal at
-        kind, v = take(values=True)
-        if (kind, v) == ("op", "["):
-            out = []
-            while True:
-                before = at
-                if take(values=True) == ("op", "]"):
-                    return out
-                at = before
-                out.append(value())
-                kind, v = take()
-                if (kind, v) == ("op", "]"):
-                    return out
-                if (kind, v) != ("op", ","):
-                    raise BadProps("expected ',' or ']'", at)
-        if kind == "op":
-            raise BadProps("expected value", at)
-        return v
-
-    if take() != ("op", "{"):
-        raise BadProps("expected '{'", 0)
-    out: dict = {}
-    while True:
-        kind, key = take()
-        if (kind, key) == ("op", "}"):
-            return out
-        if kind == "op":
-            raise BadProps("expected a key", at)
-        if take() != ("op", ":"):
-            raise BadProps("expected ':'", at)
-        out[str(key)] = value()
-        kind, v = take()
-        if (kind, v) == ("op", "}"):
-            return out
-        if (kind, v) != ("op", ","):
-            raise BadProps("expected ',' or '}'", at)
+
+def parse_props(text: str) -> dict:
+    return Props(text).block()
 
 
 def frontmatter(text: str) -> tuple[dict, int]:
@@ -147,24 +164,40 @@ def markdown_target(dest: str, source: str) -> tuple[str, str | None] | None:
     return ("/".join(parts) + ("" if dot > 0 else ".md"), unquote(anchor).strip() or None) if parts else None
 
 
+def link_at(text: str, at: int, source: str) -> tuple[tuple[str, str | None, str | None] | None, int]:
+    """The note link here as (target, subpath, alias), None for a link to something else, and where it ends; ``at`` if there is no link."""
+    if w := marks.wiki_link(text, at):
+        return (w[:3] if w[0] else None), w[3]
+    if m := marks.markdown_link(text, at):
+        to = markdown_target(m[1], source)
+        return ((*to, m[0].strip() or None) if to else None), m[2]
+    return None, at
+
+
 def scan_links(value: str, source: str) -> tuple[list[tuple[str, str | None, str | None]], int]:
     """Comma-separated links at the start of value as (target, subpath, alias), and where they end."""
-    out, at = [], 0
+    out: list = []
+    at = 0
     while True:
-        start = at + len(value[at:]) - len(value[at:].lstrip(" \t"))
-        if m := _WIKI.match(value, start):
-            if m[1].strip():
-                out.append((m[1].strip(), (m[2] or "").strip() or None, (m[3] or "").strip() or None))
-        elif m := _MARKDOWN.match(value, start):
-            if t := markdown_target(m[2], source):
-                out.append((*t, m[1].strip() or None))
-        else:
+        start = marks.skip_blank(value, at)
+        link, end = link_at(value, start, source)
+        if end == start:
             return out, at
-        at = m.end()
-        comma = re.match(r"[ \t]*,", value[at:])
-        if not comma:
-            return out, at
-        at += comma.end()
+        out += [link] if link else []
+        at = marks.skip_blank(value, end)
+        if not value.startswith(",", at):
+            return out, end
+        at += 1
+
+
+def links_in(line: str, source: str) -> Iterator[tuple[str, str | None, str | None]]:
+    """All note links of a line outside code spans that aren't shown in place (``![[...]]``)."""
+    plain, at = marks.blank_code(line), 0
+    while (start := plain.find("[", at)) >= 0:
+        link, end = link_at(plain, start, source)
+        if link and not plain.startswith("!", start - 1 if start else 0):
+            yield link
+        at = max(end, start + 1)
 
 
 def parse_note(path: str, text: str, link_edges: bool = False, frontmatter_edges: bool = True) -> tuple[list[tuple], list[tuple]]:
@@ -177,38 +210,24 @@ def parse_note(path: str, text: str, link_edges: bool = False, frontmatter_edges
             for v in (value if isinstance(value, list) else [value]) if key not in SKIPPED_KEYS else ():
                 if isinstance(v, str):
                     edges += [(key, 1, *link, {}, 0, None) for link in scan_links(v, path)[0]]
-    fence = heading = None
-    for n, line in enumerate(re.split(r"\r?\n", text)):
-        if n < first:
-            continue
-        if m := _FENCE.match(line):
-            fence = m[1] if fence is None else None if fence == m[1] else fence
-            continue
-        if fence:
-            continue
-        if m := _HEADING.match(line):
-            heading = m[2]
+    title = None
+    for n, line in marks.outside_fences(x.removesuffix("\r") for x in text.split("\n")[first:]):
+        n += first
+        if h := marks.heading(line):
+            title = h[1]
             continue
-        m = _EDGE.match(line)
-        links, end = scan_links(m[3], path) if m else ([], 0)
+        head = marks.edge_head(line)
+        links, end = scan_links(line[head[2] :], path) if head else ([], 0)
         if links:
-            props, rest = {}, m[3][end:].lstrip()
-            if rest.startswith("{"):
+            props, at = {}, marks.skip_blank(line, head[2] + end)
+            if line.startswith("{", at):
                 try:
-                    props = parse_props(rest)
+                    props = parse_props(line[at:])
                 except BadProps as e:
-                    problems.append((n, len(line) - len(rest) + e.offset, f"malformed property block: {e}"))
-            edges += [(m[2], -1 if m[1] == "-" else 1, *link, dict(props), n, heading) for link in links]
+                    problems.append((n, at + e.offset, f"malformed property block: {e}"))
+            edges += [(head[1], -1 if head[0] == "-" else 1, *link, dict(props), n, title) for link in links]
         elif link_edges:
-            plain = _CODE.sub(lambda c: " " * len(c[0]), line)
-            for w in re.finditer(f"(!?)(?:{_WIKI.pattern}|{_MARKDOWN.pattern})", plain):
-                if w[1]:
-                    continue
-                if w[2] is not None:
-                    if w[2].strip():
-                        edges.append((LINK_TYPE, 1, w[2].strip(), (w[3] or "").strip() or None, (w[4] or "").strip() or None, {}, n, heading))
-                elif t := markdown_target(w[6], path):
-                    edges.append((LINK_TYPE, 1, *t, w[5].strip() or None, {}, n, heading))
+            edges += [(LINK_TYPE, 1, *link, {}, n, title) for link in links_in(line, path)]
     return edges, problems
 
 
