@@ -679,7 +679,9 @@ def marked_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """(doc_id, start, n) of byte ranges to remove from ``named`` documents; start counts from the doc_id's first base, and ranges may overlap."""
     spark = texts.sparkSession
     probes = texts.mapInArrow(_segment_batches(length, gram), FOUND)
-    met = common.stash(probes.repartition("key").sortWithinPartitions("key").mapInArrow(_candidate_batches(hot), FOUND), "segments")
+    # Only probes have to meet by their key; what is wanted already is dealt evenly, however many have one key.
+    where = F.when(F.col("kind") == WANTED, F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
+    met = common.stash(probes.repartition(where).sortWithinPartitions("key").mapInArrow(_candidate_batches(hot), FOUND), "segments")
     kinds = {r["kind"]: r["n"] for r in met.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = met.filter(F.col("kind") == WANTED).select("key", "doc_id", "start", "n")
 

@@ -8,7 +8,8 @@ a power of one 2x2 matrix. Forward-backward therefore steps over the other token
 
 The score is a logistic function, fitted on the sample with the classes' true shares, of the marginals: their largest, their sum, and their
 sum per word. Everything is learned from at most about ``SAMPLE`` documents of each class whose crc32(doc_id) mod 4 isn't 2, picked by a hash of
-doc_id. lang, source and doc_id are no input of a score.
+doc_id: their whole texts are read where they are, and the driver gets the ``FEATURES`` strongest features, at most ``WINDOWS`` + 1 windows of a
+document for the likelihood, and a few numbers for each. Scores read whole texts. lang, source and doc_id are no input of a score.
 
 Rows: a null or empty text scores like one without toxic words. A null doc_id is held out. A doc_id with several labels is toxic if
 one of them says so. Without labels of both classes every score is 0. Repeated rows give repeated results.
@@ -16,7 +17,6 @@ one of them says so. Without labels of both classes every score is 0. Repeated r
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 from .langid import held_out, words_of
 
-SAMPLE, LEAST, RATIO = 2000, 6, 3.0
+#: The fit is bounded: labelled documents of each class, features, and windows of a document that the likelihood sees.
+SAMPLE, FEATURES, WINDOWS = 2000, 20_000, 10
+LEAST, RATIO = 6, 3.0
 WINDOW, STEPS, RATE, PENALTY = 6, 100, 0.5, 1e-3
 THRESHOLD = 0.3
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -126,52 +128,78 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def toxic_features(docs: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Features whose rate in toxic documents is far over that in clean ones, and its logarithm."""
-    n0, n1 = int((toxic == 0).sum()), int(toxic.sum())
-    seen: Counter = Counter()
-    for words, y in zip(docs, toxic, strict=True):
-        if y:
-            seen.update({f for w in set(words) for f in features(w)})
-    often = {f: k for f, k in seen.items() if k >= LEAST}  # only these are counted in the clean documents, which have far more others
-    del seen
-    clean: Counter = Counter()
-    for words, y in zip(docs, toxic, strict=True):
-        if not y:
-            clean.update({f for w in set(words) for f in features(w) if f in often})
-    ratios = {f: float(np.log((k + 0.5) / (n1 + 1)) - np.log((clean[f] + 0.5) / (n0 + 1))) for f, k in often.items()}
-    return {f: r for f, r in ratios.items() if r >= RATIO}
-
-
-def _windows(docs: list[list[str]], toxic: np.ndarray, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens in windows around those with a toxic feature, and as many windows elsewhere: (window x step x feature places, labels, which are tokens)."""
+#: Feature counts of the sample's documents: by half of it, and by class.
+COUNTS = "feature string, clean_0 long, toxic_0 long, clean_1 long, toxic_1 long"
+
+
+def _words(batch: pa.RecordBatch) -> list[list[str]]:
+    coded, first = words_of(batch.column("text").to_pylist())
+    words = [w.decode("utf-32-le", "surrogatepass") for w in coded.dictionary.to_pylist()]
+    index = coded.indices.to_numpy()
+    return [[words[i] for i in index[a:b].tolist()] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+    for whole in batches:
+        for batch in common.small_batches(whole, "text"):
+            seen: dict[str, list[int]] = {}
+            for words, half, y in zip(_words(batch), batch.column("half").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for f in {f for w in set(words) for f in features(w)}:
+                    seen.setdefault(f, [0, 0, 0, 0])[2 * half + y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in range(4))], names=names)
+
+
+def toxic_features(counts: DataFrame, halves: tuple[int, ...], most: int = FEATURES) -> dict[str, float]:
+    """Features whose rate in toxic documents of these halves is far over that in clean ones, and its logarithm: the ``most`` strongest."""
+    n = counts.filter("feature = ''").first()  # all documents
+    clean, toxic = (sum((F.col(f"{c}_{h}") for h in halves), F.lit(0)) for c in ("clean", "toxic"))
+    n0, n1 = (sum(n[f"{c}_{h}"] for h in halves) for c in ("clean", "toxic"))
+    ratio = F.log((toxic + 0.5) / (n1 + 1)) - F.log((clean + 0.5) / (n0 + 1))
+    found = counts.filter((F.col("feature") != "") & (toxic >= LEAST)).select("feature", ratio.alias("r")).filter(F.col("r") >= RATIO)
+    return {r["feature"]: r["r"] for r in found.orderBy(F.desc("r"), "feature").limit(most).collect()}
+
+
+def _windows(words: list[str], y: int, place: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(step x feature places, label of each step, -1 for none) of at most WINDOWS windows around tokens with a toxic feature, spread over the text, and one in its middle."""
+    width = 2 * WINDOW + 1
     known: dict[str, list[int]] = {}
-    rows, labels, real = [], [], []
+    found = [known[w] if w in known else known.setdefault(w, [place[f] for f in features(w) if f in place]) for w in words]
+    hits = [i for i, x in enumerate(found) if x]
+    chosen = [hits[k * len(hits) // WINDOWS] for k in range(WINDOWS)] if len(hits) > WINDOWS else hits
+    out = []
+    for c in chosen + [len(words) // 2] * bool(words):
+        r, label = np.full((width, 5), -1, np.int32), np.full(width, -1, np.int8)
+        for k, i in enumerate(range(c - WINDOW, c + WINDOW + 1)):
+            if 0 <= i < len(words):
+                r[k, : len(found[i])] = found[i]
+                label[k] = bool(found[i]) and int(y)
+        out.append((r, label))
+    return out
+
+
+def _gather_windows(sample: DataFrame, names: list[str], halves: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all documents of these halves: at most WINDOWS + 1 of a document, each of a fixed number of bytes."""
+    sent = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.small_batches(whole, "text"):
+                rows = [(x.tobytes(), y.tobytes()) for words, toxic in zip(_words(batch), batch.column("toxic").to_pylist(), strict=True) for x, y in _windows(words, toxic, sent.value)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["x", "y"])
+
+    rows = sample.filter(F.col("half").isin(*halves)).mapInArrow(run, "x binary, y binary").orderBy("x", "y").collect()
     width = 2 * WINDOW + 1
-    for words, y in zip(docs, toxic, strict=True):
-        found = [known.setdefault(w, [place[f] for f in features(w) if f in place]) for w in words]
-        hits = [i for i, x in enumerate(found) if x]
-        centres = hits[:: max(1, len(hits) // 10)] + [len(words) // 2] * bool(words)
-        for c in centres:
-            r = np.full((width, 5), -1, np.int64)
-            label, is_token = np.zeros(width, np.int64), np.zeros(width, bool)
-            for k, i in enumerate(range(c - WINDOW, c + WINDOW + 1)):
-                if 0 <= i < len(words):
-                    is_token[k] = True
-                    r[k, : len(found[i])] = found[i]
-                    label[k] = bool(found[i]) and int(y)
-            rows.append(r)
-            labels.append(label)
-            real.append(is_token)
-    return np.array(rows), np.array(labels), np.array(real)
-
-
-def fit_crf(docs: list[list[str]], toxic: np.ndarray) -> Crf:
-    start = toxic_features(docs, toxic)
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.int32).reshape(-1, width, 5)
+    return x, np.frombuffer(b"".join(bytes(r["y"]) for r in rows), np.int8).reshape(-1, width).astype(np.int64)
+
+
+def fit_crf(start: dict[str, float], x: np.ndarray, labels: np.ndarray) -> Crf:
+    """Gradient steps on the likelihood of windows (feature places by step, in the sorted order of ``start``; labels, -1: no token)."""
     names = sorted(start)
-    if not names:
+    if not names or not len(x):
         return Crf()
-    x, y, real = _windows(docs, toxic, {f: i for i, f in enumerate(names)})
+    real, y = labels >= 0, np.maximum(labels, 0)
     n, width, _ = x.shape
     theta = np.array([start[f] / 2 for f in names] + [0.0])  # the last stands for no feature
     bias, tr = -4.0, np.zeros((2, 2))
@@ -238,28 +266,48 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     picked = known.filter(F.when(F.col("toxic") == 1, share < min(1.0, sample / sizes[1])).otherwise(share < min(1.0, sample / sizes[0])))
     # About 2 * sample rows, by the shares: small enough to be broadcast.
-    rows = common.texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()
-    coded, first = words_of([r["text"] for r in rows])
-    words = [w.decode("utf-32-le", "surrogatepass") for w in coded.dictionary.to_pylist()]
-    index = coded.indices.to_numpy()
-    toxic = np.array([r["toxic"] for r in rows])
-    if not 0 < toxic.sum() < len(toxic):
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    # About 2 * sample rows, by the shares: small enough to be broadcast. Their texts stay where they are, in a shared table.
+    sample_rows = common.stash(common.texts(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic", half), "sample")
+    counted = sample_rows.mapInArrow(_count_batches, COUNTS)
+    sums = [F.sum(c.split()[0]).alias(c.split()[0]) for c in COUNTS.split(", ")[1:]]
+    everything = sample_rows.select(F.lit("").alias("feature"), *(((F.col("half") == h) & (F.col("toxic") == y)).cast("long").alias(f"{n}_{h}") for h in (0, 1) for y, n in enumerate(("clean", "toxic"))))
+    counts = common.stash(counted.unionByName(everything).groupBy("feature").agg(*sums), "features")
+    if not counts.filter("feature = ''").filter("clean_0 + clean_1 > 0 and toxic_0 + toxic_1 > 0").head(1):
         return Crf()
-    each = [[words[i] for i in index[a:b].tolist()] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    lengths = np.diff(first)
+
+    def fitted(halves: tuple[int, ...]) -> Crf:
+        start = toxic_features(counts, halves)
+        return fit_crf(start, *_gather_windows(sample_rows, sorted(start), halves)) if start else Crf()
+
     # The logistic function sees marginals of documents that the field behind them wasn't fitted on: each half's from the other half's.
-    half = np.arange(len(rows)) % 2 == 0
-    x = np.zeros((len(rows), 4))
-    for own in (half, ~half):
-        other = fit_crf([w for w, h in zip(each, own, strict=True) if not h], toxic[~own])
-        doc, place, e, _ = active_tokens(other, words, index, first)
-        x[own] = summary(len(rows), lengths, doc, marginals(other, lengths, doc, place, e))[own]
+    others = sample_rows.sparkSession.sparkContext.broadcast([fitted((1,)), fitted((0,))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.small_batches(whole, "text"):
+                of = batch.column("half").to_numpy()
+                x = [_summary_batch(m, batch.column("text").to_pylist()) for m in others.value]
+                own = np.where((of == 0)[:, None], x[0], x[1])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(np.ascontiguousarray(c)) for c in own.T)], names=["toxic", "one", "most", "log_sum", "share"])
+
+    seen = sample_rows.mapInArrow(run, "toxic int, one double, most double, log_sum double, share double").orderBy("toxic", "most", "log_sum", "share").collect()  # five numbers a document
+    toxic, x = np.array([r["toxic"] for r in seen]), np.array([list(r)[1:] for r in seen])
     weight = np.where(toxic == 1, sizes[1] / toxic.sum(), sizes[0] / (toxic == 0).sum())
-    model = fit_crf(each, toxic)
+    model = fitted((0, 1))
     model.logistic = fit_logistic(x, toxic, weight * len(toxic) / weight.sum())
+    common.discard(sample_rows, counts)
     return model
 
 
+def _summary_batch(model: Crf, texts: list[str]) -> np.ndarray:
+    """By text, what the logistic function sees."""
+    coded, first = words_of(texts)
+    words = [w.decode("utf-32-le", "surrogatepass") for w in coded.dictionary.to_pylist()]
+    doc, place, e, _ = active_tokens(model, words, coded.indices.to_numpy(), first)
+    return summary(len(texts), np.diff(first), doc, marginals(model, np.diff(first), doc, place, e))
+
+
 def _score_batch(model: Crf, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """scores, and (text, place among all words, marginal) of the words that aren't neutral."""
     n = len(texts)
