@@ -45,5 +45,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.stash(stage(spark, docs, sf_dir), name)
+        before = docs
+        with common.scratch(spark):  # a stage's own tables go once its result is written, and then the stage's before it
+            docs = common.keep(common.stash(stage(spark, before, sf_dir), name))
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

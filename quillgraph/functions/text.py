@@ -20,10 +20,14 @@ def stem(w: Column) -> Column:
     )
 
 
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased words of two letters or more without stop words, stemmed, in order."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"))
-    return F.transform(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)), stem)
+    """Words of two letters or more without stop words, stemmed, in order."""
+    return F.transform(F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)), stem)
 
 
 def spoken(edge_type: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import STOP_WORDS, stem, tokens, words
 
 # Fixed values of the ranking formulas.
 K1, B = 1.2, 0.75
@@ -19,22 +19,29 @@ def query_terms(query: Column) -> Column:
     return F.array_distinct(tokens(query))
 
 
-def _count(column: str, term: str) -> Column:
-    return F.size(F.filter(column, lambda w: w == F.lit(term)))
-
-
 def bm25(docs: DataFrame, id_col: str, query: str, fields: dict[str, str], limit: int | None = 10) -> DataFrame:
     """id and score of the documents that have a term of the query, best first. fields: title, summary or body -> column.
 
-    One pass over the texts counts the query's terms and lengths by document; document frequencies and mean lengths are one small row.
-    Text never shuffles: only (id, counts) of matching rows take part in the final sort.
+    One pass over the texts: words become rows that are counted by document within their task, so what is shuffled is one row of counts for
+    each document; both the statistics and the scores read that one exchange.
     """
     spark = docs.sparkSession
     terms = spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
-    split = docs.select(F.col(id_col).alias("id"), *(tokens(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in fields.items()), *([F.lower(F.col(fields["title"])).alias("_title")] if "title" in fields else []))
-    counted = split.select("id", *(F.size(f).alias(f"len_{f}") for f in fields), *(_count(f, t).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)), *(["_title"] if "title" in fields else []))
+    phrase = query.strip().lower()
+    boosted = "title" in fields and len(phrase) > 2
+    per_field = []
+    for i, (f, c) in enumerate(fields.items()):
+        said = F.contains(F.lower(F.col(c)), F.lit(phrase)) if boosted and f == "title" else F.lit(False)
+        found = docs.select(F.col(id_col).alias("id"), said.alias("said"), F.explode_outer(words(F.coalesce(F.col(c), F.lit("")))).alias("w"))
+        kept = (F.length("w") > 1) & ~F.col("w").isin(*STOP_WORDS)
+        per_field.append(found.select("id", "said", F.lit(i).alias("field"), F.when(kept, stem(F.col("w"))).alias("w")))
+    sums = [F.max("said").alias("said")]
+    for i, f in enumerate(fields):
+        here = F.col("field") == i
+        sums += [F.count(F.when(here, F.col("w"))).alias(f"len_{f}"), *(F.count(F.when(here & (F.col("w") == t), 1)).alias(f"tf_{f}_{k}") for k, t in enumerate(terms))]
+    counted = reduce(DataFrame.unionByName, per_field).groupBy("id").agg(*sums)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields), *(F.sum((F.col(f"tf_{f}_{i}") > 0).cast("long")).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))))
     scored = counted.filter(reduce(lambda a, b: a | b, [F.col(f"tf_{f}_{i}") > 0 for f in fields for i in range(len(terms))])).crossJoin(F.broadcast(stats))  # stats: one row
     parts = []
@@ -45,9 +52,8 @@ def bm25(docs: DataFrame, id_col: str, query: str, fields: dict[str, str], limit
             idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
             parts.append(F.when(tf > 0, FIELD_WEIGHTS[f] * idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col(f"len_{f}") / average))).otherwise(0.0))
     score = reduce(lambda a, b: a + b, parts)
-    phrase = query.strip().lower()
-    if "title" in fields and len(phrase) > 2:
-        score = score * F.when(F.contains(F.col("_title"), F.lit(phrase)), PHRASE_BOOST).otherwise(1.0)
+    if boosted:
+        score = score * F.when(F.col("said"), PHRASE_BOOST).otherwise(1.0)
     out = scored.select("id", score.alias("score")).filter("score > 0")
     return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out
 
@@ -69,10 +75,11 @@ def vector_rank(vectors: DataFrame, id_col: str, vector_col: str, query: list[fl
     return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vector_col), q).alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def fuse(rankings: list[DataFrame], limit: int = 10, k: int = FUSION_K) -> DataFrame:
-    """Reciprocal rank fusion of rankings (id, score): id, score and how many of them have it. Each ranking is a top-k, so a window over it is bounded."""
+def fuse(rankings: list[DataFrame], limit: int = 10, k: int = FUSION_K, depth: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of rankings (id, score): id, score and how many of them have it. Of each the best ``depth`` count, so the window
+    that numbers them has no more rows."""
     w = Window.orderBy(F.desc("score"), "id")
-    parts = [r.select("id", F.row_number().over(w).alias("rank")) for r in rankings]
+    parts = [r.orderBy(F.desc("score"), "id").limit(depth).select("id", F.row_number().over(w).alias("rank")) for r in rankings]
     one = reduce(DataFrame.unionByName, parts)
     return one.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.count(F.lit(1)).alias("sources")).orderBy(F.desc("score"), "id").limit(limit)
 

@@ -25,8 +25,11 @@ class EdgeRule:
     least: int = 0
     most: int | None = None
     targets: tuple[str, ...] = ()
+    sources: tuple[str, ...] = ()
+    properties: tuple[PropertyRule, ...] = ()  # label is ignored
 
 
+SEVERITIES = {"wrong-target-type": "warning", "wrong-source-type": "warning"}
 FINDING = ["code", "node", "detail"]
 
 
@@ -71,4 +74,22 @@ def edge_findings(nodes: DataFrame, edges: DataFrame, rules: list[EdgeRule]) ->
             ends = labelled.filter("not stub and size(labels) > 0").select(F.col("id").alias("target"), F.col("labels").alias("to_labels"))
             wrong = sources.filter((F.col("type") == r.type) & F.array_contains("from_labels", r.label)).join(ends, "target").filter(~F.arrays_overlap("to_labels", F.array(*[F.lit(t) for t in r.targets])))
             out.append(_finding(wrong, "wrong-target-type", F.col("source"), F.col("target")))
+        if r.sources:  # edges of the type from elsewhere; what has no label isn't judged
+            wrong = sources.filter((F.col("type") == r.type) & (F.size("from_labels") > 0) & ~F.arrays_overlap("from_labels", F.array(*[F.lit(t) for t in r.sources])))
+            out.append(_finding(wrong, "wrong-source-type", F.col("source"), F.col("target")))
+        for p in r.properties:
+            own_edges = sources.filter((F.col("type") == r.type) & F.array_contains("from_labels", r.label))
+            known = p.name in edges.columns
+            if p.required:
+                out.append(_finding(own_edges.filter(F.col(p.name).isNull()) if known else own_edges, "missing-edge-property", F.col("source"), F.lit(p.name)))
+            if p.values and known:
+                out.append(_finding(own_edges.filter(F.col(p.name).isNotNull() & ~F.col(p.name).isin(*p.values)), "edge-value-not-allowed", F.col("source"), F.col(p.name)))
     return reduce(DataFrame.unionByName, out)
+
+
+def validate(nodes: DataFrame, edges: DataFrame, property_rules: list[PropertyRule], edge_rules: list[EdgeRule]) -> DataFrame:
+    """All findings with their severity, errors first, then by node, code and detail."""
+    parts = [f for f in (property_findings(nodes, property_rules), edge_findings(nodes, edges, edge_rules) if edge_rules else None) if f is not None]
+    found = reduce(DataFrame.unionByName, parts).distinct()
+    severity = F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])[F.col("code")], F.lit("error"))
+    return found.withColumn("severity", severity).orderBy("severity", "node", "code", "detail")

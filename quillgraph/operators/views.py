@@ -8,13 +8,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, if the session has a checkpoint folder: a round then reads what the last one wrote."""
+    spark = df.sparkSession
+    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
+def _next_to(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """a (of front) and b: the ends of edges that touch the front. The edges are joined as they are; only what they reach is de-duplicated."""
+    ids = front.select(F.col("id").alias("a"))
+    out = edges.join(ids, F.col("source") == F.col("a")).select("a", F.col("target").alias("b"))
+    into = edges.join(ids, F.col("target") == F.col("a")).select("a", F.col("source").alias("b"))
+    return out.unionByName(into).filter("a <> b")
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     """id and distance of all nodes within depth edges of the seeds (id), in either direction."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).filter("a <> b").distinct()
     seen = seeds.select("id", F.lit(0).alias("distance")).distinct()
     front = seen
     for d in range(1, depth + 1):
-        front = front.join(both, front["id"] == both["a"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"))
+        reached = _next_to(edges, front).select(F.col("b").alias("id")).distinct()
+        front = _cut(reached.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance")))
         seen = seen.unionByName(front)
     return seen
 
@@ -52,13 +66,13 @@ def retrieve(edges: DataFrame, scored: DataFrame, chunks: DataFrame, seeds: int
     ``neighbours``, for ``depth`` rounds; each node gives its best chunks, at most ``per_node``; chunks are taken by distance and score, at
     most ``cap``, until one goes beyond ``budget`` characters. Every step is a top-k within a node, so the rows stay bounded.
     """
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).filter("a <> b").distinct()
     seen = scored.orderBy(F.desc("score"), "id").limit(seeds).select("id", F.lit(0).alias("distance"))
     front = seen
     by_score = Window.partitionBy("a").orderBy(F.desc_nulls_last("score"), "id")
     for d in range(1, depth + 1):
-        next_ = both.join(front.select(F.col("id").alias("a")), "a").select("a", F.col("b").alias("id")).join(scored, "id", "left")
+        next_ = _next_to(edges, front).distinct().select("a", F.col("b").alias("id")).join(scored, "id", "left")
         front = next_.withColumn("k", F.row_number().over(by_score)).filter(F.col("k") <= neighbours).select("id").distinct().join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"))
+        front = _cut(front)
         seen = seen.unionByName(front)
     own = Window.partitionBy("id").orderBy(F.desc("score"), "ordinal")
     picked = chunks.join(seen, "id").withColumn("k", F.row_number().over(own)).filter(F.col("k") <= per_node)

@@ -29,3 +29,12 @@ def rows(result: Result) -> DataFrame:
 
 def columns(result: Result) -> list[dict[str, str]]:
     return [{"name": n, "kind": k} for n, k in result.kinds]
+
+
+def read(rows: DataFrame) -> DataFrame:
+    """The inverse: from rows (``row``, a JSON array, and any other columns) one row for each value, with its place, its kind, the value as a
+    variant, and of nodes and edges the id."""
+    others = [c for c in rows.columns if c != "row"]
+    each = rows.select(*others, F.posexplode(F.from_json("row", "array<variant>")).alias("place", "value"))
+    kind = F.coalesce(F.try_variant_get("value", "$._type", "string"), F.lit("scalar"))
+    return each.select(*others, "place", kind.alias("kind"), F.try_variant_get("value", "$.id", "string").alias("id"), "value")

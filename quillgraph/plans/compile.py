@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -48,12 +48,32 @@ def walk(e: Expr):
             yield from walk(a)
 
 
+def edge_end(e: Expr) -> tuple[str, str] | None:
+    """(startnode or endnode, variable) of ``startNode(r)``."""
+    if e.op == "fn" and e.value in ("startnode", "endnode") and e.args[0].op == "var":
+        return e.value, e.args[0].value
+    return None
+
+
+def conjuncts(e: Expr | None) -> list[Expr]:
+    if e is None:
+        return []
+    return [c for a in e.args for c in conjuncts(a)] if e.op == "bin" and e.value == "AND" else [e]
+
+
+def variables(e: Expr) -> set[str]:
+    return {x.value for x in walk(e) if x.op == "var"}
+
+
 class Compiler:
     def __init__(self, graph: PropertyGraph, params: dict[str, Any] | None = None, max_depth: int = MAX_DEPTH):
         self.graph, self.params, self.max_depth = graph, params or {}, max_depth
         self.notices: list[str] = []
         self.fresh = 0
         self.used: dict[str, set[str]] = {}
+        self.local: dict[str, list[Expr]] = {}
+        self.needs_id: set[int] = set()
+        self.outer: tuple[DataFrame | None, dict[str, Bound]] = (None, {})
 
     def new(self, what: str) -> str:
         self.fresh += 1
@@ -69,6 +89,12 @@ class Compiler:
             if e.op == "prop" and e.args[0].op == "var":
                 self.used.setdefault(e.args[0].value, set()).add(e.value)
                 return
+            if e.op == "prop" and (end := edge_end(e.args[0])):
+                self.used.setdefault(end[1], set()).update({"id", f"{end[0]}~{e.value}"})
+                return
+            if e.op == "agg" and e.value == ("count", False) and e.args and e.args[0].op == "var":
+                self.used.setdefault(e.args[0].value, set()).add("bound")
+                return
             inner = "*"
             if e.op == "fn" and e.value in ("id", "type", "startnode", "endnode") or e.op == "agg" and e.value[0] == "count" or e.op == "isnull" or e.op == "bin" and e.value in ("=", "<>"):
                 inner = "id"
@@ -132,6 +158,12 @@ class Compiler:
         later: list[tuple[Any, Expr, Any]] = []
         rels: list[tuple[set[str] | None, Column, bool]] = []
         inside: DataFrame | None = None
+        # Conditions on one new node alone hold before any hop.
+        alone = [(next(iter(variables(c))), c) for c in conjuncts(m.where) if len(variables(c)) == 1 and not contains_aggregate(c)]
+        self.local = {v: [c for w, c in alone if w == v] for v, _ in alone if v not in env}
+        hops = [r for p in m.paths for r in p.rels]
+        self.needs_id = {id(r) for p in m.paths for r in p.rels if p.var or r.hops or any(o is not r and (not r.types or not o.types or set(r.types) & set(o.types)) for o in hops)}
+        self.outer = (df, env)
         for path in m.paths:
             part, found = self.path(path, env, own, keys, later, rels)
             shared = [v for v in found if v in own]
@@ -182,6 +214,18 @@ class Compiler:
         for i, (rel, node, name) in enumerate(hops):
             before, before_name = path.nodes[i], names[i]
             rel_name = stand_in(rel.var, "rels" if rel.hops else "rel")
+            if rel.hops and before_name not in own and (df is not None or self.constrained(before, before_name)):
+                # Trails grow from the rows so far, which are carried through the hops.
+                df = self.start_rows(before, before_name, found, later, own) if df is None else df
+                df, end = self.trails(rel, rel_name, found, rels, df, found[before_name].cols["id"])
+                df = self.attach(df, node, name, end, found, later, rel, "out" if rel.direction == "in" else "in", own)
+                continue
+            if rel.hops and df is None and len(hops) == 1 and name not in own and name != before_name and self.constrained(node, name):
+                # Only the end is known: the same from there.
+                df = self.start_rows(node, name, found, later, own)
+                df, end = self.trails(rel, rel_name, found, rels, df, found[name].cols["id"], back=True)
+                df = self.attach(df, before, before_name, end, found, later, rel, "in" if rel.direction == "in" else "out", own)
+                continue
             hop, start, end = self.hop(rel, rel_name, found, later, rels)
             if df is None:
                 df = hop
@@ -224,8 +268,23 @@ class Compiler:
                 later.append((found[name], e, k))
             else:
                 rows = rows.filter(S.equal(self.property(found[name], k), self.value(e, {})))
+        for e in self.local.get(name, ()):
+            rows = rows.filter(S.boolean(self.value(e, {name: found[name]}), "WHERE"))
         return rows
 
+    def constrained(self, p: NodePattern, name: str) -> bool:
+        """Whether a node is one of few: by properties, a condition, or as bound before."""
+        return bool(p.props or self.local.get(name) or name != p.var and p.var in self.outer[1])
+
+    def start_rows(self, p: NodePattern, name: str, found: dict[str, Bound], later: list, own: dict[str, Bound]) -> DataFrame:
+        """The rows of a node that a variable-length hop starts from; of one bound before, its different ids."""
+        outer, env = self.outer
+        if name != p.var and p.var in env and outer is not None:
+            col = self.new("n")
+            found[name] = Bound("node", {"id": col})
+            return outer.select(F.col(env[p.var].cols["id"]).alias(col)).distinct()
+        return self.scan(p, name, found, later, self.wants(p.var) if name == p.var and name not in own else {"id"})
+
     def attach(self, df: DataFrame, p: NodePattern, name: str, end: str, found: dict[str, Bound], later: list, rel: RelPattern, side: str, own: dict[str, Bound]) -> DataFrame:
         """Binds the node at column ``end``."""
         if name in found:  # a cycle in this path
@@ -253,22 +312,40 @@ class Compiler:
         there = rows.withColumns({"start": start, "end": end})
         return there.unionByName(rows.filter(start != end).withColumns({"start": end, "end": start}))
 
-    def hop(self, rel: RelPattern, name: str, found: dict[str, Bound], later: list, rels: list) -> tuple[DataFrame, str, str]:
-        self.rel_names = {**self.rel_names, id(rel): name}
+    def filtered_edges(self, rel: RelPattern, name: str) -> tuple[DataFrame, dict[str, Any]]:
+        """The edges that a relationship can be, and their properties. Their ids are worked out only if something asks for them."""
         kinds = self.graph.edge_props(rel.types or None)
         wants = self.wants(rel.var)
         props = {k: t for k, t in kinds.items() if k not in ("id", "sign") and ("*" in wants or k in wants or k in rel.props)}
-        rows = self.edge_rows(rel, props, True)
+        with_id = bool({"*", "id"} & wants) or id(rel) in self.needs_id or name != rel.var or "id" in rel.props or any("~" in x for x in wants)
+        rows = self.edge_rows(rel, props, with_id)
         bound = Bound("rel", {c: c for c in rows.columns}, props)
         for k, e in rel.props.items():
             if k not in kinds and k not in ("id", "sign"):
                 rows = rows.filter(F.lit(False))
             elif rel.hops or not any(x.op == "var" for x in walk(e)):
                 rows = rows.filter(S.equal(self.property(bound, k), self.value(e, {})))
+        for end, column in (("startnode", "source"), ("endnode", "target")):
+            asked = [w.partition("~")[2] for w in wants if w.startswith(f"{end}~")]
+            if asked and not rel.hops:
+                known = {k: t for k, t in self.graph.node_props(None).items() if k in asked}
+                nodes = self.graph.nodes(None, known).select(F.col("id").alias("_end"), *(F.col(c).alias(f"{end}~{c}") for c in known))
+                rows = rows.join(nodes, F.col(column) == F.col("_end"), "left").drop("_end")
+                props |= {f"{end}~{k}": t for k, t in known.items()}
+        return rows, props
+
+    def hop(self, rel: RelPattern, name: str, found: dict[str, Bound], later: list, rels: list) -> tuple[DataFrame, str, str]:
+        self.rel_names = {**self.rel_names, id(rel): name}
+        kinds = self.graph.edge_props(rel.types or None)
+        rows, props = self.filtered_edges(rel, name)
         prefix = self.new("r")
         types = set(rel.types) or None
         if rel.hops:
-            return self.long_hop(rel, name, rows, prefix, types, found, rels)
+            steps = self.steps(rows)
+            starts = self.graph.nodes(None, {}).select("id") if rel.hops[0] == 0 else steps.select(F.col("from").alias("id")).distinct()
+            first = self.new("n")
+            out, last = self.trails(rel, name, found, rels, starts.toDF(first), first)
+            return out, first, last
         cols = {c: f"{prefix}_{c}" for c in rows.columns}
         rows = rows.toDF(*cols.values())
         found[name] = Bound("rel", cols, props)
@@ -276,34 +353,34 @@ class Compiler:
         rels.append((types, F.col(cols["id"]), False))
         return rows, cols["start"], cols["end"]
 
-    def long_hop(self, rel: RelPattern, name: str, rows: DataFrame, prefix: str, types: set[str] | None, found: dict[str, Bound], rels: list) -> tuple[DataFrame, str, str]:
+    def steps(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.struct("id", "type", "sign", "source", "target").alias("edge"), F.col("start").alias("from"), F.col("end").alias("to"))
+
+    def trails(self, rel: RelPattern, name: str, found: dict[str, Bound], rels: list, df: DataFrame, at: str, back: bool = False) -> tuple[DataFrame, str]:
+        """The rows of df, once for each trail from the node in column ``at`` (``back``: to it), and the column of the trail's other end."""
+        self.rel_names = {**self.rel_names, id(rel): name}
         low, high = rel.hops
         if high is None:
             high = self.max_depth
             self.notices.append(f"variable-length pattern without an upper bound: paths of over {high} edges are not looked for")
-        step = rows.select(F.struct("id", "type", "sign", "source", "target").alias("edge"), F.col("start").alias("from"), F.col("end").alias("to"))
+        step = self.steps(self.filtered_edges(rel, name)[0])
         edge = step.schema["edge"].dataType.simpleString()
-        frames = []
-        now: DataFrame | None = None
-        if low == 0:
-            everything = self.graph.nodes(None, {})
-            frames.append(everything.select(F.col("id").alias("first"), F.col("id").alias("last"), F.array().cast(f"array<{edge}>").alias("list"), F.array().cast("array<string>").alias("ends")))
+        prefix = self.new("r")
+        last, steps, ends = (f"{prefix}_{c}" for c in ("last", "list", "ends"))
+        carried = df.columns
+        now = df.select(*carried, F.col(at).alias(last), F.array().cast(f"array<{edge}>").alias(steps), F.array().cast("array<string>").alias(ends))
+        here, there = ("to", "from") if back else ("from", "to")
+        grow = (lambda a, x: F.array_prepend(a, x)) if back else (lambda a, x: F.array_append(a, x))
+        frames = [now] if low == 0 else []
         for d in range(1, high + 1):
-            if now is None:
-                now = step.select(F.col("from").alias("first"), F.col("to").alias("last"), F.array("edge").alias("list"), F.array("to").alias("ends"))
-            else:
-                now = now.join(step, (F.col("last") == F.col("from")) & ~F.exists("list", lambda x: x["id"] == F.col("edge.id"))).select("first", F.col("to").alias("last"), F.array_append("list", F.col("edge")).alias("list"), F.array_append("ends", F.col("to")).alias("ends"))
+            unused = ~F.exists(steps, lambda x: x["id"] == F.col("edge.id")) if d > 1 else F.lit(True)
+            now = now.join(step, (F.col(last) == F.col(here)) & unused).select(*carried, F.col(there).alias(last), grow(F.col(steps), F.col("edge")).alias(steps), grow(F.col(ends), F.col("to")).alias(ends))
             if d >= low:
                 frames.append(now)
-        if not frames:
-            frames = [now.filter(F.lit(False))]
-        out = reduce(DataFrame.unionByName, frames)
-        cols = {c: f"{prefix}_{c}" for c in ("first", "last", "list", "ends")}
-        out = out.select(*cols).toDF(*cols.values())
-        found[name] = Bound("rels", cols, value=S.Value(F.col(cols["list"]), "list", "map"))
-        ids = F.transform(F.col(cols["list"]), lambda x: x["id"])
-        rels.append((types, ids, True))
-        return out, cols["first"], cols["last"]
+        out = reduce(DataFrame.unionByName, frames) if frames else now.filter(F.lit(False))
+        found[name] = Bound("rels", {"list": steps, "ends": ends}, value=S.Value(F.col(steps), "list", "map"))
+        rels.append((set(rel.types) or None, F.transform(F.col(steps), lambda x: x["id"]), True))
+        return out, last
 
     # Expressions
 
@@ -396,6 +473,10 @@ class Compiler:
         raise CypherError("syntax", f"{e.op} can't stand here")
 
     def member(self, e: Expr, env: dict[str, Bound], go) -> S.Value:
+        end = edge_end(e.args[0])
+        if end and e.value != "id" and end[1] in env and env[end[1]].kind == "rel":
+            b, key = env[end[1]], f"{end[0]}~{e.value}"
+            return S.of_column(F.col(b.cols[key]), b.props[key]) if key in b.props else S.null()
         v = go(e.args[0])
         if v.type in ("node", "rel"):
             return self.property(env[v.ref], e.value)
@@ -442,9 +523,10 @@ class Compiler:
                 return S.null()
             return S.Value(F.struct(F.col(b.cols["source" if name == "startnode" else "target"]).alias("id")), "map", keys=("id",))
         if name in ("keys", "properties") and a.type in ("node", "rel"):
+            own = [k for k in b.props if "~" not in k]
             if name == "properties":
-                return S.Value(F.struct(*(F.col(b.cols[k]).alias(k) for k in b.props)) if b.props else F.struct(F.lit(None).alias("_")), "map", keys=tuple(b.props))
-            return S.Value(F.array_compact(F.array(*(F.when(F.col(b.cols[k]).isNotNull(), F.lit(k)) for k in b.props))), "list", "string")
+                return S.Value(F.struct(*(F.col(b.cols[k]).alias(k) for k in own)) if own else F.struct(F.lit(None).alias("_")), "map", keys=tuple(own))
+            return S.Value(F.array_compact(F.array(*(F.when(F.col(b.cols[k]).isNotNull(), F.lit(k)) for k in own))), "list", "string")
         if name == "properties" and a.type == "map":
             return a
         return S.call(name, args)
@@ -466,7 +548,8 @@ class Compiler:
         if name == "count":
             if not e.args:
                 return S.Value(F.count(F.lit(1)), "number", whole=True)
-            c = self.value(e.args[0], env).col
+            v = self.value(e.args[0], env)
+            c = F.col(env[v.ref].cols["type"]) if v.type == "rel" and not distinct else v.col  # null only where the edge is
             return S.Value(F.count_distinct(c) if distinct else F.count(c), "number", whole=True)
         v = self.value(e.args[0], env)
         if name in ("sum", "avg", "stdev", "percentilecont") and v.type not in ("number", "null"):
@@ -526,7 +609,7 @@ class Compiler:
         shown = [n for group in names for n in group]
         if c.distinct:
             keys = [out_env[i.name].cols.get("id") or out_env[i.name].cols.get("") for i in items]
-            df = df.dropDuplicates(keys) if not hidden else self.first_of(df, keys, hidden)
+            df = df.dropDuplicates(keys) if not hidden else self.first_of(df, keys, [(h, down) for h, (_, down) in zip(hidden, ordering, strict=True)])
         if ordering:
             df = df.orderBy(*[F.desc_nulls_first(h) if down else F.asc_nulls_last(h) for h, (_, down) in zip(hidden, ordering, strict=True)])
         if c.skip:
@@ -538,9 +621,12 @@ class Compiler:
             df = df.filter(S.boolean(self.value(c.where, out_env), "WHERE"))
         return df, out_env, kinds
 
-    def first_of(self, df: DataFrame, keys: list[str], hidden: list[str]) -> DataFrame:
-        rest = [x for x in df.columns if x not in keys]
-        return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*[F.first(F.col(f"`{x}`")).alias(x) for x in rest])
+    def first_of(self, df: DataFrame, keys: list[str], ordering: list[tuple[str, bool]]) -> DataFrame:
+        """Of equal rows the first in the order that is asked for."""
+        by = [F.desc_nulls_first(h) if down else F.asc_nulls_last(h) for h, down in ordering]
+        place = self.new("k")
+        w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*by)
+        return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place)
 
     def unalias(self, e: Expr, aliases: dict[str, Expr], env: dict[str, Bound]) -> Expr:
         if e.op == "var" and e.value in aliases and e.value not in env:

@@ -59,19 +59,19 @@ def vec_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of documents: by length and by id."""
     docs = _read(spark, sf_dir, "documents")
-    a = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(50)
-    b = docs.select(F.col("doc_id").alias("id"), (-F.col("doc_id")).cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(50)
-    return search.fuse([a, b], 20).select("id", F.round("score", 8).alias("score"), "sources")
+    a = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
+    b = docs.select(F.col("doc_id").alias("id"), (-F.col("doc_id")).cast("double").alias("score"))
+    return search.fuse([a, b], 20, depth=50).select("id", F.round("score", 8).alias("score"), "sources")
 
 
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
-    edges = g.edges(["IN_NATION", "IN_REGION"], {}, with_id=False)
+    edges = g.edges(None, {}, with_id=False)
     return views.neighbourhood(edges, spark.createDataFrame([("Region:1",)], "id string"), 2)
 
 
 def degree_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = star_graph(spark, sf_dir).edges(["IN_NATION", "IN_REGION"], {}, with_id=False)
+    edges = star_graph(spark, sf_dir).edges(None, {}, with_id=False)
     _, inner = views.densest(edges, 30)
     return inner.select("source", "type", "target")
 
@@ -106,8 +106,9 @@ def validate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diff_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders")
-    before = orders.filter("o_orderkey % 7 <> 0")
-    after = orders.filter("o_orderkey % 5 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 11 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    moved = F.when(F.col("o_orderstatus") == "P", -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))  # under another key
+    before = orders
+    after = orders.withColumns({"o_orderkey": moved, "o_totalprice": F.col("o_totalprice") + (F.col("o_orderstatus") == "O").cast("int")})
     return sync.differences(before, after, "o_orderkey")
 
 
@@ -123,18 +124,28 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "bm25_top": (bm25_top, _BM25),
     "vec_topk": (vec_topk, f"SELECT id, round(score, 5) AS score FROM (SELECT * FROM ({_VEC}) WHERE score > 0 ORDER BY score DESC, id LIMIT 20)"),
     "vec_best": (vec_best, f"SELECT label, round(max(score), 5) AS score FROM ({_VEC.replace('e.vec_id AS id', 'e.label')}) GROUP BY label"),
-    "vec_pooled": (vec_pooled, None),
+    "vec_pooled": (vec_pooled, """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x FROM embeddings),
+        p AS (SELECT label, d, sum(x) AS x FROM u GROUP BY 1, 2), q AS (SELECT generate_subscripts(embedding, 1) AS d, unnest(CAST(embedding AS DOUBLE[])) AS y FROM embeddings WHERE vec_id = 0)
+        SELECT label, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 4) AS score FROM p JOIN q ON p.d = q.d GROUP BY label"""),
     "rrf_fuse": (rrf_fuse, """WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)
         SELECT id, round(sum(1.0 / (60 + r)), 8) AS score, count(*) AS sources FROM (SELECT * FROM a WHERE r <= 50 UNION ALL SELECT * FROM b WHERE r <= 50) GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, id LIMIT 20"""),
     "neighbourhood": (neighbourhood, "SELECT 'Region:1' AS id, 0 AS distance UNION ALL SELECT 'Nation:' || n_nationkey, 1 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Customer:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'Supplier:' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1"),
-    "degree_subgraph": (degree_subgraph, """WITH e AS (SELECT 'Nation:' || n_nationkey AS source, 'IN_REGION' AS type, 'Region:' || n_regionkey AS target FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 'IN_NATION', 'Nation:' || c_nationkey FROM customer UNION ALL SELECT 'Supplier:' || s_suppkey, 'IN_NATION', 'Nation:' || s_nationkey FROM supplier),
+    "degree_subgraph": (degree_subgraph, """WITH e AS (SELECT 'Nation:' || n_nationkey AS source, 'IN_REGION' AS type, 'Region:' || n_regionkey AS target FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 'IN_NATION', 'Nation:' || c_nationkey FROM customer UNION ALL SELECT 'Supplier:' || s_suppkey, 'IN_NATION', 'Nation:' || s_nationkey FROM supplier
+        UNION ALL SELECT 'Customer:' || o_custkey, 'PLACED', 'Order:' || o_orderkey FROM orders UNION ALL SELECT 'Order:' || l_orderkey, 'CONTAINS', 'Part:' || l_partkey FROM lineitem UNION ALL SELECT 'Order:' || l_orderkey, 'SUPPLIED_BY', 'Supplier:' || l_suppkey FROM lineitem
+        UNION ALL SELECT DISTINCT 'Part:' || l_partkey, 'OF', 'Supplier:' || l_suppkey FROM lineitem UNION ALL SELECT 'User:' || user_id, 'DID', 'Event:' || event_id FROM events),
         d AS (SELECT id FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id ORDER BY count(*) DESC, id LIMIT 30) SELECT * FROM e WHERE source IN (SELECT id FROM d) AND target IN (SELECT id FROM d)"""),
     "backlinks": (backlinks, "SELECT 'IN_NATION' AS type, 1 AS sign, count(*) AS n, count(*) AS k FROM (SELECT c_custkey FROM customer WHERE c_nationkey = 3 UNION ALL SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)"),
-    "retrieve_bfs": (retrieve_bfs, None),
+    "retrieve_bfs": (retrieve_bfs, """WITH s AS (SELECT id, name, length(name) AS score FROM (SELECT 'Nation:' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'Region:' || r_regionkey, r_name FROM region)),
+        e AS (SELECT 'Nation:' || n_nationkey AS a, 'Region:' || n_regionkey AS b FROM nation), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        seeds AS (SELECT id FROM s ORDER BY score DESC, id LIMIT 3),
+        near AS (SELECT s.id, row_number() OVER (PARTITION BY two.a ORDER BY s.score DESC, s.id) AS k FROM two JOIN seeds ON two.a = seeds.id JOIN s ON s.id = two.b),
+        seen AS (SELECT id, 0 AS distance FROM seeds UNION ALL SELECT DISTINCT id, 1 FROM near WHERE k <= 3 AND id NOT IN (SELECT id FROM seeds)),
+        best AS (SELECT s.id, s.name AS text, s.score, distance FROM seen JOIN s ON seen.id = s.id ORDER BY distance, s.score DESC, s.id LIMIT 8)
+        SELECT id, text, distance FROM (SELECT *, sum(length(text)) OVER (ORDER BY distance, score DESC, id) AS upto FROM best) WHERE upto <= 60"""),
     "validate_properties": (validate_properties, "SELECT 'missing-property' AS code, 'Customer:' || c_custkey AS node, 'c_phone' AS detail FROM customer UNION ALL SELECT 'value-not-allowed', 'Customer:' || c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"),
     "validate_edges": (validate_edges, """WITH n AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
         SELECT 'edge-not-allowed' AS code, 'Customer:' || c_custkey AS node, 'IN_NATION' AS detail FROM customer UNION ALL SELECT 'missing-edge', 'Customer:' || c_custkey, 'PLACED' FROM n WHERE n < 1 UNION ALL SELECT 'too-many-edges', 'Customer:' || c_custkey, 'PLACED' FROM n WHERE n > 20"""),
-    "diff_sync": (diff_sync, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'delete' WHEN o_orderkey % 7 = 0 THEN 'insert' ELSE 'update' END AS change FROM orders WHERE (o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0) OR (o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0) OR (o_orderkey % 11 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0)"),
+    "diff_sync": (diff_sync, "SELECT o_orderkey, 'update' AS change FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'delete' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT -o_orderkey, 'insert' FROM orders WHERE o_orderstatus = 'P'"),
     "stream_window": (stream_window, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "nearest_name": (nearest_name, "SELECT n_name AS name, levenshtein(n_name, 'NATION_7x') AS distance FROM nation ORDER BY 2, 1 LIMIT 1"),
 }

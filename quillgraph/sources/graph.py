@@ -48,6 +48,11 @@ class PropertyGraph:
     spark: SparkSession
     node_tables: dict[str, NodeTable] = field(default_factory=dict)
     edge_tables: dict[str, list[EdgeTable]] = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)  # persisted for as long as the graph is used
+
+    def close(self) -> None:
+        for df in self.kept:
+            df.unpersist()
 
     def node_props(self, labels: list[str] | None = None) -> dict[str, T.DataType]:
         out: dict[str, T.DataType] = {}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .code import annotation_rows, symbols
+from .code import annotation_rows, scan, symbols
 from .graph import EdgeTable, NodeTable, PropertyGraph
-from .sections import references, requirements, sections
+from .sections import by_text, needs_mention, references, requirements, sections
 
 
 def section_targets(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -25,9 +25,7 @@ def section_targets(links: DataFrame, known: DataFrame) -> DataFrame:
 def lattice_graph(spark: SparkSession, docs: DataFrame, specs: DataFrame, files: DataFrame, code: str = "annotated") -> PropertyGraph:
     """Each table is (path, text). code: off, annotated (only symbols that an annotation belongs to) or all."""
     g = PropertyGraph(spark)
-    own = sections(docs).cache()
-    parts = requirements(specs).cache()
-    notes = annotation_rows(files).cache()
+    own, parts, notes = g.kept = [t.persist() for t in (sections(docs), requirements(specs), annotation_rows(files))]
     g.node_tables["Section"] = NodeTable(own, F.col("id"))
     g.node_tables["Requirement"] = NodeTable(parts.filter("scenario is null").select(F.col("requirement").alias("id"), F.col("line").alias("at")), F.col("id"))
     g.node_tables["Scenario"] = NodeTable(parts.filter("scenario is not null").select(F.col("scenario").alias("id"), F.col("line").alias("at")), F.col("id"))
@@ -52,3 +50,23 @@ def lattice_graph(spark: SparkSession, docs: DataFrame, specs: DataFrame, files:
     to_doc = section_targets(notes.filter("kind = 'lat'"), own).filter("to is not null")
     g.edge_tables["references"].append(EdgeTable(to_doc, at, F.col("to"), ("CodeSymbol", "CodeFile"), ("Section",), ("line",), single=False))
     return g
+
+
+def lattice_findings(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """code, path, line and target of links that lead nowhere, of code that isn't there, and of sections that code should mention and doesn't.
+
+    A missing name in a file that can't be read reliably is ``unresolvable``, since its absence proves nothing.
+    """
+    known, notes = sections(docs), annotation_rows(files)
+    symbol = F.concat("path", F.lit("#"), F.when(F.col("parent").isNotNull(), F.concat("parent", F.lit("."), "name")).otherwise(F.col("name")))
+    declared = symbols(files).select(symbol.alias("target")).distinct().withColumn("there", F.lit(True))
+    reliable = by_text(files, "file string, reliable string", lambda p, t: [(p, str(scan(p, t)[1]).lower())])
+    links = section_targets(references(docs).select("path", "line", "target"), known).filter("to is null")
+    code = links.withColumn("file", F.substring_index("target", "#", 1)).join(reliable, "file", "left").join(declared, "target", "left")
+    wrong = F.when(F.col("reliable").isNull(), "broken-link").when(F.contains("target", F.lit("#")) & F.col("there").isNull(), F.when(F.col("reliable") == "true", "missing-symbol").otherwise("unresolvable"))
+    in_docs = code.select(wrong.alias("code"), "path", "line", "target").filter("code is not null")
+    cited = section_targets(notes.filter("kind = 'lat'").select("path", "line", "target"), known)
+    in_code = cited.filter("to is null").select(F.lit("broken-code-reference").alias("code"), "path", "line", "target")
+    asked = known.join(by_text(docs, "path string", needs_mention), "path", "left_semi")
+    unmentioned = asked.join(cited.filter("to is not null").select(F.col("to").alias("id")), "id", "left_anti").select(F.lit("not-mentioned").alias("code"), "path", F.col("start").alias("line"), F.col("id").alias("target"))
+    return in_docs.unionByName(in_code).unionByName(unmentioned)

@@ -6,6 +6,7 @@ Parsing is the only Python step (Arrow batches over (path, text)); links are res
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -231,24 +232,39 @@ def parse_note(path: str, text: str, link_edges: bool = False, frontmatter_edges
     return edges, problems
 
 
-EDGES = "path string, type string, sign int, target string, subpath string, alias string, props string, line int, heading string"
+def edge_note(meta: dict) -> tuple[str, str, str, int, dict] | None:
+    """(source, target, type, sign, properties) of a note that stands for one edge: ``type: edge`` with ``from``, ``to`` and ``edgeType``."""
+    ends = [meta.get(k) for k in ("from", "to", "edgeType")]
+    if meta.get("type") != "edge" or not all(isinstance(v, str) and v.strip() for v in ends):
+        return None
+    source, target = ((w[0] if (w := marks.wiki_link(v.strip(), 0)) else v.strip()) for v in ends[:2])
+    props = {k: v for k, v in meta.items() if k not in ("type", "from", "to", "edgeType", "sign")}
+    return source, target, ends[2].strip(), -1 if meta.get("sign") in (-1, "-") else 1, props
+
+
+EDGES = "path string, type string, sign int, target string, subpath string, alias string, props string, line int, heading string, place int, source string"
 
 
 def parsed_edges(notes: DataFrame, link_edges: bool = False) -> DataFrame:
-    """One row per edge line link of notes (path, text)."""
+    """One row per edge line link of notes (path, text); ``place`` counts a note's links. An edge note is one row with its ``source``."""
     names = [c.split()[0] for c in EDGES.split(", ")]
     kinds = [pa.int32() if c.split()[1] == "int" else pa.string() for c in EDGES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, t, s, target, sub, alias, json.dumps(props), line, heading) for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t, s, target, sub, alias, props, line, heading in parse_note(p, text or "", link_edges)[0]]
+            rows: list[tuple] = []
+            for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if e := edge_note(frontmatter(text or "")[0]):
+                    rows.append((p, e[2], e[3], e[1], None, None, json.dumps(e[4] | {"id": p}), 0, None, 0, e[0]))
+                    continue
+                rows += [(p, t, s, target, sub, alias, json.dumps(props), line, heading, k, None) for k, (t, s, target, sub, alias, props, line, heading) in enumerate(parse_note(p, text or "", link_edges)[0])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
     return notes.select("path", "text").mapInArrow(run, EDGES)
 
 
 def note_rows(notes: DataFrame) -> DataFrame:
-    """path, hash, frontmatter (JSON), labels and title of each note."""
+    """path, properties (JSON), labels, title and the text's SHA-256 of each note, and whether it is an edge note."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,10 +278,11 @@ def note_rows(notes: DataFrame) -> DataFrame:
                             labels.append(v.strip())
                 title = meta.get("title") if isinstance(meta.get("title"), str) and meta["title"].strip() else re.sub(r"\.(md|adoc)$", "", path.rpartition("/")[2])
                 props = {k: v for k, v in meta.items() if k not in ("type", "types", "title")}
-                out.append((path, json.dumps(props), labels, title))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.list_(pa.string())), pa.array([r[3] for r in out], pa.string())], names=["path", "props", "labels", "title"])
+                out.append((path, json.dumps(props), labels, title, hashlib.sha256((text or "").encode()).hexdigest(), edge_note(meta) is not None))
+            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["path", "props", "labels", "title", "hash", "edge_note"])
 
-    return notes.select("path", "text").mapInArrow(run, "path string, props string, labels array<string>, title string")
+    return notes.select("path", "text").mapInArrow(run, "path string, props string, labels array<string>, title string, hash string, edge_note boolean")
 
 
 def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
@@ -302,19 +319,27 @@ def _typed(rows: DataFrame, json_column: str) -> tuple[DataFrame, list[str]]:
 
 def notes_graph(spark: SparkSession, notes: DataFrame, link_edges: bool = False) -> PropertyGraph:
     """Notes as nodes, their edge lines as edges; targets that no note is are stubs named by the link."""
-    nodes, names = _typed(note_rows(notes), "props")
-    edges = resolve_links(parsed_edges(notes, link_edges), notes.select("path"))
-    edges = edges.withColumn("target_id", F.coalesce("to", "target")).withColumn("pinned", F.get_json_object("props", "$.id"))
+    rows = note_rows(notes).persist()
+    nodes, names = _typed(rows.filter("not edge_note").drop("edge_note"), "props")
+    paths = notes.select("path")
+    found = resolve_links(parsed_edges(notes, link_edges), paths).persist()
+    ends = found.filter("source is not null").select("path", F.col("source").alias("target")).distinct()
+    sources = resolve_links(ends, paths).select("path", F.col("target").alias("source"), F.col("to").alias("from"))
+    edges = found.join(sources, ["path", "source"], "left").withColumns({"target_id": F.coalesce("to", "target"), "source_id": F.when(F.col("source").isNull(), F.col("path")).otherwise(F.coalesce("from", "source")), "pinned": F.get_json_object("props", "$.id")})
     edges, edge_names = _typed(edges, "props")
-    return NotesGraph(spark, nodes.cache(), names, edges.cache(), edge_names)
+    g = NotesGraph(spark, nodes.persist(), names, edges.persist(), edge_names, rows.filter("edge_note").select("path"))
+    g.kept += [rows, found]
+    return g
 
 
 class NotesGraph(PropertyGraph):
-    """A graph whose labels and types are values in two tables."""
+    """A graph whose labels and types are values in two tables. They are kept until ``close``."""
 
-    def __init__(self, spark: SparkSession, note_table: DataFrame, names: list[str], edge_table: DataFrame, edge_names: list[str]):
+    def __init__(self, spark: SparkSession, note_table: DataFrame, names: list[str], edge_table: DataFrame, edge_names: list[str], edge_notes: DataFrame):
         super().__init__(spark)
+        self.edge_notes = edge_notes
         self.note_table, self.names, self.edge_table, self.edge_names = note_table, names, edge_table, edge_names
+        self.kept = [note_table, edge_table]
 
     def node_props(self, labels=None):
         schema = self.note_table.schema
@@ -335,15 +360,36 @@ class NotesGraph(PropertyGraph):
         return rows
 
     def stubs(self):
-        return self.edge_table.filter(F.col("to").isNull()).select(F.col("target_id").alias("id")).distinct()
+        rows = self.sound()
+        targets = rows.filter(F.col("to").isNull()).select(F.col("target_id").alias("id"))
+        return targets.unionByName(rows.filter(F.col("source").isNotNull() & F.col("from").isNull()).select(F.col("source_id").alias("id"))).distinct()
+
+    def sound(self) -> DataFrame:
+        """The edge table without links to edge notes: an edge is no end of an edge."""
+        at = self.edge_notes.select(F.col("path").alias("_note"))
+        return self.edge_table.join(at, F.col("target_id") == F.col("_note"), "left_anti")
+
+    def refused_links(self) -> DataFrame:
+        """code, path, line and target of the links to edge notes."""
+        at = self.edge_notes.select(F.col("path").alias("_note"))
+        return self.edge_table.join(at, F.col("target_id") == F.col("_note"), "left_semi").select(F.lit("link-to-edge-note").alias("code"), "path", (F.col("line") + 1).alias("line"), F.col("target_id").alias("target"))
+
+    def identified(self) -> DataFrame:
+        """The edge table with ids: a pinned one, else source#type#target#ordinal. Of edges with one id only the first by (path, place) is kept."""
+        w = Window.partitionBy("source_id", "type", "target_id").orderBy("path", "place")
+        derived = F.concat("source_id", F.lit("#"), "type", F.lit("#"), "target_id", F.lit("#"), (F.row_number().over(w) - 1).cast("string"))
+        rows = self.sound().withColumn("id", F.coalesce("pinned", derived))
+        return rows.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("path", "place")) - 1)
+
+    def duplicate_ids(self) -> DataFrame:
+        """code, path, line and id of the edges that are left out because an earlier one has their id."""
+        return self.identified().filter("copy > 0").select(F.lit("duplicate-edge-id").alias("code"), "path", (F.col("line") + 1).alias("line"), "id")
 
     def edges(self, types, props, with_id=True):
-        w = Window.partitionBy("path", "type", "target_id").orderBy("line", "alias")
-        derived = F.concat("path", F.lit("#"), "type", F.lit("#"), "target_id", F.lit("#"), (F.row_number().over(w) - 1).cast("string"))
-        rows = self.edge_table.withColumn("id", F.coalesce("pinned", derived))
+        rows = self.identified().filter("copy = 0")
         if types:
             rows = rows.filter(F.col("type").isin(*types))
-        return rows.select("id", "type", "sign", F.col("path").alias("source"), F.col("target_id").alias("target"), *((F.col(p) if p in ("heading", "line") else F.col(f"p_{p}")).cast(k).alias(p) for p, k in props.items()))
+        return rows.select("id", "type", "sign", F.col("source_id").alias("source"), F.col("target_id").alias("target"), *((F.col(p) if p in ("heading", "line") else F.col(f"p_{p}")).cast(k).alias(p) for p, k in props.items()))
 
     def ends(self, types, side):
         return set(), False

@@ -34,4 +34,6 @@ def test_embeds_and_wire(spark):
     r = run(g, "MATCH (a:P)-[r:knows]->(b) RETURN a, r, 1 AS n, null AS z")
     row = json.loads(wire.rows(r).first()["row"])
     assert [row[0]["_type"], row[0]["id"], row[1]["_type"], row[1]["id"], row[2], row[3]] == ["node", "a.md", "relationship", "e1", 1, None]
+    back = wire.read(wire.rows(r)).orderBy("place").collect()
+    assert [(x["kind"], x["id"]) for x in back] == [("node", "a.md"), ("relationship", "e1"), ("scalar", None), ("scalar", None)]
     assert [c["kind"] for c in wire.columns(r)] == ["node", "relationship", "scalar", "scalar"]

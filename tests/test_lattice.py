@@ -1,5 +1,5 @@
 from quillgraph.plans.compile import run
-from quillgraph.sources.lattice import lattice_graph
+from quillgraph.sources.lattice import lattice_findings, lattice_graph
 
 
 def test_lattice(spark):
@@ -13,3 +13,10 @@ def test_lattice(spark):
     assert q("MATCH (c:CodeSymbol)-[r:implements]->(x:Requirement) RETURN c.name AS c, id(x) AS x, r.sign AS s") == [("f", "openspec:cap#One", 1)]
     assert q("MATCH (c:CodeSymbol)-[:references]->(s) RETURN c.name AS c, id(s) AS s") == [("X", "other.md#C")]
     assert q("MATCH (c:CodeSymbol) RETURN count(*) AS n") == [(2,)] and run(lattice_graph(spark, docs, specs, files, "all"), "MATCH (c:CodeSymbol) RETURN count(*) AS n").df.first()["n"] == 3
+
+
+def test_findings(spark):
+    schema = "path string, text string"
+    docs = spark.createDataFrame([("d.md", "---\nrequire-code-mention: true\n---\n# A\n[[nowhere]] [[d#A]] [[s.py#f]]\n# B\n[[s.py#g]] [[s.py]] [[bad.ts#x]]\n")], schema)
+    files = spark.createDataFrame([("s.py", "# @lat: [[d#A]]\ndef f(): pass\n# @lat: [[gone]]\n"), ("bad.ts", "const a = 'x\n")], schema)
+    assert {(r["code"], r["line"], r["target"]) for r in lattice_findings(docs, files).collect()} == {("broken-link", 5, "nowhere"), ("missing-symbol", 7, "s.py#g"), ("unresolvable", 7, "bad.ts#x"), ("broken-code-reference", 3, "gone"), ("not-mentioned", 6, "d.md#B")}
