@@ -74,6 +74,13 @@ class Compiler:
         self.local: dict[str, list[Expr]] = {}
         self.needs_id: set[int] = set()
         self.outer: tuple[DataFrame | None, dict[str, Bound]] = (None, {})
+        #: Of columns of node ids: the one label that they have, and the column of the key that stands for them.
+        self.keys: dict[str, tuple[str, str]] = {}
+
+    def same(self, a: str, b: str) -> Column:
+        """Two columns of node ids are equal: by their keys where both have one label, so that no id has to be made for a join."""
+        one, two = self.keys.get(a), self.keys.get(b)
+        return F.col(one[1]) == F.col(two[1]) if one and two and one[0] == two[0] else F.col(a) == F.col(b)
 
     def new(self, what: str) -> str:
         self.fresh += 1
@@ -170,7 +177,7 @@ class Compiler:
             if inside is None:
                 inside = part
             elif shared:
-                inside = inside.join(part, reduce(lambda a, b: a & b, [F.col(own[v].cols["id"]) == F.col(found[v].cols["id"]) for v in shared]))
+                inside = inside.join(part, reduce(lambda a, b: a & b, [self.same(own[v].cols["id"], found[v].cols["id"]) for v in shared]))
             else:
                 inside = inside.crossJoin(part)
             own |= {k: v for k, v in found.items() if k not in own}
@@ -179,7 +186,7 @@ class Compiler:
                 if types is None or other is None or types & other:
                     inside = inside.filter(~F.arrays_overlap(a, b) if a_list and b_list else ~F.array_contains(a, b) if a_list else ~F.array_contains(b, a) if b_list else a != b)
         joined = env | {k: v for k, v in own.items() if k not in keys}
-        tests = [F.col(env[v].cols["id"]) == F.col(own[k].cols["id"]) for k, v in keys.items()]
+        tests = [self.same(env[v].cols["id"], own[k].cols["id"]) for k, v in keys.items()]
         for bound, expr, prop in later:
             tests.append(S.equal(self.property(bound, prop), self.value(expr, joined)))
         if m.where:
@@ -231,7 +238,7 @@ class Compiler:
                 df = hop
                 df = self.attach(df, before, before_name, start, found, later, rel, "in" if rel.direction == "in" else "out", own)
             else:
-                df = df.join(hop, F.col(found[before_name].cols["id"]) == F.col(start))
+                df = df.join(hop, self.same(found[before_name].cols["id"], start))
             df = self.attach(df, node, name, end, found, later, rel, "out" if rel.direction == "in" else "in", own)
         if path.var:
             ids = [found[n].cols["id"] for n in names]
@@ -256,10 +263,13 @@ class Compiler:
         kinds = self.graph.node_props(p.labels)
         props = {k: t for k, t in kinds.items() if "*" in wants or k in wants or k in p.props}
         unknown = [k for k in p.props if k not in kinds and k != "stub"]
-        rows = self.graph.nodes(p.labels, props, among)
+        label = self.one_table(p.labels, among)
+        rows = self.graph.nodes(p.labels, props, among, **({"stubs": False, "key": True} if label else {}))
         prefix = self.new("n")
         cols = {c: f"{prefix}_{c}" for c in rows.columns}
         rows = rows.toDF(*cols.values())
+        if label:
+            self.keys[cols["id"]] = (label, cols.pop("_key"))
         found[name] = Bound("node", cols, props)
         for k, e in p.props.items():
             if k in unknown:
@@ -272,6 +282,13 @@ class Compiler:
             rows = rows.filter(S.boolean(self.value(e, {name: found[name]}), "WHERE"))
         return rows
 
+    def one_table(self, labels: list[str], among: set[str] | None) -> str | None:
+        """The label whose table alone is looked in, if its nodes have a key."""
+        tables = self.graph.node_tables
+        fitting = [x for x in tables if (among is None or x in among) and all(y in (x, *tables[x].more_labels) or tables[x].label_column for y in labels or ())]
+        fitting = fitting if labels or among is not None else []
+        return fitting[0] if len(fitting) == 1 and tables[fitting[0]].key else None
+
     def constrained(self, p: NodePattern, name: str) -> bool:
         """Whether a node is one of few: by properties, a condition, or as bound before."""
         return bool(p.props or self.local.get(name) or name != p.var and p.var in self.outer[1])
@@ -288,7 +305,7 @@ class Compiler:
     def attach(self, df: DataFrame, p: NodePattern, name: str, end: str, found: dict[str, Bound], later: list, rel: RelPattern, side: str, own: dict[str, Bound]) -> DataFrame:
         """Binds the node at column ``end``."""
         if name in found:  # a cycle in this path
-            return df.filter(F.col(found[name].cols["id"]) == F.col(end))
+            return df.filter(self.same(found[name].cols["id"], end))
         wants = self.wants(p.var) if name == p.var and name not in own else {"id"}
         labels, complete = self.graph.ends(rel.types or None, "source" if side == "out" else "target")
         if rel.direction == "both" or rel.hops:
@@ -300,10 +317,11 @@ class Compiler:
             return df
         among = labels if complete and labels else None
         rows = self.scan(p, name, found, later, wants, among)
-        return df.join(rows, F.col(end) == F.col(found[name].cols["id"]))
+        return df.join(rows, self.same(end, found[name].cols["id"]))
 
     def edge_rows(self, rel: RelPattern, props: dict[str, Any], with_id: bool) -> DataFrame:
-        rows = self.graph.edges(rel.types or None, props, with_id)
+        ends = () if rel.hops or rel.direction == "both" else tuple(s for s in ("source", "target") if self.graph.native(rel.types or None, s))
+        rows = self.graph.edges(rel.types or None, props, with_id, **({"keys": ends} if ends else {}))
         start, end = F.col("source"), F.col("target")
         if rel.direction == "out":
             return rows.withColumns({"start": start, "end": end})
@@ -348,6 +366,9 @@ class Compiler:
             return out, first, last
         cols = {c: f"{prefix}_{c}" for c in rows.columns}
         rows = rows.toDF(*cols.values())
+        for place, side in (("start", "source"), ("end", "target")) if rel.direction != "in" else (("start", "target"), ("end", "source")):
+            if key := cols.pop(f"{side}_key", None):
+                self.keys[cols[place]] = (self.graph.native(rel.types or None, side), key)
         found[name] = Bound("rel", cols, props)
         later += [(found[name], e, k) for k, e in rel.props.items() if (k in kinds or k in ("id", "sign")) and any(x.op == "var" for x in walk(e))]
         rels.append((types, F.col(cols["id"]), False))

@@ -22,6 +22,7 @@ class NodeTable:
     id: Column
     more_labels: tuple[str, ...] = ()
     label_column: str | None = None  # a column that holds one further label
+    key: str | None = None  # a whole-number column that tells the nodes of this label apart as the id does
 
     @property
     def props(self) -> dict[str, T.DataType]:
@@ -41,6 +42,7 @@ class EdgeTable:
     sign: Column | None = None
     single: bool = True
     complete: bool = True  # every end is a node: no stubs
+    keys: tuple[str, str] | None = None  # the columns that hold the key of the source and of the target
 
 
 @dataclass
@@ -54,6 +56,15 @@ class PropertyGraph:
         for df in self.kept:
             df.unpersist()
 
+    def native(self, types: list[str] | None, side: str) -> str | None:
+        """The one label that this end of these edges has, if its nodes are told apart by a key: joins then need no ids."""
+        labels = set()
+        for name, tables in self.edge_tables.items():
+            for t in tables if not types or name in types else ():
+                labels |= set(t.from_labels if side == "source" else t.to_labels) if t.keys else {None, ""}
+        label = labels.pop() if len(labels) == 1 else None
+        return label if label in self.node_tables and self.node_tables[label].key else None
+
     def node_props(self, labels: list[str] | None = None) -> dict[str, T.DataType]:
         out: dict[str, T.DataType] = {}
         for label, t in self.node_tables.items():
@@ -73,8 +84,8 @@ class PropertyGraph:
                             out.setdefault(p, t.df.schema[p].dataType)
         return out
 
-    def nodes(self, labels: list[str] | None, props: dict[str, T.DataType], among: set[str] | None = None, stubs: bool = True) -> DataFrame:
-        """id, labels, stub and the given properties of the nodes that have all labels. among: the only tables to look in."""
+    def nodes(self, labels: list[str] | None, props: dict[str, T.DataType], among: set[str] | None = None, stubs: bool = True, key: bool = False) -> DataFrame:
+        """id, labels, stub and the given properties of the nodes that have all labels. among: the only tables to look in. key: their key too."""
         parts = []
         for label, t in self.node_tables.items():
             own = (label, *t.more_labels)
@@ -86,7 +97,7 @@ class PropertyGraph:
             df = t.df.filter(F.col(t.label_column) == missing[0]) if missing else t.df
             names = F.array(*[F.lit(x) for x in own], *([F.col(t.label_column)] if t.label_column else []))
             has = t.props
-            parts.append(df.select(t.id.alias("id"), names.alias("labels"), F.lit(False).alias("stub"), *((F.col(p) if p in has else F.lit(None)).cast(k).alias(p) for p, k in props.items())))
+            parts.append(df.select(t.id.alias("id"), names.alias("labels"), F.lit(False).alias("stub"), *((F.col(p) if p in has else F.lit(None)).cast(k).alias(p) for p, k in props.items()), *([F.col(t.key).cast("long").alias("_key")] if key else [])))
         if stubs and not labels and among is None and any(not t.complete for ts in self.edge_tables.values() for t in ts):
             nothing = F.array().cast("array<string>")
             parts.append(self.stubs().select("id", nothing.alias("labels"), F.lit(True).alias("stub"), *(F.lit(None).cast(k).alias(p) for p, k in props.items())))
@@ -101,8 +112,8 @@ class PropertyGraph:
         known = reduce(DataFrame.unionByName, [t.df.select(t.id.alias("id")) for t in self.node_tables.values()])
         return reduce(DataFrame.unionByName, ends).filter("id is not null").distinct().join(known, "id", "left_anti")
 
-    def edges(self, types: list[str] | None, props: dict[str, T.DataType], with_id: bool = True) -> DataFrame:
-        """id, type, sign, source, target and the given properties of the edges of these types (None: all).
+    def edges(self, types: list[str] | None, props: dict[str, T.DataType], with_id: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+        """id, type, sign, source, target and the given properties of the edges of these types (None: all). keys: ends of which the key is given too.
 
         The id is source#type#target#ordinal; it is only worked out where it is asked for."""
         parts = []
@@ -111,14 +122,14 @@ class PropertyGraph:
                 continue
             for t in tables:
                 sign = F.lit(1) if t.sign is None else t.sign
-                out = t.df.select(t.source.alias("source"), t.target.alias("target"), sign.cast("int").alias("sign"), *(F.col(p) for p in t.props))
+                out = t.df.select(t.source.alias("source"), t.target.alias("target"), sign.cast("int").alias("sign"), *(F.col(p) for p in t.props), *(F.col(t.keys[side == "target"]).cast("long").alias(f"{side}_key") for side in keys))
                 ordinal = F.lit("0")
                 if with_id and not t.single:
                     out = out.withColumn("_n", F.row_number().over(Window.partitionBy("source", "target").orderBy(*t.props)) - 1)
                     ordinal = F.col("_n").cast("string")
                 has = set(t.props)
                 id_ = F.concat("source", F.lit(f"#{name}#"), "target", F.lit("#"), ordinal) if with_id else F.lit(None).cast("string")
-                parts.append(out.select(id_.alias("id"), F.lit(name).alias("type"), "sign", "source", "target", *((F.col(p) if p in has else F.lit(None)).cast(k).alias(p) for p, k in props.items())))
+                parts.append(out.select(id_.alias("id"), F.lit(name).alias("type"), "sign", "source", "target", *((F.col(p) if p in has else F.lit(None)).cast(k).alias(p) for p, k in props.items()), *(f"{side}_key" for side in keys)))
         if not parts:
             schema = T.StructType([T.StructField(c, T.IntegerType() if c == "sign" else T.StringType()) for c in ("id", "type", "sign", "source", "target")] + [T.StructField(p, k) for p, k in props.items()])
             return self.spark.createDataFrame([], schema)

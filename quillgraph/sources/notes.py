@@ -341,6 +341,9 @@ class NotesGraph(PropertyGraph):
         self.note_table, self.names, self.edge_table, self.edge_names = note_table, names, edge_table, edge_names
         self.kept = [note_table, edge_table]
 
+    def native(self, types, side):
+        return None
+
     def node_props(self, labels=None):
         schema = self.note_table.schema
         return {"path": T.StringType(), "title": T.StringType()} | {n: schema[f"p_{n}"].dataType for n in self.names}
