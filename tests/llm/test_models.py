@@ -256,6 +256,15 @@ def test_pipeline(spark, sf, odd_docs):
     assert odd.columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
+def test_stages_and_spans_of_no_documents(spark, no_docs):
+    docs = no_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stash(stage(spark, docs, ""), name)
+        assert docs.schema == no_docs.schema and docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+    assert crf.toxic_spans(no_docs, crf.Crf()).count() == 0
+
+
 @pytest.mark.parametrize("folder", ["quillgraph"])
 def test_nothing_else_imports_this_subpackage(folder):
     import pathlib
