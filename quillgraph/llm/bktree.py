@@ -232,6 +232,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     classes = rows.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("size")).filter("size > 1")
     met = rows.join(classes, "root").filter("n > 1 or not place <=> first")
     met = common.stash(met.select(F.col("place.doc_id").alias("m_id"), F.col("place.k_long").alias("m_long"), F.col("place.k_int").alias("m_int"), F.expr("place <=> first").alias("stays")), "met")
+    met = met.hint("merge")  # it grows with the documents, so its size at hand is no reason to broadcast it
     whole = docs.select(F.struct("*").alias("row"), *key)
     same = F.col("k_id").eqNullSafe(F.col("m_id")) & (F.col("k_long") == F.col("m_long")) & (F.col("k_int") == F.col("m_int"))
     alone = whole.join(met, same, "left_anti").select("row")
