@@ -188,10 +188,11 @@ def _gather_windows(sample: DataFrame, names: list[str], halves: tuple[int, ...]
                 rows = [(x.tobytes(), y.tobytes()) for words, toxic in zip(_words(batch), batch.column("toxic").to_pylist(), strict=True) for x, y in _windows(words, toxic, sent.value)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["x", "y"])
 
-    rows = sample.filter(F.col("half").isin(*halves)).mapInArrow(run, "x binary, y binary").orderBy("x", "y").collect()
+    rows = sample.filter(F.col("half").isin(*halves)).mapInArrow(run, "x binary, y binary").collect()
+    pairs = sorted((bytes(r["x"]), bytes(r["y"])) for r in rows)  # so that the sums don't depend on the tasks' order
     width = 2 * WINDOW + 1
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.int32).reshape(-1, width, 5)
-    return x, np.frombuffer(b"".join(bytes(r["y"]) for r in rows), np.int8).reshape(-1, width).astype(np.int64)
+    x = np.frombuffer(b"".join(a for a, _ in pairs), np.int32).reshape(-1, width, 5)
+    return x, np.frombuffer(b"".join(b for _, b in pairs), np.int8).reshape(-1, width).astype(np.int64)
 
 
 def fit_crf(start: dict[str, float], x: np.ndarray, labels: np.ndarray) -> Crf:
