@@ -14,7 +14,7 @@ doc_ids are kept; repeated rows are packed each. An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -75,19 +75,25 @@ class Plan:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """The packing of a multiset of lengths from 1 to capacity."""
     left = {k: counts[k] for k in sorted(counts, reverse=True) if counts[k] > 0}
-    out = Plan(capacity)
+    windows = []
     while left:
         use = fill(next(iter(left)), left, capacity)
         times = min(left[k] // n for k, n in use.items())
-        out.windows.append((times, use))
+        windows.append((times, use))
         for k, n in use.items():
             left[k] -= times * n
             if not left[k]:
                 del left[k]
+    return lay_out(windows, capacity)
+
+
+def lay_out(windows: list[tuple[int, dict[int, int]]], capacity: int) -> Plan:
+    """Sequences in the order of the windows; in each, its pieces longest first."""
+    out = Plan(capacity, windows)
     shares: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
     base = 0
-    for times, use in out.windows:
+    for times, use in windows:
         offset = 0
         for k in sorted(use, reverse=True):
             shares.setdefault(k, []).append((used.get(k, 0), base, use[k], offset))
@@ -128,10 +134,12 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
     return common.texts(docs).mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (a stable table with ``length`` from 1 to capacity and doc_id, start, ids_crc32 to rank by)."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, planner: Callable[[dict[int, int], int], Plan] = plan) -> DataFrame:
+    """Adds sequence_id and offset to pieces (a stable table with ``length`` from 1 to capacity and doc_id, start, ids_crc32 to rank by).
+
+    planner: the packing of a multiset of lengths, of a size that doesn't grow with the counts."""
     totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    p = plan(totals, capacity)
+    p = pieces.sparkSession.sparkContext.broadcast(Plan(capacity, lengths=planner(totals, capacity).lengths))
     salts = max(1, salts, -(-sum(totals.values()) // PER_SALT))  # so that no length's share of a salt grows with the input
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -140,7 +148,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequence, offset = place(b.column("length").to_numpy(), b.column("rank").to_numpy(), p)
+            sequence, offset = place(b.column("length").to_numpy(), b.column("rank").to_numpy(), p.value)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rn") - 1).alias("rank")).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bcr, binslack, bktree, crf, gif, langid, mcd, merkle, pieces, rans, secrets, sparseprod
+from . import bcr, binslack, bktree, crf, gif, langid, mcd, merkle, pieces, rans, secrets, sparseprod, sumsquares
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bcr_substring_dedup": bcr.op9_bcr_substring_dedup,
         "op10_language_id": langid.op10_language_id,
         "op11_sparse_product_search": sparseprod.op11_sparse_product_search,
+        "op12_sum_of_squares_packing": sumsquares.op12_sum_of_squares_packing,
         "op13_merkle_lookup_proofs": merkle.op13_merkle_lookup_proofs,
         "pipeline": corpus_pipeline.run,
     }
