@@ -66,7 +66,7 @@ def crc_holds(m: re.Match) -> bool:
 def jwt_holds(m: re.Match) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested too deep to be a token's head
         return False
     return isinstance(head, dict) and "alg" in head
 
