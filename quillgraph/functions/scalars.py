@@ -1,6 +1,9 @@
 """Typed expressions of the query language as Spark columns.
 
-A value carries its static type, because the language never casts: values of different types are unequal and not ordered.
+A value carries its static type, because the language never casts: values of different types are unequal and not ordered by ``<``.
+Where the types of one column differ by row (a property of several kinds, ``CASE``, ``coalesce``, list elements) it is *mixed*: a struct
+of a rank and one field for each type. Spark's order of that struct is the language's total order, so sorting, grouping, ``min`` and
+``max`` need nothing of their own.
 """
 
 from __future__ import annotations
@@ -17,11 +20,83 @@ from ..plans.lexer import CypherError
 @dataclass
 class Value:
     col: Column
-    type: str  # number, string, boolean, temporal, list, map, node, rel, path, null
+    type: str  # number, string, boolean, temporal, list, map, node, rel, path, mixed, null
     item: str = "null"  # of a list
     whole: bool = False  # a number that is an integer
     ref: str | None = None  # variable of a node, rel or path
     keys: tuple[str, ...] = ()  # of a map
+    struct: Column | None = None  # of a node or relationship that is an element of a list: what the list holds of it
+    props: dict | None = None  # the properties in that struct, or in those of a list's elements
+
+
+#: The language's order of types, as far as values of several types can be told apart by row.
+RANKS = {"list": 3, "string": 4, "boolean": 5, "number": 6}
+ITEM = "struct<rank:int,text:string,flag:boolean,number:double>"
+MIXED = f"struct<rank:int,items:array<{ITEM}>,text:string,flag:boolean,number:double>"
+_FIELDS = {"string": "text", "boolean": "flag", "number": "number"}
+
+
+def _tagged(col: Column, kind: str, items: Column | None, nested: bool) -> Column:
+    fields = [F.lit(RANKS[kind]).alias("rank")] + ([] if nested else [(F.lit(None) if items is None else items).alias("items")])
+    fields += [(col if k == kind else F.lit(None)).alias(f) for k, f in _FIELDS.items()]
+    return F.when(col.isNotNull(), F.struct(*fields)).cast(ITEM if nested else MIXED)
+
+
+def mixed(v: Value, nested: bool = False) -> Value:
+    """v with its type in each row; nested: as an element of a list."""
+    if v.type == "null":
+        return Value(F.lit(None).cast(ITEM if nested else MIXED), "mixed")
+    if v.type == "mixed":
+        return Value(F.when(v.col.isNotNull(), F.struct(v.col["rank"].alias("rank"), *(v.col[f].alias(f) for f in _FIELDS.values()))).cast(ITEM), "mixed") if nested else v
+    if v.type == "temporal":
+        v = Value(v.col.cast("string"), "string")
+    if v.type == "list" and not nested and v.item in (*_FIELDS, "mixed", "null"):
+        items = v.col.cast(f"array<{ITEM}>") if v.item == "null" else v.col if v.item == "mixed" else F.transform(v.col, lambda x: _tagged(x, v.item, None, True))
+        return Value(_tagged(v.col, "list", items, False), "mixed")
+    if v.type not in _FIELDS:
+        raise CypherError("runtime", f"{v.type} can't stand beside values of other types")
+    return Value(_tagged(v.col, v.type, None, nested), "mixed")
+
+
+def part(v: Value, kind: str) -> Value:
+    """A mixed value where it is of this type, else null."""
+    return Value(v.col["items"], "list", "mixed") if kind == "list" else Value(v.col[_FIELDS[kind]], kind)
+
+
+def element(v: Value, col: Column) -> Value:
+    """A value for one element of list v."""
+    if v.item in ("node", "rel"):
+        return Value(col["id"], v.item, struct=col, props=v.props)
+    if v.item == "mixed":
+        whole = [col["rank"].alias("rank"), F.lit(None).alias("items"), *(col[f].alias(f) for f in _FIELDS.values())]
+        return Value(F.when(col.isNotNull(), F.struct(*whole)).cast(MIXED), "mixed")
+    return Value(col, v.item, whole=v.whole)
+
+
+def united(values: list[Value]) -> tuple[list[Column], Value]:
+    """The columns of values that stand for each other, of one type, and a value of that type to describe them."""
+    kinds = {v.type for v in values} - {"null"}
+    if len(kinds) > 1:
+        return [mixed(v).col for v in values], Value(F.lit(None), "mixed")
+    items = {v.item for v in values if v.type == "list"} - {"null"}
+    if kinds == {"list"} and len(items) > 1:
+        return [mixed_list(v).col for v in values], Value(F.lit(None), "list", "mixed")
+    first = next((v for v in values if v.type != "null" and (v.type != "list" or not items or v.item in items)), null())
+    return [v.col for v in values], Value(F.lit(None), first.type, first.item, all(v.whole or v.type == "null" for v in values), keys=first.keys)
+
+
+def mixed_list(v: Value) -> Value:
+    return Value(mixed(v).col["items"], "list", "mixed") if v.type == "list" else Value(F.lit(None).cast(f"array<{ITEM}>"), "list", "mixed")
+
+
+def json_text(v: Value) -> Column:
+    """A mixed value, or one in a list, as it leaves a query: as JSON."""
+    c = v.col
+    text = F.to_json(F.array(c["text"]))
+    plain = F.when(c["rank"] == RANKS["number"], number_text(Value(c["number"], "number"))).when(c["rank"] == RANKS["string"], F.substring(text, F.lit(2), F.length(text) - 2)).when(c["rank"] == RANKS["boolean"], c["flag"].cast("string"))
+    if v.item == "item":
+        return F.coalesce(plain, F.lit("null"))
+    return plain if v.item == "flat" else F.when(c["rank"] == RANKS["list"], F.concat(F.lit("["), F.array_join(F.transform(c["items"], lambda x: json_text(Value(x, "mixed", "item"))), ","), F.lit("]"))).otherwise(plain)
 
 
 def type_of(t: T.DataType) -> str:
@@ -41,6 +116,10 @@ def type_of(t: T.DataType) -> str:
 
 
 def of_column(col: Column, t: T.DataType) -> Value:
+    if t.simpleString() == MIXED:
+        return Value(col, "mixed")
+    if isinstance(t, T.ArrayType) and t.elementType.simpleString() == ITEM:
+        return Value(col, "list", "mixed")
     return Value(col, type_of(t), type_of(t.elementType) if isinstance(t, T.ArrayType) else "null", isinstance(t, T.IntegralType), keys=tuple(t.names) if isinstance(t, T.StructType) else ())
 
 
@@ -61,8 +140,8 @@ def literal(v) -> Value:
 
 def list_of(items: list[Value]) -> Value:
     kinds = {i.type for i in items} - {"null"}
-    if len(kinds) > 1:
-        raise CypherError("runtime", "lists of several types are not supported")
+    if len(kinds) > 1 or "mixed" in kinds:
+        return Value(F.array(*[mixed(i, nested=True).col for i in items]), "list", "mixed")
     kind = kinds.pop() if kinds else "null"
     return Value(F.array(*[i.col for i in items]) if items else F.array(), "list", kind, all(i.whole for i in items))
 
@@ -72,9 +151,16 @@ def null() -> Value:
 
 
 def boolean(v: Value, what: str) -> Column:
-    if v.type not in ("boolean", "null"):
-        raise CypherError("runtime", f"{what} needs booleans, not {v.type}")
-    return v.col.cast("boolean")
+    return only(v, "boolean", f"{what} needs booleans").cast("boolean")
+
+
+def only(v: Value, kind: str, says: str) -> Column:
+    """The column of a value of this type; a mixed one fails in the rows where it is of another."""
+    if v.type == "mixed":
+        return F.when(v.col.isNull() | (v.col["rank"] == RANKS[kind]), part(v, kind).col).otherwise(F.raise_error(F.lit(f"runtime: {says}")))
+    if v.type not in (kind, "null"):
+        raise CypherError("runtime", f"{says}, not {v.type}")
+    return v.col
 
 
 def _same(a: Value, b: Value) -> tuple[Column, Column] | None:
@@ -87,6 +173,8 @@ def _same(a: Value, b: Value) -> tuple[Column, Column] | None:
 def equal(a: Value, b: Value) -> Column:
     if "null" in (a.type, b.type):
         return F.lit(None).cast("boolean")
+    if "mixed" in (a.type, b.type) and {a.type, b.type} <= {"mixed", "temporal", *RANKS}:
+        return mixed(a).col == mixed(b).col
     both = _same(a, b)
     if both is None:
         return F.when(a.col.isNull() | b.col.isNull(), F.lit(None)).otherwise(F.lit(False))
@@ -94,6 +182,13 @@ def equal(a: Value, b: Value) -> Column:
 
 
 def compare(op: str, a: Value, b: Value) -> Column:
+    if "mixed" in (a.type, b.type) and {a.type, b.type} <= {"mixed", *RANKS}:
+        if a.type != b.type:
+            kind = b.type if a.type == "mixed" else a.type
+            return F.lit(None).cast("boolean") if kind == "list" else compare(op, part(a, kind) if a.type == "mixed" else a, part(b, kind) if b.type == "mixed" else b)
+        l, r = a.col, b.col
+        same_kind = (l["rank"] == r["rank"]) & (l["rank"] > RANKS["list"])
+        return F.when(same_kind, {"<": l < r, ">": l > r, "<=": l <= r, ">=": l >= r}[op])
     both = _same(a, b) if a.type in ("number", "string", "boolean", "temporal") else None
     if both is None:
         return F.lit(None).cast("boolean")
@@ -108,12 +203,15 @@ def member(a: Value, b: Value) -> Column:
         raise CypherError("runtime", "IN needs a list")
     if a.type == "null":
         return F.when(F.size(b.col) == 0, F.lit(False)).otherwise(F.lit(None))
+    if "mixed" in (a.type, b.item):
+        return F.exists(b.col, lambda x: equal(a, element(b, x)))
     if b.item not in (a.type, "null"):
         return F.when(F.size(b.col) == 0, F.lit(False)).when(a.col.isNull() | F.exists(b.col, lambda x: x.isNull()), F.lit(None)).otherwise(F.lit(False))
     return F.exists(b.col.cast("array<string>") if b.item == "null" else b.col, lambda x: x == a.col)
 
 
 def text_test(op: str, a: Value, b: Value) -> Column:
+    a, b = (part(x, "string") if x.type == "mixed" else x for x in (a, b))
     if a.type != "string" or b.type != "string":
         return F.lit(None).cast("boolean")
     return {"STARTS": F.startswith, "ENDS": F.endswith, "CONTAINS": F.contains}[op](a.col, b.col)
@@ -130,21 +228,29 @@ def number_text(v: Value) -> Column:
 def to_string(v: Value) -> Value:
     if v.type == "number":
         return Value(number_text(v), "string")
+    if v.type == "mixed":
+        return Value(F.when(v.col["rank"] == RANKS["string"], v.col["text"]).otherwise(json_text(v)), "string")
     return Value(v.col.cast("string"), "string")
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     if op == "+":
         if "list" in (a.type, b.type) and "null" not in (a.type, b.type):
-            if a.type == b.type:
+            whole = a if a.type == "list" else b
+            one = None if a.type == b.type else b if whole is a else a
+            if len({x.item for x in (a, b) if x.type == "list"} - {"null"} | ({one.type} if one else set())) > 1:  # elements of several types
+                parts = [mixed_list(x).col if x.type == "list" else F.array(mixed(x, nested=True).col) for x in (a, b)]
+                return Value(F.concat(*parts), "list", "mixed")
+            if one is None:
                 return Value(F.concat(a.col, b.col), "list", a.item if a.item != "null" else b.item)
-            return Value(F.array_append(a.col, b.col), "list", a.item) if a.type == "list" else Value(F.array_prepend(b.col, a.col), "list", b.item)
+            return Value(F.concat(*(F.array(x.col) if x is one else x.col if x.item != "null" else F.array().cast("array<" + {"number": "double", "boolean": "boolean"}.get(one.type, "string") + ">") for x in (a, b))), "list", one.type)
         if "string" in (a.type, b.type):
-            if {a.type, b.type} <= {"string", "number", "null"}:
+            if {a.type, b.type} <= {"string", "number", "mixed", "null"}:
                 return Value(F.concat(to_string(a).col, to_string(b).col), "string")
             raise CypherError("runtime", f"+ of {a.type} and {b.type}")
-    if not {a.type, b.type} <= {"number", "null"}:
+    if not {a.type, b.type} <= {"number", "mixed", "null"}:
         raise CypherError("runtime", f"{op} of {a.type} and {b.type}")
+    a, b = (Value(only(x, "number", f"{op} needs numbers"), "number") if x.type == "mixed" else x for x in (a, b))
     l, r, whole = a.col, b.col, a.whole and b.whole
     if op in "+-*":
         if whole:
@@ -162,15 +268,11 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
 
 
 def _string(v: Value, name: str) -> Column:
-    if v.type not in ("string", "null"):
-        raise CypherError("runtime", f"{name} needs a string, not {v.type}")
-    return v.col.cast("string")
+    return only(v, "string", f"{name} needs a string").cast("string")
 
 
 def _number(v: Value, name: str) -> Column:
-    if v.type not in ("number", "null"):
-        raise CypherError("runtime", f"{name} needs a number, not {v.type}")
-    return v.col
+    return only(v, "number", f"{name} needs a number")
 
 
 def _cut(s: Column, start: Column, end: Column) -> Column:
@@ -214,10 +316,8 @@ def call(name: str, args: list[Value]) -> Value:
             return Value(F.size(a.col["rels"]), "number", whole=True)
         return Value(F.length(_string(a, name)), "number", whole=True)
     if name == "coalesce":
-        kinds = {x.type for x in args} - {"null"}
-        if len(kinds) > 1:
-            raise CypherError("runtime", "coalesce of several types")
-        return Value(F.coalesce(*[x.col for x in args]), kinds.pop() if kinds else "null", whole=all(x.whole or x.type == "null" for x in args))
+        columns, like = united(args)
+        return Value(F.coalesce(*columns), like.type, like.item, like.whole, keys=like.keys)
     if name == "tostring":
         return to_string(a)
     if name in ("tointeger", "tofloat"):
@@ -237,9 +337,10 @@ def call(name: str, args: list[Value]) -> Value:
         col = {"abs": F.abs(x), "floor": F.floor(x), "ceil": F.ceil(x), "round": F.floor(x + F.lit(0.5)), "sign": F.signum(x).cast("int")}[name]
         return Value(col, "number", whole=name != "abs" or a.whole)
     if name in ("head", "last"):
-        if a.type != "list":
+        if a.type not in ("list", "mixed"):
             raise CypherError("runtime", f"{name} needs a list")
-        return Value(F.get(a.col, 0) if name == "head" else F.try_element_at(a.col, F.lit(-1)), a.item)
+        a = part(a, "list") if a.type == "mixed" else a
+        return element(a, F.get(a.col, 0) if name == "head" else F.try_element_at(a.col, F.lit(-1)))
     if name == "reverse":
         return Value(F.reverse(a.col), a.type, a.item)
     if name == "keys" and a.type == "map":
@@ -247,5 +348,5 @@ def call(name: str, args: list[Value]) -> Value:
     if name in ("nodes", "relationships"):
         if a.type != "path":
             raise CypherError("runtime", f"{name} needs a path")
-        return Value(a.col["nodes" if name == "nodes" else "rels"], "list", "map")
+        return Value(a.col["nodes" if name == "nodes" else "rels"], "list", "node" if name == "nodes" else "rel", props=None if name == "nodes" else a.props)
     raise CypherError("runtime", f"{name} of {a.type}")

@@ -1,8 +1,10 @@
 """Queries over a property graph as DataFrame plans.
 
-A pattern is joined together by itself, with the ids of variables that are bound before as keys; the rows so far are then joined to it:
-inner for MATCH, left outer for OPTIONAL MATCH with its WHERE in the join condition. A node of which only the id matters isn't scanned
-where the edge table says what its ends are. Variable-length hops are a bounded chain of joins that carries the edges it used.
+A MATCH after a WITH grows from the rows so far: each hop is joined to them, outward from a node that they hold. It is joined together by
+itself, and then to the rows by their common ids, where something in it is looked for by its properties while the rows aren't known to be
+few, and for OPTIONAL MATCH, which is one left outer join with its WHERE in the condition. A node of which only the id matters isn't
+scanned where the edge table says what its ends are. Variable-length hops carry the edges they used: a pattern of one length is a chain of
+joins, others are a recursive common table expression, one join a level until no path is left to grow.
 Nothing is collected; Catalyst pushes filters and columns to the scans and picks the joins.
 """
 
@@ -36,9 +38,17 @@ class Bound:
 
 @dataclass
 class Result:
+    """json: columns whose values are of several types, given as JSON text."""
+
     df: DataFrame
     kinds: list[tuple[str, str]]
-    notices: list[str]
+    probes: list[tuple[str, DataFrame]]
+    json: set[str] = field(default_factory=set)
+
+    @property
+    def notices(self) -> list[str]:
+        """What was left out. Asking runs a query for each pattern without an upper bound: is there a longer path?"""
+        return [text for text, longer in self.probes if not longer.isEmpty()]
 
 
 def walk(e: Expr):
@@ -48,6 +58,23 @@ def walk(e: Expr):
             yield from walk(a)
 
 
+def text(e: Expr) -> str:
+    return f"{e.op}({e.value};{','.join(text(a) if isinstance(a, Expr) else str(a) for a in e.args)})"
+
+
+def element_of(e: Expr) -> tuple[str, str] | None:
+    """(variable, what of it) of an element of a list that a variable holds: ``r[0]``, ``head(relationships(p))``."""
+    if e.op == "index" or e.op == "fn" and e.value in ("head", "last"):
+        base = e.args[0]
+        if base.op == "fn" and base.value == "relationships" and base.args[0].op == "var":
+            return base.args[0].value, "rels"
+        if base.op == "fn" and base.value == "reverse":
+            return element_of(Expr("index", [base.args[0], e], None, e.token))
+        if base.op == "var":
+            return base.value, ""
+    return None
+
+
 def edge_end(e: Expr) -> tuple[str, str] | None:
     """(startnode or endnode, variable) of ``startNode(r)``."""
     if e.op == "fn" and e.value in ("startnode", "endnode") and e.args[0].op == "var":
@@ -68,7 +95,12 @@ def variables(e: Expr) -> set[str]:
 class Compiler:
     def __init__(self, graph: PropertyGraph, params: dict[str, Any] | None = None, max_depth: int = MAX_DEPTH):
         self.graph, self.params, self.max_depth = graph, params or {}, max_depth
-        self.notices: list[str] = []
+        self.probes: list[tuple[str, DataFrame]] = []
+        self.json: set[str] = set()
+        #: Whether the rows so far are few: a LIMIT or a total.
+        self.few = False
+        #: Properties of elements of lists, by their expression's text.
+        self.looked: dict[str, S.Value] = {}
         self.fresh = 0
         self.used: dict[str, set[str]] = {}
         self.local: dict[str, list[Expr]] = {}
@@ -96,6 +128,11 @@ class Compiler:
             if e.op == "prop" and e.args[0].op == "var":
                 self.used.setdefault(e.args[0].value, set()).add(e.value)
                 return
+            if e.op == "prop" and (of := element_of(e.args[0])):
+                self.used.setdefault(of[0], set()).update({"bound", f"[]{e.value}"})
+                for a in e.args[0].args[1:]:
+                    look(a, "*")
+                return
             if e.op == "prop" and (end := edge_end(e.args[0])):
                 self.used.setdefault(end[1], set()).update({"id", f"{end[0]}~{e.value}"})
                 return
@@ -132,7 +169,7 @@ class Compiler:
     # Queries
 
     def single(self, clauses: list) -> tuple[DataFrame, list[tuple[str, str]]]:
-        self.used = {}
+        self.used, self.few, self.looked = {}, False, {}
         self.survey(clauses)
         df: DataFrame | None = None
         env: dict[str, Bound] = {}
@@ -143,6 +180,7 @@ class Compiler:
                 df = self.unwind(df, env, c)
             else:
                 df, env, kinds = self.project(self.one_row() if df is None else df, env, c)
+                self.few = bool(c.limit) or self.few or all(contains_aggregate(i.expr) for i in c.items) and bool(c.items) and not c.star
         return df, kinds
 
     def one_row(self) -> DataFrame:
@@ -171,13 +209,22 @@ class Compiler:
         hops = [r for p in m.paths for r in p.rels]
         self.needs_id = {id(r) for p in m.paths for r in p.rels if p.var or r.hops or any(o is not r and (not r.types or not o.types or set(r.types) & set(o.types)) for o in hops)}
         self.outer = (df, env)
+        grows = df is not None and not m.optional
+        if grows:
+            inside = df
         for path in m.paths:
+            if grows and (self.few or not self.selective(path, env)) and any(n.var in env or n.var in own for n in path.nodes):
+                inside, found = self.path(path, env, own, keys, later, rels, inside)
+                own |= {k: v for k, v in found.items() if k not in own and k not in env}
+                continue
             part, found = self.path(path, env, own, keys, later, rels)
-            shared = [v for v in found if v in own]
+            shared = [self.same(own[v].cols["id"], found[v].cols["id"]) for v in found if v in own]
+            if grows:  # to the rows so far by what they hold
+                shared += [self.same(env[keys[k]].cols["id"], found[k].cols["id"]) for k in found if k in keys and k not in own]
             if inside is None:
                 inside = part
             elif shared:
-                inside = inside.join(part, reduce(lambda a, b: a & b, [self.same(own[v].cols["id"], found[v].cols["id"]) for v in shared]))
+                inside = inside.join(part, reduce(lambda a, b: a & b, shared))
             else:
                 inside = inside.crossJoin(part)
             own |= {k: v for k, v in found.items() if k not in own}
@@ -187,20 +234,26 @@ class Compiler:
                     inside = inside.filter(~F.arrays_overlap(a, b) if a_list and b_list else ~F.array_contains(a, b) if a_list else ~F.array_contains(b, a) if b_list else a != b)
         joined = env | {k: v for k, v in own.items() if k not in keys}
         tests = [self.same(env[v].cols["id"], own[k].cols["id"]) for k, v in keys.items()]
+        asked = [e for c in ([m.where] if m.where else []) for e in walk(c)]
+        inside = self.lookups(inside, joined if grows or df is None else own, asked)
         for bound, expr, prop in later:
             tests.append(S.equal(self.property(bound, prop), self.value(expr, joined)))
         if m.where:
             where = S.boolean(self.value(m.where, joined), "WHERE")
             tests.append(where)
         env |= {k: v for k, v in own.items() if k not in keys}
-        if df is None and not m.optional:
+        if not m.optional:
             return reduce(DataFrame.filter, tests, inside)
         df = self.one_row() if df is None else df
         condition = reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
-        return df.join(inside, condition, "left" if m.optional else "inner")
+        return df.join(inside, condition, "left")
+
+    def selective(self, path: Path, env: dict[str, Bound]) -> bool:
+        """Whether some new node of the path is looked for by its properties."""
+        return any((n.props or self.local.get(n.var)) and n.var not in env for n in path.nodes)
 
-    def path(self, path: Path, env: dict[str, Bound], own: dict[str, Bound], keys: dict[str, str], later: list, rels: list) -> tuple[DataFrame, dict[str, Bound]]:
-        """The path by itself: each variable of it new, those bound before under stand-in names."""
+    def path(self, path: Path, env: dict[str, Bound], own: dict[str, Bound], keys: dict[str, str], later: list, rels: list, rows: DataFrame | None = None) -> tuple[DataFrame, dict[str, Bound]]:
+        """The path by itself: each variable of it new, those bound before under stand-in names. With rows: the rows, grown by the path."""
         found: dict[str, Bound] = {}
 
         def stand_in(var: str | None, kind: str) -> str:
@@ -209,13 +262,21 @@ class Compiler:
             if var in env:
                 if env[var].kind != kind:
                     raise CypherError("syntax", f"{var} is a {env[var].kind}, not a {kind}")
+                if rows is not None and kind == "node":
+                    found[var] = env[var]
+                    return var
                 k = next((k for k, v in keys.items() if v == var), None) or self.new(f"k_{var}_")
                 keys[k] = var
                 return k
             return var
 
         names = [stand_in(n.var, "node") for n in path.nodes]
+        self.path_props(path)
         df, hops = None, list(zip(path.rels, path.nodes[1:], names[1:], strict=True))
+        if rows is not None:
+            found |= {n: own[n] for n in names if n in own}
+            df = self.grow(path, names, found, own, later, rels, rows, stand_in)
+            return self.bind_path(path, names, df, found), found
         if not hops:
             return self.scan(path.nodes[0], names[0], found, later, self.wants(path.nodes[0].var) if names[0] == path.nodes[0].var else {"id"}), found
         for i, (rel, node, name) in enumerate(hops):
@@ -240,24 +301,77 @@ class Compiler:
             else:
                 df = df.join(hop, self.same(found[before_name].cols["id"], start))
             df = self.attach(df, node, name, end, found, later, rel, "out" if rel.direction == "in" else "in", own)
+        return self.bind_path(path, names, df, found), found
+
+    def grow(self, path: Path, names: list[str], found: dict[str, Bound], own: dict[str, Bound], later: list, rels: list, rows: DataFrame, stand_in) -> DataFrame:
+        """The rows, grown hop by hop outward from a node of the path that they hold."""
+        known = [i for i, n in enumerate(names) if n in found]
+        for i in known:
+            rows = self.checked(rows, path, i, found[names[i]], later)
+        at = known[0] if known[-1] != len(names) - 1 or known[0] == 0 else known[-1]
+        right, left = [(i, i + 1) for i in range(at, len(path.rels))], [(i + 1, i) for i in range(at - 1, -1, -1)]
+        for here, there in right + left:
+            rel, back = path.rels[min(here, there)], there < here
+            name = stand_in(rel.var, "rels" if rel.hops else "rel")
+            side = "source" if (rel.direction == "in") != back else "target"
+            begin = found[names[here]].cols["id"]
+            if rel.hops:
+                rows, end = self.trails(rel, name, found, rels, rows, begin, back)
+            else:
+                hop, start, end = self.hop(rel, name, found, later, rels)
+                start, end = (end, start) if back else (start, end)
+                rows = rows.join(hop, self.same(begin, start))
+            rows = self.attach(rows, path.nodes[there], names[there], end, found, later, rel, "out" if side == "source" else "in", own)
+        return rows
+
+    def checked(self, rows: DataFrame, path: Path, i: int, bound: Bound, later: list) -> DataFrame:
+        """The rows in which a node bound before is what the path says of it."""
+        p = path.nodes[i]
+        near = [(path.rels[i - 1], "target")] if i else []
+        near += [(path.rels[i], "source")] if i < len(path.rels) else []
+        for rel, side in near:
+            ends, complete = self.graph.ends(rel.types or None, side if rel.direction == "out" else {"source": "target", "target": "source"}[side])
+            if p.labels and not p.props and rel.direction != "both" and not rel.hops and complete and ends == set(p.labels) and len(ends) == 1:
+                return rows
+        if not p.labels and not p.props:
+            return rows
+        mine: dict[str, Bound] = {}
+        fitting = self.scan(p, self.new("v"), mine, later, {"id"})
+        return rows.join(fitting, self.same(bound.cols["id"], next(iter(mine.values())).cols["id"]))
+
+    def path_props(self, path: Path) -> None:
+        """Properties of a path's relationships that are asked for through it are wanted of each of them."""
+        asked = {w[2:] for w in self.wants(path.var) if w.startswith("[]")} if path.var else set()
+        if path.var:
+            self.listed = self.listed | {id(r): path.rels for r in path.rels}
+        self.rel_props = self.rel_props | {id(r): asked | {w[2:] for w in self.wants(r.var) if w.startswith("[]")} for r in path.rels}
+
+    def bind_path(self, path: Path, names: list[str], df: DataFrame, found: dict[str, Bound]) -> DataFrame:
         if path.var:
             ids = [found[n].cols["id"] for n in names]
             nodes = F.array(F.struct(F.col(ids[0]).alias("id")))
             edges = None
-            for (rel, _, _), b in zip(hops, ids[1:], strict=True):
+            props = self.shared_props(path.rels)
+            for rel, b in zip(path.rels, ids[1:], strict=True):
                 own_rel = found[self.rel_names[id(rel)]]
                 if own_rel.kind == "rels":
                     step, between = F.col(own_rel.cols["list"]), F.transform(F.col(own_rel.cols["ends"]), lambda x: F.struct(x.alias("id")))
                 else:
-                    step, between = F.array(self.rel_struct(own_rel, [])), F.array(F.struct(F.col(b).alias("id")))
+                    step, between = F.array(self.rel_struct(own_rel, props)), F.array(F.struct(F.col(b).alias("id")))
                 edges = step if edges is None else F.concat(edges, step)
                 nodes = F.concat(nodes, between)
             col = self.new("p")
             df = df.withColumn(col, F.struct(nodes.alias("nodes"), edges.alias("rels")))
-            found[path.var] = Bound("path", {"": col}, value=S.Value(F.col(col), "path", ref=path.var))
-        return df, found
+            found[path.var] = Bound("path", {"": col}, value=S.Value(F.col(col), "path", ref=path.var, props=props))
+        return df
+
+    def shared_props(self, rels: list[RelPattern]) -> dict[str, Any]:
+        """The asked properties of relationships that stand in one list, and their types."""
+        kinds = self.graph.edge_props(sorted({t for r in rels for t in r.types}) if all(r.types for r in rels) else None)
+        return {k: kinds[k] for k in sorted({k for r in rels for k in self.rel_props.get(id(r), ())}) if k in kinds}
 
     rel_names: dict[int, str] = {}
+    rel_props: dict[int, set[str]] = {}
 
     def scan(self, p: NodePattern, name: str, found: dict[str, Bound], later: list, wants: set[str], among: set[str] | None = None) -> DataFrame:
         kinds = self.graph.node_props(p.labels)
@@ -334,7 +448,7 @@ class Compiler:
         """The edges that a relationship can be, and their properties. Their ids are worked out only if something asks for them."""
         kinds = self.graph.edge_props(rel.types or None)
         wants = self.wants(rel.var)
-        props = {k: t for k, t in kinds.items() if k not in ("id", "sign") and ("*" in wants or k in wants or k in rel.props)}
+        props = {k: t for k, t in kinds.items() if k not in ("id", "sign") and ("*" in wants or k in wants or k in rel.props or k in self.rel_props.get(id(rel), ()))}
         with_id = bool({"*", "id"} & wants) or id(rel) in self.needs_id or name != rel.var or "id" in rel.props or any("~" in x for x in wants)
         rows = self.edge_rows(rel, props, with_id)
         bound = Bound("rel", {c: c for c in rows.columns}, props)
@@ -374,35 +488,74 @@ class Compiler:
         rels.append((types, F.col(cols["id"]), False))
         return rows, cols["start"], cols["end"]
 
-    def steps(self, rows: DataFrame) -> DataFrame:
-        return rows.select(F.struct("id", "type", "sign", "source", "target").alias("edge"), F.col("start").alias("from"), F.col("end").alias("to"))
+    def steps(self, rows: DataFrame, props: dict[str, Any] | None = None) -> DataFrame:
+        """The edge of each step, the asked properties in it, and its ends in the direction of the pattern."""
+        kept = [F.struct(*((F.col(k) if k in rows.columns else F.lit(None)).cast(t).alias(k) for k, t in props.items())).alias("properties")] if props else []
+        return rows.select(F.struct("id", "type", "sign", "source", "target", *kept).alias("edge"), F.col("start").alias("from"), F.col("end").alias("to"))
 
     def trails(self, rel: RelPattern, name: str, found: dict[str, Bound], rels: list, df: DataFrame, at: str, back: bool = False) -> tuple[DataFrame, str]:
         """The rows of df, once for each trail from the node in column ``at`` (``back``: to it), and the column of the trail's other end."""
         self.rel_names = {**self.rel_names, id(rel): name}
         low, high = rel.hops
-        if high is None:
-            high = self.max_depth
-            self.notices.append(f"variable-length pattern without an upper bound: paths of over {high} edges are not looked for")
-        step = self.steps(self.filtered_edges(rel, name)[0])
+        bounded = high is not None
+        high = self.max_depth if high is None else high
+        props = self.shared_props(self.listed.get(id(rel), [rel]))
+        step = self.steps(self.filtered_edges(rel, name)[0], props)
         edge = step.schema["edge"].dataType.simpleString()
         prefix = self.new("r")
         last, steps, ends = (f"{prefix}_{c}" for c in ("last", "list", "ends"))
         carried = df.columns
         now = df.select(*carried, F.col(at).alias(last), F.array().cast(f"array<{edge}>").alias(steps), F.array().cast("array<string>").alias(ends))
         here, there = ("to", "from") if back else ("from", "to")
-        grow = (lambda a, x: F.array_prepend(a, x)) if back else (lambda a, x: F.array_append(a, x))
-        frames = [now] if low == 0 else []
-        for d in range(1, high + 1):
-            unused = ~F.exists(steps, lambda x: x["id"] == F.col("edge.id")) if d > 1 else F.lit(True)
-            now = now.join(step, (F.col(last) == F.col(here)) & unused).select(*carried, F.col(there).alias(last), grow(F.col(steps), F.col("edge")).alias(steps), grow(F.col(ends), F.col("to")).alias(ends))
-            if d >= low:
-                frames.append(now)
-        out = reduce(DataFrame.unionByName, frames) if frames else now.filter(F.lit(False))
-        found[name] = Bound("rels", {"list": steps, "ends": ends}, value=S.Value(F.col(steps), "list", "map"))
+
+        def longer(now: DataFrame) -> DataFrame:
+            unused = ~F.exists(steps, lambda x: x["id"] == F.col("edge.id"))
+            grow = (lambda a, x: F.array_prepend(a, x)) if back else (lambda a, x: F.array_append(a, x))
+            return now.join(step, (F.col(last) == F.col(here)) & unused).select(*carried, F.col(there).alias(last), grow(F.col(steps), F.col("edge")).alias(steps), grow(F.col(ends), F.col("to")).alias(ends))
+
+        if low == high or high <= 1:
+            frames = [now] if low == 0 else []
+            for _ in range(high):
+                now = longer(now)
+            frames += [now] if high or not frames else []
+            out = reduce(DataFrame.unionByName, frames)
+        else:
+            out = self.levels(now, step, carried, (last, steps, ends), edge, (here, there), low, high)
+        if not bounded:
+            widest = out.filter(F.size(steps) == high)
+            self.probes.append((f"variable-length pattern without an upper bound: paths of over {high} edges are not looked for", longer(widest)))
+        found[name] = Bound("rels", {"list": steps, "ends": ends}, value=S.Value(F.col(steps), "list", "rel", props=props))
         rels.append((set(rel.types) or None, F.transform(F.col(steps), lambda x: x["id"]), True))
         return out, last
 
+    #: Relationships of a variable length by the path whose list they share.
+    listed: dict[int, list[RelPattern]] = {}
+
+    def levels(self, now: DataFrame, step: DataFrame, carried: list[str], own: tuple[str, str, str], edge: str, sides: tuple[str, str], low: int, high: int) -> DataFrame:
+        """The rows of all levels from low to high: one join a level, each over the rows that the level before has found."""
+        last, steps, ends = own
+        here, there = sides
+        self.fresh += 1
+        start, edges, found = (f"_{x}{self.fresh}_{id(self):x}" for x in ("start", "edges", "found"))
+        put = "array_prepend" if sides[0] == "to" else "array_append"
+        keep = "".join(f"w.`{c}`, " for c in carried)
+        spark = self.graph.spark
+        if spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000000":  # Spark's default stops larger results with an error
+            spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+        now.createOrReplaceTempView(start)
+        step.createOrReplaceTempView(edges)
+        try:
+            out = spark.sql(f"""WITH RECURSIVE {found} AS (
+                SELECT {keep.replace("w.", "")}`{last}`, `{steps}`, `{ends}`, 0 AS `{found}` FROM {start}
+                UNION ALL
+                SELECT {keep}s.`{there}`, CAST({put}(w.`{steps}`, s.edge) AS array<{edge}>), CAST({put}(w.`{ends}`, s.`to`) AS array<string>), w.`{found}` + 1
+                FROM {found} w JOIN {edges} s ON w.`{last}` = s.`{here}` WHERE w.`{found}` < {high} AND NOT exists(w.`{steps}`, x -> x.id = s.edge.id)
+            ) SELECT * FROM {found} WHERE `{found}` >= {low}""")
+        finally:
+            spark.catalog.dropTempView(start)
+            spark.catalog.dropTempView(edges)
+        return out.drop(found)
+
     # Expressions
 
     def property(self, b: Bound, key: str) -> S.Value:
@@ -416,14 +569,51 @@ class Compiler:
             return S.null()
         return S.of_column(F.col(b.cols[key]), b.props[key])
 
-    def rel_struct(self, b: Bound, props: list[str]) -> Column:
-        return F.struct(*(F.col(b.cols[c]).alias(c) for c in ("id", "type", "sign", "source", "target")))
+    def element_property(self, v: S.Value, key: str) -> S.Value | None:
+        """A property of a node or relationship in a list, as far as the list holds it."""
+        if key == "id":
+            return S.Value(v.col, "string")
+        if v.type == "rel" and key in ("type", "source", "target", "sign"):
+            return S.Value(v.struct[key], "number" if key == "sign" else "string", whole=key == "sign")
+        if v.props is None:
+            return None
+        return S.of_column(v.struct["properties"][key], v.props[key]) if key in v.props else S.null()
+
+    def lookups(self, df: DataFrame, env: dict[str, Bound], exprs: list[Expr], grouped: Any = None) -> DataFrame:
+        """df with the properties that these expressions ask of single elements of lists of nodes: one join by id for each element."""
+        wanted: dict[str, tuple[S.Value, dict[str, str]]] = {}
+        for e in exprs:
+            base = e.args[0] if e.args and isinstance(e.args[0], Expr) else None
+            if base is None or not (e.op in ("prop", "haslabel") or e.op == "fn" and e.value == "labels") or base.op not in ("index", "fn", "var") or text(e) in self.looked:
+                continue
+            if not variables(base) <= set(env) and grouped is None or base.op == "var" and (base.value not in env or env[base.value].kind != "late"):
+                continue
+            v = self.value(base, env, grouped)
+            if v.type == "node" and not v.ref and (e.op != "prop" or self.element_property(v, e.value) is None):
+                wanted.setdefault(text(base), (v, {}))[1][text(e)] = e.value if e.op == "prop" else ""
+        kinds = self.graph.node_props(None)
+        for v, asked in wanted.values():
+            props = {k: kinds[k] for k in asked.values() if k in kinds}
+            prefix = self.new("e")
+            rows = self.graph.nodes(None, props)
+            rows = rows.toDF(*(f"{prefix}_{c}" for c in rows.columns))
+            df = df.withColumn(prefix, v.col).join(rows, F.col(prefix) == F.col(f"{prefix}_id"), "left")
+            for place, key in asked.items():
+                if not key:
+                    self.looked[place] = S.Value(F.col(f"{prefix}_labels"), "list", "string")
+                else:
+                    self.looked[place] = S.Value(F.col(f"{prefix}_stub"), "boolean") if key == "stub" else S.of_column(F.col(f"{prefix}_{key}"), props[key]) if key in props else S.null()
+        return df
+
+    def rel_struct(self, b: Bound, props: dict[str, Any]) -> Column:
+        kept = [F.struct(*((F.col(b.cols[k]) if k in b.cols else F.lit(None)).cast(t).alias(k) for k, t in props.items())).alias("properties")] if props else []
+        return F.struct(*(F.col(b.cols[c]).alias(c) for c in ("id", "type", "sign", "source", "target")), *kept)
 
     def reference(self, name: str, env: dict[str, Bound], token) -> S.Value:
         if name not in env:
             raise CypherError("syntax", f"variable {name} is not defined", token.line, token.column)
         b = env[name]
-        if b.kind in ("value", "path", "rels"):
+        if b.kind in ("value", "path", "rels", "late"):
             return b.value
         return S.Value(F.col(b.cols["id"]), b.kind, ref=name)
 
@@ -431,6 +621,10 @@ class Compiler:
         """grouped: in an aggregating projection, gives the column of an aggregate or of a key."""
         if grouped is not None and (hit := grouped(e)) is not None:
             return hit
+        if (e.op in ("prop", "haslabel") or e.op == "fn" and e.value == "labels") and (hit := self.looked.get(text(e))) is not None:
+            if e.op == "haslabel":
+                return S.Value(reduce(lambda a, b: a & b, [F.array_contains(hit.col, x) for x in e.value]), "boolean")
+            return hit
         go = lambda x: self.value(x, env, grouped)
         try:
             return self.raw_value(e, env, go)
@@ -452,9 +646,10 @@ class Compiler:
             return self.member(e, env, go)
         if e.op == "index":
             v, i = go(e.args[0]), go(e.args[1])
+            v = S.part(v, "list") if v.type == "mixed" and i.type == "number" else v
             if v.type == "list" and i.type == "number":
                 n = i.col.cast("int")
-                return S.Value(F.try_element_at(v.col, F.when(n >= 0, n + 1).otherwise(n)), v.item, whole=v.whole)
+                return S.element(v, F.try_element_at(v.col, F.when(n >= 0, n + 1).otherwise(n)))
             if v.type in ("map", "node", "rel") and e.args[1].op == "lit" and isinstance(e.args[1].value, str):
                 return self.raw_value(Expr("prop", [e.args[0]], e.args[1].value, e.token), env, go)
             if "null" in (v.type, i.type):
@@ -474,19 +669,18 @@ class Compiler:
             return S.Value(~S.boolean(go(e.args[0]), "NOT"), "boolean")
         if e.op in ("neg", "pos"):
             v = go(e.args[0])
-            if v.type not in ("number", "null"):
-                raise CypherError("runtime", f"a sign before {v.type}")
-            return S.Value(-v.col if e.op == "neg" else v.col, v.type, whole=v.whole)
+            c = S.only(v, "number", "a sign needs a number")
+            return S.Value(-c if e.op == "neg" else c, "null" if v.type == "null" else "number", whole=v.whole)
         if e.op == "isnull":
             c = go(e.args[0]).col.isNull()
             return S.Value(~c if e.value else c, "boolean")
         if e.op == "case":
             pairs = [go(a) for a in e.args]
             out = None
-            for c, v in zip(pairs[:-1:2], pairs[1::2], strict=True):
-                out = F.when(S.boolean(c, "WHEN"), v.col) if out is None else out.when(S.boolean(c, "WHEN"), v.col)
-            kinds = {v.type for v in [*pairs[1::2], pairs[-1]]} - {"null"}
-            return S.Value(out.otherwise(pairs[-1].col), kinds.pop() if kinds else "null", whole=all(v.whole for v in pairs[1::2]))
+            columns, like = S.united([*pairs[1::2], pairs[-1]])
+            for c, v in zip(pairs[:-1:2], columns, strict=False):
+                out = F.when(S.boolean(c, "WHEN"), v) if out is None else out.when(S.boolean(c, "WHEN"), v)
+            return S.Value(out.otherwise(columns[-1]), like.type, like.item, like.whole, keys=like.keys)
         if e.op == "bin":
             return self.binary(e.value, go(e.args[0]), go(e.args[1]))
         if e.op == "fn":
@@ -500,7 +694,10 @@ class Compiler:
             return S.of_column(F.col(b.cols[key]), b.props[key]) if key in b.props else S.null()
         v = go(e.args[0])
         if v.type in ("node", "rel"):
-            return self.property(env[v.ref], e.value)
+            found = self.property(env[v.ref], e.value) if v.ref else self.element_property(v, e.value)
+            if found is None:
+                raise CypherError("runtime", "a property of a list's node can't be asked here: bind the node first")
+            return found
         if v.type == "map":
             return S.Value(v.col[e.value], self.map_type(e, v)) if not v.keys or e.value in v.keys else S.null()
         if v.type == "null":
@@ -536,15 +733,22 @@ class Compiler:
         if name == "id":
             return S.Value(a.col, "string") if a.type in ("node", "rel") else S.null()
         if name == "type":
-            return S.Value(F.col(b.cols["type"]), "string") if a.type == "rel" else S.null()
+            return S.null() if a.type != "rel" else S.Value(F.col(b.cols["type"]) if b else a.struct["type"], "string")
         if name == "labels":
+            if a.type == "node" and not b:
+                if a.props is None:
+                    raise CypherError("runtime", "labels of a list's node can't be asked here: bind the node first")
+                return S.Value(a.struct["labels"], "list", "string")
             return S.Value(F.col(b.cols["labels"]), "list", "string") if a.type == "node" else S.null()
         if name in ("startnode", "endnode"):
             if a.type != "rel":
                 return S.null()
-            return S.Value(F.struct(F.col(b.cols["source" if name == "startnode" else "target"]).alias("id")), "map", keys=("id",))
+            side = "source" if name == "startnode" else "target"
+            return S.Value(F.struct((F.col(b.cols[side]) if b else a.struct[side]).alias("id")), "map", keys=("id",))
+        if name in ("keys", "properties") and a.type in ("node", "rel") and not b:
+            raise CypherError("runtime", f"{name} of a list's element can't be asked here: bind it first")
         if name in ("keys", "properties") and a.type in ("node", "rel"):
-            own = [k for k in b.props if "~" not in k]
+            own = [k for k in b.props if "~" not in k and not (a.type == "rel" and k in self.graph.hidden)]
             if name == "properties":
                 return S.Value(F.struct(*(F.col(b.cols[k]).alias(k) for k in own)) if own else F.struct(F.lit(None).alias("_")), "map", keys=tuple(own))
             return S.Value(F.array_compact(F.array(*(F.when(F.col(b.cols[k]).isNotNull(), F.lit(k)) for k in own))), "list", "string")
@@ -556,12 +760,18 @@ class Compiler:
 
     def output(self, v: S.Value, env: dict[str, Bound]) -> Column:
         """A value as it leaves the query: nodes and edges as structs."""
-        if v.type == "node":
+        if v.type == "node" and v.ref:
             b = env[v.ref]
             props = F.struct(*(F.col(b.cols[k]).alias(k) for k in b.props)) if b.props else F.lit(None)
             return F.when(F.col(b.cols["id"]).isNotNull(), F.struct(F.col(b.cols["id"]).alias("id"), (F.col(b.cols["labels"]) if "labels" in b.cols else F.lit(None)).alias("labels"), (F.col(b.cols["stub"]) if "stub" in b.cols else F.lit(None)).alias("stub"), props.alias("properties")))
+        if v.type in ("node", "rel") and not v.ref:
+            return v.struct
+        if v.type == "mixed":
+            return S.json_text(v)
+        if v.type == "list" and v.item == "mixed":
+            return F.transform(v.col, lambda x: S.json_text(S.Value(x, "mixed", "flat")))
         if v.type == "rel":
-            return F.when(F.col(env[v.ref].cols["id"]).isNotNull(), self.rel_struct(env[v.ref], []))
+            return F.when(F.col(env[v.ref].cols["id"]).isNotNull(), self.rel_struct(env[v.ref], {}))
         return v.col
 
     def aggregate(self, e: Expr, env: dict[str, Bound]) -> S.Value:
@@ -570,11 +780,13 @@ class Compiler:
             if not e.args:
                 return S.Value(F.count(F.lit(1)), "number", whole=True)
             v = self.value(e.args[0], env)
-            c = F.col(env[v.ref].cols["type"]) if v.type == "rel" and not distinct else v.col  # null only where the edge is
+            c = F.col(env[v.ref].cols["type"]) if v.type == "rel" and v.ref and not distinct else v.col  # null only where the edge is
             return S.Value(F.count_distinct(c) if distinct else F.count(c), "number", whole=True)
         v = self.value(e.args[0], env)
-        if name in ("sum", "avg", "stdev", "percentilecont") and v.type not in ("number", "null"):
-            raise CypherError("runtime", f"{name} of {v.type}", e.token.line, e.token.column)
+        if name in ("sum", "avg", "stdev", "percentilecont"):
+            if v.type not in ("number", "mixed", "null"):
+                raise CypherError("runtime", f"{name} of {v.type}", e.token.line, e.token.column)
+            v = S.Value(S.only(v, "number", f"{name} needs numbers"), "number", whole=v.whole)
         if name == "sum":
             return S.Value(F.coalesce(F.sum_distinct(v.col) if distinct else F.sum(v.col), F.lit(0)), "number", whole=v.whole)
         if name == "avg":
@@ -582,8 +794,13 @@ class Compiler:
         if name in ("min", "max"):
             return S.Value((F.min if name == "min" else F.max)(v.col), v.type, whole=v.whole)
         if name == "collect":
-            c = self.output(v, env)
-            return S.Value(F.array_distinct(F.collect_list(c)) if distinct else F.collect_list(c), "list", v.type, v.whole)
+            c, props = self.output(v, env), v.props
+            if v.type == "mixed":
+                c = S.mixed(v, nested=True).col
+            elif v.type in ("node", "rel") and v.ref:
+                props = {k: t for k, t in env[v.ref].props.items() if "~" not in k and not (v.type == "rel" and k in self.graph.hidden)}
+                c = F.when(v.col.isNotNull(), self.rel_struct(env[v.ref], props)) if v.type == "rel" else c
+            return S.Value(F.array_distinct(F.collect_list(c)) if distinct else F.collect_list(c), "list", v.type, v.whole, props=props)
         if name == "stdev":
             return S.Value(F.stddev_samp(v.col), "number")
         p = self.value(e.args[1], env)
@@ -600,6 +817,8 @@ class Compiler:
         aliases = {i.name: i.expr for i in items}
         order = [(aliases[e.value] if e.op == "var" and e.value in aliases else e, down) for e, down in c.order]
         grouping = any(contains_aggregate(i.expr) for i in items) or any(contains_aggregate(e) for e, _ in order)
+        asked = [x for e in [*(i.expr for i in items), *(self.unalias(e, aliases, env) for e, _ in order)] for x in walk(e)]
+        df = self.lookups(df, env, [x for x in asked if not contains_aggregate(x)])
         if grouping:
             df, env, values, ordering = self.group(df, env, items, order, aliases)
         else:
@@ -610,16 +829,28 @@ class Compiler:
         names, columns, kinds = [], [], []
         for item, v in zip(items, values, strict=True):
             kinds.append((item.name, {"node": "node", "rel": "relationship", "path": "path"}.get(v.type, "scalar")))
-            if c.final or v.type not in ("node", "rel"):
+            if c.final and (v.type == "mixed" or v.type == "list" and v.item == "mixed"):
+                self.json.add(item.name)
+            if v.type in ("node", "rel") and not v.ref and not c.final:  # what a list holds of it
+                whole, one = self.new("w"), self.new("w")
+                columns += [v.col.alias(one), v.struct.alias(whole)]
+                names.append([one, whole])
+                out_env[item.name] = Bound("late", {"": one, "struct": whole, "id": one}, value=S.Value(F.col(one), v.type, struct=F.col(whole), props=v.props))
+            elif c.final or v.type not in ("node", "rel"):
                 col = item.name if c.final else self.new("w")
                 columns.append((self.output(v, env) if c.final else v.col).alias(col))
                 names.append([col])
-                out_env[item.name] = Bound("path" if v.type == "path" else "value", {"": col}, value=S.Value(F.col(f"`{col}`"), v.type, v.item, v.whole, keys=v.keys))
+                out_env[item.name] = Bound("path" if v.type == "path" else "value", {"": col}, value=S.Value(F.col(f"`{col}`"), v.type, v.item, v.whole, keys=v.keys, props=v.props))
             else:
                 old = env[v.ref]
                 new = {k: f"{self.new('w')}_{n}" for n, k in enumerate(old.cols)}
                 columns += [F.col(old.cols[k]).alias(new[k]) for k in old.cols]
                 names.append(list(new.values()))
+                if known := self.keys.get(old.cols["id"]):  # goes along, so that later hops need no ids
+                    key = self.new("w")
+                    columns.append(F.col(known[1]).alias(key))
+                    names[-1].append(key)
+                    self.keys[new["id"]] = (known[0], key)
                 out_env[item.name] = Bound(old.kind, new, old.props)
         hidden = []
         for v, _down in ordering:
@@ -639,6 +870,7 @@ class Compiler:
             df = df.limit(self.number(c.limit, "LIMIT"))
         df = df.select(*[F.col(f"`{n}`") for n in shown])
         if c.where:
+            df = self.lookups(df, out_env, list(walk(c.where)))
             df = df.filter(S.boolean(self.value(c.where, out_env), "WHERE"))
         return df, out_env, kinds
 
@@ -664,22 +896,27 @@ class Compiler:
         place: dict[str, S.Value] = {}
         out_env: dict[str, Bound] = {}
 
-        def text(e: Expr) -> str:
-            return f"{e.op}({e.value};{','.join(text(a) for a in e.args)})"
-
         for i in keys:
             v = self.value(i.expr, env)
-            if v.type in ("node", "rel"):
+            if v.type in ("node", "rel") and v.ref:
                 b = env[v.ref]
                 new = {k: self.new("g") for k in b.cols}
                 key_cols.append(F.col(b.cols["id"]).alias(new["id"]))
                 agg_cols += [F.first(F.col(b.cols[k])).alias(new[k]) for k in b.cols if k != "id"]  # the id decides them
+                if known := self.keys.get(b.cols["id"]):
+                    key = self.new("g")
+                    agg_cols.append(F.first(F.col(known[1])).alias(key))
+                    self.keys[new["id"]] = (known[0], key)
                 out_env[v.ref] = Bound(b.kind, new, b.props)
                 place[text(i.expr)] = S.Value(F.col(new["id"]), v.type, ref=v.ref)
             else:
                 name = self.new("g")
                 key_cols.append(v.col.alias(name))
-                place[text(i.expr)] = S.Value(F.col(name), v.type, v.item, v.whole, keys=v.keys)
+                struct = None
+                if v.struct is not None:
+                    struct = F.col(name + "_s")
+                    agg_cols.append(F.first(v.struct).alias(name + "_s"))
+                place[text(i.expr)] = S.Value(F.col(name), v.type, v.item, v.whole, keys=v.keys, struct=struct, props=v.props)
 
         def collect(e: Expr) -> None:
             if text(e) in place:
@@ -688,7 +925,7 @@ class Compiler:
                 v = self.aggregate(e, env)
                 name = self.new("a")
                 agg_cols.append(v.col.alias(name))
-                place[text(e)] = S.Value(F.col(name), v.type, v.item, v.whole)
+                place[text(e)] = S.Value(F.col(name), v.type, v.item, v.whole, props=v.props)
             elif not contains_aggregate(e) and e.op not in ("lit", "param"):
                 v = self.value(e, env)
                 name = self.new("f")
@@ -704,6 +941,7 @@ class Compiler:
         agg_cols = agg_cols or [F.count(F.lit(1)).alias(self.new("a"))]
         df = df.groupBy(*key_cols).agg(*agg_cols) if key_cols else df.agg(*agg_cols)
         lookup = lambda e: place.get(text(e))
+        df = self.lookups(df, out_env, [x for e in [i.expr for i in items] + [e for e, _ in order] for x in walk(e) if contains_aggregate(x)], lookup)
         return df, out_env, [self.value(i.expr, out_env, lookup) for i in items], [(self.value(e, out_env, lookup), down) for e, down in order]
 
 
@@ -717,4 +955,4 @@ def run(graph: PropertyGraph, query: str, params: dict[str, Any] | None = None,
         if [n for n, _ in k] != [n for n, _ in kinds]:
             raise CypherError("syntax", "UNION needs the same columns")
         df = df.unionByName(other)
-    return Result(df if len(frames) == 1 or q.union_all else df.distinct(), kinds, c.notices)
+    return Result(df if len(frames) == 1 or q.union_all else df.distinct(), kinds, c.probes, c.json)

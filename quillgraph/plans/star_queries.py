@@ -88,6 +88,29 @@ QUERIES: dict[str, tuple[str, str]] = {
         "MATCH p = (c:Customer)-[:IN_NATION]->()-[:IN_REGION]->() RETURN length(p) AS l, size(nodes(p)) AS n, size(relationships(p)) AS r, count(*) AS c",
         "SELECT 2 AS l, 3 AS n, 2 AS r, count(*) AS c FROM customer",
     ),
+    "expand_from_few": (
+        "MATCH (c:Customer) WITH c ORDER BY c.c_acctbal DESC, c.c_custkey LIMIT 10 MATCH (c)-[:PLACED]->(o)-[r:CONTAINS]->(p) RETURN c.c_custkey AS k, count(*) AS n, round(sum(r.l_quantity)) AS q, count(DISTINCT p) AS parts",
+        "SELECT o_custkey AS k, count(*) AS n, CAST(floor(sum(l_quantity) + 0.5) AS BIGINT) AS q, count(DISTINCT l_partkey) AS parts FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10) GROUP BY 1",
+    ),
+    "var_length_deep": (
+        "MATCH (a:Nation)-[r:IN_NATION|IN_REGION*1..6]-(b) RETURN size(r) AS k, count(*) AS n",
+        """WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS i, 'Nation:' || n_nationkey AS s, 'Region:' || n_regionkey AS t FROM nation UNION ALL SELECT 'c' || c_custkey, 'Customer:' || c_custkey, 'Nation:' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey FROM supplier),
+        b AS (SELECT i, s, t FROM e UNION ALL SELECT i, t, s FROM e),
+        w(pos, used, k) AS (SELECT t, [i], 1 FROM b WHERE starts_with(s, 'Nation:') UNION ALL SELECT b.t, list_append(w.used, b.i), w.k + 1 FROM w JOIN b ON b.s = w.pos WHERE w.k < 6 AND NOT list_contains(w.used, b.i))
+        SELECT k, count(*) AS n FROM w GROUP BY k""",
+    ),
+    "path_elements": (
+        "MATCH p = (c:Customer)-[:IN_NATION]->()-[:IN_REGION]->() RETURN nodes(p)[1].n_name AS n, last(nodes(p)).r_name AS r, nodes(p)[5].r_name AS none, count(*) AS k",
+        "SELECT n_name AS n, r_name AS r, CAST(NULL AS VARCHAR) AS none, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
+    ),
+    "rel_elements": (
+        "MATCH (c:Customer)-[r:PLACED|CONTAINS*2]->(p) RETURN r[1].l_returnflag AS f, count(*) AS n, round(sum(r[0].o_totalprice)) AS t, min(last(r).l_quantity) AS q",
+        "SELECT l_returnflag AS f, count(*) AS n, CAST(floor(sum(o_totalprice) + 0.5) AS BIGINT) AS t, min(l_quantity) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
+    ),
+    "collect_elements": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n) WITH c.c_mktsegment AS s, n, count(c) AS k RETURN n.n_nationkey AS n, head(collect(n)).n_name AS a, collect(n)[1].n_regionkey AS b, sum(k) AS k",
+        "SELECT n_nationkey AS n, n_name AS a, CASE WHEN count(DISTINCT c_mktsegment) > 1 THEN n_regionkey END AS b, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name, n_regionkey",
+    ),
     "cycle": ("MATCH (o:Order)-[:CONTAINS]->(p)-[:OF]->(s)<-[:SUPPLIED_BY]-(o) RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) f ON a.l_partkey = f.l_partkey JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_suppkey = f.l_suppkey"),
     "edge_properties": ("MATCH (:Order)-[r:CONTAINS {l_linestatus:'O'}]->() WHERE r.l_quantity >= 10 RETURN r.l_returnflag AS f, count(*) AS n", "SELECT l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_quantity >= 10 GROUP BY 1"),
     "inline_from_bound": ("MATCH (n:Nation), (s:Supplier {s_nationkey: n.n_nationkey}) RETURN count(*) AS n", "SELECT count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey"),
@@ -111,10 +134,32 @@ QUERIES: dict[str, tuple[str, str]] = {
     "zero_division": ("MATCH (r:Region {r_regionkey: 0}) RETURN toString(1 / 0) AS a, toString(-1 / 0) AS b, toString(5 % 0) AS c", "SELECT 'Infinity' AS a, '-Infinity' AS b, 'NaN' AS c"),
 }
 
+#: Text, number or truth by customer: its value as given out, and in SQL its order (text, truth, number).
+_MIXED = "CASE WHEN c.c_custkey % 3 = 0 THEN c.c_name WHEN c.c_custkey % 3 = 1 THEN c.c_acctbal ELSE c.c_acctbal > 0 END"
+_MIXED_TEXT = "CASE WHEN c_custkey % 3 = 0 THEN '\"' || c_name || '\"' WHEN c_custkey % 3 = 2 THEN (c_acctbal > 0)::VARCHAR WHEN c_acctbal = floor(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR ELSE c_acctbal::DOUBLE::VARCHAR END"
+_MIXED_RANK = "(2 * c_custkey) % 3, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END, CASE WHEN c_custkey % 3 = 2 THEN (c_acctbal > 0)::INT::DOUBLE ELSE c_acctbal::DOUBLE END"
+
 #: Beyond the reference's grammar: only with extended=True.
 EXTENDED: dict[str, tuple[str, str]] = {
     "unwind": ("UNWIND [1, 2, 3] AS x RETURN x * 2 AS y", "SELECT CAST(x * 2 AS BIGINT) AS y FROM (VALUES (1), (2), (3)) t(x)"),
     "case_when": ("MATCH (p:Part) RETURN CASE WHEN p.p_size > 25 THEN 'big' ELSE 'small' END AS s, count(*) AS n", "SELECT CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS s, count(*) AS n FROM part GROUP BY 1"),
+    "mixed_order": (
+        f"MATCH (c:Customer) RETURN {_MIXED} AS v, c.c_custkey AS k ORDER BY v, k SKIP 10 LIMIT 1000",
+        f"SELECT {_MIXED_TEXT} AS v, c_custkey AS k FROM customer ORDER BY {_MIXED_RANK}, c_custkey OFFSET 10 LIMIT 1000",
+    ),
+    "mixed_order_down": (
+        f"MATCH (c:Customer) RETURN {_MIXED} AS v, c.c_custkey AS k ORDER BY v DESC, k LIMIT 1000",
+        f"SELECT {_MIXED_TEXT} AS v, c_custkey AS k FROM customer ORDER BY {_MIXED_RANK.replace(', CASE', ' DESC, CASE')} DESC, c_custkey LIMIT 1000",
+    ),
+    "mixed_groups": (
+        f"MATCH (c:Customer) WITH c.c_mktsegment AS s, {_MIXED} AS v RETURN s AS s, count(DISTINCT v) AS n, min(v) AS lo, max(v) AS hi, count(v) AS k",
+        "SELECT c_mktsegment AS s, count(DISTINCT CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_acctbal::VARCHAR ELSE (c_acctbal > 0)::VARCHAR END) AS n, '\"' || min(c_name) FILTER (c_custkey % 3 = 0) || '\"' AS lo, "
+        "CASE WHEN max(c_acctbal) FILTER (c_custkey % 3 = 1) = floor(max(c_acctbal) FILTER (c_custkey % 3 = 1)) THEN (max(c_acctbal) FILTER (c_custkey % 3 = 1))::BIGINT::VARCHAR ELSE (max(c_acctbal) FILTER (c_custkey % 3 = 1))::DOUBLE::VARCHAR END AS hi, count(*) AS k FROM customer GROUP BY 1",
+    ),
+    "mixed_lists": (
+        "MATCH (c:Customer) WITH c, [c.c_custkey % 5, c.c_mktsegment, c.c_acctbal > 0, null] AS l RETURN l[0] AS a, l[1] AS b, c.c_mktsegment IN l AS i, 3 IN l AS j, count(*) AS n",
+        "SELECT (c_custkey % 5)::VARCHAR AS a, '\"' || c_mktsegment || '\"' AS b, TRUE AS i, CASE WHEN c_custkey % 5 = 3 THEN TRUE END AS j, count(*) AS n FROM customer GROUP BY ALL",
+    ),
     "union_distinct": ("MATCH (c:Customer)-[:IN_NATION]->(n) RETURN n.n_name AS n UNION MATCH (s:Supplier)-[:IN_NATION]->(n) RETURN n.n_name AS n", "SELECT n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "regex_match": ("MATCH (n:Nation) WHERE n.n_name =~ '.*[AEIOU]' RETURN count(*) AS n", "SELECT count(*) AS n FROM nation WHERE regexp_full_match(n_name, '.*[AEIOU]')"),
     "stdev_percentile": ("MATCH (p:Part) RETURN round(stdev(p.p_retailprice) * 1000) AS s, percentileCont(p.p_size, 0.5) AS m", "SELECT CAST(floor(stddev_samp(p_retailprice) * 1000 + 0.5) AS BIGINT) AS s, quantile_cont(CAST(p_size AS DOUBLE), 0.5) AS m FROM part"),

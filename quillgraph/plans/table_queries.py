@@ -145,7 +145,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "validate_properties": (validate_properties, "SELECT 'missing-property' AS code, 'Customer:' || c_custkey AS node, 'c_phone' AS detail FROM customer UNION ALL SELECT 'value-not-allowed', 'Customer:' || c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"),
     "validate_edges": (validate_edges, """WITH n AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
         SELECT 'edge-not-allowed' AS code, 'Customer:' || c_custkey AS node, 'IN_NATION' AS detail FROM customer UNION ALL SELECT 'missing-edge', 'Customer:' || c_custkey, 'PLACED' FROM n WHERE n < 1 UNION ALL SELECT 'too-many-edges', 'Customer:' || c_custkey, 'PLACED' FROM n WHERE n > 20"""),
-    "diff_sync": (diff_sync, "SELECT o_orderkey, 'update' AS change FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'delete' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT -o_orderkey, 'insert' FROM orders WHERE o_orderstatus = 'P'"),
+    "diff_sync": (diff_sync, "SELECT o_orderkey, 'update' AS change FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'delete' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey <> 0 UNION ALL SELECT -o_orderkey, 'insert' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey <> 0"),
     "stream_window": (stream_window, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "nearest_name": (nearest_name, "SELECT n_name AS name, levenshtein(n_name, 'NATION_7x') AS distance FROM nation ORDER BY 2, 1 LIMIT 1"),
 }

@@ -11,13 +11,16 @@ MOST_BYTES = 1 << 20
 
 
 def read_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("md",), ignore: tuple[str, ...] = IGNORED, most: int = MOST_BYTES) -> DataFrame:
-    """path (from the folder) and text of the files with these extensions, outside hidden and ignored folders, of at most ``most`` bytes."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(folder)
-    root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
-    path = F.substring_index("path", root + "/", -1)
+    """path (from the folder) and text of the files with these extensions, outside hidden and ignored folders, of at most ``most`` bytes.
+
+    Bytes that are no UTF-8 become U+FFFD."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(root)
+    path = F.substring("path", len(root) + 1, 1 << 20)
     parts = F.split(F.col("path"), "/")
     hidden = F.exists(parts, lambda p: F.startswith(p, F.lit(".")) | p.isin(*ignore))
-    return found.filter(F.col("length") <= most).select(path.alias("path"), F.decode("content", "UTF-8").alias("text")).filter(~hidden)
+    return found.filter(F.col("length") <= most).select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).filter(~hidden)
 
 
 def read_notes(spark: SparkSession, folder: str, asciidoc: bool = False) -> DataFrame:

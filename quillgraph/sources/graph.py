@@ -50,6 +50,7 @@ class PropertyGraph:
     spark: SparkSession
     node_tables: dict[str, NodeTable] = field(default_factory=dict)
     edge_tables: dict[str, list[EdgeTable]] = field(default_factory=dict)
+    hidden: tuple[str, ...] = ()  # columns of edges that aren't among their properties
     kept: list[DataFrame] = field(default_factory=list)  # persisted for as long as the graph is used
 
     def close(self) -> None:

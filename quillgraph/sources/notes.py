@@ -8,21 +8,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+import posixpath
 import re
+import weakref
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalars as S
 from . import marks
 from .graph import PropertyGraph
 
 # Fixed values of the note format.
 SKIPPED_KEYS = {"tags", "aliases", "cssclasses", "type", "types"}
 LINK_TYPE = "links_to"
+#: Columns of an edge that can be asked for but aren't among its properties.
+HIDDEN = ("heading", "line")
 
 
 class BadProps(ValueError):
@@ -130,9 +135,9 @@ def frontmatter(text: str) -> tuple[dict, int]:
     out: dict = {}
     key = None
     for line in lines[1:end]:
-        if m := re.match(r"\s+-\s+(.*)|-\s+(.*)", line):
+        if m := re.match(r"\s*-(?:\s+(.*)|$)", line):
             if key is not None:
-                out[key] = [*out[key], _plain(m[1] or m[2])] if isinstance(out[key], list) else [_plain(m[1] or m[2])]
+                out[key] = [*(out[key] if isinstance(out[key], list) else []), _plain(m[1] or "")]
         elif m := re.match(r"([^\s:#][^:]*):\s*(.*)", line):
             key, raw = m[1].strip(), m[2].strip()
             out[key] = [_plain(x) for x in re.findall(r"""\[\[.*?\]\]|"[^"]*"|'[^']*'|[^,\s][^,]*""", raw[1:-1])] if raw.startswith("[") and raw.endswith("]") and not raw.startswith("[[") else _plain(raw) if raw else None
@@ -141,28 +146,30 @@ def frontmatter(text: str) -> tuple[dict, int]:
 
 def _plain(raw: str):
     raw = raw.strip()
+    if not raw:
+        return None
     return raw[1:-1] if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "\"'" else scalar(raw)
 
 
+def from_root(link: str, source: str) -> str:
+    """The path from the vault's root that a link in the note ``source`` names; ``..`` ends at the root."""
+    return posixpath.normpath(posixpath.join("/", posixpath.dirname(source), link)).lstrip("/")
+
+
 def markdown_target(dest: str, source: str) -> tuple[str, str | None] | None:
-    """The note a markdown link points to, or None if it isn't one."""
-    raw = dest.strip()
-    raw = raw[1:-1].strip() if raw[:1] == "<" and raw[-1:] == ">" else raw
-    path, _, anchor = raw.partition("#")
-    if not path or path.endswith("/") or re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", raw):
+    """The note a markdown link points to, with the part of it, or None if it isn't one."""
+    try:
+        link = urlsplit(dest.strip().removeprefix("<").removesuffix(">").strip())
+    except ValueError:  # no address at all
         return None
-    path = unquote(path)
-    base = path.rpartition("/")[2]
-    dot = base.rfind(".")
-    if dot > 0 and base[dot:].lower() not in (".md", ".adoc"):
+    if link.scheme or link.netloc or not link.path or link.path.endswith("/"):
         return None
-    parts = [] if path.startswith("/") else source.split("/")[:-1]
-    for p in path.split("/"):
-        if p == "..":
-            parts = parts[:-1]
-        elif p not in ("", "."):
-            parts = [*parts, p]
-    return ("/".join(parts) + ("" if dot > 0 else ".md"), unquote(anchor).strip() or None) if parts else None
+    path = unquote(link.path + (f"?{link.query}" if link.query else ""))
+    suffix = posixpath.splitext(path)[1]
+    to = from_root(path, source)
+    if not to or suffix.lower() not in ("", ".md", ".adoc"):
+        return None
+    return to + ("" if suffix else ".md"), unquote(link.fragment).strip() or None
 
 
 def link_at(text: str, at: int, source: str) -> tuple[tuple[str, str | None, str | None] | None, int]:
@@ -201,32 +208,53 @@ def links_in(line: str, source: str) -> Iterator[tuple[str, str | None, str | No
         at = max(end, start + 1)
 
 
-def parse_note(path: str, text: str, link_edges: bool = False, frontmatter_edges: bool = True) -> tuple[list[tuple], list[tuple]]:
-    """Edges (type, sign, target, subpath, alias, props, line, heading) and problems (line, column, message)."""
-    meta, first = frontmatter(text)
-    edges: list[tuple] = []
-    problems: list[tuple] = []
-    if frontmatter_edges:
-        for key, value in meta.items():
-            for v in (value if isinstance(value, list) else [value]) if key not in SKIPPED_KEYS else ():
-                if isinstance(v, str):
-                    edges += [(key, 1, *link, {}, 0, None) for link in scan_links(v, path)[0]]
-    title = None
+def titled_lines(text: str) -> Iterator[tuple[int, str | None, str]]:
+    """(number, heading above, line) of the lines outside frontmatter, fences and headings."""
+    first, title = frontmatter(text)[1], None
     for n, line in marks.outside_fences(x.removesuffix("\r") for x in text.split("\n")[first:]):
-        n += first
         if h := marks.heading(line):
             title = h[1]
-            continue
-        head = marks.edge_head(line)
-        links, end = scan_links(line[head[2] :], path) if head else ([], 0)
-        if links:
-            props, at = {}, marks.skip_blank(line, head[2] + end)
-            if line.startswith("{", at):
-                try:
-                    props = parse_props(line[at:])
-                except BadProps as e:
-                    problems.append((n, at + e.offset, f"malformed property block: {e}"))
-            edges += [(head[1], -1 if head[0] == "-" else 1, *link, dict(props), n, title) for link in links]
+        else:
+            yield n + first, title, line
+
+
+def edge_line(line: str, source: str) -> tuple[str, int, list, dict, tuple[int, str] | None] | None:
+    """(type, sign, links, properties, problem as (column, message)) of a line that gives edges."""
+    if not (head := marks.edge_head(line)):
+        return None
+    sign, kind, start = head
+    links, length = scan_links(line[start:], source)
+    if not links:
+        return None
+    props, problem, at = {}, None, marks.skip_blank(line, start + length)
+    if line.startswith("{", at):
+        try:
+            props = parse_props(line[at:])
+        except BadProps as e:
+            problem = (at + e.offset, f"malformed property block: {e}")
+    return kind, -1 if sign == "-" else 1, links, props, problem
+
+
+def frontmatter_links(meta: dict, source: str) -> Iterator[tuple[str, tuple[str, str | None, str | None]]]:
+    """(key, link) of the links that frontmatter values begin with."""
+    for key in meta.keys() - SKIPPED_KEYS:
+        for value in meta[key] if isinstance(meta[key], list) else [meta[key]]:
+            if isinstance(value, str):
+                yield from ((key, link) for link in scan_links(value, source)[0])
+
+
+def parse_note(path: str, text: str, link_edges: bool = False, frontmatter_edges: bool = True) -> tuple[list[tuple], list[tuple]]:
+    """Edges (type, sign, target, subpath, alias, props, line, heading) and problems (line, column, message)."""
+    meta = frontmatter(text)[0]
+    place = {key: i for i, key in enumerate(meta)}
+    found = sorted(frontmatter_links(meta, path), key=lambda x: place[x[0]]) if frontmatter_edges else []
+    edges: list[tuple] = [(key, 1, *link, {}, 0, None) for key, link in found]
+    problems: list[tuple] = []
+    for n, title, line in titled_lines(text):
+        if given := edge_line(line, path):
+            kind, sign, links, props, problem = given
+            edges += [(kind, sign, *link, dict(props), n, title) for link in links]
+            problems += [(n, *problem)] if problem else []
         elif link_edges:
             edges += [(LINK_TYPE, 1, *link, {}, n, title) for link in links_in(line, path)]
     return edges, problems
@@ -242,114 +270,168 @@ def edge_note(meta: dict) -> tuple[str, str, str, int, dict] | None:
     return source, target, ends[2].strip(), -1 if meta.get("sign") in (-1, "-") else 1, props
 
 
-EDGES = "path string, type string, sign int, target string, subpath string, alias string, props string, line int, heading string, place int, source string"
+EDGE = "type string, sign int, target string, subpath string, alias string, props string, line int, heading string, place int, source string"
+EDGES = "path string, " + EDGE
+_EDGE_NAMES = [c.split()[0] for c in EDGE.split(", ")]
+_EDGE_KIND = pa.struct([(c.split()[0], pa.int32() if c.split()[1] == "int" else pa.string()) for c in EDGE.split(", ")])
+NOTE = "path string, props string, labels array<string>, title string, hash string, edge_note boolean"
 
 
-def parsed_edges(notes: DataFrame, link_edges: bool = False) -> DataFrame:
-    """One row per edge line link of notes (path, text); ``place`` counts a note's links. An edge note is one row with its ``source``."""
-    names = [c.split()[0] for c in EDGES.split(", ")]
-    kinds = [pa.int32() if c.split()[1] == "int" else pa.string() for c in EDGES.split(", ")]
+def _note(path: str, text: str, link_edges: bool) -> tuple:
+    meta, _ = frontmatter(text)
+    labels: list[str] = []
+    for key in ("type", "types"):
+        for v in meta.get(key) if isinstance(meta.get(key), list) else [meta.get(key)]:
+            if isinstance(v, str) and v.strip() and v.strip() not in labels:
+                labels.append(v.strip())
+    title = meta.get("title") if isinstance(meta.get("title"), str) and meta["title"].strip() else re.sub(r"\.(md|adoc)$", "", path.rpartition("/")[2])
+    if e := edge_note(meta):
+        edges = [(e[2], e[3], e[1], None, None, json.dumps(e[4] | {"id": path}), 0, None, 0, e[0])]
+    else:
+        edges = [(t, s, target, sub, alias, json.dumps(props), line, heading, k, None) for k, (t, s, target, sub, alias, props, line, heading) in enumerate(parse_note(path, text, link_edges)[0])]
+    props = {k: v for k, v in meta.items() if k != "title"}
+    return path, json.dumps(props), labels, title, hashlib.sha256(text.encode()).hexdigest(), e is not None, [dict(zip(_EDGE_NAMES, x, strict=True)) for x in edges]
+
+
+def parsed_notes(notes: DataFrame, link_edges: bool = False) -> DataFrame:
+    """Notes (path, text), each read once: path, properties (JSON), labels, title, the text's SHA-256, whether it is an edge note, and its edges."""
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.list_(_EDGE_KIND)]
+    names = [*(c.split()[0] for c in NOTE.split(", ")), "edges"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if e := edge_note(frontmatter(text or "")[0]):
-                    rows.append((p, e[2], e[3], e[1], None, None, json.dumps(e[4] | {"id": p}), 0, None, 0, e[0]))
-                    continue
-                rows += [(p, t, s, target, sub, alias, json.dumps(props), line, heading, k, None) for k, (t, s, target, sub, alias, props, line, heading) in enumerate(parse_note(p, text or "", link_edges)[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
+            out = [_note(path, text or "", link_edges) for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return notes.filter("path is not null").select("path", "text").mapInArrow(run, f"{NOTE}, edges array<struct<{', '.join(c.replace(' ', ':') for c in EDGE.split(', '))}>>")
 
-    return notes.select("path", "text").mapInArrow(run, EDGES)
+
+def edges_of(parsed: DataFrame) -> DataFrame:
+    return parsed.select("path", F.inline("edges"))
+
+
+def parsed_edges(notes: DataFrame, link_edges: bool = False) -> DataFrame:
+    """One row per edge line link of notes (path, text); ``place`` counts a note's links. An edge note is one row with its ``source``."""
+    return edges_of(parsed_notes(notes, link_edges))
 
 
 def note_rows(notes: DataFrame) -> DataFrame:
     """path, properties (JSON), labels, title and the text's SHA-256 of each note, and whether it is an edge note."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                meta, _ = frontmatter(text or "")
-                labels: list[str] = []
-                for key in ("type", "types"):
-                    for v in meta.get(key) if isinstance(meta.get(key), list) else [meta.get(key)]:
-                        if isinstance(v, str) and v.strip() and v.strip() not in labels:
-                            labels.append(v.strip())
-                title = meta.get("title") if isinstance(meta.get("title"), str) and meta["title"].strip() else re.sub(r"\.(md|adoc)$", "", path.rpartition("/")[2])
-                props = {k: v for k, v in meta.items() if k not in ("type", "types", "title")}
-                out.append((path, json.dumps(props), labels, title, hashlib.sha256((text or "").encode()).hexdigest(), edge_note(meta) is not None))
-            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["path", "props", "labels", "title", "hash", "edge_note"])
-
-    return notes.select("path", "text").mapInArrow(run, "path string, props string, labels array<string>, title string, hash string, edge_note boolean")
+    return parsed_notes(notes).drop("edges")
 
 
 def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
     """links (path, target) with ``to``: the note a link means, or null. An exact path wins, else a path that ends with the link: in the
-    source's folder first, then the shortest, then the first by name. A link without an extension that fits notes of both kinds means none."""
+    source's folder first, then the shortest, then the first by name. A link without an extension that fits notes of both kinds means none.
+
+    The best note of each ending is worked out once, so a link meets three rows at most, however many notes end alike."""
     wanted = links.select("path", "target").distinct()
     named = wanted.withColumn("clean", F.regexp_replace(F.trim("target"), "^/+", "")).withColumn("name", F.explode(F.when(F.rlike(F.lower("clean"), F.lit(r"\.(md|adoc)$")), F.array("clean")).otherwise(F.array(F.concat("clean", F.lit(".md")), F.concat("clean", F.lit(".adoc"))))))
-    parts = F.split("path", "/")
-    ends = paths.select(F.col("path").alias("to"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.lower(F.array_join(F.slice(parts, i, F.size(parts)), "/")))).alias("end"))
+    parts = F.split("to", "/")
+    notes = paths.select(F.col("path").alias("to")).distinct()
+    best = F.min(F.struct(F.length("to").alias("n"), F.col("to")))["to"]
+    ends = notes.withColumn("end", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.lower(F.array_join(F.slice(parts, i, F.size(parts)), "/")))))
+    by_end = ends.groupBy("end").agg(best.alias("by_end"))
+    by_place = notes.groupBy(F.lower("to").alias("whole")).agg(best.alias("by_place"))
+    exact = notes.withColumnRenamed("to", "exact")
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
-    hits = named.join(ends, F.lower("name") == F.col("end"))
-    order = Window.partitionBy("path", "target", "name").orderBy(F.desc(F.col("to") == F.col("name")), F.desc(F.lower("to") == F.lower(F.concat(folder, "name"))), F.length("to"), "to")
-    best = hits.withColumn("k", F.row_number().over(order)).filter("k = 1").groupBy("path", "target").agg(F.count(F.lit(1)).alias("n"), F.first("to").alias("to"))
-    return links.join(best.filter("n = 1").drop("n"), ["path", "target"], "left")
+    met = named.join(by_end, F.lower("name") == F.col("end")).join(by_place, F.lower(F.concat(folder, "name")) == F.col("whole"), "left").join(exact, F.col("name") == F.col("exact"), "left")
+    chosen = met.groupBy("path", "target").agg(F.count(F.lit(1)).alias("n"), F.first(F.coalesce("exact", "by_place", "by_end")).alias("to"))
+    return links.join(chosen.filter("n = 1").drop("n"), ["path", "target"], "left")
+
+
+def _kind(schema: str) -> str:
+    """A property's kind from its schema as a variant."""
+    s = schema.upper()
+    if s.startswith("ARRAY<"):
+        item = _kind(s[6:-1])
+        return "list of " + (item if item in ("number", "string", "boolean", "void") else "mixed")
+    return {"STRING": "string", "BOOLEAN": "boolean", "VOID": "void", "VARIANT": "mixed"}.get(s, "string" if s.startswith("OBJECT") else "number")
+
+
+_TYPES = {"number": "double", "string": "string", "boolean": "boolean", "list of number": "array<double>", "list of string": "array<string>", "list of boolean": "array<boolean>", "list of void": "array<string>"}
+
 
+def _tagged(v: Column, nested: bool = False) -> Column:
+    """A variant as a mixed value."""
+    schema = F.upper(F.schema_of_variant(v))
+    get = lambda t: F.try_variant_get(v, "$", t)
+    kinds = [("string", schema == "STRING", "string"), ("boolean", schema == "BOOLEAN", "boolean"), ("number", ~schema.isin("STRING", "BOOLEAN", "VOID") & ~F.startswith(schema, F.lit("ARRAY")), "double")]
+    out = None
+    for kind, holds, spark_type in kinds:
+        col = S.mixed(S.Value(get(spark_type), kind), nested).col
+        out = F.when(holds, col) if out is None else out.when(holds, col)
+    if not nested:
+        items = F.transform(get("array<variant>"), lambda x: _tagged(x, nested=True))
+        out = out.when(F.startswith(schema, F.lit("ARRAY")), S.mixed(S.Value(items, "list", "mixed")).col)
+    return out
 
-def _typed(rows: DataFrame, json_column: str) -> tuple[DataFrame, list[str]]:
-    """A column for each property name; the kind of a name is the first of number, text, boolean and list that it has anywhere."""
+
+def _typed(rows: DataFrame, json_column: str) -> tuple[DataFrame, list[str], set[str]]:
+    """A column for each property name, mixed where its values are of several kinds, and the names among them; all names that occur."""
     kinds = rows.select(F.explode(F.from_json(json_column, "map<string,variant>")).alias("k", "v")).filter("v is not null").select("k", F.schema_of_variant("v").alias("s")).distinct().collect()  # as many rows as the schema has
     found: dict[str, set[str]] = {}
     for r in kinds:
-        s = r["s"].upper()
-        found.setdefault(r["k"], set()).add("list" if s.startswith("ARRAY") else "string" if s == "STRING" else "boolean" if s == "BOOLEAN" else "void" if s == "VOID" else "number")
-    props = F.from_json(json_column, "map<string,variant>")
-    out = rows.withColumn("_props", props)
+        found.setdefault(r["k"], set()).add(_kind(r["s"]))
+    out = rows.withColumn("_props", F.from_json(json_column, "map<string,variant>"))
     names = []
-    for name in sorted(found):
-        kind = next((k for k in ("number", "string", "boolean", "list") if k in found[name]), None)
-        if kind and name not in ("id", "sign"):
-            out = out.withColumn(f"p_{name}", F.try_variant_get(F.col("_props")[name], "$", {"number": "double", "string": "string", "boolean": "boolean", "list": "array<string>"}[kind]))
-            names.append(name)
-    return out.drop("_props"), names
+    for name in sorted(found, key=lambda n: (n not in ("type", "types"), n)):
+        own = found[name] - {"void"}
+        own = own - {"list of void"} if any(k.startswith("list") and k != "list of void" for k in own) else own
+        if not own or name in ("id", "sign"):
+            continue
+        value = F.col("_props")[name]
+        if len(own) == 1 and "mixed" not in next(iter(own)):
+            column = F.try_variant_get(value, "$", _TYPES[next(iter(own))])
+        elif all(k.startswith("list") for k in own):
+            column = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: _tagged(x, nested=True))
+        else:
+            column = _tagged(value)
+        out = out.withColumn(f"p_{name}", column)
+        names.append(name)
+    return out.drop("_props"), names, set(found)
 
 
 def notes_graph(spark: SparkSession, notes: DataFrame, link_edges: bool = False) -> PropertyGraph:
     """Notes as nodes, their edge lines as edges; targets that no note is are stubs named by the link."""
-    rows = note_rows(notes).persist()
-    nodes, names = _typed(rows.filter("not edge_note").drop("edge_note"), "props")
-    paths = notes.select("path")
-    found = resolve_links(parsed_edges(notes, link_edges), paths).persist()
+    parsed = parsed_notes(notes, link_edges).persist()
+    rows = parsed.drop("edges")
+    nodes, names, _ = _typed(rows.filter("not edge_note").drop("edge_note"), "props")
+    paths = rows.select("path")
+    found = resolve_links(edges_of(parsed), paths)
     ends = found.filter("source is not null").select("path", F.col("source").alias("target")).distinct()
     sources = resolve_links(ends, paths).select("path", F.col("target").alias("source"), F.col("to").alias("from"))
     edges = found.join(sources, ["path", "source"], "left").withColumns({"target_id": F.coalesce("to", "target"), "source_id": F.when(F.col("source").isNull(), F.col("path")).otherwise(F.coalesce("from", "source")), "pinned": F.get_json_object("props", "$.id")})
-    edges, edge_names = _typed(edges, "props")
-    g = NotesGraph(spark, nodes.persist(), names, edges.persist(), edge_names, rows.filter("edge_note").select("path"))
-    g.kept += [rows, found]
+    kept = edges.persist()
+    edges, edge_names, all_names = _typed(kept, "props")
+    g = NotesGraph(spark, nodes, names, edges, edge_names, rows.filter("edge_note").select("path"), "id" in all_names)
+    g.kept = [parsed, kept]
     return g
 
 
+def queried(graph: PropertyGraph, df: DataFrame) -> DataFrame:
+    """df, a result over the graph; what the graph keeps goes when df does."""
+    weakref.finalize(df, graph.close)
+    return df
+
+
 class NotesGraph(PropertyGraph):
     """A graph whose labels and types are values in two tables. They are kept until ``close``."""
 
-    def __init__(self, spark: SparkSession, note_table: DataFrame, names: list[str], edge_table: DataFrame, edge_names: list[str], edge_notes: DataFrame):
+    def __init__(self, spark: SparkSession, note_table: DataFrame, names: list[str], edge_table: DataFrame, edge_names: list[str], edge_notes: DataFrame, some_pinned: bool):
         super().__init__(spark)
-        self.edge_notes = edge_notes
+        self.edge_notes, self.some_pinned, self.hidden = edge_notes, some_pinned, HIDDEN
         self.note_table, self.names, self.edge_table, self.edge_names = note_table, names, edge_table, edge_names
-        self.kept = [note_table, edge_table]
 
     def native(self, types, side):
         return None
 
     def node_props(self, labels=None):
         schema = self.note_table.schema
-        return {"path": T.StringType(), "title": T.StringType()} | {n: schema[f"p_{n}"].dataType for n in self.names}
+        return {n: schema[f"p_{n}"].dataType for n in self.names if n not in ("path", "title")} | {"path": T.StringType(), "title": T.StringType()}
 
     def edge_props(self, types=None):
-        return {n: self.edge_table.schema[f"p_{n}"].dataType for n in self.edge_names} | {"heading": T.StringType(), "line": T.IntegerType()}
+        return {n: self.edge_table.schema[f"p_{n}"].dataType for n in self.edge_names if n not in HIDDEN} | {"heading": T.StringType(), "line": T.IntegerType()}
 
     def nodes(self, labels, props, among=None, stubs=True):
         def column(p: str):
@@ -378,21 +460,28 @@ class NotesGraph(PropertyGraph):
         return self.edge_table.join(at, F.col("target_id") == F.col("_note"), "left_semi").select(F.lit("link-to-edge-note").alias("code"), "path", (F.col("line") + 1).alias("line"), F.col("target_id").alias("target"))
 
     def identified(self) -> DataFrame:
-        """The edge table with ids: a pinned one, else source#type#target#ordinal. Of edges with one id only the first by (path, place) is kept."""
+        """The edge table with ids: a pinned one, else source#type#target#ordinal."""
         w = Window.partitionBy("source_id", "type", "target_id").orderBy("path", "place")
         derived = F.concat("source_id", F.lit("#"), "type", F.lit("#"), "target_id", F.lit("#"), (F.row_number().over(w) - 1).cast("string"))
-        rows = self.sound().withColumn("id", F.coalesce("pinned", derived))
-        return rows.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("path", "place")) - 1)
+        return self.sound().withColumn("id", F.coalesce("pinned", derived))
+
+    def copies(self) -> DataFrame:
+        """path, place, line and id of the edges whose id an earlier one has, by (path, place). Only pinned ids can meet others."""
+        rows = self.identified()
+        pinned = rows.filter("pinned is not null").select("id").distinct()
+        w = Window.partitionBy("id").orderBy("path", "place")
+        return rows.join(pinned, "id", "left_semi").withColumn("copy", F.row_number().over(w) - 1).filter("copy > 0").select("path", "place", "line", "id")
 
     def duplicate_ids(self) -> DataFrame:
         """code, path, line and id of the edges that are left out because an earlier one has their id."""
-        return self.identified().filter("copy > 0").select(F.lit("duplicate-edge-id").alias("code"), "path", (F.col("line") + 1).alias("line"), "id")
+        return self.copies().select(F.lit("duplicate-edge-id").alias("code"), "path", (F.col("line") + 1).alias("line"), "id")
 
     def edges(self, types, props, with_id=True):
-        rows = self.identified().filter("copy = 0")
-        if types:
-            rows = rows.filter(F.col("type").isin(*types))
-        return rows.select("id", "type", "sign", F.col("source_id").alias("source"), F.col("target_id").alias("target"), *((F.col(p) if p in ("heading", "line") else F.col(f"p_{p}")).cast(k).alias(p) for p, k in props.items()))
+        rows = self.identified() if with_id else self.sound().withColumn("id", F.lit(None).cast("string"))
+        rows = rows.filter(F.col("type").isin(*types)) if types else rows  # a key of the ordinals' window, so it is cut below it
+        if self.some_pinned:
+            rows = rows.join(self.copies().select("path", "place"), ["path", "place"], "left_anti")
+        return rows.select("id", "type", "sign", F.col("source_id").alias("source"), F.col("target_id").alias("target"), *((F.col(p) if p in HIDDEN else F.col(f"p_{p}")).cast(k).alias(p) for p, k in props.items()))
 
     def ends(self, types, side):
         return set(), False

@@ -68,3 +68,51 @@ def test_resolution(spark):
     paths = spark.createDataFrame([("a/X.md",), ("b/X.md",), ("long/er/Y.md",), ("Z.md",), ("Z.adoc",)], "path string")
     links = spark.createDataFrame([("b/n.md", "X"), ("c/n.md", "x"), ("c/n.md", "er/Y"), ("c/n.md", "Z"), ("c/n.md", "Z.md"), ("c/n.md", "none")], "path string, target string")
     assert {(r["path"], r["target"]): r["to"] for r in N.resolve_links(links, paths).collect()} == {("b/n.md", "X"): "b/X.md", ("c/n.md", "x"): "a/X.md", ("c/n.md", "er/Y"): "long/er/Y.md", ("c/n.md", "Z"): None, ("c/n.md", "Z.md"): "Z.md", ("c/n.md", "none"): None}
+
+
+def test_resolution_makes_no_pairs(spark):
+    """Links to a name that many folders have: a candidate for each link, not for each pair."""
+    n = 300
+    paths = spark.range(n).selectExpr("concat('f', id, '/index.md') as path")
+    links = spark.range(n).selectExpr("concat('g', id, '/a.md') as path", "'index' as target").unionByName(spark.range(n).selectExpr("concat('f', id, '/a.md') as path", "'index' as target"))
+    found = N.resolve_links(links, paths)
+    got = {r["path"]: r["to"] for r in found.collect()}
+    assert got["g7/a.md"] == "f0/index.md" and got["f7/a.md"] == "f7/index.md" and len(got) == 2 * n
+    plan = found._jdf.queryExecution().executedPlan()
+    most = max(int(m["v"]) for m in metrics_of(plan))
+    assert most <= 5 * n, most
+
+
+def metrics_of(plan):
+    """Rows that each node of an executed plan gave out."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        m = p.metrics().get("numOutputRows")
+        if m.isDefined():
+            out.append({"name": p.nodeName(), "v": m.get().value()})
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_hostile_frontmatter(spark):
+    texts = ["---\nk:\n  - \n  -\n- \n- x\n---\n", "---\n- \n---\n", "---\n: x\na\n---", "---\n---\n", "---", "", None, "---\nid: 3\nsign: x\npath: q\ntitle: [1]\nheading: 2\n---\na:: [[b]] {heading: 3, line: x, path: y}\n"]
+    vault = spark.createDataFrame([(f"n{i}.md", t) for i, t in enumerate(texts)], "path string, text string")
+    g = N.notes_graph(spark, vault)
+    got = rows(g, "MATCH (n) WHERE NOT n.stub RETURN n.path AS p, n.k AS k ORDER BY p")
+    assert len(got) == len(texts) and got[0] == ("n0.md", [None, None, None, "x"])
+    assert rows(g, "MATCH (n)-[r]->() RETURN n.title AS t, r.line AS l, keys(r) AS k") == [("n7", 7, ["path"])]
+    g.close()
+
+
+def test_links_of_a_path():
+    for dest, want in {
+        "../x y.md#A%20b": ("x y.md", "A b"), "<sub/t>": ("a/sub/t.md", None), "/root.adoc": ("root.adoc", None), "../../../up": ("up.md", None), "mailto:x@y": None, "//host/x.md": None, "x.png": None, "#top": None, "dir/": None, "http://[": None,
+        "./b.MD": ("a/b.MD", None), "v1.2/n": ("a/v1.2/n.md", None), ".hid": ("a/.hid.md", None),
+    }.items():
+        assert N.markdown_target(dest, "a/n.md") == want, dest

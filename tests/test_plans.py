@@ -43,12 +43,86 @@ def test_order_of_trails_does_not_depend_on_the_side(graph):
             assert row["k"] == 2 and row["r"][0]["source"] == row["c"] and row["r"][1]["target"] == row["x"] and row["r"][0]["target"] == row["r"][1]["source"]
 
 
+def plan_of(graph, query):
+    return run(graph, query).df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def joins(plan):
+    return [line for line in plan.split("\n") if "Join" in line]
+
+
+def below(plan, upper, lower):
+    """Whether some line with ``lower`` stands in the subtree of the first with ``upper``."""
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if upper in line)
+    depth = lines[at].index(upper)
+    for line in lines[at + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            return False
+        if lower in line:
+            return True
+    return False
+
+
 def test_a_known_start_is_filtered_before_the_hops(graph):
-    plan = run(graph, "MATCH (c:Customer {c_custkey: 1})-[:IN_NATION|IN_REGION*1..3]->(x) RETURN id(x) AS id").df._jdf.queryExecution().optimizedPlan().toString()
-    # In every branch of the union of depths the customer's filter is below the joins.
+    plan = plan_of(graph, "MATCH (c:Customer {c_custkey: 1})-[:IN_NATION|IN_REGION*1..3]->(x) RETURN id(x) AS id")
     filters = [line for line in plan.split("\n") if "Filter" in line and "c_custkey" in line and "= 1)" in line]
-    assert len(filters) >= 3
-    assert all(line.index("Filter") > min(x.index("Join") for x in plan.split("\n") if "Join" in x) for line in filters)
+    assert len(filters) == 1 and below(plan, "UnionLoop", filters[0].strip(" :+-"))
+
+
+@pytest.mark.parametrize("hops, want", [("*1..2", 1), ("*1..6", 1), ("*", 1), ("*0..4", 1), ("*3", 3), ("*1", 1), ("*0..1", 1)])
+def test_a_level_is_one_join(graph, hops, want):
+    """Levels are those of one loop, or a chain where only one length counts."""
+    plan = plan_of(graph, f"MATCH (n:Nation {{n_nationkey: 1}})-[:IN_REGION{hops}]-(x) RETURN size(labels(n)) AS k")
+    assert len(joins(plan)) == want, plan
+
+
+def test_rows_so_far_are_joined_to_the_first_hop(graph):
+    plan = plan_of(graph, "MATCH (c:Customer) WITH c ORDER BY c.c_acctbal DESC, c.c_custkey LIMIT 10 MATCH (c)-[:PLACED]->(o)-[:CONTAINS]->(p) RETURN count(*) AS n")
+    assert len(joins(plan)) == 2
+    inner = joins(plan)[1]
+    assert below(plan, inner.strip(" :+-"), "GlobalLimit") and not below(plan, inner.strip(" :+-"), "l_partkey"), plan
+
+
+def test_keys_go_along(graph):
+    """Where a node's label is known, later hops are joined on its key: no ids are made."""
+    for query in (
+        "MATCH (c:Customer)-[:PLACED]->(o) WITH o ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 10 MATCH (o)-[:CONTAINS]->(p) RETURN count(*) AS n",
+        "MATCH (n:Nation)-[:IN_REGION]->(r) WITH r, count(n) AS k MATCH (r)<-[:IN_REGION]-(m) RETURN sum(k) AS k",
+    ):
+        assert "concat" not in plan_of(graph, query)
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "MATCH (c:Customer) WITH c ORDER BY c.c_custkey LIMIT 7 MATCH (o)<-[:PLACED]-(c) RETURN count(o) AS n",
+        "MATCH (c:Customer) WITH c ORDER BY c.c_custkey LIMIT 7 MATCH (x)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN count(o) AS n",
+        "MATCH (c:Customer) WITH c ORDER BY c.c_custkey LIMIT 7 MATCH (x)<-[:IN_NATION]-(c), (c)-[:PLACED]->(o) RETURN count(o) AS n",
+        "MATCH (c:Customer) WITH c ORDER BY c.c_custkey LIMIT 7 MATCH (n:Nation), (c)-[:IN_NATION]->(n), (c)-[:PLACED]->(o) RETURN count(o) AS n",
+        "MATCH (c:Customer) WITH c ORDER BY c.c_custkey LIMIT 7 MATCH (c)-[:IN_NATION]->(n)<-[:IN_NATION]-(c2), (c)-[:PLACED]->(o) WHERE c2.c_custkey = 6 OR c2.c_custkey <> 6 RETURN count(DISTINCT id(o)) AS n",
+        "MATCH (c:Customer) WITH c ORDER BY c.c_custkey LIMIT 7 MATCH p = (o)<-[r:PLACED]-(c) WHERE type(r) = 'PLACED' AND length(p) = 1 RETURN count(p) AS n",
+    ],
+)
+def test_growth_from_few_rows(graph, spark, query):
+    orders = spark.read.parquet(f"{DIR}/orders.parquet").filter("o_custkey <= 6").count()
+    assert value(graph, query) == orders
+
+
+def test_bound_nodes_keep_their_conditions(graph, spark):
+    customers = spark.read.parquet(f"{DIR}/customer.parquet")
+    want = customers.filter("c_custkey < 20 and c_mktsegment = 'BUILDING'").count()
+    query = "MATCH (c:Customer) WHERE c.c_custkey < 20 WITH c ORDER BY c.c_custkey LIMIT 100 MATCH (c:Customer {c_mktsegment: 'BUILDING'})-[:IN_NATION]->(n) RETURN count(*) AS n"
+    assert value(graph, query) == want
+    assert value(graph, query.replace("MATCH (c:Customer {", "MATCH (c:Supplier {")) == 0
+
+
+def test_paths_end_where_there_is_none_longer(graph):
+    short = run(graph, "MATCH (c:Customer)-[:IN_NATION|IN_REGION*]->(x) RETURN count(*) AS n")
+    assert short.notices == []
+    cut = run(graph, "MATCH (c:Customer)-[:IN_NATION|IN_REGION*]->(x) RETURN count(*) AS n", max_depth=1)
+    assert len(cut.notices) == 1 and "1 edges" in cut.notices[0]
+    assert cut.df.first()["n"] * 2 == short.df.first()["n"]
 
 
 def test_counting_edges_needs_no_ordinals(graph):

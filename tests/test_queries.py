@@ -9,7 +9,7 @@ import pytest
 from quillgraph.plans import catalog, parser
 from quillgraph.plans.star_queries import QUERIES
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

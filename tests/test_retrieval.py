@@ -1,3 +1,4 @@
+import os
 from pyspark.sql import functions as F
 
 from quillgraph.operators import retrieval as R
@@ -71,3 +72,14 @@ def test_duplicate_ids_are_reported(spark):
     assert [(r["line"], r["target"]) for r in g.refused_links().collect()] == [(3, "e.md")]
     assert {r["id"] for r in g.nodes(None, {}).collect()} == {"a.md", "b.md"}
     g.close()
+
+
+def test_files_of_any_bytes_and_relative_folders(spark, tmp_path):
+    (tmp_path / "v" / "v").mkdir(parents=True)
+    (tmp_path / "v" / "bad.md").write_bytes(b"x:: [[caf\xe9]]\n\xff\xfe\n")
+    (tmp_path / "v" / "v" / "in.md").write_text("y:: [[bad]]\n")
+    near = os.path.relpath(tmp_path / "v")
+    for folder in (near, f"./{near}/", str(tmp_path / "v"), f"file://{tmp_path}/v"):
+        got = {r["path"]: r["text"] for r in files.read_files(spark, folder).collect()}
+        assert got == {"bad.md": "x:: [[caf\ufffd]]\n\ufffd\ufffd\n", "v/in.md": "y:: [[bad]]\n"}, folder
+    assert [(r["path"], r["target"]) for r in notes.parsed_edges(files.read_notes(spark, near)).orderBy("path").collect()] == [("bad.md", "caf\ufffd"), ("v/in.md", "bad")]
