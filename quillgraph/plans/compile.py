@@ -781,6 +781,8 @@ class Compiler:
                 return S.Value(F.count(F.lit(1)), "number", whole=True)
             v = self.value(e.args[0], env)
             c = F.col(env[v.ref].cols["type"]) if v.type == "rel" and v.ref and not distinct else v.col  # null only where the edge is
+            if v.type == "node" and v.ref and (known := self.keys.get(env[v.ref].cols["id"])):
+                c = F.col(known[1])
             return S.Value(F.count_distinct(c) if distinct else F.count(c), "number", whole=True)
         v = self.value(e.args[0], env)
         if name in ("sum", "avg", "stdev", "percentilecont"):
@@ -901,12 +903,14 @@ class Compiler:
             if v.type in ("node", "rel") and v.ref:
                 b = env[v.ref]
                 new = {k: self.new("g") for k in b.cols}
-                key_cols.append(F.col(b.cols["id"]).alias(new["id"]))
-                agg_cols += [F.first(F.col(b.cols[k])).alias(new[k]) for k in b.cols if k != "id"]  # the id decides them
+                decides = "id"
                 if known := self.keys.get(b.cols["id"]):
-                    key = self.new("g")
-                    agg_cols.append(F.first(F.col(known[1])).alias(key))
+                    decides, key = "", self.new("g")
+                    key_cols.append(F.col(known[1]).alias(key))
                     self.keys[new["id"]] = (known[0], key)
+                else:
+                    key_cols.append(F.col(b.cols["id"]).alias(new["id"]))
+                agg_cols += [F.first(F.col(b.cols[k])).alias(new[k]) for k in b.cols if k != decides]  # the id or key decides them
                 out_env[v.ref] = Bound(b.kind, new, b.props)
                 place[text(i.expr)] = S.Value(F.col(new["id"]), v.type, ref=v.ref)
             else:
