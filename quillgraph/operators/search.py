@@ -19,21 +19,41 @@ def query_terms(query: Column) -> Column:
     return F.array_distinct(tokens(query))
 
 
+def asked_terms(docs: DataFrame, query: str) -> list[str]:
+    return docs.sparkSession.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
+
+
+def term_score(tf: Column, df: Column, length: Column, average: Column, n: Column, weight: float) -> Column:
+    """What a term adds to a document's score: its count and the length of the field there, the documents that have it in the field, of n."""
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    usual = F.when(average > 0, average).otherwise(1.0)
+    return F.when(tf > 0, weight * idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / usual))).otherwise(0.0)
+
+
+def phrase_of(query: str, fields: dict[str, str]) -> str | None:
+    """The text that raises a score where the title holds it."""
+    phrase = query.strip().lower()
+    return phrase if "title" in fields and len(phrase) > 2 else None
+
+
+def best(scored: DataFrame, limit: int | None) -> DataFrame:
+    out = scored.filter("score > 0")
+    return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out
+
+
 def bm25(docs: DataFrame, id_col: str, query: str, fields: dict[str, str], limit: int | None = 10) -> DataFrame:
     """id and score of the documents that have a term of the query, best first. fields: title, summary or body -> column.
 
     One pass over the texts: words become rows that are counted by document within their task, so what is shuffled is one row of counts for
-    each document; both the statistics and the scores read that one exchange.
+    each document; both the statistics and the scores read that one exchange. For many queries over the same texts see ``postings``.
     """
-    spark = docs.sparkSession
-    terms = spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
+    terms = asked_terms(docs, query)
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
-    phrase = query.strip().lower()
-    boosted = "title" in fields and len(phrase) > 2
+    phrase = phrase_of(query, fields)
     per_field = []
     for i, (f, c) in enumerate(fields.items()):
-        said = F.contains(F.lower(F.col(c)), F.lit(phrase)) if boosted and f == "title" else F.lit(False)
+        said = F.contains(F.lower(F.col(c)), F.lit(phrase)) if phrase and f == "title" else F.lit(False)
         found = docs.select(F.col(id_col).alias("id"), said.alias("said"), F.explode_outer(words(F.coalesce(F.col(c), F.lit("")))).alias("w"))
         kept = (F.length("w") > 1) & ~F.col("w").isin(*STOP_WORDS)
         per_field.append(found.select("id", "said", F.lit(i).alias("field"), F.when(kept, stem(F.col("w"))).alias("w")))
@@ -44,18 +64,11 @@ def bm25(docs: DataFrame, id_col: str, query: str, fields: dict[str, str], limit
     counted = reduce(DataFrame.unionByName, per_field).groupBy("id").agg(*sums)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields), *(F.sum((F.col(f"tf_{f}_{i}") > 0).cast("long")).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))))
     scored = counted.filter(reduce(lambda a, b: a | b, [F.col(f"tf_{f}_{i}") > 0 for f in fields for i in range(len(terms))])).crossJoin(F.broadcast(stats))  # stats: one row
-    parts = []
-    for f in fields:
-        average = F.when(F.col(f"avg_{f}") > 0, F.col(f"avg_{f}")).otherwise(1.0)
-        for i in range(len(terms)):
-            tf, df = F.col(f"tf_{f}_{i}"), F.col(f"df_{f}_{i}")
-            idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-            parts.append(F.when(tf > 0, FIELD_WEIGHTS[f] * idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col(f"len_{f}") / average))).otherwise(0.0))
+    parts = [term_score(F.col(f"tf_{f}_{i}"), F.col(f"df_{f}_{i}"), F.col(f"len_{f}"), F.col(f"avg_{f}"), F.col("n"), FIELD_WEIGHTS[f]) for f in fields for i in range(len(terms))]
     score = reduce(lambda a, b: a + b, parts)
-    if boosted:
+    if phrase:
         score = score * F.when(F.col("said"), PHRASE_BOOST).otherwise(1.0)
-    out = scored.select("id", score.alias("score")).filter("score > 0")
-    return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out
+    return best(scored.select("id", score.alias("score")), limit)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -294,7 +294,8 @@ class Compiler:
                 df, end = self.trails(rel, rel_name, found, rels, df, found[name].cols["id"], back=True)
                 df = self.attach(df, before, before_name, end, found, later, rel, "in" if rel.direction == "in" else "out", own)
                 continue
-            hop, start, end = self.hop(rel, rel_name, found, later, rels)
+            near = "source" if (rel.direction == "in") == (df is None and not self.constrained(before, before_name) and self.constrained(node, name)) else "target"
+            hop, start, end = self.hop(rel, rel_name, found, later, rels, near)
             if df is None:
                 df = hop
                 df = self.attach(df, before, before_name, start, found, later, rel, "in" if rel.direction == "in" else "out", own)
@@ -318,7 +319,7 @@ class Compiler:
             if rel.hops:
                 rows, end = self.trails(rel, name, found, rels, rows, begin, back)
             else:
-                hop, start, end = self.hop(rel, name, found, later, rels)
+                hop, start, end = self.hop(rel, name, found, later, rels, {"source": "target", "target": "source"}[side])
                 start, end = (end, start) if back else (start, end)
                 rows = rows.join(hop, self.same(begin, start))
             rows = self.attach(rows, path.nodes[there], names[there], end, found, later, rel, "out" if side == "source" else "in", own)
@@ -433,9 +434,9 @@ class Compiler:
         rows = self.scan(p, name, found, later, wants, among)
         return df.join(rows, self.same(end, found[name].cols["id"]))
 
-    def edge_rows(self, rel: RelPattern, props: dict[str, Any], with_id: bool) -> DataFrame:
+    def edge_rows(self, rel: RelPattern, props: dict[str, Any], with_id: bool, near: str | None = None) -> DataFrame:
         ends = () if rel.hops or rel.direction == "both" else tuple(s for s in ("source", "target") if self.graph.native(rel.types or None, s))
-        rows = self.graph.edges(rel.types or None, props, with_id, **({"keys": ends} if ends else {}))
+        rows = self.graph.edges(rel.types or None, props, with_id, **({"keys": ends} if ends else {}), **({"near": near} if near and rel.direction != "both" else {}))
         start, end = F.col("source"), F.col("target")
         if rel.direction == "out":
             return rows.withColumns({"start": start, "end": end})
@@ -444,13 +445,13 @@ class Compiler:
         there = rows.withColumns({"start": start, "end": end})
         return there.unionByName(rows.filter(start != end).withColumns({"start": end, "end": start}))
 
-    def filtered_edges(self, rel: RelPattern, name: str) -> tuple[DataFrame, dict[str, Any]]:
+    def filtered_edges(self, rel: RelPattern, name: str, near: str | None = None) -> tuple[DataFrame, dict[str, Any]]:
         """The edges that a relationship can be, and their properties. Their ids are worked out only if something asks for them."""
         kinds = self.graph.edge_props(rel.types or None)
         wants = self.wants(rel.var)
         props = {k: t for k, t in kinds.items() if k not in ("id", "sign") and ("*" in wants or k in wants or k in rel.props or k in self.rel_props.get(id(rel), ()))}
         with_id = bool({"*", "id"} & wants) or id(rel) in self.needs_id or name != rel.var or "id" in rel.props or any("~" in x for x in wants)
-        rows = self.edge_rows(rel, props, with_id)
+        rows = self.edge_rows(rel, props, with_id, near if self.graph.by_end else None)
         bound = Bound("rel", {c: c for c in rows.columns}, props)
         for k, e in rel.props.items():
             if k not in kinds and k not in ("id", "sign"):
@@ -466,10 +467,11 @@ class Compiler:
                 props |= {f"{end}~{k}": t for k, t in known.items()}
         return rows, props
 
-    def hop(self, rel: RelPattern, name: str, found: dict[str, Bound], later: list, rels: list) -> tuple[DataFrame, str, str]:
+    def hop(self, rel: RelPattern, name: str, found: dict[str, Bound], later: list, rels: list, near: str | None = None) -> tuple[DataFrame, str, str]:
+        """The edges of a relationship with their start and end. near: the end (source or target) that the rows so far are joined to."""
         self.rel_names = {**self.rel_names, id(rel): name}
         kinds = self.graph.edge_props(rel.types or None)
-        rows, props = self.filtered_edges(rel, name)
+        rows, props = self.filtered_edges(rel, name, near)
         prefix = self.new("r")
         types = set(rel.types) or None
         if rel.hops:
@@ -500,7 +502,7 @@ class Compiler:
         bounded = high is not None
         high = self.max_depth if high is None else high
         props = self.shared_props(self.listed.get(id(rel), [rel]))
-        step = self.steps(self.filtered_edges(rel, name)[0], props)
+        step = self.steps(self.filtered_edges(rel, name, "target" if (rel.direction == "in") != back else "source")[0], props)
         edge = step.schema["edge"].dataType.simpleString()
         prefix = self.new("r")
         last, steps, ends = (f"{prefix}_{c}" for c in ("last", "list", "ends"))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search, validate, views
+from ..operators.postings import Postings
+from ..sources.adjacency import store_edges
 from ..sources.star import star_graph
+from ..sources.store import scratch_folder
 from ..streaming import sync
+from .compile import run
 
 TERMS = "stupid things over nation"
 
@@ -23,6 +27,19 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored postings."""
+    index = Postings(spark, scratch_folder(spark, "postings"), ("body",))
+    index.add(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")))
+    return index.search(TERMS).select("id", F.round("score", 6).alias("score"))
+
+
+def stored_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops over edges that are stored by their ends."""
+    kept = store_edges(star_graph(spark, sf_dir), ["PLACED", "CONTAINS"], folder=scratch_folder(spark, "edges"))
+    return run(kept, "MATCH (c:Customer)-[:PLACED]->(o) WITH c.c_mktsegment AS s, o MATCH (o)-[r:CONTAINS]->(p) RETURN s AS s, count(*) AS n, round(sum(r.l_quantity)) AS q").df
+
+
 _STEM = "CASE WHEN length(w) > 5 AND ends_with(w, 'ing') THEN left(w, length(w) - 3) WHEN length(w) > 4 AND (ends_with(w, 'ed') OR ends_with(w, 'es')) THEN left(w, length(w) - 2) WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END"
 _BM25 = f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents),
     tok AS (SELECT doc_id, {_STEM} AS t FROM words WHERE length(w) > 1 AND w NOT IN ('the','a','an','and','or','of','to','in','on','for','is','are','it','as','by','with','be','at','this','that')),
@@ -122,6 +139,8 @@ def nearest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "bm25_top": (bm25_top, _BM25),
+    "bm25_stored": (bm25_stored, _BM25),
+    "stored_hops": (stored_hops, "SELECT c_mktsegment AS s, count(*) AS n, CAST(floor(sum(l_quantity) + 0.5) AS BIGINT) AS q FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
     "vec_topk": (vec_topk, f"SELECT id, round(score, 5) AS score FROM (SELECT * FROM ({_VEC}) WHERE score > 0 ORDER BY score DESC, id LIMIT 20)"),
     "vec_best": (vec_best, f"SELECT label, round(max(score), 5) AS score FROM ({_VEC.replace('e.vec_id AS id', 'e.label')}) GROUP BY label"),
     "vec_pooled": (vec_pooled, """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x FROM embeddings),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import embeds, retrieval, validate, verbalize
 from ..sources import code, notes, sections
 from ..sources.lattice import lattice_graph
+from ..sources.store import released
 from . import compile as C
 
 
@@ -67,7 +68,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     g = notes.notes_graph(spark, vault(spark, sf_dir))
-    return notes.queried(g, C.run(g, query).df)
+    return released(C.run(g, query).df, g.close)
 
 
 def _lattice(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
@@ -96,12 +97,12 @@ def note_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def note_edge_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = notes.notes_graph(spark, edge_notes(spark, sf_dir))
-    return notes.queried(g, C.run(g, "MATCH (a)-[r]->(b) RETURN id(r) AS id, type(r) AS type, a.title AS source, id(b) AS target, r.weight AS weight").df)
+    return released(C.run(g, "MATCH (a)-[r]->(b) RETURN id(r) AS id, type(r) AS type, a.title AS source, id(b) AS target, r.weight AS weight").df, g.close)
 
 
 def note_refused_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = notes.notes_graph(spark, edge_notes(spark, sf_dir))
-    return notes.queried(g, g.refused_links())
+    return released(g.refused_links(), g.close)
 
 
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,21 +139,21 @@ def edge_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = notes.notes_graph(spark, v)
     c = F.col
     pages = _read(spark, sf_dir, "nation").select(_text("nations/N", c("n_nationkey"), ".md").alias("path"), _text("{{edge: [[N", c("n_nationkey"), "]] -in_region-> R", c("n_regionkey"), " . since}}\n{{edge: N", c("n_nationkey"), " -in_region-> R99}}\n").alias("text"))
-    return notes.queried(g, embeds.resolve_embeds(embeds.embeds(pages), g.edges(None, {"line": g.edge_props()["line"]}), v.select("path")))
+    return released(embeds.resolve_embeds(embeds.embeds(pages), g.edges(None, {"line": g.edge_props()["line"]}), v.select("path")), g.close)
 
 
 def edge_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = notes.notes_graph(spark, vault(spark, sf_dir))
     nodes = g.nodes(None, {"title": "string"})
     edges = g.edges(["in_region"], {"since": "double"}).withColumn("since", F.col("since").cast("long"))
-    return notes.queried(g, verbalize.sentences(nodes.select("id", "title", "labels"), edges, ["since"]).select("id", "text"))
+    return released(verbalize.sentences(nodes.select("id", "title", "labels"), edges, ["since"]).select("id", "text"), g.close)
 
 
 def vault_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = notes.notes_graph(spark, vault(spark, sf_dir))
     rules = [validate.EdgeRule("Nation", "in_region", properties=(validate.PropertyRule("", "until", required=True),)), validate.EdgeRule("Customer", "lives_in", targets=("Region",), sources=("Nation",)), validate.EdgeRule("Customer", "avoids", properties=(validate.PropertyRule("", "level", values=(0.0, 1.0)),))]
     found = validate.validate(g.nodes(None, {}), g.edges(None, {"level": "double"}), [], rules)
-    return notes.queried(g, found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")))
+    return released(found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")), g.close)
 
 
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +172,7 @@ def search_then_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = g.nodes(["Nation"], {}).select("id", "labels", F.col("id").alias("title"))
     chunks = found.select("id", F.lit(None).cast("string").alias("heading"), F.col("id").alias("text"), F.array(F.length("id").cast("double"), F.lit(1.0)).alias("vector"))
     hits = retrieval.search_nodes(found, chunks, [1.0, 0.0], "Nation", 100)
-    return notes.queried(g, retrieval.then(g, hits, "MATCH (c:Customer)-[:lives_in]->(n) WHERE id(n) IN $hits RETURN id(n) AS id, count(c) AS n").df)
+    return released(retrieval.then(g, hits, "MATCH (c:Customer)-[:lives_in]->(n) WHERE id(n) IN $hits RETURN id(n) AS id, count(c) AS n").df, g.close)
 
 
 _NATION = "'nations/N' || n_nationkey || '.md'"

@@ -43,6 +43,7 @@ class EdgeTable:
     single: bool = True
     complete: bool = True  # every end is a node: no stubs
     keys: tuple[str, str] | None = None  # the columns that hold the key of the source and of the target
+    near: dict[str, DataFrame] = field(default_factory=dict)  # the same rows, stored by source or by target
 
 
 @dataclass
@@ -57,6 +58,11 @@ class PropertyGraph:
         for df in self.kept:
             df.unpersist()
 
+    @property
+    def by_end(self) -> bool:
+        """Whether some edges are stored by their ends."""
+        return any(t.near for ts in self.edge_tables.values() for t in ts)
+
     def native(self, types: list[str] | None, side: str) -> str | None:
         """The one label that this end of these edges has, if its nodes are told apart by a key: joins then need no ids."""
         labels = set()
@@ -113,8 +119,9 @@ class PropertyGraph:
         known = reduce(DataFrame.unionByName, [t.df.select(t.id.alias("id")) for t in self.node_tables.values()])
         return reduce(DataFrame.unionByName, ends).filter("id is not null").distinct().join(known, "id", "left_anti")
 
-    def edges(self, types: list[str] | None, props: dict[str, T.DataType], with_id: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    def edges(self, types: list[str] | None, props: dict[str, T.DataType], with_id: bool = True, keys: tuple[str, ...] = (), near: str | None = None) -> DataFrame:
         """id, type, sign, source, target and the given properties of the edges of these types (None: all). keys: ends of which the key is given too.
+        near: the end that they are looked up by, for edges that are stored by their ends.
 
         The id is source#type#target#ordinal; it is only worked out where it is asked for."""
         parts = []
@@ -123,7 +130,7 @@ class PropertyGraph:
                 continue
             for t in tables:
                 sign = F.lit(1) if t.sign is None else t.sign
-                out = t.df.select(t.source.alias("source"), t.target.alias("target"), sign.cast("int").alias("sign"), *(F.col(p) for p in t.props), *(F.col(t.keys[side == "target"]).cast("long").alias(f"{side}_key") for side in keys))
+                out = t.near.get(near, t.df).select(t.source.alias("source"), t.target.alias("target"), sign.cast("int").alias("sign"), *(F.col(p) for p in t.props), *(F.col(t.keys[side == "target"]).cast("long").alias(f"{side}_key") for side in keys))
                 ordinal = F.lit("0")
                 if with_id and not t.single:
                     out = out.withColumn("_n", F.row_number().over(Window.partitionBy("source", "target").orderBy(*t.props)) - 1)

@@ -10,7 +10,6 @@ import hashlib
 import json
 import posixpath
 import re
-import weakref
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
@@ -399,26 +398,24 @@ def notes_graph(spark: SparkSession, notes: DataFrame, link_edges: bool = False)
     nodes, names, _ = _typed(rows.filter("not edge_note").drop("edge_note"), "props")
     paths = rows.select("path")
     found = resolve_links(edges_of(parsed), paths)
-    ends = found.filter("source is not null").select("path", F.col("source").alias("target")).distinct()
-    sources = resolve_links(ends, paths).select("path", F.col("target").alias("source"), F.col("to").alias("from"))
-    edges = found.join(sources, ["path", "source"], "left").withColumns({"target_id": F.coalesce("to", "target"), "source_id": F.when(F.col("source").isNull(), F.col("path")).otherwise(F.coalesce("from", "source")), "pinned": F.get_json_object("props", "$.id")})
+    edges = found.withColumns({"target_id": F.coalesce("to", "target"), "source_id": F.col("path"), "from": F.col("path"), "pinned": F.get_json_object("props", "$.id")})
+    edge_notes = rows.filter("edge_note").select("path")
+    some = not edge_notes.isEmpty()
+    if some:  # their edges begin at another note
+        ends = found.filter("source is not null").select("path", F.col("source").alias("target")).distinct()
+        sources = resolve_links(ends, paths).select("path", F.col("target").alias("source"), F.col("to").alias("begin"))
+        edges = edges.join(sources, ["path", "source"], "left").withColumns({"from": F.when(F.col("source").isNull(), F.col("path")).otherwise(F.col("begin")), "source_id": F.when(F.col("source").isNull(), F.col("path")).otherwise(F.coalesce("begin", "source"))}).drop("begin")
     kept = edges.persist()
     edges, edge_names, all_names = _typed(kept, "props")
-    g = NotesGraph(spark, nodes, names, edges, edge_names, rows.filter("edge_note").select("path"), "id" in all_names)
+    g = NotesGraph(spark, nodes, names, edges, edge_names, edge_notes if some else None, "id" in all_names)
     g.kept = [parsed, kept]
     return g
 
 
-def queried(graph: PropertyGraph, df: DataFrame) -> DataFrame:
-    """df, a result over the graph; what the graph keeps goes when df does."""
-    weakref.finalize(df, graph.close)
-    return df
-
-
 class NotesGraph(PropertyGraph):
     """A graph whose labels and types are values in two tables. They are kept until ``close``."""
 
-    def __init__(self, spark: SparkSession, note_table: DataFrame, names: list[str], edge_table: DataFrame, edge_names: list[str], edge_notes: DataFrame, some_pinned: bool):
+    def __init__(self, spark: SparkSession, note_table: DataFrame, names: list[str], edge_table: DataFrame, edge_names: list[str], edge_notes: DataFrame | None, some_pinned: bool):
         super().__init__(spark)
         self.edge_notes, self.some_pinned, self.hidden = edge_notes, some_pinned, HIDDEN
         self.note_table, self.names, self.edge_table, self.edge_names = note_table, names, edge_table, edge_names
@@ -451,13 +448,17 @@ class NotesGraph(PropertyGraph):
 
     def sound(self) -> DataFrame:
         """The edge table without links to edge notes: an edge is no end of an edge."""
+        if self.edge_notes is None:
+            return self.edge_table
         at = self.edge_notes.select(F.col("path").alias("_note"))
         return self.edge_table.join(at, F.col("target_id") == F.col("_note"), "left_anti")
 
     def refused_links(self) -> DataFrame:
         """code, path, line and target of the links to edge notes."""
-        at = self.edge_notes.select(F.col("path").alias("_note"))
-        return self.edge_table.join(at, F.col("target_id") == F.col("_note"), "left_semi").select(F.lit("link-to-edge-note").alias("code"), "path", (F.col("line") + 1).alias("line"), F.col("target_id").alias("target"))
+        hits = self.edge_table.filter(F.lit(False))
+        if self.edge_notes is not None:
+            hits = self.edge_table.join(self.edge_notes.select(F.col("path").alias("_note")), F.col("target_id") == F.col("_note"), "left_semi")
+        return hits.select(F.lit("link-to-edge-note").alias("code"), "path", (F.col("line") + 1).alias("line"), F.col("target_id").alias("target"))
 
     def identified(self) -> DataFrame:
         """The edge table with ids: a pinned one, else source#type#target#ordinal."""
