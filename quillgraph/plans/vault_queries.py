@@ -29,7 +29,7 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = _read(spark, sf_dir, "region").select(_text("regions/R", c("r_regionkey"), ".md").alias("path"), _text("---\ntype: Region\nname: ", c("r_name"), "\n---\n").alias("text"))
     nations = _read(spark, sf_dir, "nation").select(_text("nations/N", c("n_nationkey"), ".md").alias("path"), _text("---\ntype: Nation\nrank: ", c("n_nationkey"), "\n---\n# ", c("n_name"), "\n> - in_region:: [[R", c("n_regionkey"), "|home]] {since: ", c("n_nationkey") + 1900, ", tags: [a, 'b']}\n").alias("text"))
     customers = _read(spark, sf_dir, "customer").select(_text("customers/C", c("c_custkey"), ".md").alias("path"), _text("---\ntype: Customer\ntypes: [", c("c_mktsegment"), "]\n---\n## Home\nlives_in:: [[nations/N", c("c_nationkey"), "]]\n```\nlives_in:: [[R0]]\n```\n-avoids:: [[Nowhere ", F.pmod("c_custkey", F.lit(7)), "]] {level: ", F.pmod("c_custkey", F.lit(3)), "}\n").alias("text"))
-    return regions.unionByName(nations).unionByName(customers)
+    return regions.unionByName(nations).unionByName(customers).repartition(spark.sparkContext.defaultParallelism)
 
 
 def edge_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,9 +207,9 @@ def links_in(line: str, source: str) -> Iterator[tuple[str, str | None, str | No
         at = max(end, start + 1)
 
 
-def titled_lines(text: str) -> Iterator[tuple[int, str | None, str]]:
-    """(number, heading above, line) of the lines outside frontmatter, fences and headings."""
-    first, title = frontmatter(text)[1], None
+def titled_lines(text: str, first: int) -> Iterator[tuple[int, str | None, str]]:
+    """(number, heading above, line) of the lines from ``first`` on, outside fences and headings."""
+    title = None
     for n, line in marks.outside_fences(x.removesuffix("\r") for x in text.split("\n")[first:]):
         if h := marks.heading(line):
             title = h[1]
@@ -242,14 +242,14 @@ def frontmatter_links(meta: dict, source: str) -> Iterator[tuple[str, tuple[str,
                 yield from ((key, link) for link in scan_links(value, source)[0])
 
 
-def parse_note(path: str, text: str, link_edges: bool = False, frontmatter_edges: bool = True) -> tuple[list[tuple], list[tuple]]:
-    """Edges (type, sign, target, subpath, alias, props, line, heading) and problems (line, column, message)."""
-    meta = frontmatter(text)[0]
+def parse_note(path: str, text: str, link_edges: bool = False, frontmatter_edges: bool = True, front: tuple[dict, int] | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Edges (type, sign, target, subpath, alias, props, line, heading) and problems (line, column, message). front: the frontmatter, if it is known."""
+    meta, first = front or frontmatter(text)
     place = {key: i for i, key in enumerate(meta)}
     found = sorted(frontmatter_links(meta, path), key=lambda x: place[x[0]]) if frontmatter_edges else []
     edges: list[tuple] = [(key, 1, *link, {}, 0, None) for key, link in found]
     problems: list[tuple] = []
-    for n, title, line in titled_lines(text):
+    for n, title, line in titled_lines(text, first):
         if given := edge_line(line, path):
             kind, sign, links, props, problem = given
             edges += [(kind, sign, *link, dict(props), n, title) for link in links]
@@ -277,7 +277,7 @@ NOTE = "path string, props string, labels array<string>, title string, hash stri
 
 
 def _note(path: str, text: str, link_edges: bool) -> tuple:
-    meta, _ = frontmatter(text)
+    meta, first = frontmatter(text)
     labels: list[str] = []
     for key in ("type", "types"):
         for v in meta.get(key) if isinstance(meta.get(key), list) else [meta.get(key)]:
@@ -287,7 +287,7 @@ def _note(path: str, text: str, link_edges: bool) -> tuple:
     if e := edge_note(meta):
         edges = [(e[2], e[3], e[1], None, None, json.dumps(e[4] | {"id": path}), 0, None, 0, e[0])]
     else:
-        edges = [(t, s, target, sub, alias, json.dumps(props), line, heading, k, None) for k, (t, s, target, sub, alias, props, line, heading) in enumerate(parse_note(path, text, link_edges)[0])]
+        edges = [(t, s, target, sub, alias, json.dumps(props), line, heading, k, None) for k, (t, s, target, sub, alias, props, line, heading) in enumerate(parse_note(path, text, link_edges, front=(meta, first))[0])]
     props = {k: v for k, v in meta.items() if k != "title"}
     return path, json.dumps(props), labels, title, hashlib.sha256(text.encode()).hexdigest(), e is not None, [dict(zip(_EDGE_NAMES, x, strict=True)) for x in edges]
 
@@ -319,22 +319,31 @@ def note_rows(notes: DataFrame) -> DataFrame:
     return parsed_notes(notes).drop("edges")
 
 
+def link_names(links: DataFrame) -> DataFrame:
+    """path, target and name: the paths, or ends of paths, that a link may mean; one of either kind of note where it has no extension."""
+    clean = links.select("path", "target").distinct().withColumn("clean", F.regexp_replace(F.trim("target"), "^/+", ""))
+    both = F.array(F.concat("clean", F.lit(".md")), F.concat("clean", F.lit(".adoc")))
+    return clean.select("path", "target", F.explode(F.when(F.rlike(F.lower("clean"), F.lit(r"\.(md|adoc)$")), F.array("clean")).otherwise(both)).alias("name"))
+
+
+def path_ends(paths: DataFrame) -> DataFrame:
+    """path and end: each path's ends at a folder, in lower case."""
+    parts = F.split("path", "/")
+    return paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.lower(F.array_join(F.slice(parts, i, F.size(parts)), "/")))).alias("end"))
+
+
 def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
     """links (path, target) with ``to``: the note a link means, or null. An exact path wins, else a path that ends with the link: in the
     source's folder first, then the shortest, then the first by name. A link without an extension that fits notes of both kinds means none.
 
     The best note of each ending is worked out once, so a link meets three rows at most, however many notes end alike."""
-    wanted = links.select("path", "target").distinct()
-    named = wanted.withColumn("clean", F.regexp_replace(F.trim("target"), "^/+", "")).withColumn("name", F.explode(F.when(F.rlike(F.lower("clean"), F.lit(r"\.(md|adoc)$")), F.array("clean")).otherwise(F.array(F.concat("clean", F.lit(".md")), F.concat("clean", F.lit(".adoc"))))))
-    parts = F.split("to", "/")
-    notes = paths.select(F.col("path").alias("to")).distinct()
-    best = F.min(F.struct(F.length("to").alias("n"), F.col("to")))["to"]
-    ends = notes.withColumn("end", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.lower(F.array_join(F.slice(parts, i, F.size(parts)), "/")))))
-    by_end = ends.groupBy("end").agg(best.alias("by_end"))
-    by_place = notes.groupBy(F.lower("to").alias("whole")).agg(best.alias("by_place"))
-    exact = notes.withColumnRenamed("to", "exact")
+    notes = paths.select("path").distinct()
+    best = F.min(F.struct(F.length("path").alias("n"), F.col("path")))["path"]
+    by_end = path_ends(notes).groupBy("end").agg(best.alias("by_end"))
+    by_place = notes.groupBy(F.lower("path").alias("whole")).agg(best.alias("by_place"))
+    exact = notes.select(F.col("path").alias("exact"))
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
-    met = named.join(by_end, F.lower("name") == F.col("end")).join(by_place, F.lower(F.concat(folder, "name")) == F.col("whole"), "left").join(exact, F.col("name") == F.col("exact"), "left")
+    met = link_names(links).join(by_end, F.lower("name") == F.col("end")).join(by_place, F.lower(F.concat(folder, "name")) == F.col("whole"), "left").join(exact, F.col("name") == F.col("exact"), "left")
     chosen = met.groupBy("path", "target").agg(F.count(F.lit(1)).alias("n"), F.first(F.coalesce("exact", "by_place", "by_end")).alias("to"))
     return links.join(chosen.filter("n = 1").drop("n"), ["path", "target"], "left")
 
