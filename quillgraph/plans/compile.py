@@ -99,6 +99,8 @@ class Compiler:
         self.json: set[str] = set()
         #: Whether the rows so far are few: a LIMIT or a total.
         self.few = False
+        #: Columns that rows were last ordered by, and whether downwards: collect() gives its elements in this order.
+        self.order: list[tuple[str, bool]] = []
         #: Properties of elements of lists, by their expression's text.
         self.looked: dict[str, S.Value] = {}
         self.fresh = 0
@@ -169,7 +171,7 @@ class Compiler:
     # Queries
 
     def single(self, clauses: list) -> tuple[DataFrame, list[tuple[str, str]]]:
-        self.used, self.few, self.looked = {}, False, {}
+        self.used, self.few, self.looked, self.order = {}, False, {}, []
         self.survey(clauses)
         df: DataFrame | None = None
         env: dict[str, Bound] = {}
@@ -804,12 +806,28 @@ class Compiler:
             elif v.type in ("node", "rel") and v.ref:
                 props = {k: t for k, t in env[v.ref].props.items() if "~" not in k and not (v.type == "rel" and k in self.graph.hidden)}
                 c = F.when(v.col.isNotNull(), self.rel_struct(env[v.ref], props)) if v.type == "rel" else c
-            return S.Value(F.array_distinct(F.collect_list(c)) if distinct else F.collect_list(c), "list", v.type, v.whole, props=props)
+            rows = self.in_order(c) if self.order else F.collect_list(c)
+            return S.Value(F.array_distinct(rows) if distinct else rows, "list", v.type, v.whole, props=props)
         if name == "stdev":
             return S.Value(F.stddev_samp(v.col), "number")
         p = self.value(e.args[1], env)
         return S.Value(F.percentile(v.col, p.col), "number")
 
+    def in_order(self, c: Column) -> Column:
+        """The values of a group in the order of its rows, wherever these came from; nulls are left out."""
+        keys = [F.col(h).alias(f"k{i}") for i, (h, _) in enumerate(self.order)]
+        found = F.collect_list(F.when(c.isNotNull(), F.struct(*keys, c.alias("v"))))
+
+        def before(a: Column, b: Column) -> Column:
+            out = F.lit(0)
+            for i, (_, down) in reversed(list(enumerate(self.order))):
+                x, y = (b[f"k{i}"], a[f"k{i}"]) if down else (a[f"k{i}"], b[f"k{i}"])
+                unlike = F.when(x.isNull(), F.lit(1)).when(y.isNull(), F.lit(-1)).when(x < y, F.lit(-1)).otherwise(F.lit(1))
+                out = F.when(x.eqNullSafe(y), out).otherwise(unlike)
+            return out
+
+        return F.transform(F.array_sort(found, before), lambda x: x["v"])
+
     def number(self, e: Expr, what: str) -> int:
         v = e.value if e.op == "lit" else self.params.get(e.value) if e.op == "param" else None
         if not isinstance(v, int) or isinstance(v, bool) or v < 0:
@@ -861,8 +879,12 @@ class Compiler:
             h = self.new("o")
             hidden.append(h)
             columns.append(self.rank(v).alias(h))
+        carried = [] if grouping or ordering or c.final or c.distinct else self.order  # an earlier order holds on
+        columns += [F.col(h) for h, _ in carried]
         df = df.select(*columns)
         shown = [n for group in names for n in group]
+        self.order = [] if c.final else carried or [(h, down) for h, (_, down) in zip(hidden, ordering, strict=True)]
+        shown += [h for h, _ in self.order]
         if c.distinct:
             keys = [out_env[i.name].cols.get("id") or out_env[i.name].cols.get("") for i in items]
             df = df.dropDuplicates(keys) if not hidden else self.first_of(df, keys, [(h, down) for h, (_, down) in zip(hidden, ordering, strict=True)])

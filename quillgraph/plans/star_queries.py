@@ -111,6 +111,10 @@ QUERIES: dict[str, tuple[str, str]] = {
         "MATCH (c:Customer)-[:IN_NATION]->(n) WITH c.c_mktsegment AS s, n, count(c) AS k RETURN n.n_nationkey AS n, head(collect(n)).n_name AS a, collect(n)[1].n_regionkey AS b, sum(k) AS k",
         "SELECT n_nationkey AS n, n_name AS a, CASE WHEN count(DISTINCT c_mktsegment) > 1 THEN n_regionkey END AS b, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name, n_regionkey",
     ),
+    "collect_in_order": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n) WITH c, n ORDER BY c.c_acctbal DESC, c.c_custkey RETURN n.n_nationkey AS k, toString(head(collect(c.c_custkey))) + ' ' + toString(collect(c.c_custkey)[1]) + ' ' + toString(last(collect(c.c_custkey))) AS v, head(collect(DISTINCT c.c_mktsegment)) AS s",
+        "SELECT k, l[1] || ' ' || l[2] || ' ' || l[-1] AS v, m[1] AS s FROM (SELECT c_nationkey AS k, list(c_custkey ORDER BY c_acctbal DESC, c_custkey) AS l, list(c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS m FROM customer GROUP BY 1)",
+    ),
     "cycle": ("MATCH (o:Order)-[:CONTAINS]->(p)-[:OF]->(s)<-[:SUPPLIED_BY]-(o) RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) f ON a.l_partkey = f.l_partkey JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_suppkey = f.l_suppkey"),
     "edge_properties": ("MATCH (:Order)-[r:CONTAINS {l_linestatus:'O'}]->() WHERE r.l_quantity >= 10 RETURN r.l_returnflag AS f, count(*) AS n", "SELECT l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_quantity >= 10 GROUP BY 1"),
     "inline_from_bound": ("MATCH (n:Nation), (s:Supplier {s_nationkey: n.n_nationkey}) RETURN count(*) AS n", "SELECT count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey"),

@@ -101,3 +101,16 @@ def test_errors_are_the_language_s(star):
 def test_recorded_keys(notes):
     assert rows(notes, "MATCH (n) WHERE n.path = 'a.md' RETURN keys(n) AS k, n.type AS t") == [(["type", "age", "mark", "tags", "path", "title"], "Thing")]
     assert sorted(map(str, rows(notes, "MATCH ()-[r:knows]->() RETURN keys(r) AS k, r.since AS s"))) == sorted(map(str, [(["since"], "2020"), (["since"], '"spring"'), ([], None)]))
+
+
+def test_collect_keeps_the_order_of_rows(star, spark):
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = rows(star, "MATCH (n:Nation)-[:IN_REGION]->(r) WITH n, r ORDER BY n.n_nationkey DESC WITH n.n_nationkey AS k, r RETURN r.r_regionkey AS r, collect(k) AS l ORDER BY r")
+        assert all(k == sorted(k, reverse=True) for _, k in got) and sum(len(k) for _, k in got) == 25
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = rows(star, "MATCH (n:Nation)-[:IN_REGION]->(r) WITH n, r ORDER BY r.r_name, n.n_nationkey DESC MATCH (s:Supplier)-[:IN_NATION]->(n) WITH collect(DISTINCT n.n_nationkey) AS l RETURN l AS l")
+    keys = spark.read.parquet(f"{DIR}/nation.parquet").join(spark.read.parquet(f"{DIR}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    with_supplier = keys.join(spark.read.parquet(f"{DIR}/supplier.parquet"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    assert got == [([r["n_nationkey"] for r in with_supplier.orderBy("r_name", F.desc("n_nationkey")).collect()],)]
+    assert rows(star, "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-(s:Supplier {s_suppkey: 3}) WITH s.s_name AS s, n ORDER BY s, n.n_nationkey RETURN size(collect(s)) AS k, collect(n.n_nationkey)[1] AS f") == [(1, 0 if spark.read.parquet(f"{DIR}/supplier.parquet").filter("s_suppkey = 3").first()["s_nationkey"] else 1)]
