@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import embeds, retrieval, validate, verbalize
+from ..operators import embeds, retrieval, rules, validate, verbalize
 from ..sources import code, notes, sections
 from ..sources.lattice import lattice_graph
 from ..sources.store import released
@@ -151,8 +151,28 @@ def edge_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vault_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = notes.notes_graph(spark, vault(spark, sf_dir))
-    rules = [validate.EdgeRule("Nation", "in_region", properties=(validate.PropertyRule("", "until", required=True),)), validate.EdgeRule("Customer", "lives_in", targets=("Region",), sources=("Nation",)), validate.EdgeRule("Customer", "avoids", properties=(validate.PropertyRule("", "level", values=(0.0, 1.0)),))]
-    found = validate.validate(g.nodes(None, {}), g.edges(None, {"level": "double"}), [], rules)
+    declared = [validate.EdgeRule("Nation", "in_region", properties=(validate.PropertyRule("", "until", required=True),)), validate.EdgeRule("Customer", "lives_in", targets=("Region",), sources=("Nation",)), validate.EdgeRule("Customer", "avoids", properties=(validate.PropertyRule("", "level", values=(0.0, 1.0)),))]
+    found = validate.validate(g.nodes(None, {}), g.edges(None, {"level": "double"}), [], declared)
+    return released(found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")), g.close)
+
+
+def schema_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type for each market segment and for regions, and one edge type that every region declares, so that all but the first are duplicates."""
+    c = F.col
+    segments = _read(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    types = segments.select(_text("Types/", c("c_mktsegment"), ".md").alias("path"), _text("---\nschema:\n  uri: seg:", c("c_mktsegment"), "\n  properties:\n    motto: {required: true}\n    types: {many: true}\n  edges:\n    lives_in: {target: Nation, required: true}\n    avoids:\n      many: false\n---\n").alias("text"))
+    regions = _read(spark, sf_dir, "region")
+    shared = regions.select(_text("Types/of", c("r_regionkey"), ".md").alias("path"), _text("---\nedgeTypes:\n  avoids:\n    from: [Customer]\n    properties:\n      level: {values: [0, 1]}\n  in_region: {to: Nation, properties: {until: {required: true}}}\nprefixes: {r", c("r_regionkey"), ": 'https://r/'}\n---\n").alias("text"))
+    named = regions.filter("r_regionkey > 0").agg(F.array_join(F.array_sort(F.collect_list("r_name")), ", ").alias("names"))
+    region = named.select(_text("Types/Region.md").alias("path"), _text("---\nschema: {properties: {name: {values: [", c("names"), "]}}}\n---\n").alias("text"))
+    return types.unionByName(shared).unionByName(region)
+
+
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the declared rules find in the vault, and in the declarations themselves."""
+    declared = rules.merge(rules.declarations(schema_notes(spark, sf_dir)))
+    g = notes.notes_graph(spark, vault(spark, sf_dir))
+    found = rules.check_notes(g, declared).unionByName(declared.findings.select(F.lit("declaration").alias("severity"), "code", "node", "detail"))
     return released(found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")), g.close)
 
 
@@ -205,6 +225,13 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "vault_findings": (vault_findings, """SELECT 'error' AS severity, 'missing-edge-property' AS code, count(*) AS n, min('nations/N' || n_nationkey || '.md') AS first FROM nation
         UNION ALL SELECT 'error', 'edge-value-not-allowed', count(*), min('customers/C' || c_custkey || '.md') FROM customer WHERE c_custkey % 3 = 2
         UNION ALL SELECT 'warning', u.code, count(DISTINCT c_custkey), min('customers/C' || c_custkey || '.md') FROM customer, (VALUES ('wrong-target-type'), ('wrong-source-type')) u(code) GROUP BY u.code"""),
+    "rule_findings": (rule_findings, """SELECT 'error' AS severity, 'missing-property' AS code, count(*) AS n, min('customers/C' || c_custkey || '.md') AS first FROM customer
+        UNION ALL SELECT 'error', 'value-not-allowed', count(*), min('regions/R' || r_regionkey || '.md') FROM region WHERE r_regionkey = 0
+        UNION ALL SELECT 'error', 'missing-edge-property', count(*), min('nations/N' || n_nationkey || '.md') FROM nation
+        UNION ALL SELECT 'error', 'edge-value-not-allowed', count(*), min('customers/C' || c_custkey || '.md') FROM customer WHERE c_custkey % 3 = 2
+        UNION ALL SELECT 'warning', 'wrong-target-type', count(*), min('nations/N' || n_nationkey || '.md') FROM nation
+        UNION ALL SELECT 'declaration', 'duplicate-declaration', 2 * (count(*) - 1), 'Types/of1.md' FROM region
+        UNION ALL SELECT 'declaration', 'unknown-prefix', count(DISTINCT c_mktsegment), min('Types/' || c_mktsegment || '.md') FROM customer"""),
     "search_hybrid": (search_hybrid, f"SELECT {_DOC} || '#' || n_name AS id FROM {_JOINED} WHERE n_name = 'NATION_7'"),
     "search_then_query": (search_then_query, f"SELECT {_NATION} AS id, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
 }
