@@ -38,7 +38,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secrets", secret_spans), ("packing", packing)]
 
-#: SQL can't express the language model, components, or packing: tests hold run() against plain Python.
+#: SQL can't express the language model, components, or packing: tests hold run()'s rows against plain Python.
 ORACLE_SQL = None
 
 
