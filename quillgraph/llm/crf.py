@@ -337,13 +337,15 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
-    """Code-point offsets of the words that words_of finds; those of the lower-cased text where lower-casing changes its length."""
+    """Code-point offsets in the text of the words that words_of finds in it lower-cased, where some characters become several."""
+    low = text.lower()
+    origin = range(len(text)) if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
     out, start = [], None
-    for i, c in enumerate(text.lower() + " "):
+    for i, c in enumerate(low + " "):
         if c.isalpha():
             start = i if start is None else start
         elif start is not None:
-            out.append((start, i))
+            out.append((origin[start], origin[i - 1] + 1))
             start = None
     return out
 
@@ -364,7 +366,7 @@ def toxic_spans(docs: DataFrame, model: Crf, least: float = 0.5) -> DataFrame:
                         if d not in offsets:
                             offsets = {d: word_offsets(texts[d])}
                         a, b = offsets[d][k]
-                        rows.append((ids[d], a, b, q, texts[d].lower()[a:b]))
+                        rows.append((ids[d], a, b, q, texts[d][a:b].lower()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.int64()] * 3 + [pa.float64(), pa.string()], strict=True)], names=["doc_id", "start", "end", "marginal", "word"])
 
     return common.texts(docs).mapInArrow(run, "doc_id long, start long, end long, marginal double, word string")

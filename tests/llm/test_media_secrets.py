@@ -135,6 +135,16 @@ def test_time_is_linear_on_hostile_text(text):
     assert time.process_time() - began < 5
 
 
+def test_a_token_head_nested_too_deep(spark):
+    import base64
+
+    head = base64.urlsafe_b64encode(b'{"a":' + b"[" * 60_000).decode().rstrip("=")
+    text = f"x {head}.eyJhIjoxfQ.sig token=abcdef1"
+    assert [s[2] for s in secrets.scan(text)] == [s[2] for s in secrets.scan("token=abcdef1")]
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    assert secrets.scan_secrets(docs).count() == 2 and "[secret]" in secrets.mask_secrets(docs).filter("doc_id = 1").first()["text"]
+
+
 def test_jwt_after_a_failed_run():
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).rstrip(b"=").decode()
     token = f"{head}.{head}.sig"
