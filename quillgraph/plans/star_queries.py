@@ -42,8 +42,8 @@ QUERIES: dict[str, tuple[str, str]] = {
     "stub_edges": ("MATCH (o:Order)-[r:CONTAINS]->(p) WHERE p.stub RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25"),
     "multi_label": ("MATCH (e:Event:click) RETURN count(*) AS n, size(labels(e)) AS k", "SELECT count(*) AS n, 2 AS k FROM events WHERE event_type = 'click'"),
     "label_predicate": ("MATCH (u:User)-[:DID]->(e) WHERE e:purchase RETURN count(*) AS n", "SELECT count(*) AS n FROM events WHERE event_type = 'purchase'"),
-    "inline_null": ("MATCH (c:Customer {c_name:null}) RETURN count(*) AS n", "SELECT 0 AS n"),
-    "missing_type": ("MATCH (a)-[:NOWHERE]->(b) RETURN count(*) AS n", "SELECT 0 AS n"),
+    "inline_null": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o {o_orderstatus:null}) RETURN c.c_mktsegment AS s, count(c) AS n, count(o) AS k", "SELECT c_mktsegment AS s, count(*) AS n, 0 AS k FROM customer GROUP BY 1"),
+    "missing_type": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:NOWHERE]->(b) RETURN c.c_mktsegment AS s, count(c) AS n, count(b) AS k", "SELECT c_mktsegment AS s, count(*) AS n, 0 AS k FROM customer GROUP BY 1"),
     "optional_match": (
         "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o) WHERE o.o_totalprice > 300000 RETURN c.c_custkey AS k, count(o) AS n",
         "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 GROUP BY 1",
@@ -135,7 +135,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "fn_lists": ("MATCH (r:Region) RETURN r.r_name AS n, head([1, 2, 3]) AS h, last([1, 2, 3]) AS l, [1, 2, 3][1] AS i, [1, 2][9] AS o, size([1] + 2) AS p, coalesce(null, r.r_name) AS c", "SELECT r_name AS n, 1 AS h, 3 AS l, 2 AS i, CAST(NULL AS INTEGER) AS o, 2 AS p, r_name AS c FROM region"),
     "fn_id_labels": ("MATCH (n:Nation)-[r:IN_REGION]->(g) RETURN id(n) AS n, type(r) AS t, id(r) AS r, head(labels(n)) AS l, startNode(r).id AS a, endNode(r).id AS b, size(keys(n)) AS k", "SELECT 'Nation:' || n_nationkey AS n, 'IN_REGION' AS t, 'Nation:' || n_nationkey || '#IN_REGION#Region:' || n_regionkey || '#0' AS r, 'Nation' AS l, 'Nation:' || n_nationkey AS a, 'Region:' || n_regionkey AS b, 3 AS k FROM nation"),
     "properties_map": ("MATCH (n:Nation) RETURN properties(n).n_name AS a, {x: n.n_name}.x AS b", "SELECT n_name AS a, n_name AS b FROM nation"),
-    "zero_division": ("MATCH (r:Region {r_regionkey: 0}) RETURN toString(1 / 0) AS a, toString(-1 / 0) AS b, toString(5 % 0) AS c", "SELECT 'Infinity' AS a, '-Infinity' AS b, 'NaN' AS c"),
+    "zero_division": ("MATCH (c:Customer) RETURN toString(1 / (c.c_custkey - c.c_custkey)) AS a, toString(-1 / 0) AS b, toString(c.c_custkey % 0) AS c, count(*) AS n", "SELECT 'Infinity' AS a, '-Infinity' AS b, 'NaN' AS c, count(*) AS n FROM customer"),
 }
 
 #: Text, number or truth by customer: its value as given out, and in SQL its order (text, truth, number).
@@ -145,7 +145,7 @@ _MIXED_RANK = "(2 * c_custkey) % 3, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE
 
 #: Beyond the reference's grammar: only with extended=True.
 EXTENDED: dict[str, tuple[str, str]] = {
-    "unwind": ("UNWIND [1, 2, 3] AS x RETURN x * 2 AS y", "SELECT CAST(x * 2 AS BIGINT) AS y FROM (VALUES (1), (2), (3)) t(x)"),
+    "unwind": ("MATCH (c:Customer) UNWIND [1, c.c_nationkey, 3] AS x RETURN c.c_mktsegment AS s, sum(x * 2) AS y, count(*) AS n", "SELECT c_mktsegment AS s, CAST(sum(2 * (4 + c_nationkey)) AS BIGINT) AS y, 3 * count(*) AS n FROM customer GROUP BY 1"),
     "case_when": ("MATCH (p:Part) RETURN CASE WHEN p.p_size > 25 THEN 'big' ELSE 'small' END AS s, count(*) AS n", "SELECT CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS s, count(*) AS n FROM part GROUP BY 1"),
     "mixed_order": (
         f"MATCH (c:Customer) RETURN {_MIXED} AS v, c.c_custkey AS k ORDER BY v, k SKIP 10 LIMIT 1000",

@@ -89,7 +89,7 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def degree_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = star_graph(spark, sf_dir).edges(None, {}, with_id=False)
-    _, inner = views.densest(edges, 30)
+    _, inner = views.densest(edges, 300)
     return inner.select("source", "type", "target")
 
 
@@ -152,7 +152,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "degree_subgraph": (degree_subgraph, """WITH e AS (SELECT 'Nation:' || n_nationkey AS source, 'IN_REGION' AS type, 'Region:' || n_regionkey AS target FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 'IN_NATION', 'Nation:' || c_nationkey FROM customer UNION ALL SELECT 'Supplier:' || s_suppkey, 'IN_NATION', 'Nation:' || s_nationkey FROM supplier
         UNION ALL SELECT 'Customer:' || o_custkey, 'PLACED', 'Order:' || o_orderkey FROM orders UNION ALL SELECT 'Order:' || l_orderkey, 'CONTAINS', 'Part:' || l_partkey FROM lineitem UNION ALL SELECT 'Order:' || l_orderkey, 'SUPPLIED_BY', 'Supplier:' || l_suppkey FROM lineitem
         UNION ALL SELECT DISTINCT 'Part:' || l_partkey, 'OF', 'Supplier:' || l_suppkey FROM lineitem UNION ALL SELECT 'User:' || user_id, 'DID', 'Event:' || event_id FROM events),
-        d AS (SELECT id FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id ORDER BY count(*) DESC, id LIMIT 30) SELECT * FROM e WHERE source IN (SELECT id FROM d) AND target IN (SELECT id FROM d)"""),
+        d AS (SELECT id FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id ORDER BY count(*) DESC, id LIMIT 300) SELECT * FROM e WHERE source IN (SELECT id FROM d) AND target IN (SELECT id FROM d)"""),
     "backlinks": (backlinks, "SELECT 'IN_NATION' AS type, 1 AS sign, count(*) AS n, count(*) AS k FROM (SELECT c_custkey FROM customer WHERE c_nationkey = 3 UNION ALL SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)"),
     "retrieve_bfs": (retrieve_bfs, """WITH s AS (SELECT id, name, length(name) AS score FROM (SELECT 'Nation:' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'Region:' || r_regionkey, r_name FROM region)),
         e AS (SELECT 'Nation:' || n_nationkey AS a, 'Region:' || n_regionkey AS b FROM nation), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

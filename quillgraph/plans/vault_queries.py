@@ -86,7 +86,7 @@ def note_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def note_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = notes.note_rows(vault(spark, sf_dir))
-    return rows.filter(F.startswith("path", F.lit("regions/"))).select("path", "hash")
+    return rows.select(F.substring_index("path", "/", 1).alias("folder"), F.substring("hash", 1, 1).alias("h")).groupBy("folder", "h").agg(F.count(F.lit(1)).alias("n"))
 
 
 def note_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,10 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         UNION ALL SELECT 'lives_in', 1, 'Home', count(*), count(DISTINCT c_nationkey), 5, 0 FROM customer UNION ALL SELECT 'avoids', -1, 'Home', count(*), count(DISTINCT c_custkey % 7), 9, 0 FROM customer"""),
     "note_labels": (note_labels, """SELECT 'Region' AS label, count(*) AS n, min('R' || r_regionkey) AS first FROM region UNION ALL SELECT 'Nation', count(*), min('N' || n_nationkey) FROM nation
         UNION ALL SELECT 'Customer', count(*), min('C' || c_custkey) FROM customer UNION ALL SELECT c_mktsegment, count(*), min('C' || c_custkey) FROM customer GROUP BY 1"""),
-    "note_hashes": (note_hashes, "SELECT 'regions/R' || r_regionkey || '.md' AS path, sha256('---' || chr(10) || 'type: Region' || chr(10) || 'name: ' || r_name || chr(10) || '---' || chr(10)) AS hash FROM region"),
+    "note_hashes": (note_hashes, """WITH t AS (SELECT 'regions' AS folder, '---' || chr(10) || 'type: Region' || chr(10) || 'name: ' || r_name || chr(10) || '---' || chr(10) AS text FROM region
+        UNION ALL SELECT 'nations', '---' || chr(10) || 'type: Nation' || chr(10) || 'rank: ' || n_nationkey || chr(10) || '---' || chr(10) || '# ' || n_name || chr(10) || '> - in_region:: [[R' || n_regionkey || '|home]] {since: ' || (n_nationkey + 1900) || ', tags: [a, ''b'']}' || chr(10) FROM nation
+        UNION ALL SELECT 'customers', '---' || chr(10) || 'type: Customer' || chr(10) || 'types: [' || c_mktsegment || ']' || chr(10) || '---' || chr(10) || '## Home' || chr(10) || 'lives_in:: [[nations/N' || c_nationkey || ']]' || chr(10) || '```' || chr(10) || 'lives_in:: [[R0]]' || chr(10) || '```' || chr(10) || '-avoids:: [[Nowhere ' || (c_custkey % 7) || ']] {level: ' || (c_custkey % 3) || '}' || chr(10) FROM customer)
+        SELECT folder, left(sha256(text), 1) AS h, count(*) AS n FROM t GROUP BY 1, 2"""),
     "note_resolution": (note_resolution, f"SELECT 'regions/R' || n_regionkey || '.md' AS \"to\", count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT {_NATION}, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM customer"),
     "note_query": (lambda spark, sf_dir: _graph(spark, sf_dir, "MATCH (c:Customer)-[:lives_in]->(n:Nation)-[r:in_region]->(g) RETURN g.name AS region, count(c) AS n, max(r.since) AS latest"), "SELECT r_name AS region, count(*) AS n, CAST(max(n_nationkey) + 1900 AS DOUBLE) AS latest FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "note_stubs": (lambda spark, sf_dir: _graph(spark, sf_dir, "MATCH (c:Customer)-[r:avoids]->(n) WHERE n.stub RETURN id(n) AS id, count(*) AS n, min(r.sign) AS sign"), "SELECT 'Nowhere ' || (c_custkey % 7) AS id, count(*) AS n, -1 AS sign FROM customer GROUP BY 1"),
