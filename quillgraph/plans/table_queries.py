@@ -82,8 +82,12 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    edges = g.edges(None, {}, with_id=False)
+    return views.keyed_neighbourhood(star_graph(spark, sf_dir), "Region", spark.createDataFrame([(1,)], "key long"), 2)
+
+
+def neighbourhood_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from ids alone."""
+    edges = star_graph(spark, sf_dir).edges(None, {}, with_id=False)
     return views.neighbourhood(edges, spark.createDataFrame([("Region:1",)], "id string"), 2)
 
 
@@ -137,6 +141,8 @@ def nearest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_name(_read(spark, sf_dir, "nation"), "n_name", "NATION_7x")
 
 
+_NEAR = "SELECT 'Region:1' AS id, 0 AS distance UNION ALL SELECT 'Nation:' || n_nationkey, 1 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Customer:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'Supplier:' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1"
+
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "bm25_top": (bm25_top, _BM25),
     "bm25_stored": (bm25_stored, _BM25),
@@ -148,7 +154,8 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         SELECT label, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 4) AS score FROM p JOIN q ON p.d = q.d GROUP BY label"""),
     "rrf_fuse": (rrf_fuse, """WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)
         SELECT id, round(sum(1.0 / (60 + r)), 8) AS score, count(*) AS sources FROM (SELECT * FROM a WHERE r <= 50 UNION ALL SELECT * FROM b WHERE r <= 50) GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, id LIMIT 20"""),
-    "neighbourhood": (neighbourhood, "SELECT 'Region:1' AS id, 0 AS distance UNION ALL SELECT 'Nation:' || n_nationkey, 1 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Customer:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'Supplier:' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1"),
+    "neighbourhood": (neighbourhood, _NEAR),
+    "neighbourhood_by_id": (neighbourhood_by_id, _NEAR),
     "degree_subgraph": (degree_subgraph, """WITH e AS (SELECT 'Nation:' || n_nationkey AS source, 'IN_REGION' AS type, 'Region:' || n_regionkey AS target FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 'IN_NATION', 'Nation:' || c_nationkey FROM customer UNION ALL SELECT 'Supplier:' || s_suppkey, 'IN_NATION', 'Nation:' || s_nationkey FROM supplier
         UNION ALL SELECT 'Customer:' || o_custkey, 'PLACED', 'Order:' || o_orderkey FROM orders UNION ALL SELECT 'Order:' || l_orderkey, 'CONTAINS', 'Part:' || l_partkey FROM lineitem UNION ALL SELECT 'Order:' || l_orderkey, 'SUPPLIED_BY', 'Supplier:' || l_suppkey FROM lineitem
         UNION ALL SELECT DISTINCT 'Part:' || l_partkey, 'OF', 'Supplier:' || l_suppkey FROM lineitem UNION ALL SELECT 'User:' || user_id, 'DID', 'Event:' || event_id FROM events),
