@@ -137,10 +137,19 @@ def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.tumbling_counts(_read(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+def stream_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over events that a stream has landed, delivered twice."""
+    schema, folder = _read(spark, sf_dir, "events").schema, scratch_folder(spark, "events")
+    twice = sync.file_stream(spark, sf_dir, "events.parquet", schema)
+    sync.land(twice.unionByName(twice), folder, "event_id")
+    return sync.tumbling_counts(spark.read.parquet(f"{folder}/rows")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
 def nearest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_name(_read(spark, sf_dir, "nation"), "n_name", "NATION_7x")
 
 
+_DAILY = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"
 _NEAR = "SELECT 'Region:1' AS id, 0 AS distance UNION ALL SELECT 'Nation:' || n_nationkey, 1 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Customer:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'Supplier:' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1"
 
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -172,7 +181,8 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "validate_edges": (validate_edges, """WITH n AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
         SELECT 'edge-not-allowed' AS code, 'Customer:' || c_custkey AS node, 'IN_NATION' AS detail FROM customer UNION ALL SELECT 'missing-edge', 'Customer:' || c_custkey, 'PLACED' FROM n WHERE n < 1 UNION ALL SELECT 'too-many-edges', 'Customer:' || c_custkey, 'PLACED' FROM n WHERE n > 20"""),
     "diff_sync": (diff_sync, "SELECT o_orderkey, 'update' AS change FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'delete' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey <> 0 UNION ALL SELECT -o_orderkey, 'insert' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey <> 0"),
-    "stream_window": (stream_window, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
+    "stream_window": (stream_window, _DAILY),
+    "stream_landed": (stream_landed, _DAILY),
     "nearest_name": (nearest_name, "SELECT n_name AS name, levenshtein(n_name, 'NATION_7x') AS distance FROM nation ORDER BY 2, 1 LIMIT 1"),
 }
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def signed(rows: DataFrame, key: str) -> DataFrame:
@@ -39,3 +40,20 @@ def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
     """Events by window and type; on a stream, state older than the watermark is dropped."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def file_stream(spark: SparkSession, folder: str, files: str, schema: T.StructType, at_once: int | None = None) -> DataFrame:
+    """The rows of the parquet files of a folder that fit a name pattern, as they arrive; at_once: files in a micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    return (reader.option("maxFilesPerTrigger", at_once) if at_once else reader).parquet(folder)
+
+
+def land(events: DataFrame, folder: str, key: str, time: str = "ts", late: str = "1 day") -> None:
+    """Adds what has arrived to the table in a folder, each key once, however often it is delivered within ``late``, and returns when that is done.
+
+    The sink and its checkpoint are in the folder, so a run that broke off is taken up where it was and no row is written twice. State older than
+    the watermark is dropped, and rows older than it too: ``late`` is how far rows may be out of order.
+    """
+    once = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    query = once.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
