@@ -284,14 +284,15 @@ class Compiler:
         for i, (rel, node, name) in enumerate(hops):
             before, before_name = path.nodes[i], names[i]
             rel_name = stand_in(rel.var, "rels" if rel.hops else "rel")
-            if rel.hops and before_name not in own and (df is not None or self.constrained(before, before_name)):
+            from_end = rel.hops and df is None and len(hops) == 1 and name not in own and name != before_name
+            from_end = from_end and self.reach(node, name) > self.reach(before, before_name)
+            if rel.hops and before_name not in own and not from_end and (df is not None or self.reach(before, before_name)):
                 # Trails grow from the rows so far, which are carried through the hops.
                 df = self.start_rows(before, before_name, found, later, own) if df is None else df
                 df, end = self.trails(rel, rel_name, found, rels, df, found[before_name].cols["id"])
                 df = self.attach(df, node, name, end, found, later, rel, "out" if rel.direction == "in" else "in", own)
                 continue
-            if rel.hops and df is None and len(hops) == 1 and name not in own and name != before_name and self.constrained(node, name):
-                # Only the end is known: the same from there.
+            if from_end:  # More is known of the end: the same from there.
                 df = self.start_rows(node, name, found, later, own)
                 df, end = self.trails(rel, rel_name, found, rels, df, found[name].cols["id"], back=True)
                 df = self.attach(df, before, before_name, end, found, later, rel, "in" if rel.direction == "in" else "out", own)
@@ -410,6 +411,10 @@ class Compiler:
         """Whether a node is one of few: by properties, a condition, or as bound before."""
         return bool(p.props or self.local.get(name) or name != p.var and p.var in self.outer[1])
 
+    def reach(self, p: NodePattern, name: str) -> int:
+        """How much is known of a node that trails could start from: 2 if it is one of few, 1 if its labels are known, else 0."""
+        return 2 if self.constrained(p, name) else int(bool(p.labels))
+
     def start_rows(self, p: NodePattern, name: str, found: dict[str, Bound], later: list, own: dict[str, Bound]) -> DataFrame:
         """The rows of a node that a variable-length hop starts from; of one bound before, its different ids."""
         outer, env = self.outer

@@ -1,6 +1,7 @@
 """Shapes of plans, and patterns of variable length that start from either side."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.plans.compile import run
 from quillgraph.plans.star_queries import QUERIES
@@ -70,6 +71,19 @@ def test_a_known_start_is_filtered_before_the_hops(graph):
     assert len(filters) == 1 and below(plan, "UnionLoop", filters[0].strip(" :+-"))
 
 
+@pytest.mark.parametrize("query", ["MATCH (a:Region)-[r:IN_REGION|IN_NATION*1..3]-(x) RETURN count(*) AS n", "MATCH (x)-[r:IN_REGION|IN_NATION*1..3]-(a:Region) RETURN count(*) AS n"])
+def test_trails_start_from_the_nodes_of_a_label(graph, spark, query):
+    """One level starts from the label's own table, on whichever side it stands: the other tables are read once, as edges."""
+    nation, customer, supplier = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("nation", "customer", "supplier"))
+    inside = customer.select("c_nationkey").unionAll(supplier.select("s_nationkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).count()
+    # a region's nations, then their people; nothing is left for a third edge
+    assert value(graph, query) == nation.count() + inside
+    lines = plan_of(graph, query).split("\n")
+    first = next(i for i, x in enumerate(lines) if "UnionLoop" in x)
+    start = next(x for x in lines[first:] if "Relation" in x)
+    assert "r_regionkey" in start and not any("Aggregate" in x for x in lines[first:]), lines
+
+
 @pytest.mark.parametrize("hops, want", [("*1..2", 1), ("*1..6", 1), ("*", 1), ("*0..4", 1), ("*3", 3), ("*1", 1), ("*0..1", 1)])
 def test_a_level_is_one_join(graph, hops, want):
     """Levels are those of one loop, or a chain where only one length counts."""
