@@ -123,6 +123,81 @@ def test_op7_spread_is_a_floor_and_adds_nothing(spark):
     assert got["l_dup_lines_dup_lines"] == pytest.approx(mcd.SPREAD["dup_lines"])
 
 
+def plain_middle(values, share):
+    """The bin in which the sorted bins reach a share of their count, rounded up, and the part of it that is needed."""
+    bins, counts = np.unique(values, return_counts=True)
+    upto, wanted = np.cumsum(counts), int(np.ceil(len(values) * share))
+    i = int(np.argmax(upto >= wanted))
+    return bins[i], (wanted - upto[i] + counts[i]) / counts[i]
+
+
+def plain_factor(c):
+    """Cholesky factor of a covariance in which no pivot is less than the measure's spread."""
+    l = np.zeros_like(c)
+    for i, m in enumerate(mcd.MEASURES):
+        for j in range(i + 1):
+            v = c[i, j] - l[i, :j] @ l[j, :j]
+            l[i, j] = np.sqrt(max(v, mcd.SPREAD[m] ** 2)) if i == j else v / l[j, j]
+    return l
+
+
+def plain_distance(x, mean, c):
+    return (np.linalg.solve(plain_factor(c), (x - mean).T) ** 2).sum(axis=0)
+
+
+def plain_mcd(x):
+    """Mean and covariance of the nearest share of rows whose determinant is least, from the four starts, all in memory."""
+    median = lambda v: np.array([(plain_middle(np.floor(a * mcd.VALUE_BINS), 0.5)[0] + 0.5) / mcd.VALUE_BINS for a in v.T])
+    med = median(x)
+    s = np.maximum(1.4826 * median(np.abs(x - med)), list(mcd.SPREAD.values()))
+    z = (x - med) / s
+    norm = np.linalg.norm(z, axis=1, keepdims=True)
+    u = z / np.where(norm > 0, norm, 1.0)
+    first = {"medians": (med, np.diag(s**2)), "signs": (med, 5 * u.T @ u / len(x) * np.outer(s, s)), "tangents": (med, 2.5 * np.tanh(z).T @ np.tanh(z) / len(x) * np.outer(s, s)), "all": (x.mean(axis=0), np.cov(x.T, bias=True).reshape(5, 5))}
+
+    def closer(mean, c):
+        bins = np.floor(np.log(plain_distance(x, mean, c) + 1e-6) * mcd.BINS)
+        limit, part = plain_middle(bins, mcd.SHARE)
+        w = np.where(bins < limit, 1.0, np.where(bins == limit, part, 0.0))
+        mean = w @ x / w.sum()
+        return mean, mcd.CONSISTENCY * ((x - mean).T * w) @ (x - mean) / w.sum()
+
+    size = lambda e: np.log(np.diag(plain_factor(e[1]))).sum()
+    ends = []
+    for start in mcd.STARTS:
+        now = closer(*first[start])
+        for _ in range(mcd.MOST_STEPS):
+            new = closer(*now)
+            if not size(new) < size(now) - mcd.LEAST_GAIN / 2:
+                break
+            now = new
+        ends.append(now)
+    return min(ends, key=size)
+
+
+def test_op7_verdicts_are_those_of_a_plain_version(spark, sf):
+    docs = common.documents(spark, sf)
+    rows = [r.asDict() for r in mcd.measures(mcd.statistics(docs)).collect()]
+    x = {r["doc_id"]: np.array([r[m] for m in mcd.MEASURES]) for r in rows}
+    members = {}
+    for r in rows:
+        for g in ((), (r["lang"],), (r["lang"], r["source"])):
+            members.setdefault(g, [])
+            if not r["base_failed"]:
+                members[g].append(r["doc_id"])
+    estimates = {}
+    for g in sorted(members, key=len):  # a group's is averaged with that of the wider one
+        if members[g]:
+            own, n = plain_mcd(np.array([x[i] for i in members[g]])), len(members[g])
+            estimates[g] = [(a * n + b * mcd.PRIOR) / (n + mcd.PRIOR) for a, b in zip(own, estimates[g[:-1]], strict=True)] if g else own
+    want = {r["doc_id"]: plain_distance(x[r["doc_id"]][None], *estimates[r["lang"], r["source"]])[0] for r in rows if (r["lang"], r["source"]) in estimates}
+    got = {r["doc_id"]: r for r in mcd.judge(docs).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if r["distance2"] is None} == set(x) - set(want)
+    assert {i: got[i]["distance2"] for i in want} == pytest.approx(want, rel=1e-6)
+    assert {i: r["kept"] for i, r in got.items()} == {r["doc_id"]: not r["base_failed"] and want.get(r["doc_id"], 0) <= mcd.CUT for r in rows}
+    assert 0 < sum(not r["kept"] and not r["base_failed"] for r in got.values()) < len(rows) / 5
+
+
 def test_op7_plan_has_no_python(spark, sf):
     plan = mcd.judge(common.documents(spark, sf))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
