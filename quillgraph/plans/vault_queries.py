@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embeds, retrieval, rules, validate, verbalize
 from ..sources import code, notes, sections
-from ..sources.lattice import lattice_graph
+from ..sources.lattice import index_findings, lattice_graph
 from ..sources.store import released
 from . import compile as C
 
@@ -75,6 +75,40 @@ def _lattice(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return C.run(lattice_graph(spark, documents(spark, sf_dir), specs(spark, sf_dir), files(spark, sf_dir)), query).df
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each customer about its nation's requirement, with a typed edge to a scenario and a link to code. Every other one names the capability."""
+    c = F.col
+    rows = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
+    key = F.when(c("c_custkey") % 2 == 0, _text("---\nopenspec:\n  - n", c("n_nationkey"), "\n---\n")).otherwise(F.lit(""))
+    scenario = _text("[[openspec:n", c("n_nationkey"), "#", c("n_name"), "#near]]")
+    return rows.select(_text("people/C", c("c_custkey"), ".md").alias("path"), _text(key, "# C", c("c_custkey"), "\n\nlead\n\nsuits:: ", scenario, "\n\nAs ", scenario, " says, see [[src/n", c("n_nationkey"), ".py#f_", c("n_nationkey"), "]] twice: [[src/n", c("n_nationkey"), ".py#f_", c("n_nationkey"), "]]\n").alias("text"))
+
+
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder for each customer with two notes; some have an index, which may list too little or too much, and some a file that is no note."""
+    c = F.col
+    at = _text("lat/C", c("c_custkey"), "/")
+    by = lambda n: c("c_custkey") % n == 0
+    index = _text("# Index\n\n- [[a]] - first\n", F.when(by(3), F.lit("")).otherwise(F.lit("- [[b|second]] - second\n")), F.when(by(4), F.lit("- [[gone]]\n")).otherwise(F.lit("")))
+    some = lambda when, name, text: F.when(when, F.struct(F.concat(at, name).alias("path"), text.alias("text")))
+    rows = F.array(some(F.lit(True), F.lit("a.md"), F.lit("# A\n")), some(F.lit(True), F.lit("b.md"), F.lit("# B\n")), some(~by(5), _text("C", c("c_custkey"), ".md"), index), some(by(7), F.lit("x.txt"), F.lit("x")))
+    return _read(spark, sf_dir, "customer").select(F.inline(F.filter(rows, lambda x: x.isNotNull())))
+
+
+def lattice_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = lattice_graph(spark, people(spark, sf_dir), specs(spark, sf_dir), files(spark, sf_dir))
+    return released(C.run(g, "MATCH (s:Section)-[r:suits|references]->(x) RETURN type(r) AS type, id(x) AS x, count(*) AS n, min(r.line) AS line").df, g.close)
+
+
+def lattice_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_findings(folders(spark, sf_dir), "lat").groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"), F.count_distinct("target").alias("targets"))
+
+
+def requirement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = code.annotation_rows(files(spark, sf_dir)).select("type", "sign", "target")
+    return sections.trace(sections.requirements(specs(spark, sf_dir)), edges, sections.document_keys(people(spark, sf_dir))).select("requirement", "documented", "documents")
+
+
 def note_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = notes.parsed_edges(vault(spark, sf_dir))
     return rows.groupBy("type", "sign", "heading").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets"), F.max("line").alias("line"), F.count("alias").alias("aliases")).withColumn("heading", F.when(F.col("type") == "in_region", "name").otherwise(F.col("heading"))).groupBy("type", "sign", "heading").agg(F.sum("n").alias("n"), F.max("targets").alias("targets"), F.max("line").alias("line"), F.sum("aliases").alias("aliases"))
@@ -223,6 +257,14 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "code_annotations": (code_annotations, "SELECT 'src/n' || n_nationkey || '.py' AS path, u.line, u.kind, u.type, u.target, 'f_' || n_nationkey AS symbol FROM nation, LATERAL (SELECT 6 AS line, 'tg' AS kind, 'implements' AS type, 'openspec:n' || n_nationkey || '#' || n_name AS target UNION ALL SELECT 6, 'tg', 'verifies', 'openspec:n' || n_nationkey || '#' || n_name || '#near' UNION ALL SELECT 7, 'lat', 'references', 'doc/' || n_regionkey || '.md') u"),
     "lattice_verified": (lambda spark, sf_dir: _lattice(spark, sf_dir, "MATCH (f:CodeSymbol)-[r:verifies]->(s:Scenario) RETURN id(f) AS f, id(s) AS s, r.line AS line"), "SELECT 'src/n' || n_nationkey || '.py#f_' || n_nationkey AS f, 'openspec:n' || n_nationkey || '#' || n_name || '#near' AS s, 6 AS line FROM nation"),
     "lattice_sections": (lambda spark, sf_dir: _lattice(spark, sf_dir, "MATCH (a:Section)-[:contains]->(b:Section)-[:references]->(a) RETURN id(a) AS a, count(b) AS n"), f"SELECT {_DOC} AS a, count(*) AS n FROM {_JOINED} GROUP BY 1"),
+    "lattice_typed": (lattice_typed, """SELECT 'suits' AS type, 'openspec:n' || n_nationkey || '#' || n_name || '#near' AS x, count(*) AS n, min(CASE WHEN c_custkey % 2 = 0 THEN 9 ELSE 5 END) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name
+        UNION ALL SELECT 'references', 'src/n' || n_nationkey || '.py#f_' || n_nationkey, count(*), min(CASE WHEN c_custkey % 2 = 0 THEN 11 ELSE 7 END) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey
+        UNION ALL SELECT 'references', 'openspec:n' || n_nationkey || '#' || n_name, count(*), 5 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0 GROUP BY n_nationkey, n_name"""),
+    "lattice_index": (lattice_index, """SELECT 'not-markdown' AS code, count(*) AS n, min('lat/C' || c_custkey || '/x.txt') AS first, 0 AS targets FROM customer WHERE c_custkey % 7 = 0
+        UNION ALL SELECT 'missing-index', count(*) + 1, min('lat/C' || c_custkey || '/C' || c_custkey || '.md'), 0 FROM customer WHERE c_custkey % 5 = 0
+        UNION ALL SELECT 'not-listed', count(*), min('lat/C' || c_custkey || '/C' || c_custkey || '.md'), 1 FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 3 = 0
+        UNION ALL SELECT 'lists-nothing', count(*), min('lat/C' || c_custkey || '/C' || c_custkey || '.md'), 1 FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 4 = 0"""),
+    "requirement_documents": (requirement_documents, "SELECT 'openspec:n' || n_nationkey || '#' || n_name AS requirement, count(c_custkey) > 0 AS documented, count(c_custkey) AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 2 = 0 GROUP BY n_nationkey, n_name"),
     "edge_embeds": (edge_embeds, f"SELECT {_NATION} AS path, 0 AS line, {_NATION} || '#in_region#regions/R' || n_regionkey || '.md#0' AS edge, 1 AS matches FROM nation UNION ALL SELECT {_NATION}, 1, NULL, 0 FROM nation"),
     "edge_sentences": (edge_sentences, f"SELECT {_NATION} || '#in_region#regions/R' || n_regionkey || '.md#0' AS id, 'N' || n_nationkey || ' (Nation) in region R' || n_regionkey || ' (Region) - since ' || (n_nationkey + 1900) AS text FROM nation"),
     "vault_findings": (vault_findings, """SELECT 'error' AS severity, 'missing-edge-property' AS code, count(*) AS n, min('nations/N' || n_nationkey || '.md') AS first FROM nation

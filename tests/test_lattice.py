@@ -1,5 +1,6 @@
 from quillgraph.plans.compile import run
-from quillgraph.sources.lattice import lattice_findings, lattice_graph
+from quillgraph.sources import sections as S
+from quillgraph.sources.lattice import index_findings, lattice_findings, lattice_graph, spec_findings
 
 
 def test_lattice(spark):
@@ -20,3 +21,48 @@ def test_findings(spark):
     docs = spark.createDataFrame([("d.md", "---\nrequire-code-mention: true\n---\n# A\n[[nowhere]] [[d#A]] [[s.py#f]]\n# B\n[[s.py#g]] [[s.py]] [[bad.ts#x]]\n")], schema)
     files = spark.createDataFrame([("s.py", "# @lat: [[d#A]]\ndef f(): pass\n# @lat: [[gone]]\n"), ("bad.ts", "const a = 'x\n")], schema)
     assert {(r["code"], r["line"], r["target"]) for r in lattice_findings(docs, files).collect()} == {("broken-link", 5, "nowhere"), ("missing-symbol", 7, "s.py#g"), ("unresolvable", 7, "bad.ts#x"), ("broken-code-reference", 3, "gone"), ("not-mentioned", 6, "d.md#B")}
+
+
+TEXTS = "path string, text string"
+
+
+def test_typed_edges_of_sections(spark):
+    docs = spark.createDataFrame([("d.md", "---\nopenspec: [cap, other#Two]\nsee: [[d]]\n---\n# A\nlead\n\n-blocks:: [[openspec:cap#One]], [[nowhere]], [[d#A]]\n\nlike [[openspec:cap#One]], [[d#A]] and [[a.py#f]]\n## B\nneeds:: [[d#A]]\n"), ("e.md", None)], TEXTS)
+    specs = spark.createDataFrame([("specs/cap/spec.md", "### Requirement: One\n"), ("specs/other/spec.md", "### Requirement: Two\n### Requirement: Three\n")], TEXTS)
+    files = spark.createDataFrame([("a.py", "# @tg: implements:: [[openspec:cap#One]]\ndef f():\n    pass\n")], TEXTS)
+    g = lattice_graph(spark, docs, specs, files)
+    rows = {tuple(r) for r in run(g, "MATCH (s:Section)-[r]->(x) RETURN type(r) AS t, id(s) AS s, id(x) AS x, r.sign AS sign, r.line AS line").df.collect()}
+    assert rows == {
+        ("contains", "d.md#A", "d.md#A#B", 1, None),
+        ("blocks", "d.md#A", "openspec:cap#One", -1, 8),
+        ("needs", "d.md#A#B", "d.md#A", 1, 12),
+        ("references", "d.md#A", "openspec:cap#One", 1, 5),
+        ("references", "d.md#A", "openspec:other#Two", 1, 5),
+        ("references", "d.md#A", "a.py#f", 1, 10),
+    }
+    off = lattice_graph(spark, docs, specs, files, "off")
+    assert run(off, "MATCH (s:Section)-[r:references]->(x) RETURN count(*) AS n").df.first()["n"] == 2
+    none = lattice_graph(spark, docs.limit(0), specs, files)
+    assert run(none, "MATCH (s:Section)-[r:references]->(x) RETURN count(*) AS n").df.first()["n"] == 0
+
+
+def test_documents_of_requirements(spark):
+    parts = S.requirements(spark.createDataFrame([("specs/cap/spec.md", "### Requirement: One\n#### Scenario: s\n### Requirement: Two\n"), ("specs/x/spec.md", "### Requirement: One\n")], TEXTS))
+    docs = spark.createDataFrame([("a.md", "---\nopenspec: cap\n---\n"), ("b.md", "---\nopenspec:\n  - cap#One#s\n  - openspec:cap#One\n  - gone\n---\n"), ("c.md", ""), ("n.md", None)], TEXTS)
+    rows = S.trace(parts, spark.createDataFrame([], "type string, sign int, target string"), S.document_keys(docs)).collect()
+    assert {(r["requirement"], r["documents"], r["documented"]) for r in rows} == {("openspec:cap#One", 2, True), ("openspec:cap#Two", 1, True), ("openspec:x#One", 0, False)}
+    specs = spark.createDataFrame([("specs/cap/spec.md", "### Requirement: One\n#### Scenario: s\n")], TEXTS)
+    assert [tuple(r) for r in spec_findings(docs, specs).collect()] == [("unknown-specification", "b.md", "gone")]
+
+
+def test_index_files(spark):
+    texts = {"docs/docs.md": "- [[a]]\n- [[sub|x]]\n- [[docs]]\n- [[old]] gone\n * [[no]]\n", "docs/a.md": "", "docs/b.md": None, "docs/sub/deep/x.md": "", "docs/pic.png": None, "docs/sub/sub.md": "- [[deep]]\n", "elsewhere/y.md": "", "docs/alone/alone.md": ""}
+    rows = index_findings(spark.createDataFrame(list(texts.items()), TEXTS), "docs").collect()
+    assert sorted((r["code"], r["path"], r["target"] or "") for r in rows) == [
+        ("lists-nothing", "docs/docs.md", "old"),
+        ("missing-index", "docs/sub/deep/deep.md", ""),
+        ("not-listed", "docs/docs.md", "alone"),
+        ("not-listed", "docs/docs.md", "b"),
+        ("not-markdown", "docs/pic.png", ""),
+    ]
+    assert index_findings(spark.createDataFrame([], TEXTS), "docs").count() == 0
