@@ -259,17 +259,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
-    """Fits on about ``sample`` labelled documents at most of each class that aren't held out."""
+    """Fits on about ``sample`` labelled documents at most of each class that aren't held out, and on one text of each."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Crf()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     picked = known.filter(F.when(F.col("toxic") == 1, share < min(1.0, sample / sizes[1])).otherwise(share < min(1.0, sample / sizes[0])))
-    # About 2 * sample rows, by the shares: small enough to be broadcast.
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
     # About 2 * sample rows, by the shares: small enough to be broadcast. Their texts stay where they are, in a shared table.
-    sample_rows = common.stash(common.texts(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic", half), "sample")
+    # Of a doc_id that several rows have, one text is learned from (that of the least hash): one row a doc_id, however often it is repeated.
+    one = common.texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample_rows = common.stash(one.select("text", "toxic", half), "sample")
     counted = sample_rows.mapInArrow(_count_batches, COUNTS)
     sums = [F.sum(c.split()[0]).alias(c.split()[0]) for c in COUNTS.split(", ")[1:]]
     everything = sample_rows.select(F.lit("").alias("feature"), *(((F.col("half") == h) & (F.col("toxic") == y)).cast("long").alias(f"{n}_{h}") for h in (0, 1) for y, n in enumerate(("clean", "toxic"))))

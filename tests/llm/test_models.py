@@ -314,6 +314,64 @@ def test_op8(spark, odd_docs, no_docs):
     assert {r["score"] for r in crf.score(odd_docs, crf.learn(odd_docs, l.filter("doc_id < 0"))).collect()} == {0.0}
 
 
+def test_op8_learns_from_one_text_of_a_repeated_id(spark):
+    """However many rows a sampled doc_id has, the fit gets one of them, the same in any order of rows."""
+    docs = [(i, f"plain words {i} " + ("vileword" if i % 5 == 0 else "quiet")) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string"
+    seen = []
+
+    def counted(sample, names, halves):
+        seen.append(sample.count())
+        return gather(sample, names, halves)
+
+    gather = crf._gather_windows
+    repeated = docs + [(5, f"vileword again {k}") for k in range(3000)] + [(6, "quiet")] * 3000
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(crf, "_gather_windows", counted)
+        models = [crf.learn(spark.createDataFrame(rows, schema).repartition(5), labels) for rows in (docs, repeated, repeated[::-1])]
+    learned = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))
+    assert set(seen) == {learned}
+    assert models[1].weights == models[2].weights and models[1].logistic.tolist() == models[2].logistic.tolist()
+
+
+def segmentations(word, pieces):
+    """All ways to cut a word into pieces (their places) and single letters that are unknown (None)."""
+    if not word:
+        yield []
+        return
+    for rest in segmentations(word[1:], pieces):
+        yield [None, *rest]
+    for j in range(1, len(word) + 1):
+        if word[:j] in pieces:
+            for rest in segmentations(word[j:], pieces):
+                yield [pieces[word[:j]], *rest]
+
+
+def test_op10_fit_is_that_of_plain_expectation_maximisation():
+    from quillgraph.llm.chunks import piece_processor
+
+    sp = piece_processor(langid.MODEL)
+    h = {langid.hash_of(w): w for w in {sp.id_to_piece(i).lower() for i in range(sp.vocab_size())}}
+    pieces = {h[int(x)]: i for i, x in enumerate(langid.pieces().hashes.tolist())}
+    words = [("en", "the", 7), ("en", "thing", 2), ("de", "die", 5), ("de", "thing", 1), ("de", "straße", 3), ("en", "漢q", 1)]
+    v, smooth = len(pieces), langid.SMOOTH
+    for rounds in (1, 3):
+        p = {l: np.full(v, 1.0 / v) for l in ("de", "en")}
+        for _ in range(rounds):
+            expected = {l: np.zeros(v) for l in p}
+            for l, w, n in words:
+                cuts = list(segmentations("▁" + w, pieces))
+                chance = np.array([np.prod([langid.UNKNOWN if i is None else p[l][i] for i in c]) for c in cuts])
+                for c, share in zip(cuts, chance / chance.sum(), strict=True):
+                    for i in c:
+                        if i is not None:
+                            expected[l][i] += n * share
+            p = {l: (e + smooth) / (e.sum() + smooth * v) for l, e in expected.items()}
+        model = langid.fit(words, rounds)
+        assert model.languages == ["de", "en"] and np.allclose(model.p, np.column_stack([p["de"], p["en"]]), rtol=1e-6, atol=0)
+
+
 def test_pipeline(spark, sf, odd_docs):
     docs = common.documents(spark, sf)
     columns = docs.columns
