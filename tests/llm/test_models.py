@@ -1,5 +1,6 @@
 """Ops 7, 8 and 10 and the pipeline."""
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -335,6 +336,44 @@ def test_op8_learns_from_one_text_of_a_repeated_id(spark):
     assert models[1].weights == models[2].weights and models[1].logistic.tolist() == models[2].logistic.tolist()
 
 
+def test_op8_fit_takes_the_steps_of_the_likelihood_over_all_labellings():
+    rng = np.random.default_rng(4)
+    start = {"a": 3.5, "b": 4.0, "c": 5.0}
+    x = rng.integers(-1, 3, size=(6, 5, 2)).astype(np.int32)
+    labels = np.array([[-1, 0, 1, 1, 0], [1, 0, 0, 1, -1], [0, 0, 0, 0, 0], [1, -1, 0, 1, 1], [-1, -1, 1, 0, -1], [1, 1, 1, 0, 1]])
+    n, width = labels.shape
+    theta, bias, tr = np.array([v / 2 for _, v in sorted(start.items())]), -4.0, np.zeros((2, 2))
+    size = len(theta) + 1  # with the place that stands for no feature
+    g2, gb2, gt2 = np.full(len(theta), 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    steps = 8
+    for _ in range(steps):
+        g, gb, gt = -crf.PENALTY * theta / size, 0.0, np.zeros((2, 2))
+        for w in range(n):
+            real = [k for k in range(width) if labels[w, k] >= 0]
+            e = {k: bias + sum(theta[f] for f in x[w, k] if f >= 0) for k in real}
+            pairs = [(k, k + 1) for k in real if k + 1 in e]
+            ways = [dict(zip(real, y, strict=True)) for y in itertools.product((0, 1), repeat=len(real))]
+            chance = np.exp([sum(e[k] * y[k] for k in real) + sum(tr[y[a], y[b]] for a, b in pairs) for y in ways])
+            chance /= chance.sum()
+            for y, share in [({k: labels[w, k] for k in real}, 1.0), *((y, -c) for y, c in zip(ways, chance, strict=True))]:
+                for k in real:
+                    gb += share * y[k] / n
+                    for f in x[w, k]:
+                        if f >= 0:
+                            g[f] += share * y[k] / n
+                for a, b in pairs:
+                    gt[y[a], y[b]] += share / n
+        g2, gb2, gt2 = g2 + g * g, gb2 + gb * gb, gt2 + gt * gt
+        theta = theta + crf.RATE * g / np.sqrt(g2)
+        bias += crf.RATE * gb / np.sqrt(gb2)
+        tr = tr + 0.2 * crf.RATE * (gt - 1e-3 * tr) / np.sqrt(gt2)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(crf, "STEPS", steps)
+        got = crf.fit_crf(start, x, labels)
+    assert [got.weights[f] for f in sorted(start)] == pytest.approx(theta.tolist(), rel=1e-6)
+    assert got.bias == pytest.approx(bias) and np.allclose(got.transition, tr)
+
+
 def segmentations(word, pieces):
     """All ways to cut a word into pieces (their places) and single letters that are unknown (None)."""
     if not word:
