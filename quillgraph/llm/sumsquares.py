@@ -6,10 +6,11 @@ runs over the multiset of lengths alone, at most ``capacity`` counts, in an orde
 the rule does best where lengths arrive mixed. Then the documents of sequences that stayed open are placed anew, longest first,
 and again as long as that saves sequences.
 
-Up to ``STEPS`` documents each is placed by itself. Beyond, documents of a length are placed in lots of a power of ``LOT``, the
-squares being those of the counts with the lot moved; what is left of each length goes in smaller lots into the sequences open by then,
-down to single documents. The number of placings thus grows with the logarithm of the number of documents only, and no document
-is left out of it. Ranks among pieces of a length then tell each piece its place, as in ``binslack``.
+The count of each length is written in base ``LOT``. Its highest digits are placed first, in lots of that power of ``LOT``, the squares
+being those of the counts with the lot moved; each next digit goes in smaller lots into the sequences open by then, down to single
+documents. That is the one rule for tables of every size: the lots of a length depend on its own count alone. The number of placings
+grows with the logarithm of the number of documents only, and no document is left out of it. Ranks among pieces of a length then tell
+each piece its place, as in ``binslack``.
 
 A document that fills sequences is cut into pieces of the capacity and a shorter rest. A null or empty text is the end id alone;
 null doc_ids are kept, repeated rows are packed each. An empty table gives no rows.
@@ -27,7 +28,7 @@ from . import binslack, common
 
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-STEPS, LOT, ROUNDS, SEED = 1 << 18, 64, 8, 7
+LOT, ROUNDS, SEED = 64, 8, 7
 _FAR = np.iinfo(np.int64).max
 
 #: What a sequence holds: the sequence before its last document, and that document's length.
@@ -85,11 +86,11 @@ def contents(held: Held) -> dict[int, int]:
     return out
 
 
-def place_all(counts: dict[int, int], capacity: int, mixed: bool, steps: int = STEPS) -> Sequences:
-    """All documents of these lengths, mixed or longest first."""
+def place_all(counts: dict[int, int], capacity: int, mixed: bool, base: int = LOT) -> Sequences:
+    """All documents of these lengths, mixed or longest first, by the digits of their counts."""
     out, lot = Sequences(capacity), 1
-    while sum(counts.values()) // lot > steps:
-        lot *= LOT
+    while max(counts.values(), default=0) >= lot * base:
+        lot *= base
     left = dict(counts)
     while True:
         order = [k for k in sorted(left, reverse=True) for _ in range(left[k] // lot)]
@@ -100,19 +101,19 @@ def place_all(counts: dict[int, int], capacity: int, mixed: bool, steps: int = S
         left = {k: n % lot for k, n in left.items()}
         if lot == 1:
             return out
-        lot //= LOT
+        lot //= base
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> binslack.Plan:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, base: int = LOT) -> binslack.Plan:
     """The packing of a multiset of lengths from 1 to capacity."""
-    now = place_all({k: n for k, n in counts.items() if n > 0}, capacity, True, steps)
+    now = place_all({k: n for k, n in counts.items() if n > 0}, capacity, True, base)
     done = now.full
     for _ in range(ROUNDS):
         again: dict[int, int] = {}
         for times, held in now.unfinished():
             for k, n in contents(held).items():
                 again[k] = again.get(k, 0) + times * n
-        new = place_all(again, capacity, False, steps)
+        new = place_all(again, capacity, False, base)
         if sum(n for n, _ in new.full + new.unfinished()) >= sum(n for n, _ in now.unfinished()):
             break
         done, now = done + new.full, new

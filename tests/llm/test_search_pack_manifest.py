@@ -107,6 +107,24 @@ def test_sum_of_squares_plan(times, steps):
     assert sumsquares.plan({}, 512).windows == []
 
 
+def test_sum_of_squares_lots_depend_on_a_length_alone(monkeypatch):
+    """Small and large inputs go by one rule: what else is packed doesn't change the lots of a length."""
+
+    def lots(counts):
+        placed: dict = {}
+        place = sumsquares.Sequences.place
+        with monkeypatch.context() as m:
+            m.setattr(sumsquares.Sequences, "place", lambda self, length, lot: (placed.setdefault(length, []).append(lot), place(self, length, lot))[1])
+            sumsquares.place_all(counts, 512, True)
+        return placed
+
+    small = {300: 5, 77: 64, 40: 64 * 64 + 3 * 64 + 1, 9: 200}
+    alone, beside = lots(small), lots(small | {100: 10**10})
+    assert alone == {k: beside[k] for k in small}
+    assert alone[40] == [4096, 64, 64, 64, 1] and alone[300] == [1] * 5
+    assert all(sum(v) == small[k] for k, v in alone.items())
+
+
 def test_op12(spark, odd_docs, no_docs, sf):
     enc = hf(sumsquares.TOKENIZER)
     assert sumsquares.pack_documents(no_docs).count() == 0
