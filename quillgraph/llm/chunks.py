@@ -1,8 +1,8 @@
 """Distinct-chunk tables: each distinct chunk of text is segmented once, and ids are joined back by position.
 
 A text is cut only where no token can reach across: in front of white space that follows something else. The chunks of a
-batch are dictionary-encoded without copying the text, chunks not yet in the table are handed to the tokenizer together, and
-one Arrow ``take`` lays the ids of all chunks end to end. Texts in which that cut isn't known to be safe (rare white space
+batch are dictionary-encoded without copying the text, chunks not yet in the table are handed to the tokenizer together (end to end
+as one text where the same cuts stand between them), and one Arrow ``take`` lays the ids of all chunks end to end. Texts in which that cut isn't known to be safe (rare white space
 beyond ASCII, or a literal U+2581 for pieces) are encoded whole.
 
 The table is kept for a worker's later batches and tasks. Its size is bounded: beyond ``KEEP`` chunks, or for chunks over
@@ -25,6 +25,7 @@ AT_ONCE = 4 << 20
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACES = frozenset(np.flatnonzero(_ASCII_SPACE).tolist())
 _ONLY_SPACE = np.zeros(256, bool)
 _ONLY_SPACE[32] = True
 # First bytes (of two or three) of white space beyond ASCII, and of the piece marker U+2581.
@@ -34,9 +35,9 @@ _MARK = {0xE2: (b"\xe2\x96\x81",)}
 
 
 class ChunkTable:
-    """encode: lists of ids (below 65536) of a list of chunks; whole: the ids of one text, for texts that aren't cut."""
+    """encode: the ids (below 65536, little-endian uint16) of each of a list of chunks; whole: the ids of one text, for texts that aren't cut."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], whole: Callable[[str], list[int]], pieces: bool = False):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], whole: Callable[[str], list[int]], pieces: bool = False):
         self.encode, self.whole = encode, whole
         self.space, self.unsafe = (_ONLY_SPACE, _MARK) if pieces else (_ASCII_SPACE, _WIDE_SPACE)
         self.control = () if pieces else _CONTROL_SPACE
@@ -46,7 +47,7 @@ class ChunkTable:
         found = list(map(self.known.get, chunks))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            new = [np.array(x, "<u2").tobytes() for x in self.encode([chunks[i] for i in missing])]
+            new = self.encode([chunks[i] for i in missing])
             for i, x in zip(missing, new, strict=True):
                 found[i] = x
                 if len(self.known) < KEEP and len(chunks[i]) <= LONG:
@@ -129,6 +130,13 @@ def pieces_of(batch: pa.RecordBatch, most: int = AT_ONCE) -> Iterator[tuple[pa.R
         yield part, np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _deal(group: list[int], ids: list[int], bounds: np.ndarray, out: list[bytes]) -> None:
+    """Gives each chunk of a group its stretch of the group's ids."""
+    raw, at = np.array(ids, "<u2").tobytes(), (2 * bounds).tolist()
+    for i, a, b in zip(group, at[:-1], at[1:], strict=True):
+        out[i] = raw[a:b]
+
+
 _tables: dict[tuple[str, str], ChunkTable] = {}
 
 
@@ -144,15 +152,20 @@ def tokenizer_table(name: str, ordinary_specials: bool = True) -> ChunkTable:
         t = Tokenizer.from_file(public_tokenizers.path(name))
         t.encode_special_tokens = ordinary_specials
 
-        def encode(chunks: list[bytes], at_once: int = 512) -> list[list[int]]:
+        def encode(chunks: list[bytes], at_once: int = 512) -> list[bytes]:
             words = [c.decode("utf-8") for c in chunks]
-            groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
-            out: list[list[int]] = []
-            for group, e in zip(groups, t.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-                each: list[list[int]] = [[] for _ in group]
-                for i, w in zip(e.ids, e.word_ids, strict=True):
-                    each[w].append(i)
-                out += each
+            out: list[bytes] = [b""] * len(words)
+            fits = [c[0] in _SPACES and c[-1] not in _SPACES for c in chunks]  # stand end to end as in a text, cut in front of each
+            joined, apart = ([i for i, x in enumerate(fits) if x is which] for which in (True, False))
+            for k in range(0, len(joined), at_once):
+                group = joined[k : k + at_once]
+                e = t.encode("".join(words[i] for i in group), add_special_tokens=False)
+                begins = np.cumsum([0, *(len(words[i]) for i in group)])
+                _deal(group, e.ids, np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64, len(e)), begins), out)
+            for k in range(0, len(apart), at_once):
+                group = apart[k : k + at_once]
+                e = t.encode([words[i] for i in group], is_pretokenized=True, add_special_tokens=False)
+                _deal(group, e.ids, np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(group) + 1)), out)
             return out
 
         _tables["tokenizers", name] = ChunkTable(encode, lambda text: t.encode(text, add_special_tokens=False).ids)
@@ -184,9 +197,9 @@ def piece_table(name: str) -> ChunkTable:
             raise ValueError(f"{name}: pieces may cross white space, or text is changed before it is cut")
         mark = [sp.piece_to_id("▁")]
 
-        def encode(chunks: list[bytes]) -> list[list[int]]:
+        def encode(chunks: list[bytes]) -> list[bytes]:
             # The library puts one marker in front of what it gets, unless that is empty; so a chunk goes in without its first space.
-            return [x if len(c) > 1 else mark for c, x in zip(chunks, sp.encode([c[1:].decode("utf-8") for c in chunks], num_threads=1), strict=True)]
+            return [np.array(x if len(c) > 1 else mark, "<u2").tobytes() for c, x in zip(chunks, sp.encode([c[1:].decode("utf-8") for c in chunks], num_threads=1), strict=True)]
 
         table = ChunkTable(encode, lambda text: sp.encode(text[1:]), pieces=True)
         table.sp = sp

@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from quillgraph.llm import binslack, common, pieces, rans
+from quillgraph.llm import binslack, chunks, common, pieces, rans
 
 
 def hf(name):
@@ -110,3 +110,31 @@ def test_op6(spark, odd_docs, no_docs, sf):
                 assert offset == at
                 at += length
             assert at <= 1024
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_go_end_to_end(name, monkeypatch):
+    """New chunks are tokenized as one text, and each gets the ids that it has alone."""
+    calls = []
+
+    class Spy:
+        from_file = classmethod(lambda cls, path: cls(Tokenizer.from_file(path)))
+
+        def __init__(self, t):
+            self.__dict__["t"] = t
+
+        def __setattr__(self, key, value):
+            setattr(self.t, key, value)
+
+        def encode(self, text, **how):
+            calls.append(text)
+            return self.t.encode(text, **how)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Spy)
+    monkeypatch.setattr(chunks, "_tables", {})
+    alone, rng = hf(name), random.Random(3)
+    alphabet = [*"abzA'9 0\t\n.,-ßÉİı́̈中한ᄀ가ᅡ🙂\x00", "'s", "  ", "\r\n", "<|endoftext|>", "</w>", "n\u0308", "\u200d"]
+    found = ["".join(rng.choices(alphabet, k=rng.randrange(1, 9))).encode() for _ in range(3000)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in chunks.tokenizer_table(name).encode(found)] == [alone(c.decode()) for c in found]
+    fitting = sum(c[0] in b"\t\n\v\f\r " and c[-1] not in b"\t\n\v\f\r " for c in found)
+    assert fitting > 200 and sum(isinstance(x, str) for x in calls) == -(-fitting // 512)
