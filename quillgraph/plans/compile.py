@@ -101,6 +101,9 @@ class Compiler:
         self.few = False
         #: Columns that rows were last ordered by, and whether downwards: collect() gives its elements in this order.
         self.order: list[tuple[str, bool]] = []
+        #: Where nothing but count(*) is asked of the matches: the variables asked for after each of them, and the column that counts alike rows.
+        self.asked_after: list[set[str]] | None = None
+        self.weight: str | None = None
         #: Properties of elements of lists, by their expression's text.
         self.looked: dict[str, S.Value] = {}
         self.fresh = 0
@@ -173,11 +176,15 @@ class Compiler:
     def single(self, clauses: list) -> tuple[DataFrame, list[tuple[str, str]]]:
         self.used, self.few, self.looked, self.order = {}, False, {}, []
         self.survey(clauses)
+        self.asked_after, self.weight = self.only_counted(clauses), None
         df: DataFrame | None = None
         env: dict[str, Bound] = {}
-        for c in clauses:
+        for i, c in enumerate(clauses):
             if isinstance(c, Match):
+                kept = self.asked_after[i] if self.asked_after else None
                 df = self.match(df, env, c)
+                if kept is not None and i + 2 < len(clauses):
+                    df = self.alike(df, env, kept)
             elif isinstance(c, Unwind):
                 df = self.unwind(df, env, c)
             else:
@@ -185,6 +192,41 @@ class Compiler:
                 self.few = bool(c.limit) or self.few or all(contains_aggregate(i.expr) for i in c.items) and bool(c.items) and not c.star
         return df, kinds
 
+    # Matches of which only the number is asked
+
+    def only_counted(self, clauses: list) -> list[set[str]] | None:
+        """If a query is matches and a projection that counts their rows and nothing else: the variables that are asked for after each match."""
+        *matches, last = clauses
+        if not matches or any(not isinstance(m, Match) or m.optional for m in matches) or not isinstance(last, Project) or last.star:
+            return None
+        shown = [i.expr for i in last.items] + [e for e, _ in last.order]
+        sums = [x for e in shown for x in walk(e) if x.op == "agg"]
+        if not sums or any(x.value != ("count", False) or x.args for x in sums):
+            return None
+        after = [set().union(*(variables(e) for e in shown))]
+        for m in reversed(matches[1:]):
+            named = {x.var for p in m.paths for x in (p, *p.nodes, *p.rels) if x.var}
+            inside = [e for p in m.paths for x in (*p.nodes, *p.rels) for e in x.props.values()] + ([m.where] if m.where else [])
+            after.append(after[-1] | named | set().union(*(variables(e) for e in inside)))
+        return after[::-1]
+
+    def alike(self, df: DataFrame, env: dict[str, Bound], kept: set[str]) -> DataFrame:
+        """The different rows of the variables that are still asked for, with how many there are of each: later hops meet each once."""
+        own = {v: b for v, b in env.items() if v in kept}
+        if any(b.kind != "node" for b in own.values()):
+            return df
+        by, rest = [], []
+        for b in own.values():
+            known = self.keys.get(b.cols["id"])
+            decides = known[1] if known else b.cols["id"]
+            by.append(decides)
+            rest += [F.first(F.col(c)).alias(c) for c in b.cols.values() if c != decides]
+        number = F.sum(F.col(self.weight)) if self.weight else F.count(F.lit(1))
+        self.weight = self.new("c")
+        env.clear()
+        env.update(own)
+        return df.groupBy(*by).agg(number.alias(self.weight), *rest).filter(F.col(self.weight) > 0)
+
     def one_row(self) -> DataFrame:
         return self.graph.spark.range(1).select(F.lit(1).alias("_one"))
 
@@ -787,7 +829,7 @@ class Compiler:
         name, distinct = e.value
         if name == "count":
             if not e.args:
-                return S.Value(F.count(F.lit(1)), "number", whole=True)
+                return S.Value(F.coalesce(F.sum(self.weight), F.lit(0)) if self.weight else F.count(F.lit(1)), "number", whole=True)
             v = self.value(e.args[0], env)
             c = F.col(env[v.ref].cols["type"]) if v.type == "rel" and v.ref and not distinct else v.col  # null only where the edge is
             if v.type == "node" and v.ref and (known := self.keys.get(env[v.ref].cols["id"])):

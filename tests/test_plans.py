@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.plans import compile as C
 from quillgraph.plans.compile import run
 from quillgraph.plans.star_queries import QUERIES
+from quillgraph.sources.graph import EdgeTable, NodeTable, PropertyGraph
 from quillgraph.sources.star import star_graph
 
 DIR = "/root/testdata/sf0.001"
@@ -148,3 +150,36 @@ def test_distinct_takes_the_first_row_of_the_order(graph):
     rows = run(graph, "MATCH (c:Customer)-[:PLACED]->(o) RETURN DISTINCT c.c_mktsegment AS s ORDER BY o.o_totalprice DESC").df.collect()
     best = run(graph, "MATCH (c:Customer)-[:PLACED]->(o) RETURN c.c_mktsegment AS s, max(o.o_totalprice) AS p ORDER BY p DESC").df.collect()
     assert [r["s"] for r in rows] == [r["s"] for r in best]
+
+
+def few_links(spark):
+    """Nodes of two labels and edges of two types, parallel ones among them."""
+    nodes = spark.createDataFrame([(k, k % 3) for k in range(12)], "k long, m long")
+    links = spark.createDataFrame([(a, b, w) for a in range(12) for b in range(4) for w in range((a * 7 + b * 5) % 4)], "s long, t long, w long")
+    tables = {"N": NodeTable(nodes.filter("k < 8"), F.concat(F.lit("N:"), "k")), "M": NodeTable(nodes.filter("k >= 8"), F.concat(F.lit("N:"), "k"))}
+    ends = (F.concat(F.lit("N:"), "s"), F.concat(F.lit("N:"), "t"), ("N", "M"), ("N",), ("w",))
+    return PropertyGraph(spark, tables, {"L": [EdgeTable(links.filter("w < 2"), *ends, single=False)], "E": [EdgeTable(links.filter("w >= 2"), *ends, single=False)]})
+
+
+def without_counting(monkeypatch, make):
+    with monkeypatch.context() as m:
+        m.setattr(C.Compiler, "only_counted", lambda self, clauses: None)
+        return sorted(map(str, make().df.collect()))
+
+
+@pytest.mark.parametrize("query", [
+    "MATCH (a:N)-[:L]->(n) MATCH (b)-[:L]->(n) RETURN count(*) AS k",
+    "MATCH (a:N)-[:L]->(n) MATCH (b:M)-[:E]->(n) MATCH (n)-[:L]->(c) RETURN n.m AS m, count(*) AS k",
+    "MATCH (a:N)-[r:L]->(n) MATCH (b {m: n.m})-[:E]->(n) RETURN a.m AS m, count(*) + 1 AS k ORDER BY count(*), m",
+    "MATCH (a:N {k: 99})-[:L]->(n) MATCH (b)-[:L]->(n) RETURN count(*) AS k",
+    "MATCH (a:N) MATCH (b:M) WHERE b.m > 0 RETURN count(*) AS k",
+    "MATCH (a)-[r:L]->(n) MATCH (b)-[:L]->(n) WHERE r.w > 0 RETURN count(*) AS k",
+])
+def test_alike_rows_are_counted_before_the_next_match(spark, monkeypatch, query):
+    g = few_links(spark)
+    assert sorted(map(str, C.run(g, query).df.collect())) == without_counting(monkeypatch, lambda: C.run(g, query))
+
+
+def test_a_second_match_meets_alike_rows_once(spark):
+    df = C.run(few_links(spark), "MATCH (a:N)-[:L]->(n) MATCH (b)-[:L]->(n) RETURN count(*) AS k").df
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") >= 2
