@@ -182,7 +182,8 @@ class Compiler:
         for i, c in enumerate(clauses):
             if isinstance(c, Match):
                 kept = self.asked_after[i] if self.asked_after else None
-                df = self.match(df, env, c)
+                paired = self.pairs(env, c, kept) if kept is not None and df is None else None
+                df = self.match(df, env, c) if paired is None else paired
                 if kept is not None and i + 2 < len(clauses):
                     df = self.alike(df, env, kept)
             elif isinstance(c, Unwind):
@@ -227,6 +228,44 @@ class Compiler:
         env.update(own)
         return df.groupBy(*by).agg(number.alias(self.weight), *rest).filter(F.col(self.weight) > 0)
 
+    def pairs(self, env: dict[str, Bound], m: Match, kept: set[str]) -> DataFrame | None:
+        """Two hops that meet in a node, where only that node is asked for: its ids with the number of pairs of different relationships.
+
+        Of l and r relationships of a node that fit the one and the other side, l * r pairs are made, less those of a relationship with itself."""
+        path = m.paths[0]
+        if len(m.paths) > 1 or len(path.rels) != 2 or path.var or any(r.var or r.hops or r.direction == "both" for r in path.rels):
+            return None
+        a, n, b = path.nodes
+        if not n.var or n.var in (a.var, b.var) or a.var and a.var == b.var or {a.var, b.var} & kept or m.where and not variables(m.where) <= {n.var}:
+            return None
+        if any(x.op == "var" for y in (*path.nodes, *path.rels) for e in y.props.values() for x in walk(e)):
+            return None
+        types = [set(r.types) for r in path.rels]
+        meet = not types[0] or not types[1] or bool(types[0] & types[1])
+        self.needs_id, self.outer = {id(r) for r in path.rels} if meet else set(), (None, env)
+        self.local = {n.var: conjuncts(m.where)} if m.where else {}
+        sides = []
+        for nodes, rel in (([a, n], path.rels[0]), ([n, b], path.rels[1])):
+            rels: list = []
+            df, found = self.path(Path(None, nodes, [rel]), env, {}, {}, [], rels)
+            sides.append((df, found[n.var], rels[0][1]))
+        (left, mid, edge), (right, other, other_edge) = sides
+        keys = [self.keys.get(x.cols["id"]) for x in (mid, other)]
+        keyed = bool(keys[0] and keys[1] and keys[0][0] == keys[1][0])
+        by = keys[0][1] if keyed else mid.cols["id"]
+        shown = [c for c in mid.cols.values() if c != by]
+        e, l, r = self.new("e"), self.new("l"), self.new("r")
+        none = F.lit(None)
+        ones = left.select(by, *shown, (edge if meet else none.cast("string")).alias(e), F.lit(1).alias(l), F.lit(0).alias(r))
+        twos = right.select(F.col(keys[1][1] if keyed else other.cols["id"]).alias(by), *(none.cast(left.schema[c].dataType).alias(c) for c in shown), (other_edge if meet else none.cast("string")).alias(e), F.lit(0).alias(l), F.lit(1).alias(r))
+        firsts = [F.first(c, ignorenulls=True).alias(c) for c in shown]
+        each = ones.unionByName(twos).filter(F.col(by).isNotNull()).groupBy(by, e).agg(F.sum(l).alias(l), F.sum(r).alias(r), *firsts)
+        self.weight = self.new("c")
+        number = F.sum(l) * F.sum(r) - (F.sum(F.col(l) * F.col(r)) if meet else F.lit(0))
+        out = each.groupBy(by).agg(number.alias(self.weight), *firsts).filter(F.col(self.weight) > 0)
+        env[n.var] = mid
+        return out.filter(S.boolean(self.value(m.where, env), "WHERE")) if m.where else out
+
     def one_row(self) -> DataFrame:
         return self.graph.spark.range(1).select(F.lit(1).alias("_one"))
 

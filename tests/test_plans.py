@@ -183,3 +183,22 @@ def test_alike_rows_are_counted_before_the_next_match(spark, monkeypatch, query)
 def test_a_second_match_meets_alike_rows_once(spark):
     df = C.run(few_links(spark), "MATCH (a:N)-[:L]->(n) MATCH (b)-[:L]->(n) RETURN count(*) AS k").df
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") >= 2
+
+
+@pytest.mark.parametrize("query", [
+    "MATCH (a:N)-[:L]->(n)<-[:L]-(b:N) RETURN id(n) AS n, count(*) AS k",
+    "MATCH (a:N)-[:L]->(n)<-[:L]-(b) RETURN count(*) AS k",
+    "MATCH (a:N)-[:L]->(n)<-[:E]-(b:M) RETURN n.m AS m, count(*) AS k",
+    "MATCH (a)<-[:L|E]-(n)-[:L]->(b) WHERE n.m > 0 RETURN n.k AS n, count(*) AS k",
+    "MATCH (a {m: 1})-[:L]->(n)-[:L {w: 0}]->(b) RETURN n.k AS n, n.m AS m, count(*) AS k",
+    "MATCH (a)-->(n)<--(b:M) MATCH (n)-[:L]->(c) RETURN n.m AS n, count(*) AS k",
+    "MATCH (a:M)-[:L]->(n)<-[:L]-(a) RETURN id(n) AS n, count(*) AS k",
+])
+def test_pairs_that_meet_in_a_node_are_counted(spark, monkeypatch, query):
+    g = few_links(spark)
+    assert sorted(map(str, C.run(g, query).df.collect())) == without_counting(monkeypatch, lambda: C.run(g, query))
+
+
+def test_pairs_that_meet_in_a_node_are_not_made(spark):
+    df = C.run(few_links(spark), "MATCH (a)-[:L]->(n)<-[:L]-(b) RETURN id(n) AS n, count(*) AS k").df
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
