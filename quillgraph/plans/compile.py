@@ -10,7 +10,7 @@ Nothing is collected; Catalyst pushes filters and columns to the scans and picks
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -290,6 +290,7 @@ class Compiler:
         alone = [(next(iter(variables(c))), c) for c in conjuncts(m.where) if len(variables(c)) == 1 and not contains_aggregate(c)]
         self.local = {v: [c for w, c in alone if w == v] for v, _ in alone if v not in env}
         hops = [r for p in m.paths for r in p.rels]
+        m = replace(m, paths=[self.turned(p, env) for p in m.paths])
         self.needs_id = {id(r) for p in m.paths for r in p.rels if p.var or r.hops or any(o is not r and (not r.types or not o.types or set(r.types) & set(o.types)) for o in hops)}
         self.outer = (df, env)
         grows = df is not None and not m.optional
@@ -331,6 +332,25 @@ class Compiler:
         condition = reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
         return df.join(inside, condition, "left")
 
+    def turned(self, path: Path, env: dict[str, Bound]) -> Path:
+        """A cycle of different nodes, begun so that its last relationship is one of which two nodes have one at most: closing it then makes
+        no further rows, and the hops that would make rows for nothing aren't walked."""
+        names = [n.var for n in path.nodes]
+        if path.var or len(path.rels) < 3 or not names[0] or names[0] != names[-1] or any(r.hops or r.direction == "both" for r in path.rels) or any(v in env for v in names if v):
+            return path
+        if any(path.nodes[-1].props) or len(set(filter(None, names[1:]))) < len(list(filter(None, names[1:]))):
+            return path
+        nodes, rels = path.nodes[:-1], path.rels
+        nodes = [replace(nodes[0], labels=[*nodes[0].labels, *(x for x in path.nodes[-1].labels if x not in nodes[0].labels)]), *nodes[1:]]
+        for k in range(len(rels), 0, -1):  # as it stands first
+            if rels[k - 1].types and self.graph.single(rels[k - 1].types):
+                if k == len(rels):
+                    return path
+                first = nodes[k] if nodes[k].var else replace(nodes[k], var=self.new("v"))
+                around = [first, *nodes[k + 1 :], *nodes[:k]]
+                return Path(None, [*around, replace(first, labels=[], props={})], rels[k:] + rels[:k])
+        return path
+
     def selective(self, path: Path, env: dict[str, Bound]) -> bool:
         """Whether some new node of the path is looked for by its properties."""
         return any((n.props or self.local.get(n.var)) and n.var not in env for n in path.nodes)

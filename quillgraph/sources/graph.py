@@ -63,6 +63,11 @@ class PropertyGraph:
         """Whether some edges are stored by their ends."""
         return any(t.near for ts in self.edge_tables.values() for t in ts)
 
+    def single(self, types: list[str]) -> bool:
+        """Whether two nodes have one edge of these types at most."""
+        tables = [t for x in types for t in self.edge_tables.get(x, ())]
+        return len(tables) == 1 and tables[0].single
+
     def native(self, types: list[str] | None, side: str) -> str | None:
         """The one label that this end of these edges has, if its nodes are told apart by a key: joins then need no ids."""
         labels = set()

@@ -202,3 +202,21 @@ def test_pairs_that_meet_in_a_node_are_counted(spark, monkeypatch, query):
 def test_pairs_that_meet_in_a_node_are_not_made(spark):
     df = C.run(few_links(spark), "MATCH (a)-[:L]->(n)<-[:L]-(b) RETURN id(n) AS n, count(*) AS k").df
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_cycle_ends_with_the_edge_that_makes_no_rows(graph, spark):
+    """o-p-s-o is joined by its orders, and closed by the one OF that a part and a supplier have."""
+    paths = lambda q: C.parse(q).parts[0][0].paths
+    c = C.Compiler(graph)
+    turned = c.turned(paths(QUERIES["cycle"][0])[0], {})
+    assert [r.types for r in turned.rels] == [["SUPPLIED_BY"], ["CONTAINS"], ["OF"]] and turned.nodes[0].var == turned.nodes[-1].var == "s" and turned.nodes[1].labels == ["Order"]
+    for kept in ("MATCH (o)-[:CONTAINS]->(p)-[:OF]->(s)<-[:SUPPLIED_BY]-(x) RETURN count(*) AS n", "MATCH (s)<-[:SUPPLIED_BY]-(o)-[:CONTAINS]->(p)-[:OF]->(s) RETURN count(*) AS n"):
+        path = paths(kept)[0]
+        assert c.turned(path, {}) == path
+    lines = [(r["l_orderkey"], r["l_partkey"], r["l_suppkey"]) for r in spark.read.parquet(f"{DIR}/lineitem.parquet").collect()]
+    of, by_order = {(p, s) for _, p, s in lines}, {}
+    for o, p, s in lines:
+        by_order.setdefault(o, []).append((p, s))
+    want = sum((p, s) in of for each in by_order.values() for p, _ in each for _, s in each)
+    for query in (QUERIES["cycle"][0], "MATCH (o:Order)-[:CONTAINS]->()-[:OF]->()<-[:SUPPLIED_BY]-(o) RETURN count(*) AS n", "MATCH (p)-[:OF]->(s)<-[:SUPPLIED_BY]-(o)-[r:CONTAINS]->(p) RETURN count(r) AS n"):
+        assert value(graph, query) == want
