@@ -292,6 +292,7 @@ class Compiler:
         hops = [r for p in m.paths for r in p.rels]
         m = replace(m, paths=[self.turned(p, env) for p in m.paths])
         self.needs_id = {id(r) for p in m.paths for r in p.rels if p.var or r.hops or any(o is not r and (not r.types or not o.types or set(r.types) & set(o.types)) for o in hops)}
+        self.crossed = {id(r) for r in hops if any(o is not r and (not r.types or not o.types or set(r.types) & set(o.types)) for o in hops)}
         self.outer = (df, env)
         grows = df is not None and not m.optional
         if grows:
@@ -390,7 +391,8 @@ class Compiler:
             if rel.hops and before_name not in own and not from_end and (df is not None or self.reach(before, before_name)):
                 # Trails grow from the rows so far, which are carried through the hops.
                 df = self.start_rows(before, before_name, found, later, own) if df is None else df
-                df, end = self.trails(rel, rel_name, found, rels, df, found[before_name].cols["id"])
+                chained = self.chained(rel, rel_name, before, found, df, found[before_name].cols["id"])
+                df, end = chained or self.trails(rel, rel_name, found, rels, df, found[before_name].cols["id"])
                 df = self.attach(df, node, name, end, found, later, rel, "out" if rel.direction == "in" else "in", own)
                 continue
             if from_end:  # More is known of the end: the same from there.
@@ -603,6 +605,45 @@ class Compiler:
         kept = [F.struct(*((F.col(k) if k in rows.columns else F.lit(None)).cast(t).alias(k) for k, t in props.items())).alias("properties")] if props else []
         return rows.select(F.struct("id", "type", "sign", "source", "target", *kept).alias("edge"), F.col("start").alias("from"), F.col("end").alias("to"))
 
+    def chained(self, rel: RelPattern, name: str, before: NodePattern, found: dict[str, Bound], df: DataFrame, at: str) -> tuple[DataFrame, str] | None:
+        """Trails of one length whose steps each have edge tables of their own, and of which only properties are asked: no edge can come
+        twice, so that no ids are worked out, and steps carry nothing but what is asked."""
+        low, high = rel.hops
+        labels = {x for x, t in self.graph.node_tables.items() if all(y in (x, *t.more_labels) or t.label_column for y in before.labels)} if before.labels else set()
+        asked = self.wants(rel.var)
+        if not labels or low != high or not low or rel.direction == "both" or rel.props or id(rel) in self.listed or id(rel) in self.crossed or name != rel.var and rel.var:
+            return None
+        if any(w != "bound" and (not w.startswith("[]") or w == "[]id") for w in asked):
+            return None
+        sides = ("source", "target") if rel.direction == "out" else ("target", "source")
+        tables = self.graph.chain(rel.types or None, labels, sides, high)
+        if not tables or any(t is x for i, ts in enumerate(tables) for us in tables[:i] for t in ts for x in us):
+            return None
+        self.rel_names = {**self.rel_names, id(rel): name}
+        props = self.shared_props([rel])
+        prefix = self.new("r")
+        last, steps, ends = (f"{prefix}_{c}" for c in ("last", "list", "ends"))
+        carried, none = df.columns, F.lit(None)
+        known = self.keys.get(at)
+        now, key = df.withColumn(last, F.col(at)), known[1] if known else None
+        kept, fields = [], {"id": "string", "type": "string", "sign": "int", "source": "string", "target": "string"}
+        for i, among in enumerate(tables):
+            native = [self.graph.native(rel.types or None, side, among) for side in sides]
+            rows = self.graph.edges(rel.types or None, props, False, tuple(s for s, n in zip(sides, native, strict=True) if n), among=among)
+            here, there, step_key = (f"{prefix}_{c}{i}" for c in ("here", "there", "key"))
+            own = {c: f"{prefix}_{c}_{i}" for c in [*(c for c in fields if f"[]{c}" in asked), *props]}  # plain columns until all hops are joined
+            by_key = bool(key and known and native[0] == known[0])
+            step = rows.select(F.col(f"{sides[0]}_key" if by_key else sides[0]).alias(here), F.col(sides[1]).alias(there), *(F.col(c).alias(x) for c, x in own.items()), *([F.col(f"{sides[1]}_key").alias(step_key)] if native[1] else []))
+            now = now.join(step, F.col(key if by_key else last) == F.col(here)).drop(here, last).withColumnRenamed(there, last)
+            inside = [F.struct(*(F.col(own[k]).cast(t).alias(k) for k, t in props.items())).alias("properties")] if props else []
+            kept.append(F.struct(*((F.col(own[c]) if c in own else none.cast(t)).alias(c) for c, t in fields.items()), *inside))
+            known, key = ((native[1], step_key), step_key) if native[1] else (None, None)
+        now = now.select(*carried, last, *([key] if key else []), F.array(*kept).alias(steps), F.array().cast("array<string>").alias(ends))
+        if known:
+            self.keys[last] = known
+        found[name] = Bound("rels", {"list": steps, "ends": ends}, value=S.Value(F.col(steps), "list", "rel", props=props))
+        return now, last
+
     def trails(self, rel: RelPattern, name: str, found: dict[str, Bound], rels: list, df: DataFrame, at: str, back: bool = False) -> tuple[DataFrame, str]:
         """The rows of df, once for each trail from the node in column ``at`` (``back``: to it), and the column of the trail's other end."""
         self.rel_names = {**self.rel_names, id(rel): name}

@@ -68,11 +68,22 @@ class PropertyGraph:
         tables = [t for x in types for t in self.edge_tables.get(x, ())]
         return len(tables) == 1 and tables[0].single
 
-    def native(self, types: list[str] | None, side: str) -> str | None:
+    def chain(self, types: list[str] | None, labels: set[str], sides: tuple[str, str], length: int) -> list[list[EdgeTable]] | None:
+        """The tables that each step of a chain of edges from a node of these labels can come from, as far as keys tell labels apart."""
+        tables = [t for name, ts in self.edge_tables.items() for t in ts if not types or name in types]
+        out: list[list[EdgeTable]] = []
+        for _ in range(length):
+            out.append([t for t in tables if labels & set(t.from_labels if sides[0] == "source" else t.to_labels)])
+            labels = {x for t in out[-1] for x in (t.to_labels if sides[1] == "target" else t.from_labels)}
+        return out if all(t.keys for t in tables) and all(out) else None
+
+    def native(self, types: list[str] | None, side: str, among: list[EdgeTable] | None = None) -> str | None:
         """The one label that this end of these edges has, if its nodes are told apart by a key: joins then need no ids."""
         labels = set()
         for name, tables in self.edge_tables.items():
             for t in tables if not types or name in types else ():
+                if among is not None and not any(t is x for x in among):
+                    continue
                 labels |= set(t.from_labels if side == "source" else t.to_labels) if t.keys else {None, ""}
         label = labels.pop() if len(labels) == 1 else None
         return label if label in self.node_tables and self.node_tables[label].key else None
@@ -124,9 +135,9 @@ class PropertyGraph:
         known = reduce(DataFrame.unionByName, [t.df.select(t.id.alias("id")) for t in self.node_tables.values()])
         return reduce(DataFrame.unionByName, ends).filter("id is not null").distinct().join(known, "id", "left_anti")
 
-    def edges(self, types: list[str] | None, props: dict[str, T.DataType], with_id: bool = True, keys: tuple[str, ...] = (), near: str | None = None) -> DataFrame:
+    def edges(self, types: list[str] | None, props: dict[str, T.DataType], with_id: bool = True, keys: tuple[str, ...] = (), near: str | None = None, among: list[EdgeTable] | None = None) -> DataFrame:
         """id, type, sign, source, target and the given properties of the edges of these types (None: all). keys: ends of which the key is given too.
-        near: the end that they are looked up by, for edges that are stored by their ends.
+        near: the end that they are looked up by, for edges that are stored by their ends. among: the only tables to look in.
 
         The id is source#type#target#ordinal; it is only worked out where it is asked for."""
         parts = []
@@ -134,6 +145,8 @@ class PropertyGraph:
             if types and name not in types:
                 continue
             for t in tables:
+                if among is not None and not any(t is x for x in among):
+                    continue
                 sign = F.lit(1) if t.sign is None else t.sign
                 out = t.near.get(near, t.df).select(t.source.alias("source"), t.target.alias("target"), sign.cast("int").alias("sign"), *(F.col(p) for p in t.props), *(F.col(t.keys[side == "target"]).cast("long").alias(f"{side}_key") for side in keys))
                 ordinal = F.lit("0")

@@ -220,3 +220,10 @@ def test_a_cycle_ends_with_the_edge_that_makes_no_rows(graph, spark):
     want = sum((p, s) in of for each in by_order.values() for p, _ in each for _, s in each)
     for query in (QUERIES["cycle"][0], "MATCH (o:Order)-[:CONTAINS]->()-[:OF]->()<-[:SUPPLIED_BY]-(o) RETURN count(*) AS n", "MATCH (p)-[:OF]->(s)<-[:SUPPLIED_BY]-(o)-[r:CONTAINS]->(p) RETURN count(r) AS n"):
         assert value(graph, query) == want
+
+
+def test_a_chain_of_different_tables_works_out_no_edge_ids(graph, spark):
+    df = run(graph, QUERIES["rel_elements"][0]).df
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").groupBy("l_returnflag").count().collect()
+    assert {r["f"]: r["n"] for r in df.collect()} == {r["l_returnflag"]: r["count"] for r in lines}
