@@ -19,9 +19,9 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEEP, LONG = 400_000, 64
-#: Bytes of text that are cut at once.
-AT_ONCE = 4 << 20
+KEEP, LONG = 1_000_000, 64
+#: Bytes of text that are cut at once, and those of gathered batches.
+AT_ONCE, GATHERED = 4 << 20, 16 << 20
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,7 +40,8 @@ class ChunkTable:
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], whole: Callable[[str], list[int]], pieces: bool = False):
         self.encode, self.whole = encode, whole
         self.space, self.unsafe = (_ONLY_SPACE, _MARK) if pieces else (_ASCII_SPACE, _WIDE_SPACE)
-        self.control = () if pieces else _CONTROL_SPACE
+        self.odd = np.zeros(256, bool)
+        self.odd[[*self.unsafe, *(() if pieces else _CONTROL_SPACE)]] = True
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, chunks: list[bytes]) -> list[bytes]:
@@ -55,18 +56,17 @@ class ChunkTable:
         return found
 
     def _unsafe_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        hits = [np.flatnonzero(data == c) for c in self.control]
+        odd = np.flatnonzero(self.odd[data])  # one pass over the text finds all that may be unsafe
+        hits = [odd[data[odd] <= 0x1F]]
         for first, seqs in self.unsafe.items():
-            at = np.flatnonzero(data == first)
+            at = odd[data[odd] == first]
             if len(at):
-                raw = data.tobytes() if len(at) < 50 else None
                 for s in seqs:
                     ok = np.ones(len(at), bool)
                     for k, c in enumerate(s[1:], 1):
                         ok &= data[np.minimum(at + k, len(data) - 1)] == c
                     hits.append(at[ok])
-                del raw
-        at = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+        at = np.concatenate(hits)
         rows = np.zeros(len(offsets) - 1, bool)
         if len(at):
             rows[np.searchsorted(offsets, at, side="right") - 1] = True
@@ -130,6 +130,20 @@ def pieces_of(batch: pa.RecordBatch, most: int = AT_ONCE) -> Iterator[tuple[pa.R
         yield part, np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, of at most about ``most`` bytes unless one is larger by itself: a chunk beyond the table is segmented once in each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _deal(group: list[int], ids: list[int], bounds: np.ndarray, out: list[bytes]) -> None:
     """Gives each chunk of a group its stretch of the group's ids."""
     raw, at = np.array(ids, "<u2").tobytes(), (2 * bounds).tolist()

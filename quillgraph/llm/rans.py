@@ -89,9 +89,20 @@ def _code_blocks(symbols: np.ndarray, f: np.ndarray, start: np.ndarray) -> tuple
     return streams, checkpoints
 
 
+def symbol_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols that occur, ascending, each id's place among them, and their counts: counted by id where ids are 16-bit, else sorted."""
+    if ids.dtype.itemsize > 2:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    kinds = np.flatnonzero(counts)
+    places = np.zeros(len(counts), np.int32)
+    places[kinds] = np.arange(len(kinds))
+    return kinds.astype(ids.dtype), places[ids], counts[kinds]
+
+
 def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """The documents' ids (end to end, below 2**32, of at most 2**16 kinds) as a shard."""
-    kinds, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    kinds, place, counts = symbol_table(ids)
     if len(kinds) > SCALE:
         raise ValueError("more than 65536 symbols in one shard")
     f = frequencies(counts) if len(kinds) else np.zeros(0, np.int64)
@@ -212,8 +223,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.binary()], strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         held = 0
-        for batch in batches:
-            for part, data, offsets in chunks.pieces_of(batch):
+        for batch in chunks.gathered(batches):
+            for part, data, offsets in chunks.pieces_of(batch, chunks.GATHERED):
                 ids, at = table.encode_texts(data, offsets)
                 n = len(at) - 1
                 closed = np.insert(ids, at[1:], end_id)  # after each document's ids

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -36,6 +37,38 @@ def test_rans_round_trip(n, kinds):
                 rans.decode_shard(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
 
 
+@pytest.mark.parametrize("dtype", [np.uint16, np.uint32])
+def test_symbols_are_counted(dtype, monkeypatch):
+    ids = np.array([7, 0, 65535, 7, 300, 0, 7], dtype)
+    sorts = []
+    monkeypatch.setattr(np, "unique", lambda *a, real=np.unique, **k: sorts.append(1) or real(*a, **k))
+    kinds, place, counts = rans.symbol_table(ids)
+    assert kinds.tolist() == [0, 7, 300, 65535] and counts.tolist() == [2, 3, 1, 1] and (kinds[place] == ids).all()
+    assert len(sorts) == (dtype == np.uint32)  # ids of 16 bits aren't sorted
+    assert [len(x) for x in rans.symbol_table(ids[:0])] == [0, 0, 0]
+
+
+def test_batches_are_gathered():
+    batches = [pa.record_batch({"doc_id": [i, None], "text": ["a" * (20 * i), None]}) for i in range(9)]
+    for most in (1, 200, 10_000):
+        got = list(chunks.gathered(iter(batches), most))
+        assert [r for b in got for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+        assert all(b.nbytes <= max(most, 400) for b in got) and len(got) == {1: 9, 10_000: 1}.get(most, len(got))
+    assert list(chunks.gathered(iter([]))) == []
+
+
+def test_a_chunk_of_several_batches_is_segmented_once(monkeypatch):
+    monkeypatch.setattr(chunks, "KEEP", 0)
+    asked = []
+    table = chunks.ChunkTable(lambda found: asked.extend(found) or [b"\1\0"] * len(found), lambda text: [1])
+    batches = [pa.record_batch({"text": ["one two"]}) for _ in range(5)]
+    for batch in chunks.gathered(iter(batches)):
+        for _, data, offsets in chunks.pieces_of(batch, chunks.GATHERED):
+            ids, _ = table.encode_texts(data, offsets)
+            assert len(ids) == 10
+    assert sorted(asked) == [b" two", b"one"]
+
+
 def test_op1(spark, odd_docs, no_docs, sf):
     enc = hf(rans.TOKENIZER)
     for docs in (odd_docs, no_docs, common.documents(spark, sf)):
