@@ -81,7 +81,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
     key = F.when(c("c_custkey") % 2 == 0, _text("---\nopenspec:\n  - n", c("n_nationkey"), "\n---\n")).otherwise(F.lit(""))
     scenario = _text("[[openspec:n", c("n_nationkey"), "#", c("n_name"), "#near]]")
-    return rows.select(_text("people/C", c("c_custkey"), ".md").alias("path"), _text(key, "# C", c("c_custkey"), "\n\nlead\n\nsuits:: ", scenario, "\n\nAs ", scenario, " says, see [[src/n", c("n_nationkey"), ".py#f_", c("n_nationkey"), "]] twice: [[src/n", c("n_nationkey"), ".py#f_", c("n_nationkey"), "]]\n").alias("text"))
+    return rows.select(_text("people/C", c("c_custkey"), ".md").alias("path"), _text(key, "# C", c("c_custkey"), "\n\nlead\n\nsuits:: ", scenario, "\n\nAs ", scenario, " says, see [[src/n", c("n_nationkey"), ".py#f_", c("n_nationkey"), "]] twice: [[src/n", c("n_nationkey"), ".py#f_", c("n_nationkey"), "]]\n").alias("text")).repartition(spark.sparkContext.defaultParallelism)
 
 
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def lattice_graph(spark: SparkSession, docs: DataFrame, specs: DataFrame, files:
 
     lines = parsed_edges(docs).select("path", "type", "sign", (F.col("line") + 1).alias("line"), F.concat_ws("#", "target", "subpath").alias("target"))
     typed = placed(in_sections(lines, own)).select("section", "type", "sign", "to", "line").persist()
-    linked = placed(references(docs).drop("alias")).join(typed.select("section", "to"), ["section", "to"], "left_anti")
+    linked = placed(references(docs, own).drop("alias")).join(typed.select("section", "to"), ["section", "to"], "left_anti")
     named = document_keys(docs).select("path", F.explode("specs").alias("entry")).select("path", F.regexp_replace("entry", "^openspec:", "").alias("name")).join(spec_names(parts), "name")
     about = own.filter("depth = 1").join(named, "path").select(F.col("id").alias("section"), F.col("requirement").alias("to"), F.col("start").alias("line"))
     linked = linked.select("section", "to", "line").unionByName(about).groupBy("section", "to").agg(F.min("line").alias("line"))
